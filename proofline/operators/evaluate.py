@@ -31,13 +31,18 @@ def with_body(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.withColumn("json", jp.strict_json(F.col(body)))
 
 
-def _resp(text, latency, cost) -> dict:
+def _resp(text, latency, cost, columns=None) -> dict:
     def col(name, typ):
-        return F.col(name) if name else F.lit(None).cast(typ)
+        present = name and (columns is None or name in columns)
+        return F.col(name) if present else F.lit(None).cast(typ)
     return {"text": col(text, "string"), "json": F.col("json"),
             "latency_ms": col(latency, "double"), "cost_usd": col(cost, "double")}
 
 
+def _has(df: DataFrame, name: str | None) -> str | None:
+    return name if name and name in df.columns else None
+
+
 def effective_threshold(with_threshold, spec_threshold):
     """``with.threshold or spec.threshold`` — a falsy (0 / missing) value falls through."""
     if isinstance(with_threshold, Column) or isinstance(spec_threshold, Column):
@@ -118,8 +123,8 @@ def apply_checks(responses: DataFrame, checks: list[C.Check], keys: list[str], *
     """Long-form ``check_results``: one row per (case, check). No join, no shuffle."""
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
-    cols = check_columns(checks, text=text, latency=latency, cost=cost,
-                         user_checks=user_checks)
+    cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency),
+                         cost=_has(df, cost), user_checks=user_checks)
     return df.select(*keys, F.inline(F.array(*cols)))
 
 
@@ -137,7 +142,8 @@ def apply_and_gate(responses: DataFrame, checks: list[C.Check], keys: list[str],
     """One row per case with its gate (``passed``) and failed-check count, in one pass."""
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
-    cols = check_columns(checks, text=text, latency=latency, cost=cost)
+    cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency),
+                         cost=_has(df, cost))
     n_failed = sum((F.when(c["passed"], 0).otherwise(1) for c in cols), F.lit(0))
     return df.select(*keys, *extra, gate_column(cols).alias("passed"),
                      n_failed.cast("long").alias("failed_checks"))
@@ -197,7 +203,7 @@ def evaluate_checks(responses: DataFrame, checks: DataFrame, on: list[str], *,
     spec = spec.drop(*[c for c in ("suite_id", "case_id") if c not in on and c in spec.columns])
     joined = df.join(spec, on, "inner")
 
-    r = _resp(text, latency, cost)
+    r = _resp(text, latency, cost, df.columns)
     p = {"value": _param("value"), "pattern": _param("pattern"),
          "min": _param("min", "double"), "max": _param("max", "double"),
          "max_ms": _param("max_ms", "double"), "field": _param("field"),

@@ -1 +1,209 @@
-"""Placeholder."""
+"""Case gates, run summaries, verdict policies, coverage and baselines."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.operators import coverage as COV
+from proofline.operators import results as RS
+from proofline.operators.evaluate import apply_and_gate
+from proofline.plans.q_checks import LICENSE, SECRET, SECRET_RE, SQL_CARD, SQL_EMAIL, SQL_IBAN, TEXT_SPEC
+from proofline.plans.registry import query
+from proofline.plans.sqltext import q
+from proofline.sources import tables as T
+
+# The text spec evaluated in SQL: one flag per required check, the gate over them.
+SQL_TEXT_GATE = f"""(SELECT run_id, suite_id, case_id, requirement_ref,
+   (contains(coalesce(text, ''), {q(LICENSE)})
+    AND NOT contains(coalesce(text, ''), {q(SECRET)})
+    AND regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)})
+    AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_EMAIL)})) = 0
+    AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_IBAN)})) = 0
+    AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_CARD)})) = 0) AS passed,
+   CAST((CASE WHEN contains(coalesce(text, ''), {q(LICENSE)}) THEN 0 ELSE 1 END)
+    + (CASE WHEN contains(coalesce(text, ''), {q(SECRET)}) THEN 1 ELSE 0 END)
+    + (CASE WHEN regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)}) THEN 0 ELSE 1 END)
+    + (CASE WHEN len(regexp_extract_all(coalesce(text, ''), {q(SQL_EMAIL)}))
+               + len(regexp_extract_all(coalesce(text, ''), {q(SQL_IBAN)}))
+               + len(regexp_extract_all(coalesce(text, ''), {q(SQL_CARD)})) > 0 THEN 1 ELSE 0 END)
+    AS BIGINT) AS failed_checks
+  FROM {T.SQL_TEXT_RESPONSES})"""
+
+
+def text_gate(spark, sf_dir):
+    """Documents as responses under TEXT_SPEC: one row per case with its gate."""
+    r = T.text_responses(spark, sf_dir)
+    return apply_and_gate(r, TEXT_SPEC, ["run_id", "suite_id", "case_id"], body=None,
+                          extra=["requirement_ref"])
+
+
+@query("case_gate", sql=f"SELECT case_id, passed, failed_checks FROM {SQL_TEXT_GATE}")
+def case_gate(spark, sf_dir):
+    return text_gate(spark, sf_dir).select("case_id", "passed", "failed_checks")
+
+
+@query("run_summary", headline=True, sql=f"""
+SELECT run_id, count(*) AS cases, count_if(passed) AS passed, count(*) - count_if(passed) AS failed
+FROM {SQL_TEXT_GATE} GROUP BY run_id""")
+def run_summary(spark, sf_dir):
+    return RS.run_summary(text_gate(spark, sf_dir))
+
+
+@query("run_gate", sql=f"SELECT suite_id, bool_and(passed) AS run_passed FROM {SQL_TEXT_GATE} GROUP BY suite_id")
+def run_gate(spark, sf_dir):
+    return RS.run_gate(text_gate(spark, sf_dir), keys=("suite_id",))
+
+
+@query("run_cost", sql=f"""
+SELECT run_id, CAST(round(sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(24,8))), 6) AS DOUBLE) AS total_cost_usd
+FROM {T.SQL_CASE_RESULTS} GROUP BY run_id""")
+def run_cost(spark, sf_dir):
+    return RS.run_cost(T.case_results(spark, sf_dir))
+
+
+def effective_results(spark, sf_dir):
+    cr = T.case_results(spark, sf_dir)
+    return cr.withColumn("effective_passed", RS.effective_passed(F.col("passed"), F.col("human_verdict")))
+
+
+SQL_EFFECTIVE = f"""(SELECT *, coalesce(human_verdict = 'pass', passed) AS effective_passed
+  FROM {T.SQL_CASE_RESULTS})"""
+
+
+@query("effective_summary", headline=True, sql=f"""
+SELECT run_id, count(*) AS cases, count_if(effective_passed) AS passed,
+  count(*) - count_if(effective_passed) AS failed
+FROM {SQL_EFFECTIVE} GROUP BY run_id""")
+def effective_summary(spark, sf_dir):
+    return RS.run_summary(effective_results(spark, sf_dir), flag="effective_passed")
+
+
+def _verdict(spark, sf_dir, policy):
+    rep = T.reports(spark, sf_dir).select("report_id", "run_id")
+    out = RS.suggested_verdict(rep, effective_results(spark, sf_dir), policy)
+    return out.select("report_id", "suggested_verdict")
+
+
+@query("verdict_all_required", headline=True, sql=f"""
+SELECT r.report_id, CASE WHEN coalesce(bool_and(e.effective_passed), true) THEN 'pass' ELSE 'fail' END AS suggested_verdict
+FROM {T.SQL_REPORTS} r LEFT JOIN {SQL_EFFECTIVE} e ON e.run_id = r.run_id GROUP BY r.report_id""")
+def verdict_all_required(spark, sf_dir):
+    return _verdict(spark, sf_dir, {"type": "all_required"})
+
+
+@query("verdict_threshold", sql=f"""
+SELECT r.report_id,
+  CASE WHEN count(e.run_id) = 0 THEN 'pass'
+       WHEN count_if(e.effective_passed) / count(e.run_id) >= 0.5 THEN 'pass' ELSE 'fail' END AS suggested_verdict
+FROM {T.SQL_REPORTS} r LEFT JOIN {SQL_EFFECTIVE} e ON e.run_id = r.run_id GROUP BY r.report_id""")
+def verdict_threshold(spark, sf_dir):
+    return _verdict(spark, sf_dir, {"type": "threshold", "value": 0.5})
+
+
+@query("verdict_must_pass_tags", sql=f"""
+SELECT r.report_id,
+  CASE WHEN coalesce(bool_and(e.effective_passed) FILTER (WHERE e.requirement_ref IN ('R1', 'R3', 'R5')), true)
+       THEN 'pass' ELSE 'fail' END AS suggested_verdict
+FROM {T.SQL_REPORTS} r LEFT JOIN {SQL_EFFECTIVE} e ON e.run_id = r.run_id GROUP BY r.report_id""")
+def verdict_must_pass_tags(spark, sf_dir):
+    return _verdict(spark, sf_dir, {"type": "must_pass_tags", "tags": ["R1", "R3", "R5"]})
+
+
+# ---- coverage ------------------------------------------------------------------------
+@query("coverage_counts", sql=f"""
+SELECT coalesce(nullif(requirement_ref, ''), '(unmapped)') AS ref, count(*) AS total, count_if(passed) AS passed
+FROM {SQL_TEXT_GATE} GROUP BY 1""")
+def coverage_counts(spark, sf_dir):
+    return COV.tested(text_gate(spark, sf_dir))
+
+
+@query("coverage_by_requirement", sql=f"""
+WITH t AS (SELECT coalesce(nullif(requirement_ref, ''), '(unmapped)') AS ref, count(*) AS total,
+                  count_if(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY 1)
+SELECT q.req_id, q.text, q.section, coalesce(t.total, 0) AS total, coalesce(t.passed, 0) AS passed,
+  coalesce(t.total, 0) > 0 AS covered
+FROM {T.SQL_REQUIREMENTS} q LEFT JOIN t ON t.ref = q.req_id""")
+def coverage_by_requirement(spark, sf_dir):
+    return COV.by_requirement(F.broadcast(T.requirements(spark)), T.case_results(spark, sf_dir))
+
+
+@query("uncovered", sql=f"""
+SELECT q.req_id, q.text, q.section FROM {T.SQL_REQUIREMENTS} q
+WHERE NOT EXISTS (SELECT 1 FROM {T.SQL_CASE_RESULTS} c WHERE c.requirement_ref = q.req_id)""")
+def uncovered(spark, sf_dir):
+    return COV.uncovered(T.requirements(spark), T.case_results(spark, sf_dir))
+
+
+@query("orphans", sql=f"""
+SELECT DISTINCT coalesce(nullif(requirement_ref, ''), '(unmapped)') AS ref FROM {T.SQL_TEXT_RESPONSES} c
+WHERE coalesce(nullif(requirement_ref, ''), '(unmapped)') NOT IN (SELECT req_id FROM {T.SQL_REQUIREMENTS})""")
+def orphans(spark, sf_dir):
+    return COV.orphans(F.broadcast(T.requirements(spark)), T.text_responses(spark, sf_dir))
+
+
+@query("coverage_per_run", sql=f"""
+WITH cited AS (SELECT DISTINCT run_id, requirement_ref FROM {T.SQL_CASE_RESULTS}),
+     cov AS (SELECT run_id, count(*) FILTER (WHERE requirement_ref IN (SELECT req_id FROM {T.SQL_REQUIREMENTS})) AS n
+             FROM cited GROUP BY run_id)
+SELECT run_id, CAST(n AS BIGINT) AS requirements_covered, CAST(14 AS BIGINT) AS requirements_total,
+  round(n / 14 * 100, 1) AS covered_pct FROM cov""")
+def coverage_per_run(spark, sf_dir):
+    return COV.per_run(T.requirements(spark), T.case_results(spark, sf_dir))
+
+
+# ---- baseline comparison (JON-12) -------------------------------------------------------
+# Baseline run: the text spec over every document except Spanish ones; current run: the
+# same spec with the licence check on 'Licensed' instead, over every document except
+# German ones. Per (suite, case): new / gone / regressed / fixed / same.
+@query("regression_vs_baseline", sql=f"""
+WITH b AS (SELECT suite_id, case_id, passed FROM {SQL_TEXT_GATE} WHERE run_id <> 'es'),
+     c AS (SELECT suite_id, case_id,
+             passed OR (NOT contains(coalesce(text, ''), {q(LICENSE)}) AND contains(coalesce(text, ''), 'Licensed')) AS passed0,
+             passed, failed_checks, text
+           FROM (SELECT g.*, d.text FROM {SQL_TEXT_GATE} g JOIN documents d ON d.doc_id = g.case_id) WHERE run_id <> 'de'),
+     c2 AS (SELECT suite_id, case_id,
+             (failed_checks - CASE WHEN contains(coalesce(text, ''), {q(LICENSE)}) THEN 0 ELSE 1 END
+              + CASE WHEN contains(coalesce(text, ''), 'Licensed') THEN 0 ELSE 1 END) = 0 AS passed FROM c)
+SELECT coalesce(c2.suite_id, b.suite_id) AS suite_id, coalesce(c2.case_id, b.case_id) AS case_id,
+  c2.passed AS current_passed, b.passed AS baseline_passed,
+  CASE WHEN b.passed IS NULL THEN 'new' WHEN c2.passed IS NULL THEN 'gone'
+       WHEN b.passed AND NOT c2.passed THEN 'regressed' WHEN NOT b.passed AND c2.passed THEN 'fixed'
+       ELSE 'same' END AS status
+FROM c2 FULL OUTER JOIN b ON c2.suite_id = b.suite_id AND c2.case_id = b.case_id""")
+def regression_vs_baseline(spark, sf_dir):
+    from proofline.operators.checks import Check
+    r = T.text_responses(spark, sf_dir)
+    keys = ["suite_id", "case_id"]
+    base = apply_and_gate(r.where(F.col("run_id") != "es"), TEXT_SPEC, keys, body=None)
+    spec2 = [Check("contains", {"value": "Licensed"})] + TEXT_SPEC[1:]
+    cur = apply_and_gate(r.where(F.col("run_id") != "de"), spec2, keys, body=None)
+    return RS.compare_to_baseline(cur, base, keys)
+
+
+# ---- rollups of cost and pass rate (AGG-13/14) -------------------------------------------
+@query("cost_rollup", sql=f"""
+WITH per_run AS (SELECT run_id, count(*) AS cases, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(24,8))) AS cost
+                 FROM {T.SQL_CASE_RESULTS} GROUP BY run_id)
+SELECT r.project, count(*) AS runs, CAST(coalesce(sum(p.cases), 0) AS BIGINT) AS cases,
+  CAST(round(coalesce(sum(p.cost), 0), 4) AS DOUBLE) AS total_cost_usd
+FROM {T.SQL_REPORTS} r LEFT JOIN per_run p ON p.run_id = r.run_id GROUP BY r.project""")
+def cost_rollup(spark, sf_dir):
+    per_run = T.case_results(spark, sf_dir).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("cases"), F.sum(RS.exact_cost(F.col("cost_usd"))).alias("cost"))
+    rep = T.reports(spark, sf_dir).select("run_id", "project")
+    return rep.join(per_run, "run_id", "left").groupBy("project").agg(
+        F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("cases"), F.lit(0)).cast("long").alias("cases"),
+        RS.rounded(F.coalesce(F.sum("cost"), F.lit(0).cast("decimal(24,8)")), 4).alias("total_cost_usd"))
+
+
+@query("pass_rate_trend", sql=f"""
+WITH per_run AS (SELECT run_id, count(*) AS cases, count_if(effective_passed) AS passed FROM {SQL_EFFECTIVE} GROUP BY run_id)
+SELECT r.project, strftime(r.created_at, '%Y-%m') AS month, CAST(sum(p.cases) AS BIGINT) AS cases,
+  CAST(sum(p.passed) AS BIGINT) AS passed, round(sum(p.passed) / sum(p.cases), 4) AS pass_rate
+FROM {T.SQL_REPORTS} r JOIN per_run p ON p.run_id = r.run_id GROUP BY 1, 2""")
+def pass_rate_trend(spark, sf_dir):
+    per_run = RS.run_summary(effective_results(spark, sf_dir), flag="effective_passed")
+    rep = T.reports(spark, sf_dir).select("run_id", "project", "created_at")
+    return (rep.join(per_run, "run_id").groupBy(
+        "project", F.date_format("created_at", "yyyy-MM").alias("month"))
+        .agg(F.sum("cases").alias("cases"), F.sum("passed").alias("passed"))
+        .withColumn("pass_rate", F.round(F.col("passed") / F.col("cases"), 4)))
