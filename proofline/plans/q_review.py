@@ -1 +1,181 @@
-"""Placeholder."""
+"""Review-log folds, activation, latest-per-group and reviewer audits."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.operators import review as RV
+from proofline.plans.registry import query
+from proofline.sources import tables as T
+
+# ---- logs derived from events (per user, ordered by (ts, event_id)) ----------------
+# adjudications: click = set pass, view = set fail, error = clear; case = user_id.
+# transitions:   click -> pending, view -> ready_for_review, purchase -> done; report = user_id.
+
+
+def adjudication_log(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "error"))
+    return e.select(
+        F.col("user_id").alias("case_id"), F.col("event_id").alias("adjudication_id"),
+        F.col("ts").alias("at"),
+        F.when(F.col("event_type") == "error", "clear").otherwise("set").alias("action"),
+        F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "view", "fail")
+        .alias("verdict"),
+        F.concat(F.lit("rev"), (F.col("event_id") % 7).cast("string")).alias("actor"))
+
+
+SQL_ADJ_LOG = """(SELECT user_id AS case_id, event_id AS adjudication_id, ts AS "at",
+  CASE WHEN event_type = 'error' THEN 'clear' ELSE 'set' END AS action,
+  CASE event_type WHEN 'click' THEN 'pass' WHEN 'view' THEN 'fail' END AS verdict,
+  'rev' || CAST(event_id % 7 AS VARCHAR) AS actor
+  FROM events WHERE event_type IN ('click', 'view', 'error'))"""
+
+
+@query("adjudication_fold", headline=True, sql=f"""
+SELECT case_id, action, verdict, actor, "at", CASE WHEN action = 'clear' THEN NULL ELSE verdict END AS human_verdict
+FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY "at" DESC, adjudication_id DESC) AS rn
+      FROM {SQL_ADJ_LOG}) WHERE rn = 1""")
+def adjudication_fold(spark, sf_dir):
+    return RV.effective_adjudication(adjudication_log(spark, sf_dir), ["case_id"])
+
+
+def transition_log(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
+    to_state = (F.when(F.col("event_type") == "click", "pending")
+                .when(F.col("event_type") == "view", "ready_for_review").otherwise("done"))
+    return e.select(F.col("user_id").alias("report_id"), F.col("event_id").alias("transition_id"),
+                    F.col("ts").alias("at"), to_state.alias("to_state"))
+
+
+SQL_TRANSITIONS = """(SELECT user_id AS report_id, event_id AS transition_id, ts AS "at",
+  CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'ready_for_review' ELSE 'done' END AS to_state
+  FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
+
+
+@query("state_fold", sql=f"""
+SELECT report_id, to_state AS state FROM (
+  SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY "at" DESC, transition_id DESC) AS rn
+  FROM {SQL_TRANSITIONS}) WHERE rn = 1""")
+def state_fold(spark, sf_dir):
+    return RV.state_fold(transition_log(spark, sf_dir), "report_id", "at", "transition_id")
+
+
+@query("illegal_transitions", sql=f"""
+SELECT report_id, transition_id, from_state, to_state FROM (
+  SELECT report_id, transition_id, to_state,
+    coalesce(lag(to_state) OVER (PARTITION BY report_id ORDER BY "at", transition_id), 'pending') AS from_state
+  FROM {SQL_TRANSITIONS})
+WHERE NOT ((from_state = 'pending' AND to_state = 'ready_for_review')
+        OR (from_state = 'ready_for_review' AND to_state IN ('done', 'pending'))
+        OR from_state = to_state)""")
+def illegal_transitions(spark, sf_dir):
+    out = RV.illegal_transitions(transition_log(spark, sf_dir), "report_id", "at", "transition_id")
+    return out.select("report_id", "transition_id", "from_state", "to_state")
+
+
+@query("activation", sql="""
+WITH a AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS active_id FROM events
+           WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT e.user_id AS pipeline_id, e.event_id AS version_id,
+  CASE WHEN e.event_id = a.active_id THEN 'active' WHEN e.event_type = 'purchase' THEN 'archived' ELSE 'draft' END AS status
+FROM events e LEFT JOIN a ON a.user_id = e.user_id""")
+def activation(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("pipeline_id"), F.col("event_id").alias("version_id"), "ts", "event_type")
+    out = RV.activation_status(e, "pipeline_id", "version_id", F.col("event_type") == "purchase", "ts")
+    return out.select("pipeline_id", "version_id", "status")
+
+
+@query("latest_notification", sql="""
+SELECT user_id AS report_id, event_type AS channel, arg_max(event_id, (ts, event_id)) AS external_id
+FROM events GROUP BY user_id, event_type""")
+def latest_notification(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("report_id"), F.col("event_type").alias("channel")).agg(
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("external_id"))
+
+
+# ---- latest report per project (orders as reports) ------------------------------------
+@query("latest_done", sql=f"""
+SELECT project, report_id, verdict, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, report_id DESC) AS rn
+  FROM {T.SQL_REPORTS} WHERE state = 'done') WHERE rn = 1""")
+def latest_done(spark, sf_dir):
+    r = T.reports(spark, sf_dir)
+    return RV.latest(r, ["project"], ["created_at", "report_id"], ["report_id", "verdict", "created_at"],
+                     where=F.col("state") == "done")
+
+
+@query("baseline", sql=f"""
+SELECT project, report_id, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, report_id DESC) AS rn
+  FROM {T.SQL_REPORTS} WHERE state = 'done' AND verdict = 'pass') WHERE rn = 1""")
+def baseline(spark, sf_dir):
+    r = T.reports(spark, sf_dir)
+    return RV.latest(r, ["project"], ["created_at", "report_id"], ["report_id", "created_at"],
+                     where=(F.col("state") == "done") & (F.col("verdict") == "pass"))
+
+
+@query("latest_run", sql=f"""
+SELECT project, run_id, created_at AS started_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, run_id DESC) AS rn
+  FROM {T.SQL_REPORTS}) WHERE rn = 1""")
+def latest_run(spark, sf_dir):
+    r = T.reports(spark, sf_dir).withColumnRenamed("created_at", "started_at")
+    return RV.latest(r, ["project"], ["started_at", "run_id"], ["run_id", "started_at"])
+
+
+@query("next_version", sql="""
+SELECT l_orderkey AS pipeline_id, max(l_linenumber) + 1 AS next_version FROM lineitem GROUP BY l_orderkey""")
+def next_version(spark, sf_dir):
+    li = T.table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("pipeline_id")).agg(
+        (F.max("l_linenumber") + 1).alias("next_version"))
+
+
+# ---- adjudication validation and reviewer audit ------------------------------------------
+# attempts: labels rows; report = the order with o_orderkey = doc_id; quality 1 = pass,
+# 0 = fail; a toxic row carries no reason.
+@query("adjudication_validation", sql=f"""
+WITH a AS (SELECT doc_id AS report_id, doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict,
+                  CASE WHEN toxic = 1 THEN NULL ELSE 'label ' || CAST(doc_id AS VARCHAR) END AS reason FROM labels)
+SELECT a.doc_id,
+  CASE WHEN r.state IS NULL THEN 'report not found' WHEN r.state = 'done' THEN 'report is locked'
+       WHEN r.state <> 'ready_for_review' THEN 'report is not ready_for_review'
+       WHEN a.verdict IS NOT NULL AND (a.reason IS NULL OR trim(a.reason) = '') THEN 'reason required when setting a verdict'
+  END AS reject_reason,
+  CASE WHEN r.state IS NULL OR r.state <> 'ready_for_review' OR (a.verdict IS NOT NULL AND (a.reason IS NULL OR trim(a.reason) = ''))
+       THEN false ELSE true END AS accepted
+FROM a LEFT JOIN {T.SQL_REPORTS} r ON r.report_id = a.report_id""")
+def adjudication_validation(spark, sf_dir):
+    lab = T.table(spark, sf_dir, "labels")
+    attempts = lab.select(
+        F.col("doc_id").alias("report_id"), "doc_id",
+        F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"),
+        F.when(F.col("toxic") == 1, F.lit(None)).otherwise(
+            F.concat(F.lit("label "), F.col("doc_id").cast("string"))).alias("reason"))
+    out = RV.validate_adjudications(attempts, T.reports(spark, sf_dir))
+    return out.select("doc_id", "reject_reason", "accepted")
+
+
+def users(spark, sf_dir):
+    s = T.table(spark, sf_dir, "supplier")
+    role = (F.when(F.col("s_nationkey") % 5 == 0, "admin")
+            .when(F.col("s_nationkey") % 2 == 0, "reviewer").otherwise("runner"))
+    return s.select(F.col("s_name").alias("name"), role.alias("role"))
+
+
+SQL_USERS = """(SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 0 THEN 'admin'
+  WHEN s_nationkey % 2 = 0 THEN 'reviewer' ELSE 'runner' END AS role FROM supplier)"""
+
+
+@query("approved_by_non_reviewer", sql=f"""
+SELECT r.report_id, s.s_name AS actor FROM {T.SQL_REPORTS} r
+JOIN supplier s ON s.s_suppkey = r.o_custkey % (SELECT count(*) FROM supplier)
+WHERE r.state = 'done' AND s.s_name NOT IN (SELECT name FROM {SQL_USERS} WHERE role IN ('reviewer', 'admin'))""")
+def approved_by_non_reviewer(spark, sf_dir):
+    sup = T.table(spark, sf_dir, "supplier")
+    n_sup = sup.count()  # one scalar: the approver of report r is supplier o_custkey % n
+    rep = T.reports(spark, sf_dir).where(F.col("state") == "done").select(
+        "report_id", (F.col("o_custkey") % F.lit(n_sup)).alias("s_suppkey"))
+    actions = rep.join(sup.select("s_suppkey", F.col("s_name").alias("actor")), "s_suppkey")
+    return RV.non_reviewer_actions(actions, users(spark, sf_dir)).select("report_id", "actor")
