@@ -1 +1,117 @@
-"""Placeholder."""
+"""Report listings, queues, joins across report/run/target and project rollups."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.operators import results as RS
+from proofline.operators import rollups as RU
+from proofline.plans.registry import query
+from proofline.sources import tables as T
+
+
+@query("report_page", sql=f"""
+SELECT report_id, project, state, created_at FROM {T.SQL_REPORTS}
+WHERE state = 'done' AND lower(project) LIKE '%mach%'
+ORDER BY created_at DESC, report_id DESC LIMIT 50 OFFSET 100""")
+def report_page(spark, sf_dir):
+    r = T.reports(spark, sf_dir).where(RU.report_filter(state="done", project_like="MACH"))
+    return RU.page(r.select("report_id", "project", "state", "created_at"), 2)
+
+
+@query("report_total", sql=f"""
+SELECT count(*) AS total FROM {T.SQL_REPORTS} WHERE state = 'done' AND lower(project) LIKE '%mach%'""")
+def report_total(spark, sf_dir):
+    r = T.reports(spark, sf_dir).where(RU.report_filter(state="done", project_like="MACH"))
+    return r.agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("top50", sql=f"""
+SELECT report_id, created_at, verdict FROM {T.SQL_REPORTS} WHERE project = 'BUILDING'
+ORDER BY created_at DESC, report_id DESC LIMIT 50""")
+def top50(spark, sf_dir):
+    r = T.reports(spark, sf_dir).where(F.col("project") == "BUILDING")
+    return RU.newest_first(r.select("report_id", "created_at", "verdict")).limit(RU.PAGE_SIZE)
+
+
+@query("distinct_projects", sql=f"SELECT DISTINCT project FROM {T.SQL_REPORTS} ORDER BY project")
+def distinct_projects(spark, sf_dir):
+    return T.reports(spark, sf_dir).select("project").distinct().orderBy("project")
+
+
+@query("review_queue", sql=f"""
+WITH per_run AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY run_id)
+SELECT r.report_id, r.project, r.created_at, r.reviewer, p.cases, p.passed
+FROM {T.SQL_REPORTS} r LEFT JOIN per_run p ON p.run_id = r.run_id
+WHERE r.state = 'ready_for_review' AND r.project = 'AUTOMOBILE'
+ORDER BY r.created_at DESC, r.report_id DESC""")
+def review_queue(spark, sf_dir):
+    """REL-4 + JON-2: the queue joins each report to its run summary in one plan."""
+    r = T.reports(spark, sf_dir).where(RU.report_filter(state="ready_for_review", project="AUTOMOBILE"))
+    per_run = RS.run_summary(T.case_results(spark, sf_dir)).select("run_id", "cases", "passed")
+    j = r.join(per_run, "run_id", "left")
+    return RU.newest_first(j.select("report_id", "project", "created_at", "reviewer", "cases", "passed"))
+
+
+@query("semi_project_reports", sql=f"""
+SELECT report_id, state FROM {T.SQL_REPORTS}
+WHERE run_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'HOUSEHOLD')""")
+def semi_project_reports(spark, sf_dir):
+    """JON-5: reports whose run belongs to a project (left semi join)."""
+    o = T.table(spark, sf_dir, "orders")
+    c = T.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "HOUSEHOLD")
+    runs = o.join(c, o.o_custkey == c.c_custkey, "left_semi").select(F.col("o_orderkey").alias("run_id"))
+    return T.reports(spark, sf_dir).join(runs, "run_id", "left_semi").select("report_id", "state")
+
+
+@query("anti_runs", sql="""
+SELECT o_orderkey AS run_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def anti_runs(spark, sf_dir):
+    """JON-8: runs without any case result (left anti join)."""
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
+    li = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return o.join(li, "run_id", "left_anti")
+
+
+@query("report_detail", sql=f"""
+WITH t AS (SELECT user_id AS report_id, count(*) AS n_transitions,
+                  arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id)
+SELECT r.report_id, r.project, r.state, coalesce(t.n_transitions, 0) AS n_transitions, t.last_event
+FROM {T.SQL_REPORTS} r LEFT JOIN t ON t.report_id = r.report_id""")
+def report_detail(spark, sf_dir):
+    """REL-11: a report with its history, folded to count + last entry per report."""
+    e = T.table(spark, sf_dir, "events")
+    t = e.groupBy(F.col("user_id").alias("report_id")).agg(
+        F.count(F.lit(1)).alias("n_transitions"),
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
+    r = T.reports(spark, sf_dir).select("report_id", "project", "state")
+    return r.join(t, "report_id", "left").select(
+        "report_id", "project", "state", F.coalesce("n_transitions", F.lit(0)).alias("n_transitions"),
+        "last_event")
+
+
+@query("project_rollup", headline=True, sql=f"""
+WITH per_run AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY run_id),
+     rep AS (SELECT r.project, count(*) AS report_count, sum(p.cases) AS c, sum(p.passed) AS p,
+                    max(r.created_at) AS last_run_at
+             FROM {T.SQL_REPORTS} r LEFT JOIN per_run p ON p.run_id = r.run_id GROUP BY r.project),
+     pipes AS (SELECT c_mktsegment AS project, count(DISTINCT c_custkey) AS pipeline_count FROM customer GROUP BY 1)
+SELECT pipes.project, pipes.pipeline_count, coalesce(rep.report_count, 0) AS report_count,
+  CASE WHEN coalesce(rep.c, 0) > 0 THEN round(rep.p * 100.0 / rep.c, 1) END AS pass_rate, rep.last_run_at
+FROM pipes LEFT JOIN rep ON rep.project = pipes.project""")
+def project_rollup(spark, sf_dir):
+    per_run = RS.run_summary(T.case_results(spark, sf_dir)).select("run_id", "cases", "passed")
+    pipes = T.table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("project"), F.col("c_custkey").alias("pipeline_id"))
+    return RU.project_rollup(T.reports(spark, sf_dir), per_run, pipes)
+
+
+@query("run_progress", sql=f"""
+SELECT o_orderkey AS run_id, CAST(7 AS BIGINT) AS cases_total, count(l_orderkey) AS done,
+  CAST(round(count(l_orderkey) * 100.0 / 7, 0) AS BIGINT) AS percent
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def run_progress(spark, sf_dir):
+    """AGG-11: a run expects 7 cases (the most lines an order has)."""
+    runs = T.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.lit(7).cast("long").alias("cases_total"))
+    cr = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return RU.run_progress(runs, cr).select("run_id", "cases_total", "done", "percent")
