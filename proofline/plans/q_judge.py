@@ -1 +1,158 @@
-"""Placeholder."""
+"""Judge reduction over verdict samples and evidence-quote verification."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.functions.text import fold
+from proofline.operators import judge as J
+from proofline.plans.registry import query
+from proofline.plans.sqltext import q
+from proofline.sources import tables as T
+
+# ---- verdict samples derived from events ---------------------------------------------
+# case = user_id, dimension = event_type, sample = event_id; the score is written in
+# varying JSON forms to exercise coercion: event_id % 4 = 0 -> "n" (string), 1 -> n + 0.9
+# (float, truncates), 2 -> n (int), 3 -> "n.5" (not an integer: dropped); n = event_id % 3.
+
+
+def verdict_samples(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    n = (F.col("event_id") % 3).cast("string")
+    k = F.col("event_id") % 4
+    value = (F.when(k == 0, F.concat(F.lit('"'), n, F.lit('"')))
+             .when(k == 1, F.concat(n, F.lit(".9")))
+             .when(k == 2, n).otherwise(F.concat(F.lit('"'), n, F.lit('.5"'))))
+    scores = F.concat(F.lit('{"'), F.col("event_type"), F.lit('": '), value, F.lit("}"))
+    return e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("sample_no"),
+                    scores.alias("scores"))
+
+
+SQL_SCORES = """(SELECT user_id AS case_id, event_type AS dim,
+  CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 3 END AS score FROM events)"""
+
+# Rubric dimensions: r1 = the five event types (click needs 1, the rest the top of the
+# 0..2 scale); r2 = r1 plus 'safety', which no sample scores.
+DIMS = [("r1", "click", 0, 1), ("r1", "view", 1, None), ("r1", "purchase", 2, None),
+        ("r1", "signup", 3, None), ("r1", "error", 4, None)]
+DIMS = DIMS + [("r2",) + d[1:] for d in DIMS] + [("r2", "safety", 5, None)]
+
+
+def dims_table(spark):
+    rows = [(r, d, p, m, None, 2) for r, d, p, m in DIMS]
+    return spark.createDataFrame(
+        rows, "rubric_id string, dim string, dim_pos int, min_score int, rubric_min int, scale_top int")
+
+
+SQL_DIMS = "(SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', '{d}', {p}, {m if m is not None else 'NULL'}, 2)" for r, d, p, m in DIMS
+) + ") AS t(rubric_id, dim, dim_pos, min_score, scale_top))"
+
+
+def reduced(spark, sf_dir):
+    s = J.explode_scores(verdict_samples(spark, sf_dir), ["case_id"])
+    return J.reduce_scores(s, ["case_id"])
+
+
+SQL_REDUCED = f"""(SELECT case_id, dim, count(score) AS n, CAST(floor(median(score)) AS INT) AS median,
+  CAST(max(score) - min(score) AS INT) AS spread FROM {SQL_SCORES} WHERE score IS NOT NULL GROUP BY case_id, dim)"""
+
+
+@query("judge_median_spread", headline=True, sql=f"SELECT * FROM {SQL_REDUCED}")
+def judge_median_spread(spark, sf_dir):
+    return reduced(spark, sf_dir)
+
+
+@query("judge_consistency", sql=f"""
+SELECT case_id, max(n) AS samples, max(spread) AS max_spread, max(spread) = 0 AS agreed
+FROM {SQL_REDUCED} GROUP BY case_id HAVING max(n) > 1""")
+def judge_consistency(spark, sf_dir):
+    return J.consistency(reduced(spark, sf_dir), ["case_id"])
+
+
+def _scored(spark, sf_dir, rubric):
+    cases = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id")) \
+        .distinct().withColumn("rubric_id", F.lit(rubric))
+    return J.score_checks(reduced(spark, sf_dir), dims_table(spark), cases, ["case_id"]) \
+        .select("case_id", "passed", "score", "n_failures", "message")
+
+
+def _sql_scored(rubric):
+    return f"""
+WITH cases AS (SELECT DISTINCT user_id AS case_id FROM events),
+     g AS (SELECT c.case_id, d.dim, d.dim_pos, coalesce(d.min_score, d.scale_top) AS threshold, d.scale_top, r.median
+           FROM cases c JOIN {SQL_DIMS} d ON d.rubric_id = {q(rubric)}
+           LEFT JOIN {SQL_REDUCED} r ON r.case_id = c.case_id AND r.dim = d.dim),
+     f AS (SELECT *, CASE WHEN median IS NULL THEN 'judge did not score dimension ''' || dim || ''''
+                          WHEN median < threshold THEN dim || '=' || CAST(median AS VARCHAR) || ' < min_score ' || CAST(threshold AS VARCHAR)
+                     END AS failure FROM g)
+SELECT case_id, count(failure) = 0 AS passed, round_even(sum(coalesce(median, 0)) / sum(scale_top), 3) AS score,
+  CAST(count(failure) AS INT) AS n_failures,
+  substr(coalesce(string_agg(failure, '; ' ORDER BY dim_pos), ''), 1, 300) AS message
+FROM f GROUP BY case_id"""
+
+
+@query("judge_score", sql=_sql_scored("r1"))
+def judge_score(spark, sf_dir):
+    return _scored(spark, sf_dir, "r1")
+
+
+@query("judge_missing_dim", sql=_sql_scored("r2"))
+def judge_missing_dim(spark, sf_dir):
+    return _scored(spark, sf_dir, "r2")
+
+
+# ---- evidence quotes inside documents --------------------------------------------------
+# Per document five quotes: its own words 3..14 lower-cased, re-wrapped and in curly quotes
+# (present); words 1..4 '...' words 9..12 (present, elided); the same reversed (absent
+# unless repeated); a blank elision; and the benchmark passage with item_id =
+# doc_id % (number of benchmark items).
+def quote_table(spark, sf_dir):
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = T.table(spark, sf_dir, "benchmark")
+    n_items = b.count()  # one scalar: documents are paired with item doc_id % n
+    w = F.split(F.col("text"), " ")
+    own = F.concat(F.lit("“"), F.regexp_replace(F.lower(F.array_join(F.slice(w, 3, 12), " ")), " ", "\n  "),
+                   F.lit("”"))
+    head = F.array_join(F.slice(w, 1, 4), " ")
+    tail = F.array_join(F.slice(w, 9, 4), " ")
+    quotes = F.array(
+        F.struct(F.lit("own").alias("variant"), own.alias("quote")),
+        F.struct(F.lit("elided").alias("variant"), F.concat(head, F.lit(" ... "), tail).alias("quote")),
+        F.struct(F.lit("reversed").alias("variant"), F.concat(tail, F.lit(" … "), head).alias("quote")),
+        F.struct(F.lit("blank").alias("variant"), F.lit("  ...  ").alias("quote")))
+    own_rows = d.select("doc_id", "text", F.inline(quotes))
+    bench = (d.withColumn("item_id", F.col("doc_id") % F.lit(n_items))
+             .join(b.withColumnRenamed("text", "quote"), "item_id")
+             .select("doc_id", "text", F.lit("bench").alias("variant"), "quote"))
+    return own_rows.unionByName(bench)
+
+
+def _sql_fold(x):
+    return (f"regexp_replace(trim(regexp_replace(lower(translate({x}, '‘’‚‛“”„–—− ', "
+            f"'''''''''\"\"\"--- ')), '\\s+', ' ', 'g')), '^[\"'']+|[\"'']+$', '', 'g')")
+
+
+SQL_QUOTES = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
+     own AS (
+       SELECT doc_id, text, 'own' AS variant,
+              '“' || replace(lower(array_to_string(list_slice(w, 3, 14), ' ')), ' ', chr(10) || '  ') || '”' AS quote FROM d
+       UNION ALL SELECT doc_id, text, 'elided', array_to_string(list_slice(w, 1, 4), ' ') || ' ... ' || array_to_string(list_slice(w, 9, 12), ' ') FROM d
+       UNION ALL SELECT doc_id, text, 'reversed', array_to_string(list_slice(w, 9, 12), ' ') || ' … ' || array_to_string(list_slice(w, 1, 4), ' ') FROM d
+       UNION ALL SELECT doc_id, text, 'blank', '  ...  ' FROM d
+       UNION ALL SELECT d.doc_id, d.text, 'bench', b.text FROM documents d
+         JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+     s AS (SELECT doc_id, variant, {_sql_fold('text')} AS hay,
+                  list_filter(list_transform(regexp_split_to_array(quote, '\\.{{3,}}|…'), lambda x: {_sql_fold('x')}), lambda x: length(x) > 0) AS segs
+           FROM own)
+SELECT doc_id, variant,
+  CASE len(segs) WHEN 0 THEN false
+    WHEN 1 THEN strpos(hay, segs[1]) > 0
+    ELSE strpos(hay, segs[1]) > 0 AND strpos(substr(hay, strpos(hay, segs[1]) + length(segs[1])), segs[2]) > 0 END AS verified
+FROM s"""
+
+
+@query("quote_verify", sql=SQL_QUOTES)
+def quote_verify(spark, sf_dir):
+    t = quote_table(spark, sf_dir)
+    return t.select("doc_id", "variant", J.quote_in(F.col("quote"), fold(F.col("text"))).alias("verified"))
