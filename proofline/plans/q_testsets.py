@@ -1 +1,65 @@
-"""Placeholder."""
+"""Test-set construction over documents and pages."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.operators import testsets as TS
+from proofline.plans.registry import query
+from proofline.plans.sqltext import q
+from proofline.sources import tables as T
+
+
+@query("requirement_split", headline=True)
+def requirement_split(spark, sf_dir):
+    """TXT-1 on every document (rows-only at the driver; a sequential Python oracle
+    checks it in tests)."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TS.split_requirements(docs)
+
+
+def _rules_sql():
+    parts = []
+    for pat, suffix, assertion, how, template, params, thr in TS.TEMPLATE_RULES:
+        parts.append(f"SELECT doc_id, 'H-R1-{suffix}' AS intent_id, 'R1' AS requirement_ref, 'auto' AS category, "
+                     f"{q(assertion)} AS assertion, 'template' AS how, {q(template)} AS template, {q(params)} AS params, "
+                     f"CAST(NULL AS DOUBLE) AS threshold FROM documents WHERE regexp_matches(text, {q('(?i)' + pat)})")
+    for pat, suffix, assertion, thr in TS.JUDGE_RULES:
+        parts.append(f"SELECT doc_id, 'H-R1-{suffix}', 'R1', 'quality', {q(assertion)}, 'judge', NULL, NULL, {thr} "
+                     f"FROM documents WHERE regexp_matches(text, {q('(?i)' + pat)})")
+    hits = "\nUNION ALL ".join(parts)
+    base = "\nUNION ALL ".join(
+        f"SELECT doc_id, 'H-R1-{s}', 'R1', {q(c)}, {q(a)}, 'template', {q(t)}, {q(p)}, CAST(NULL AS DOUBLE) "
+        f"FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits) AND length(trim(text)) > 0"
+        for s, c, a, t, p in TS.BASELINES)
+    return f"WITH hits AS ({hits})\nSELECT * FROM hits UNION ALL {base}"
+
+
+@query("keyword_rules", sql=_rules_sql())
+def keyword_rules(spark, sf_dir):
+    """TXT-2: each document is one requirement (R1); ten keyword rules as Columns."""
+    d = T.table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
+    reqs = d.select("doc_id", F.lit("R1").alias("req_id"), "text", F.lit(1).alias("position"))
+    return TS.keyword_intents(reqs)
+
+
+def _slug_sql(x, i):
+    s = (f"substr(regexp_replace(regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9._-]+', '-', 'g'), "
+         f"'^[-.]+|[-.]+$', '', 'g'), 1, 48)")
+    return (f"CASE WHEN regexp_matches({s}, '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN {s} "
+            f"ELSE 'row-' || CAST({i} AS VARCHAR) END")
+
+
+@query("slug_dedup", sql=f"""
+WITH s AS (SELECT page_id + 1 AS i, {_slug_sql("regexp_extract(url, '//([^/?#]*)', 1)", 'page_id + 1')} AS sid FROM pages),
+     f AS (SELECT sid, min(i) AS first FROM s GROUP BY sid),
+     r1 AS (SELECT s.i, CASE WHEN s.i = f.first THEN s.sid ELSE s.sid || '-' || CAST(s.i AS VARCHAR) END AS cid
+            FROM s JOIN f ON f.sid = s.sid),
+     f2 AS (SELECT cid, min(i) AS first FROM r1 GROUP BY cid)
+SELECT r1.i - 1 AS page_id, CASE WHEN r1.i = f2.first THEN r1.cid ELSE r1.cid || '-' || CAST(r1.i AS VARCHAR) END AS case_id
+FROM r1 JOIN f2 ON f2.cid = r1.cid""")
+def slug_dedup(spark, sf_dir):
+    """SCL-4 + WIN-8: ids from each page's host, row index = page_id + 1."""
+    p = T.table(spark, sf_dir, "pages")
+    ids = TS.safe_ids(p.select("page_id", "url"), F.regexp_extract("url", "//([^/?#]*)", 1),
+                      F.col("page_id") + 1)
+    return TS.dedup_ids(ids).select("page_id", "case_id")
