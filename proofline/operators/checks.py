@@ -209,7 +209,7 @@ def pii_hits(text: Column) -> dict:
 
 
 def pii_absent(r, p, m=None) -> dict:
-    hits = pii_hits(_text(r))
+    hits = p.get("hits") or pii_hits(_text(r))
     found = F.map_filter(F.create_map(*[x for k, v in hits.items() for x in (F.lit(k), v)]),
                          lambda k, v: F.size(v) > 0)
     names = F.map_keys(found)

@@ -113,8 +113,11 @@ def keyword_intents(reqs: DataFrame, key: str = "doc_id") -> DataFrame:
         rules.append((pat, suffix, "auto", assertion, how, template, params, thr))
     for pat, suffix, assertion, thr in JUDGE_RULES:
         rules.append((pat, suffix, "quality", assertion, "judge", None, None, thr))
+    # Patterns are lower-case ASCII: matching them against the lower-cased text once is
+    # case-insensitive matching without per-character case folding in every rule.
+    low = F.lower(F.col("text"))
     structs = [F.struct(
-        F.lit(i).alias("rule_pos"), F.col("text").rlike("(?iUd)" + pat).alias("hit"),
+        F.lit(i).alias("rule_pos"), low.rlike("(?Ud)" + pat).alias("hit"),
         F.lit(suffix).alias("suffix"), F.lit(cat).alias("category"),
         F.lit(assertion).alias("assertion"), F.lit(how).alias("how"),
         F.lit(template).cast("string").alias("template"),

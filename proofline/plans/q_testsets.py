@@ -13,7 +13,7 @@ from proofline.sources import tables as T
 def requirement_split(spark, sf_dir):
     """TXT-1 on every document (rows-only at the driver; a sequential Python oracle
     checks it in tests)."""
-    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return TS.split_requirements(docs)
 
 
@@ -37,7 +37,7 @@ def _rules_sql():
 @query("keyword_rules", sql=_rules_sql())
 def keyword_rules(spark, sf_dir):
     """TXT-2: each document is one requirement (R1); ten keyword rules as Columns."""
-    d = T.table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
+    d = T.spread(T.table(spark, sf_dir, "documents")).where(F.length(F.trim("text")) > 0)
     reqs = d.select("doc_id", F.lit("R1").alias("req_id"), "text", F.lit(1).alias("position"))
     return TS.keyword_intents(reqs)
 

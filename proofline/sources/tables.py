@@ -17,11 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (regexes over long texts, JSON documents) at least
+    one partition per core.
+
+    A real table is many files and row groups, and its scan already has more splits
+    than cores — then this is a no-op. Only a scan with fewer splits than cores (one
+    small file, as in the test tables) is re-spread round-robin before the heavy
+    projection.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 # ---- responses with a text body: documents ---------------------------------------
 # run = lang, suite = source, case = doc_id; requirement_ref = 'R' || (doc_id % 9 + 1),
 # NULL when doc_id % 11 = 0.
 def text_responses(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("lang").alias("run_id"), F.col("source").alias("suite_id"),
         F.col("doc_id").alias("case_id"), "text",
@@ -60,7 +73,9 @@ def _status(c):
 
 
 def finding_responses(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity", "l_tax",
+        "l_discount", "l_partkey", "l_suppkey"))
     sev1 = (F.when(F.col("l_quantity") < 13, "low").when(F.col("l_quantity") < 26, "medium")
             .when(F.col("l_quantity") < 38, "high").otherwise("critical"))
     sev2 = (F.when(F.col("l_tax") < 0.02, "low").when(F.col("l_tax") < 0.04, "medium")
