@@ -1 +1,31 @@
-"""Placeholder."""
+"""Arriving responses as a stream: de-duplicated, checked, folded into run progress."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from proofline.operators.checks import Check
+from proofline.plans.registry import query
+from proofline.sources import tables as T
+from proofline.streaming import progress as P
+
+
+@query("stream_progress", sql="""
+SELECT user_id AS run_id, count(*) AS done, count_if(value <= 25) AS passed, count(*) AS cases_total,
+  'ready_for_review' AS state
+FROM events GROUP BY user_id""")
+def stream_progress(spark, sf_dir):
+    """events.parquet replayed as a file stream: responses = events (body props,
+    latency value), one latency check, progress per run (user); the expected case
+    count per run comes from the static table."""
+    e = T.table(spark, sf_dir, "events")
+    src = P.response_stream(
+        spark, f"{sf_dir.rstrip('/')}", e.schema, "ts", ["user_id", "event_type", "event_id"],
+        glob="events.parquet")
+    resp = src.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("suite_id"),
+                      F.col("event_id").alias("case_id"), F.col("props").alias("body"),
+                      F.col("value").alias("latency_ms"), "captured_at")
+    gated = P.run_checks_stream(resp, [Check("latency_bound", {"max_ms": 25})],
+                                ["run_id", "suite_id", "case_id"])
+    totals = e.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("cases_total"))
+    table = P.progress(spark, gated, totals, "events")
+    return spark.read.parquet(table).select("run_id", "done", "passed", "cases_total", "state")

@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None, headline: bool = False):
 def load_all() -> None:
     """Import every module that registers queries."""
     from proofline.plans import (  # noqa: F401
-        q_checks, q_results, q_review, q_rollups, q_judge, q_testsets, q_reports,
+        q_checks, q_results, q_review, q_rollups, q_judge, q_testsets, q_reports, q_udf,
         q_streaming)
