@@ -1 +1,23 @@
-"""Placeholder."""
+"""Report lines for every run of the text responses (SNK-4)."""
+from __future__ import annotations
+
+from proofline.operators import coverage as COV
+from proofline.operators import report as RP
+from proofline.operators import results as RS
+from proofline.operators.evaluate import apply_checks, case_gate
+from proofline.plans.q_checks import TEXT_SPEC
+from proofline.plans.registry import query
+from proofline.sources import tables as T
+
+
+@query("report_markdown")
+def report_markdown(spark, sf_dir):
+    """Header, coverage and one block per case with one line per check, per run
+    (language). Rows-only: one row per report line with its sort keys."""
+    r = T.text_responses(spark, sf_dir)
+    res = apply_checks(r, TEXT_SPEC, ["run_id", "suite_id", "case_id", "requirement_ref"], body=None)
+    gate = case_gate(res, ["run_id", "suite_id", "case_id", "requirement_ref"])
+    lines = (RP.header_lines(RS.run_summary(gate))
+             .unionByName(RP.coverage_lines(COV.tested(gate, keys=("run_id",))))
+             .unionByName(RP.case_lines(res, ["run_id", "suite_id", "case_id"])))
+    return lines
