@@ -51,7 +51,7 @@ SQL_TEXT_RESPONSES = """(SELECT lang AS run_id, source AS suite_id, doc_id AS ca
 # ---- responses with a JSON body: events ------------------------------------------
 # run = user_id, suite = event_type, case = event_id, body = props, latency = value.
 def json_responses(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("suite_id"),
                     F.col("event_id").alias("case_id"), F.col("props").alias("body"),
                     F.col("value").alias("latency_ms"), F.col("ts").alias("captured_at"))
