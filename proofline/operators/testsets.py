@@ -219,3 +219,32 @@ METRICS = [
 def metric_catalogue(spark) -> DataFrame:
     return spark.createDataFrame(
         METRICS, "metric string, label string, determinism string, category string, default_threshold double")
+
+
+# ---- intent validation (TXT-4) ---------------------------------------------------------
+HOWS = ["template", "generated", "judge"]
+
+
+def validate_intents(raw: DataFrame, index: str = "i") -> DataFrame:
+    """TXT-4 set-wise: ``how`` normalised and checked, ids sanitised (``I<i>`` when
+    nothing is left) and made unique, templates checked against the registry,
+    thresholds clamped to [0, 1]. Invalid rows are kept with a reject reason."""
+    from proofline.operators.checks import TEMPLATES
+    how = F.lower(_py_strip(F.coalesce(F.col("how"), F.lit(""))))
+    ident = strip_chars_col(F.regexp_replace(_py_strip(F.coalesce(F.col("id"), F.lit(""))),
+                                             r"[^A-Za-z0-9._-]+", "-"))
+    ident = F.when(F.length(ident) > 0, ident).otherwise(F.concat(F.lit("I"), F.col(index).cast("string")))
+    tpl = _py_strip(F.coalesce(F.col("template"), F.lit("")))
+    reason = (F.when(~how.isin(HOWS), F.concat(F.lit("how="), F.coalesce(F.col("how"), F.lit("None")),
+                                               F.lit(" is not one of template, generated, judge")))
+              .when((how == "template") & ~tpl.isin(list(TEMPLATES)),
+                    F.concat(F.lit("unknown template "), tpl)))
+    thr = F.when(how == "judge", F.least(F.greatest(F.col("threshold").cast("double"), F.lit(0.0)), F.lit(1.0)))
+    out = raw.select("*", how.alias("how_norm"), ident.alias("case_id"),
+                     F.col(index).alias("_i"), reason.alias("reject_reason"),
+                     thr.alias("threshold_clamped"))
+    return dedup_ids(out)
+
+
+def strip_chars_col(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[-.]+|[-.]+$", "")

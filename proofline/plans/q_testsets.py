@@ -127,3 +127,44 @@ def check_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("how") == "template").alias("template"),
         F.count_if(F.col("how") == "judge").alias("judge"),
         F.count_if(F.col("how") == "generated").alias("generated"))
+
+
+# model-written intents stand-in: events rows; id = event_type || '/' || (event_id % 50)
+# (unsafe characters, many repeats), how varies in case and spelling, template and
+# threshold come from the row.
+@query("intent_validation", sql="""
+WITH raw AS (SELECT event_id + 1 AS i, event_type || '/' || CAST(event_id % 50 AS VARCHAR) AS id,
+    CASE event_type WHEN 'click' THEN 'template' WHEN 'view' THEN ' Judge ' WHEN 'purchase' THEN 'generated'
+                    WHEN 'signup' THEN 'template' ELSE 'bogus' END AS how,
+    CASE WHEN event_type = 'click' THEN 'latency_bound' WHEN event_type = 'signup' THEN 'no_such' END AS template,
+    value / 20.0 AS threshold FROM events),
+ s AS (SELECT i, lower(trim(how)) AS h, template, threshold,
+    CASE WHEN length(regexp_replace(regexp_replace(trim(id), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')) > 0
+         THEN regexp_replace(regexp_replace(trim(id), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')
+         ELSE 'I' || CAST(i AS VARCHAR) END AS sid FROM raw),
+ f AS (SELECT sid, min(i) AS first FROM s GROUP BY sid),
+ r1 AS (SELECT s.*, CASE WHEN s.i = f.first THEN s.sid ELSE s.sid || '-' || CAST(s.i AS VARCHAR) END AS cid FROM s JOIN f ON f.sid = s.sid),
+ f2 AS (SELECT cid, min(i) AS first FROM r1 GROUP BY cid)
+SELECT r1.i AS i, CASE WHEN r1.i = f2.first THEN r1.cid ELSE r1.cid || '-' || CAST(r1.i AS VARCHAR) END AS intent_id,
+  r1.h AS how,
+  CASE WHEN r1.h NOT IN ('template', 'generated', 'judge') THEN 'unknown how'
+       WHEN r1.h = 'template' AND coalesce(r1.template, '') NOT IN ('valid_json', 'json_schema', 'contains', 'not_contains',
+            'regex_match', 'numeric_bound', 'latency_bound', 'field_present', 'citation_present', 'refusal_detector', 'pii_absent')
+       THEN 'unknown template' END AS reject,
+  CASE WHEN r1.h = 'judge' THEN least(greatest(r1.threshold, 0.0), 1.0) END AS threshold
+FROM r1 JOIN f2 ON f2.cid = r1.cid""")
+def intent_validation(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    raw = e.select(
+        (F.col("event_id") + 1).alias("i"),
+        F.concat(et, F.lit("/"), (F.col("event_id") % 50).cast("string")).alias("id"),
+        F.when(et == "click", "template").when(et == "view", " Judge ").when(et == "purchase", "generated")
+        .when(et == "signup", "template").otherwise("bogus").alias("how"),
+        F.when(et == "click", "latency_bound").when(et == "signup", "no_such").alias("template"),
+        (F.col("value") / 20.0).alias("threshold"))
+    v = TS.validate_intents(raw)
+    reject = (F.when(F.col("reject_reason").startswith("how="), "unknown how")
+              .when(F.col("reject_reason").startswith("unknown template"), "unknown template"))
+    return v.select("i", F.col("case_id").alias("intent_id"), F.col("how_norm").alias("how"),
+                    reject.alias("reject"), F.col("threshold_clamped").alias("threshold"))
