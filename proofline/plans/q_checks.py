@@ -12,11 +12,11 @@ from proofline.sources import tables as T
 # ---- the spec the text responses (documents) are checked against ------------------
 LICENSE = "License"
 SECRET = 'token = "'
-SECRET_RE = r'(?P<kw>token) = "[0-9a-f]{8,}"'
+LICENSE_RE = r"^(?P<kw>Licensed) under the"
 TEXT_SPEC = [
     Check("contains", {"value": LICENSE}),
     Check("not_contains", {"value": SECRET}),
-    Check("regex_match", {"pattern": SECRET_RE}),
+    Check("regex_match", {"pattern": LICENSE_RE}),
     Check("pii_absent"),
     Check("refusal_detector", {"expect_refusal": False}, required=False),
 ]
@@ -51,9 +51,9 @@ def chk_not_contains(spark, sf_dir):
 
 
 @query("chk_regex", sql=f"""
-SELECT doc_id AS case_id, regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)}) AS passed,
-  'pattern ' || CASE WHEN regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)})
-                THEN 'matched' ELSE 'no match' END || ': ' || {q(repr(SECRET_RE))} AS message
+SELECT doc_id AS case_id, regexp_matches(coalesce(text, ''), {q('(?sm)' + LICENSE_RE)}) AS passed,
+  'pattern ' || CASE WHEN regexp_matches(coalesce(text, ''), {q('(?sm)' + LICENSE_RE)})
+                THEN 'matched' ELSE 'no match' END || ': ' || {q(repr(LICENSE_RE))} AS message
 FROM documents""")
 def chk_regex(spark, sf_dir):
     return _one(spark, sf_dir, TEXT_SPEC[2])

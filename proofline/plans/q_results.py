@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from proofline.operators import coverage as COV
 from proofline.operators import results as RS
 from proofline.operators.evaluate import apply_and_gate
-from proofline.plans.q_checks import LICENSE, SECRET, SECRET_RE, SQL_CARD, SQL_EMAIL, SQL_IBAN, TEXT_SPEC
+from proofline.plans.q_checks import LICENSE, SECRET, LICENSE_RE, SQL_CARD, SQL_EMAIL, SQL_IBAN, TEXT_SPEC
 from proofline.plans.registry import query
 from proofline.plans.sqltext import q
 from proofline.sources import tables as T
@@ -15,13 +15,13 @@ from proofline.sources import tables as T
 SQL_TEXT_GATE = f"""(SELECT run_id, suite_id, case_id, requirement_ref,
    (contains(coalesce(text, ''), {q(LICENSE)})
     AND NOT contains(coalesce(text, ''), {q(SECRET)})
-    AND regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)})
+    AND regexp_matches(coalesce(text, ''), {q('(?sm)' + LICENSE_RE)})
     AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_EMAIL)})) = 0
     AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_IBAN)})) = 0
     AND len(regexp_extract_all(coalesce(text, ''), {q(SQL_CARD)})) = 0) AS passed,
    CAST((CASE WHEN contains(coalesce(text, ''), {q(LICENSE)}) THEN 0 ELSE 1 END)
     + (CASE WHEN contains(coalesce(text, ''), {q(SECRET)}) THEN 1 ELSE 0 END)
-    + (CASE WHEN regexp_matches(coalesce(text, ''), {q('(?sm)' + SECRET_RE)}) THEN 0 ELSE 1 END)
+    + (CASE WHEN regexp_matches(coalesce(text, ''), {q('(?sm)' + LICENSE_RE)}) THEN 0 ELSE 1 END)
     + (CASE WHEN len(regexp_extract_all(coalesce(text, ''), {q(SQL_EMAIL)}))
                + len(regexp_extract_all(coalesce(text, ''), {q(SQL_IBAN)}))
                + len(regexp_extract_all(coalesce(text, ''), {q(SQL_CARD)})) > 0 THEN 1 ELSE 0 END)

@@ -17,7 +17,15 @@ def query(name: str, sql: str | None = None, headline: bool = False):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")
-        QUERIES[name] = fn
+
+        def run(spark, sf_dir):
+            # a session built elsewhere (the driver's) still gets the confs the
+            # semantics depend on: UTC, last-wins duplicate JSON keys
+            from proofline.session import apply_defaults
+            apply_defaults(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         if headline:
