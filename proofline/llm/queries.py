@@ -36,3 +36,57 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofline.llm.simhash import simhash_groups
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from proofline.llm import sentencepiece_codec as sp
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = sp.decode(sp.encode(table(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(sp.ids_text(), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query()
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from proofline.llm import token_files
+    rows = token_files.written_and_read(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=langid.for_training())
+    p = langid.predict(docs, model)
+    return p.select("doc_id", (~langid.for_training()).alias("held_out"), "lang_pred", "score",
+                    "ambiguous")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=toxicity.for_training())
+    s = toxicity.score(docs, model)
+    return s.select("doc_id", (~toxicity.for_training()).alias("held_out"), "score", "predicted")
+
+
+def shares_of() -> dict[str, int]:
+    """Target shares of the ``documents`` sources: src0 (a third of the rows) a tenth of the
+    mixture, the rest falling from src1 to src19."""
+    return {"src0": 25} | {f"src{i}": 21 - i for i in range(1, 20)}
+
+
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"), shares_of()).select(
+        "doc_id", "source", "block", "slot", "place", "phase")
