@@ -90,3 +90,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofline.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents"), shares_of()).select(
         "doc_id", "source", "block", "slot", "place", "phase")
+
+
+@query()
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm.embedding_dedup import embedding_groups
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
