@@ -96,3 +96,123 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofline.llm.embedding_dedup import embedding_groups
     return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+# ---- URL list: derived from the pages, since no table holds one ----------------------------
+# fetched_at: 2024-01-01 plus (page_id * 37 % 525600) minutes. For every host, h is the number
+# of the first four hex digits of its md5. Domain entries for hosts with h % 4 = 0: four
+# changes, add and remove in turn, the i-th at (h * (i + 3) * 7919 % 525600) minutes. Prefix
+# entries for host/language with h % 5 = 0: one add. The category is by h % 3.
+_HEX = "0123456789abcdef"
+
+
+def capture_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    minutes = (F.col("page_id") * 37) % 525600
+    return pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + minutes * 60))
+
+
+def url_list(captures: DataFrame) -> DataFrame:
+    from proofline.llm.url_filter import host_of, path_of
+    hosts = captures.select(host_of(F.col("url")).alias("host"),
+                            F.split(path_of(F.col("url")), "/").getItem(1).alias("seg"))
+    digest = F.md5("host")
+    h = sum((F.instr(F.lit(_HEX), F.substring(digest, i + 1, 1)) - 1) * 16 ** (3 - i)
+            for i in range(4)).cast("long")
+    category = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")),
+                            (F.col("h") % 3 + 1).cast("int"))
+
+    def minutes(i):
+        return F.timestamp_seconds(F.lit(1704067200) + F.col("h") * (i + 3) * 7919 % 525600 * 60)
+    one = hosts.where("host is not null").withColumn("h", h)
+    domains = (one.select("host", "h").distinct().where("h % 4 = 0")
+               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+               .select(F.lit("domain").alias("kind"), F.col("host").alias("value"),
+                       category.alias("category"),
+                       F.when(F.col("i") % 2 == 0, "add").otherwise("remove").alias("action"),
+                       minutes(F.col("i")).alias("at")))
+    prefixes = (one.where("h % 5 = 0 and seg <> ''").select("host", "h", "seg").distinct()
+                .select(F.lit("prefix").alias("kind"), F.concat_ws("/", "host", "seg").alias("value"),
+                        category.alias("category"), F.lit("add").alias("action"),
+                        minutes(F.lit(4)).alias("at")))
+    return domains.union(prefixes)
+
+
+_SQL_H = " + ".join(f"(instr('{_HEX}', substr(md5(host), {i + 1}, 1)) - 1) * {16 ** (3 - i)}"
+                    for i in range(4))
+_SQL_AT = "TIMESTAMP '2024-01-01' + to_minutes(CAST(h * ({i} + 3) * 7919 % 525600 AS BIGINT))"
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
+@query(rf"""
+WITH cap AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 37 % 525600 AS BIGINT)) AS fetched_at,
+         nullif(lower(regexp_replace(regexp_extract(url, '{_SCHEME}(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', '')), '') AS host,
+         list_filter(string_split(regexp_extract(url, '{_SCHEME}[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs,
+         string_split(regexp_extract(url, '{_SCHEME}[^/?#]*([^?#]*)', 1), '/')[2] AS seg
+  FROM pages),
+hosts AS (SELECT host, seg, CAST({_SQL_H} AS BIGINT) AS h FROM cap WHERE host IS NOT NULL),
+entries AS (
+  SELECT 'domain' AS kind, host AS value, h, i % 2 = 0 AS is_add, {_SQL_AT.format(i="i")} AS ts
+  FROM (SELECT DISTINCT host, h FROM hosts WHERE h % 4 = 0), range(4) r(i)
+  UNION ALL
+  SELECT 'prefix', host || '/' || seg, h, TRUE, {_SQL_AT.format(i="4")}
+  FROM (SELECT DISTINCT host, seg, h FROM hosts WHERE h % 5 = 0 AND seg <> '')),
+state AS (SELECT kind, value, ['adult', 'malware', 'spam'][h % 3 + 1] AS category, ts, bool_or(is_add) AS is_on
+          FROM entries GROUP BY ALL),
+listed AS (SELECT * FROM (SELECT *, lead(ts) OVER (PARTITION BY kind, value, category ORDER BY ts) AS valid_to
+                          FROM state) WHERE is_on),
+keys AS (
+  SELECT page_id, fetched_at, 'domain' AS kind,
+         unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+                lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS value FROM cap WHERE host IS NOT NULL
+  UNION ALL
+  SELECT page_id, fetched_at, 'prefix',
+         unnest(list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))
+  FROM cap WHERE host IS NOT NULL),
+hit AS (
+  SELECT k.page_id, count(*) AS n, string_agg(DISTINCT l.category, ',' ORDER BY l.category) AS c, min(l.ts) AS since
+  FROM keys k JOIN listed l ON k.kind = l.kind AND k.value = l.value AND k.fetched_at >= l.ts
+       AND (l.valid_to IS NULL OR k.fetched_at < l.valid_to) GROUP BY 1)
+SELECT page_id, host, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_matches,
+       coalesce(c, '') AS categories, since AS listed_since
+FROM cap LEFT JOIN hit USING (page_id)
+""")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm.url_filter import judged
+    captures = capture_times(spark, sf_dir)
+    out = judged(captures, url_list(captures))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("fetched_at", "listed_since")})
+
+
+@query(r"""
+WITH lines AS (
+  SELECT doc_id, i AS line, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE regexp_matches(x, '[^ \t\r]')),
+two AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM lines),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) > 1
+            AND length(x) - length(replace(x, ' ', '')) + 1 >= 50 AS single,
+         y IS NOT NULL AND row_number() OVER (PARTITION BY x, y ORDER BY doc_id, pos) > 1 AS pair
+  FROM two),
+gone AS (
+  SELECT doc_id, line FROM (
+    SELECT *, single OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY pos), FALSE) AS del
+    FROM ranked) WHERE del),
+rest AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) FILTER (regexp_matches(x, '[^ \t\r]')) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) a
+  ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.i = g.line GROUP BY 1),
+sizes AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n, 0) AS n_deleted,
+       sha256(coalesce(t, '')) AS text_sha256
+FROM documents d LEFT JOIN rest USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm.line_dedup import line_dedup
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
