@@ -1,33 +1,65 @@
-"""A corpus pipeline of stages that each call one operator of ``proofline.llm``."""
+"""A corpus pipeline: five stages, each calling one operator of ``proofline.llm``.
+
+Every stage is (spark, docs, sf_dir) -> DataFrame over all rows its predecessor kept; all but
+the last return the columns of ``documents``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proofline.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash
+from proofline.llm.common import table, written
+from proofline.llm.queries import shares_of
 
-from proofline.llm.common import table
-from proofline.llm.exact_dedup import exact_dedup as _exact_dedup
-from proofline.llm.simhash import simhash_dedup
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the classifier knows; the rest (no letter, or no language
+    near) go. The classifier learns from the labelled documents outside the held-out fold."""
+    model = langid.train(docs, learn=langid.for_training())
+    return langid.accepted(docs, model)
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    return _exact_dedup(docs)
+    return exact_dedup.exact_dedup(docs)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (3-word shingles, 2 bits) the smallest doc_id stays."""
-    return simhash_dedup(docs)
+    return simhash.simhash_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the mixture: written files hold it from first to last."""
+    return mixing.mixed(docs, shares_of())
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       F.sha2(sentencepiece_codec.ids_text(), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("simhash_near_dedup", simhash_near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenise),
+]
 
+# SQL cannot state a learned classifier or a BPE tokeniser; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from proofline.llm.common import written
+    """The stages one after the other over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
