@@ -49,3 +49,11 @@ def whole_text(col: str | Column) -> Column:
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
     """True for the rows kept away from training: crc32 of the id's decimal text."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

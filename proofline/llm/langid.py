@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import held_out, whole_text
+from proofline.llm.common import free_name, held_out, whole_text
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -219,9 +219,10 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text",
              min_score: float = MIN_SCORE) -> DataFrame:
     """The rows with a known language and at least ``min_score``, with their columns."""
     p = predicted(model, docs[text_col], docs.sparkSession)
-    kept = docs.select(*[docs[c] for c in docs.columns], p.alias("_language"))
-    return kept.where((F.col("_language.lang_pred") != UNKNOWN)
-                      & (F.col("_language.score") >= min_score)).drop("_language")
+    name = free_name(docs, "_language")
+    kept = docs.select(*[docs[c] for c in docs.columns], p.alias(name))
+    return kept.where((F.col(name)["lang_pred"] != UNKNOWN)
+                      & (F.col(name)["score"] >= min_score)).drop(name)
 
 
 def for_training(id_col: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import whole_text, written
+from proofline.llm.common import free_name, whole_text, written
 
 BLOCK_SIZE = 32
 BUCKET_BITS = 10
@@ -143,11 +143,10 @@ def mixed(docs: DataFrame, shares: dict[str, int], other: int = 1, id_col: str =
     """The rows of ``docs`` with their columns, range-partitioned and sorted by their place in
     the mixed stream, so that a written table holds them in that order."""
     places = mix(docs, shares, other, id_col, source_col, None, block_size, seed)
-    places = places.groupBy(F.col(id_col).alias("_pid"), "text_hash").agg(
-        F.min(F.struct("slot", "place")).alias("_at"))
-    own = docs[id_col].eqNullSafe(places["_pid"]) & (
-        F.xxhash64(whole_text(docs["text"])) == places["text_hash"])
-    rows = docs.join(places, own).withColumn("_slot", F.col("_at.slot")).withColumn(
-        "_place", F.col("_at.place"))
-    return (rows.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
+    at, pid, h = (free_name(docs, c) for c in ("_at", "_pid", "_hash"))
+    places = places.groupBy(F.col(id_col).alias(pid), F.col("text_hash").alias(h)).agg(
+        F.min(F.struct("slot", "place")).alias(at))
+    own = docs[id_col].eqNullSafe(places[pid]) & (
+        F.xxhash64(whole_text(docs["text"])) == places[h])
+    return (docs.join(places, own).repartitionByRange(at).sortWithinPartitions(at)
             .select(*[docs[c] for c in docs.columns]))

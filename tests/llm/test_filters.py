@@ -39,7 +39,7 @@ def test_language_odd_texts(spark, lang_model):
     assert got[3].lang_pred == "en" and all(got[i].score == 0 for i in range(3))
     assert all(got[i].lang_pred in lang_model.langs for i in range(3, 7))
     kept = langid.accepted(docs.withColumn("_language", F.lit(1)), lang_model)
-    assert 3 in {r.doc_id for r in kept.collect()} and kept.columns == ["doc_id", "text"]
+    assert 3 in {r.doc_id for r in kept.collect()} and kept.columns == ["doc_id", "text", "_language"]
     assert langid.predict(docs.limit(0), lang_model).count() == 0
 
 
