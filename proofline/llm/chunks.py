@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 16 << 20
-TABLE_CHUNKS = 600_000
+BLOCK_BYTES = 4 << 20
+TABLE_CHUNKS = 300_000
 
 
 class ChunkTable:

@@ -103,7 +103,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
         sp = processor(model)
         for batch in batches:
             size = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.diff(np.cumsum(size) >> 22)) + 1  # about 4 million ids each
+            cut = np.flatnonzero(np.diff(np.cumsum(size) >> 19)) + 1  # about half a million ids each
             for a, z in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 b = batch.slice(a, z - a)
                 ids = [x or [] for x in b.column(1).to_pylist()]
