@@ -4,48 +4,71 @@ A body is parsed once per response (``strict_json``); each distinct JSONPath use
 any check is compiled once into an ``array<variant>`` of matches. Missing members are
 dropped, an explicit JSON ``null`` is kept as a match (a VARIANT null), which is what
 counting checks such as ``field_present`` need.
+
+Paths: names, quoted names, indexes, slices, wildcards (elements of an array, values of an
+object), descendants (``..name``, ``..*``) and comparisons (``[?(@.a.b > 1)]``); the leading
+``$.`` may be left out. Anything else raises when the path is compiled.
 """
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STEP = re.compile(
-    r"""\.(?P<name>[A-Za-z_][A-Za-z0-9_\-]*)      # .name
-      | \[\s*\*\s*\]                               # [*]
-      | \.\*                                       # .*
-      | \[\s*(?P<idx>-?\d+)\s*\]                   # [3]
-      | \[\s*'(?P<q1>[^']*)'\s*\]                  # ['name']
-      | \[\s*"(?P<q2>[^"]*)"\s*\]                  # ["name"]
-    """, re.X)
+# One step of a path; also matched by Spark on paths that are data (see matches_by_data).
+STEP = (r"""\.\.(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"""      # ..name  ..*
+        r"""|\.?(?:[A-Za-z_][A-Za-z0-9_\-]*)"""         # .name, or name at the start
+        r"""|\.?\*"""                                   # .*
+        r"""|\[\s*\*\s*\]"""                            # [*]
+        r"""|\[\s*-?\d+\s*\]"""                         # [3]
+        r"""|\[\s*-?\d*\s*:\s*-?\d*\s*\]"""             # [1:3]
+        r"""|\[\s*'[^']*'\s*\]|\[\s*"[^"]*"\s*\]"""     # ['name']
+        )
+_STEP = re.compile(STEP)
+_FILTER = re.compile(r"""\[\s*\?\s*\(?\s*@((?:\.[A-Za-z_][A-Za-z0-9_\-]*)*)\s*(==|=|!=|>=|<=|>|<)\s*"""
+                     r"""('[^']*'|"[^"]*"|-?\d+(?:\.\d+)?|true|false|null)\s*\)?\s*\]""")
+DEPTH = 64  # levels that descendants reach
 
 
-def parse_path(path: str) -> list[tuple[str, object]] | None:
-    """Split a JSONPath into ('key', name) / ('index', i) / ('all', None) steps.
+class PathError(ValueError):
+    """A path outside the supported grammar."""
 
-    Returns None for anything outside the supported subset; such a path matches
-    nothing, as a path the reference cannot parse matches nothing.
-    """
-    if not isinstance(path, str):
-        return None
+
+def parse_path(path: str) -> list[tuple[str, object]]:
+    """Split a JSONPath into (kind, argument) steps; raises :class:`PathError`."""
+    if not isinstance(path, str) or not path.strip():
+        raise PathError(f"not a JSONPath: {path!r}")
     text = path.strip()
-    if not text.startswith("$"):
-        return None
-    pos, steps = 1, []
+    pos, steps = (1 if text.startswith("$") else 0), []
     while pos < len(text):
+        m = _FILTER.match(text, pos)
+        if m:
+            names = [n for n in m.group(1).split(".") if n]
+            raw = m.group(3)
+            value = raw[1:-1] if raw[0] in "'\"" else json.loads(raw)
+            steps.append(("filter", (names, "==" if m.group(2) == "=" else m.group(2), value)))
+            pos = m.end()
+            continue
         m = _STEP.match(text, pos)
-        if not m:
-            return None
-        if m.group("name") is not None:
-            steps.append(("key", m.group("name")))
-        elif m.group("idx") is not None:
-            steps.append(("index", int(m.group("idx"))))
-        elif m.group("q1") is not None or m.group("q2") is not None:
-            steps.append(("key", m.group("q1") if m.group("q1") is not None else m.group("q2")))
-        else:
+        if not m or (pos > 0 and m.group()[0] not in ".["):
+            raise PathError(f"unsupported JSONPath: {path!r} at {text[pos:]!r}")
+        t = m.group()
+        inner = t[1:-1].strip() if t[0] == "[" else t.lstrip(".")
+        if t.startswith(".."):
+            steps.append(("descend", None))
+        if inner == "*":
             steps.append(("all", None))
+        elif t[0] != "[":
+            steps.append(("key", inner))
+        elif inner[0] in "'\"":
+            steps.append(("key", inner[1:-1]))
+        elif ":" in inner:
+            lo, hi = (int(x) if x.strip() else None for x in inner.split(":"))
+            steps.append(("slice", (lo, hi)))
+        else:
+            steps.append(("index", int(inner)))
         pos = m.end()
     return steps
 
@@ -54,15 +77,53 @@ def _key_path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _step(kind: str, arg, empty: Column):
-    """One-argument lambda taking a VARIANT to the value one step down (or NULL)."""
-    if kind == "key":
-        path = _key_path(arg)
-        return lambda x: F.try_variant_get(x, path, "variant")
-    if arg >= 0:
-        path = f"$[{arg}]"
-        return lambda x: F.try_variant_get(x, path, "variant")
-    return lambda x: F.element_at(F.coalesce(x.try_cast("array<variant>"), empty), F.lit(arg))
+def no_variants() -> Column:
+    return F.expr("cast(array() as array<variant>)")
+
+
+def _elements(x: Column) -> Column:
+    return F.coalesce(x.try_cast("array<variant>"), no_variants())
+
+
+def _children(x: Column) -> Column:
+    return F.coalesce(x.try_cast("array<variant>"), F.map_values(x.try_cast("map<string,variant>")), no_variants())
+
+
+def _descendants(arr: Column) -> Column:
+    """Every value of ``arr`` and everything below it, level by level."""
+    def level(acc: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(acc["now"], _children))
+        return F.struct(F.concat(acc["all"], below).alias("all"), below.alias("now"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.struct(arr.alias("all"), arr.alias("now")),
+                       level, lambda acc: acc["all"])
+
+
+def _sliced(xs: Column, lo, hi) -> Column:
+    n = F.size(xs)
+    start = F.lit(0) if lo is None else F.lit(lo) if lo >= 0 else F.greatest(n + lo, F.lit(0))
+    end = n if hi is None else F.least(F.lit(hi), n) if hi >= 0 else n + hi
+    return F.when(end > start, F.slice(xs, start + 1, end - start)).otherwise(no_variants())
+
+
+def _compared(x: Column, names: list[str], op: str, value) -> Column:
+    for n in names:
+        x = F.try_variant_get(x, _key_path(n), "variant")
+    kind = F.schema_of_variant(x)
+    if value is None:
+        same = F.is_variant_null(x)
+    elif isinstance(value, bool):
+        same = (kind == "BOOLEAN") & (F.try_variant_get(x, "$", "boolean") == value)
+    elif isinstance(value, str):
+        v = F.try_variant_get(x, "$", "string")
+        same = (kind == "STRING") & {"==": v == value, "!=": v == value, ">": v > value, "<": v < value,
+                                     ">=": v >= value, "<=": v <= value}[op]
+    else:
+        v = F.try_variant_get(x, "$", "double")
+        number = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+        same = number & {"==": v == value, "!=": v == value, ">": v > value, "<": v < value,
+                         ">=": v >= value, "<=": v <= value}[op]
+    same = F.coalesce(same, F.lit(False))
+    return (x.isNotNull() & ~same) if op == "!=" else same
 
 
 def strict_json(text: Column) -> Column:
@@ -77,20 +138,80 @@ def strict_json(text: Column) -> Column:
 
 def matches(body: Column, path: str) -> Column:
     """``array<variant>`` of every value ``path`` selects in ``body``."""
-    steps = parse_path(path)
-    empty = F.expr("cast(array() as array<variant>)")
-    if steps is None:
-        return empty
-    arr = F.when(body.isNotNull(), F.array(body)).otherwise(empty)
-    for kind, arg in steps:
+    arr = F.when(body.isNotNull(), F.array(body)).otherwise(no_variants())
+    for kind, arg in parse_path(path):
         if kind == "all":
-            arr = F.flatten(F.transform(
-                arr, lambda x: F.coalesce(x.try_cast("array<variant>"), empty)))
+            arr = F.flatten(F.transform(arr, _children))
+        elif kind == "descend":
+            arr = _descendants(arr)
+        elif kind == "slice":
+            arr = F.flatten(F.transform(arr, _slicer(*arg)))
+        elif kind == "filter":
+            arr = F.filter(F.flatten(F.transform(arr, _children)), _comparer(*arg))
         else:
-            arr = F.filter(F.transform(arr, _step(kind, arg, empty)), lambda x: x.isNotNull())
+            arr = F.filter(F.transform(arr, _step(kind, arg)), lambda x: x.isNotNull())
     return arr
 
 
+def _slicer(lo, hi):
+    return lambda x: _sliced(_elements(x), lo, hi)
+
+
+def _comparer(names, op, value):
+    return lambda x: _compared(x, names, op, value)
+
+
+def _step(kind: str, arg):
+    """One-argument lambda taking a VARIANT to the value one step down (or NULL)."""
+    if kind == "key":
+        path = _key_path(arg)
+        return lambda x: F.try_variant_get(x, path, "variant")
+    if arg >= 0:
+        path = f"$[{arg}]"
+        return lambda x: F.try_variant_get(x, path, "variant")
+    return lambda x: F.try_element_at(_elements(x), F.lit(arg))
+
+
+# ---- paths that are data ---------------------------------------------------------------
+
+def path_supported(path: Column) -> Column:
+    """True for a path that :func:`matches_by_data` evaluates: every kind of step but
+    comparisons and descendants."""
+    return F.coalesce(path.rlike(r"^\s*(?:\$|[A-Za-z_][A-Za-z0-9_\-]*)(?:\.(?!\.)(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"
+                                 r"|\[\s*(?:\*|-?\d+|-?\d*\s*:\s*-?\d*|'[^']*'|\"[^\"]*\")\s*\])*\s*$"), F.lit(False))
+
+
+def matches_by_data(body: Column, path: Column) -> Column:
+    """Like :func:`matches` for a path that is a column; NULL where it is not supported."""
+    steps = F.transform(F.regexp_extract_all(F.regexp_replace(F.trim(path), r"^\$", ""), F.lit("(" + STEP + ")"), 1),
+                        lambda s: F.regexp_replace(F.regexp_replace(s, r"^\.", ""), r"^\[\s*|\s*\]$", ""))
+
+    def apply(arr: Column, s: Column) -> Column:
+        bracketed_int = s.rlike(r"^-?\d+$")
+        sliced = s.rlike(r"^-?\d*\s*:\s*-?\d*$")
+        name = F.regexp_replace(s, "^['\"]|['\"]$", "")
+        i = s.try_cast("int")
+
+        def one(x: Column) -> Column:
+            xs = _elements(x)
+            n = F.size(xs)
+            lo = F.coalesce(F.regexp_extract(s, r"^(-?\d*)", 1).try_cast("int"), F.lit(0))
+            hi = F.coalesce(F.regexp_extract(s, r"(-?\d*)$", 1).try_cast("int"), n)
+            lo = F.when(lo < 0, F.greatest(n + lo, F.lit(0))).otherwise(lo)
+            hi = F.when(hi < 0, n + hi).otherwise(F.least(hi, n))
+            at = F.when(i >= 0, i).otherwise(n + i)
+            member = F.when(bracketed_int, F.get(xs, F.when(at >= 0, at).otherwise(n))).otherwise(
+                F.try_element_at(x.try_cast("map<string,variant>"), name))
+            return (F.when(s == "*", _children(x))
+                    .when(sliced, F.when(hi > lo, F.slice(xs, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(no_variants()))
+                    .otherwise(F.filter(F.array(member), lambda v: v.isNotNull())))
+        return F.flatten(F.transform(arr, one))
+    root = F.when(body.isNotNull(), F.array(body)).otherwise(no_variants())
+    return F.when(path_supported(path), F.aggregate(steps, root, apply))
+
+
+# ---- types -----------------------------------------------------------------------------
+
 def variant_kind(v: Column) -> Column:
     """Coarse JSON type of a VARIANT: null/boolean/number/string/array/object.
 
@@ -108,9 +229,30 @@ def variant_kind(v: Column) -> Column:
 
 
 def is_empty_value(v: Column) -> Column:
-    """True for JSON null, "" and [] (the values a citation must not be)."""
-    kind = variant_kind(v)
-    return (F.when(kind == "null", True)
-            .when(kind == "string", F.try_variant_get(v, "$", "string") == "")
-            .when(kind == "array", F.size(v.try_cast("array<variant>")) == 0)
-            .otherwise(False))
+    """True for JSON null, "" and [] (the values a citation must not be): each prints as one
+    short text, so one look at the printed value is enough."""
+    return F.to_json(v).isin("null", '""', "[]") | F.is_variant_null(v)
+
+
+def path_inventory(rows, body: str, depth: int = 8):
+    """SCL-11: (path, responses): every JSONPath below the root that occurs in a column of VARIANT
+    bodies, to ``depth`` steps, and in how many bodies. Levels are walked with arrays: a step
+    takes each (path, value) to its members (``.key``) or elements (``[*]``)."""
+    pair = "array<struct<path:string,value:variant>>"
+    empty = F.expr(f"cast(array() as {pair})")
+
+    def below(p: Column) -> Column:
+        members = F.transform(F.map_entries(p["value"].try_cast("map<string,variant>")), lambda e: F.struct(
+            F.concat(p["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
+        elements = F.transform(p["value"].try_cast("array<variant>"), lambda v: F.struct(
+            F.concat(p["path"], F.lit("[*]")).alias("path"), v.alias("value")))
+        return F.coalesce(members, elements, empty)
+
+    def step(acc: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(acc["now"], below))
+        return F.struct(F.array_union(acc["paths"], F.transform(found, lambda p: p["path"])).alias("paths"),
+                        found.alias("now"))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("paths"), F.array(F.struct(
+        F.lit("$").alias("path"), F.col(body).alias("value"))).alias("now"))
+    paths = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda acc: acc["paths"])
+    return rows.select(F.explode(paths).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("responses"))

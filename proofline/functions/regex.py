@@ -19,11 +19,3 @@ def to_java(pattern: str) -> str:
 def search_pattern(pattern: str) -> str:
     """Pattern for ``rlike`` that behaves like ``re.search(p, s, re.M | re.S)``."""
     return PY_SEARCH_FLAGS + to_java(pattern)
-
-
-def probe(spark, pattern: str) -> None:
-    """Compile on the JVM at plan time so a bad pattern fails before any task runs."""
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as exc:  # py4j wraps the PatternSyntaxException
-        raise ValueError(f"pattern not supported by the JVM engine: {pattern!r}") from exc

@@ -1,14 +1,13 @@
 """The template checks (CHK-1..16) as Column builders.
 
 Every builder takes the response columns ``r`` (``text`` string, ``json`` VARIANT,
-``latency_ms`` double, ``cost_usd`` double), the check parameters ``p`` (plain values
-or Columns) and, for path-based checks, the pre-computed ``array<variant>`` of matches
-of the check's JSONPath. It returns a dict of Columns: ``passed``, ``severity``,
-``message``, ``evidence`` (JSON text or NULL) and ``score`` (NULL for templates).
+``latency_ms`` double, ``cost_usd`` double), the check's parameters ``p`` (``params.Literal`` or
+``params.Data``) and, for path-based checks, the ``array<variant>`` of matches of the check's
+JSONPath. It returns a dict of Columns: ``passed``, ``severity``, ``message``, ``evidence``
+(JSON text or NULL) and ``score`` (NULL for templates).
 """
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline.functions import jsonpath as jp
-from proofline.functions.regex import search_pattern
 from proofline.functions.text import py_repr
+from proofline.operators.params import INFINITY
 
 # ---- fixed values that must equal the reference's --------------------------------
 # Default markers of the refusal detector (matched against the lowercased text;
@@ -71,19 +70,10 @@ class Check:
             raise KeyError("json_schema: needs 'schema' or 'schema_ref'")
 
 
-def _lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
-
-
 def _sev(ok: Column) -> Column:
     return F.when(ok, F.lit("info")).otherwise(F.lit("fail"))
 
 
-def _pystr(v) -> str:
-    """``str()`` of a literal parameter, as Python would print it in a message."""
-    return str(v)
-
-
 def _result(ok, message, evidence=None, severity=None, score=None) -> dict:
     return {"passed": ok, "severity": severity if severity is not None else _sev(ok),
             "message": message,
@@ -102,29 +92,23 @@ def valid_json(r, p, m=None) -> dict:
 
 
 def contains(r, p, m=None) -> dict:
-    needle = _lit(p["value"])
+    needle = p.string("value")
     ok = F.contains(_text(r), needle)
     return _result(ok, F.concat(F.lit("text "), F.when(ok, F.lit("contains"))
                                 .otherwise(F.lit("missing")), F.lit(": "), py_repr(needle)))
 
 
 def not_contains(r, p, m=None) -> dict:
-    needle = _lit(p["value"])
+    needle = p.string("value")
     ok = ~F.contains(_text(r), needle)
     return _result(ok, F.concat(F.lit("forbidden string "), F.when(ok, F.lit("absent"))
                                 .otherwise(F.lit("present")), F.lit(": "), py_repr(needle)))
 
 
 def regex_match(r, p, m=None) -> dict:
-    pat = p["pattern"]
-    if isinstance(pat, Column):
-        java = F.concat(F.lit("(?smdU)"), F.regexp_replace(
-            F.regexp_replace(pat, r"\(\?P<", "(?<"), r"\\Z", r"\\z"))
-        ok = F.regexp_like(_text(r), java)
-    else:
-        ok = _text(r).rlike(search_pattern(pat))
+    ok = F.regexp_like(_text(r), p.pattern("pattern"))
     return _result(ok, F.concat(F.lit("pattern "), F.when(ok, F.lit("matched"))
-                                .otherwise(F.lit("no match")), F.lit(": "), py_repr(_lit(pat))))
+                                .otherwise(F.lit("no match")), F.lit(": "), py_repr(p.string("pattern"))))
 
 
 def _number_text(v: Column) -> Column:
@@ -137,70 +121,50 @@ def _number_text(v: Column) -> Column:
 
 
 def numeric_bound(r, p, m) -> dict:
-    fld = p["field"]
-    lo = p.get("min", float("-inf"))
-    hi = p.get("max", float("inf"))
-    first = F.element_at(m, 1)
-    kind = jp.variant_kind(first)
-    is_num = kind.isin("number", "boolean")
+    fld = p.string("field")
+    first = F.get(m, F.lit(0))
+    is_num = ~F.schema_of_variant(first).isin("STRING", "VOID") & first.try_cast("double").isNotNull()
     v = F.try_variant_get(first, "$", "double")
-    inside = is_num & (v >= _lit(lo)) & (v <= _lit(hi))
+    inside = is_num & (v >= p.number("min", -INFINITY)) & (v <= p.number("max", INFINITY))
     found = F.size(m) > 0
-    fstr = _lit(fld) if isinstance(fld, Column) else F.lit(str(fld))
-    lo_s = F.lit(_pystr(lo)) if not isinstance(lo, Column) else lo.cast("string")
-    hi_s = F.lit(_pystr(hi)) if not isinstance(hi, Column) else hi.cast("string")
     vtxt = _number_text(first)
-    msg = (F.when(~found, F.concat(F.lit("field not found: "), fstr))
-           .when(~is_num, F.concat(fstr, F.lit("="), vtxt, F.lit(" is not a number")))
-           .when(inside, F.concat(fstr, F.lit("="), vtxt, F.lit(" within ["), lo_s,
-                                  F.lit(","), hi_s, F.lit("]")))
-           .otherwise(F.concat(fstr, F.lit("="), vtxt, F.lit(" out of bounds"))))
-    ok = found & F.coalesce(inside, F.lit(False))
-    return _result(ok, msg)
+    msg = (F.when(~found, F.concat(F.lit("field not found: "), fld))
+           .when(~is_num, F.concat(fld, F.lit("="), vtxt, F.lit(" is not a number")))
+           .when(inside, F.concat(fld, F.lit("="), vtxt, F.lit(" within ["), p.shown("min", "-inf"),
+                                  F.lit(","), p.shown("max", "inf"), F.lit("]")))
+           .otherwise(F.concat(fld, F.lit("="), vtxt, F.lit(" out of bounds"))))
+    return _result(found & F.coalesce(inside, F.lit(False)), msg)
 
 
 def latency_bound(r, p, m=None) -> dict:
     v = F.coalesce(r["latency_ms"], F.lit(0.0))
-    mx = p["max_ms"]
-    ok = v <= _lit(mx)
-    mx_s = F.lit(_pystr(mx)) if not isinstance(mx, Column) else mx.cast("string")
+    ok = v <= p.number("max_ms", INFINITY)
     msg = F.concat(F.lit("latency "), F.bround(v, 0).cast("long").cast("string"),
                    F.lit("ms "), F.when(ok, F.lit("<=")).otherwise(F.lit(">")),
-                   F.lit(" "), mx_s, F.lit("ms"))
+                   F.lit(" "), p.shown("max_ms", "inf"), F.lit("ms"))
     return _result(ok, msg, evidence=F.to_json(F.struct(v.alias("latency_ms"))))
 
 
 def field_present(r, p, m) -> dict:
     n = F.size(m)
-    ok = n >= _lit(p.get("min", 1))
-    fstr = _lit(p["field"])
-    return _result(ok, F.concat(n.cast("string"), F.lit(" match(es) for "), fstr))
+    return _result(n >= p.number("min", 1), F.concat(n.cast("string"), F.lit(" match(es) for "), p.string("field")))
 
 
 def citation_present(r, p, m) -> dict:
     kept = F.filter(m, lambda x: ~jp.is_empty_value(x))
     n = F.size(kept)
-    ok = n >= _lit(p.get("min", 1))
     ev = F.concat(F.lit('{"citations":['), F.array_join(
-        F.transform(F.slice(kept, 1, 5), lambda x: F.to_json(x)), ","), F.lit("]}"))
-    return _result(ok, F.concat(n.cast("string"), F.lit(" citation(s) found at "),
-                                _lit(p["field"])), evidence=ev)
+        F.transform(kept, lambda x: F.to_json(x)), ","), F.lit("]}"))
+    return _result(n >= p.number("min", 1), F.concat(n.cast("string"), F.lit(" citation(s) found at "),
+                                                     p.string("field")), evidence=ev)
 
 
 def refusal_detector(r, p, m=None) -> dict:
-    markers = p.get("markers", REFUSAL_MARKERS)
     low = F.lower(_text(r))
-    if isinstance(markers, Column):
-        refused = F.exists(markers, lambda mk: F.contains(low, mk))
-    else:
-        refused = F.lit(False)
-        for mk in markers:
-            refused = refused | F.contains(low, F.lit(mk))
-    want = _lit(p.get("expect_refusal", True))
-    ok = refused == want
+    refused = F.exists(p.strings("markers", REFUSAL_MARKERS), lambda mk: F.contains(low, mk))
+    want = p.flag("expect_refusal", True)
     pyb = lambda b: F.when(b, F.lit("True")).otherwise(F.lit("False"))
-    return _result(ok, F.concat(F.lit("refusal="), pyb(refused), F.lit(", expected="),
-                                pyb(want)))
+    return _result(refused == want, F.concat(F.lit("refusal="), pyb(refused), F.lit(", expected="), pyb(want)))
 
 
 def pii_hits(text: Column) -> dict:
@@ -208,8 +172,8 @@ def pii_hits(text: Column) -> dict:
     return {k: F.regexp_extract_all(text, F.lit("(?U)" + v), 0) for k, v in PII_PATTERNS.items()}
 
 
-def pii_absent(r, p, m=None) -> dict:
-    hits = p.get("hits") or pii_hits(_text(r))
+def pii_absent(r, p=None, m=None, hits: dict | None = None) -> dict:
+    hits = hits or pii_hits(_text(r))
     found = F.map_filter(F.create_map(*[x for k, v in hits.items() for x in (F.lit(k), v)]),
                          lambda k, v: F.size(v) > 0)
     names = F.map_keys(found)
@@ -224,39 +188,42 @@ def pii_absent(r, p, m=None) -> dict:
 # ---- designed-only templates -----------------------------------------------------
 
 def equals(r, p, m) -> dict:
-    first = F.element_at(m, 1)
-    expected = p["value"]
-    want = expected if isinstance(expected, Column) else F.lit(json.dumps(expected))
-    ok = F.coalesce(F.to_json(first) == F.to_json(F.try_parse_json(want)), F.lit(False))
-    return _result(ok, F.concat(_lit(p["field"]), F.when(ok, F.lit(" equals expected"))
+    ok = F.coalesce(F.to_json(F.get(m, F.lit(0))) == p.json_value("value"), F.lit(False))
+    return _result(ok, F.concat(p.string("field"), F.when(ok, F.lit(" equals expected"))
                                 .otherwise(F.lit(" differs from expected"))))
 
 
 def cost_bound(r, p, m=None) -> dict:
     v = F.coalesce(r["cost_usd"], F.lit(0.0))
-    ok = v <= _lit(p["max_usd"])
+    ok = v <= p.number("max_usd", INFINITY)
     return _result(ok, F.concat(F.lit("cost "), F.format_string("%.6f", v),
-                                F.when(ok, F.lit(" <= ")).otherwise(F.lit(" > ")),
-                                _lit(p["max_usd"]).cast("string")))
+                                F.when(ok, F.lit(" <= ")).otherwise(F.lit(" > ")), p.shown("max_usd", "inf")))
 
 
 def enum_value(r, p, m) -> dict:
-    allowed = p["values"]
-    arr = allowed if isinstance(allowed, Column) else F.array(*[F.lit(a) for a in allowed])
-    ok = (F.size(m) > 0) & F.forall(m, lambda x: F.array_contains(
-        arr, F.try_variant_get(x, "$", "string")))
+    allowed = p.json_values("values")
+    ok = (F.size(m) > 0) & F.forall(m, lambda x: F.array_contains(allowed, F.to_json(x)))
     return _result(F.coalesce(ok, F.lit(False)),
-                   F.concat(F.size(m).cast("string"), F.lit(" value(s) checked at "),
-                            _lit(p["field"])))
+                   F.concat(F.size(m).cast("string"), F.lit(" value(s) checked at "), p.string("field")))
 
 
 def length_bound(r, p, m=None) -> dict:
     n = F.length(_text(r))
-    ok = (n >= _lit(p.get("min", 0))) & (n <= _lit(p.get("max", 2 ** 62)))
+    ok = (n >= p.number("min", 0)) & (n <= p.number("max", INFINITY))
     return _result(ok, F.concat(F.lit("length "), n.cast("string"),
                                 F.when(ok, F.lit(" within bounds")).otherwise(F.lit(" out of bounds"))))
 
 
+def unresolved_citations(results, field_matches: Column, keys: list[str], corpus, ref: str = "ref"):
+    """CHK-14: (keys, citation) of every cited reference that the corpus (a table with column
+    ``ref``) does not hold. A cited reference is compared as text; empty ones cite nothing."""
+    cited = results.select(*keys, F.explode(F.filter(field_matches, lambda x: ~jp.is_empty_value(x))).alias("_v"))
+    text = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string")).otherwise(F.to_json("_v"))
+    cited = cited.select(*keys, text.alias("citation")).distinct()
+    known = corpus.select(F.col(ref).alias("citation")).distinct()
+    return cited.join(known, "citation", "left_anti").select(*keys, "citation")
+
+
 BUILDERS = {
     "valid_json": valid_json, "contains": contains, "not_contains": not_contains,
     "regex_match": regex_match, "numeric_bound": numeric_bound,

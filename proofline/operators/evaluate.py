@@ -1,13 +1,16 @@
 """Apply declared checks to captured responses (CHK-20..24), then gate cases.
 
-Two ways in, one result shape:
+Two ways in, one result shape and one meaning per template (``operators.params``):
 
 * :func:`apply_checks` — checks known at plan time (a spec applied to a whole table of
   responses). Every check becomes a Column of the same projection, so there is no
   join and no shuffle; the case gate is a Column too.
-* :func:`evaluate_checks` — checks as a table (one row per case and check). The table
-  is joined to the responses on the case key; parameters stay data (Columns), only the
-  JSONPaths and schemas — which must be literals — are compiled per distinct value.
+* :func:`evaluate_checks` — checks as a table (one row per case and check), joined to the
+  responses on the case key. Parameters and JSONPaths stay data; nothing of the table is read
+  while the plan is built. Schemas and user checks are code, so the caller names them.
+
+Judge checks are scored from verdict tables (``operators.judge``): :func:`with_judgements` puts
+those results in place of the judge rows before the gate.
 """
 from __future__ import annotations
 
@@ -18,25 +21,26 @@ from pyspark.sql import functions as F
 
 from proofline.functions import jsonpath as jp
 from proofline.operators import checks as C
-from proofline.operators.jsonschema import json_schema as _json_schema
+from proofline.operators import udf as U
+from proofline.operators.jsonschema import json_schema
+from proofline.operators.params import Data, Literal, compact
 
 RESULT_COLUMNS = ["check_index", "check_id", "type", "passed", "score", "threshold",
                   "severity", "message", "evidence", "required"]
 
-_BUILDERS = dict(C.BUILDERS, json_schema=_json_schema)
-
 
 def with_body(responses: DataFrame, body: str = "body") -> DataFrame:
     """Parse the raw body text once into a VARIANT column ``json`` (SCL-2)."""
     return responses.withColumn("json", jp.strict_json(F.col(body)))
 
 
-def _resp(text, latency, cost, columns=None) -> dict:
+def _resp(text, latency, cost, columns=None, body=None) -> dict:
     def col(name, typ):
         present = name and (columns is None or name in columns)
         return F.col(name) if present else F.lit(None).cast(typ)
-    return {"text": col(text, "string"), "json": F.col("json"),
-            "latency_ms": col(latency, "double"), "cost_usd": col(cost, "double")}
+    own = {k: F.col(k) for k in ("raw", "tool_calls", "usage", "status", "error") if columns and k in columns}
+    return {"text": col(text, "string"), "json": F.col("json"), "body": F.col(body) if body else None,
+            "latency_ms": col(latency, "double"), "cost_usd": col(cost, "double"), **own}
 
 
 def _has(df: DataFrame, name: str | None) -> str | None:
@@ -80,54 +84,82 @@ def _failed(message: str) -> dict:
 
 
 def check_columns(checks: list[C.Check], *, text="text", latency="latency_ms",
-                  cost="cost_usd", user_checks=None, context: Column | None = None) -> list[Column]:
-    """One result struct Column per declared check (requires a ``json`` column)."""
-    r = _resp(text, latency, cost)
+                  cost="cost_usd", user_checks=None, context: Column | None = None,
+                  schemas: dict | None = None, columns=None, body: str | None = None) -> list[Column]:
+    """One result struct Column per declared check (requires a ``json`` column). ``schemas``:
+    the schemas that ``schema_ref`` names; ``context``: JSON text given to user checks."""
+    r = _resp(text, latency, cost, columns, body)
     paths = {}
     out = []
     for i, chk in enumerate(checks):
         chk.validate()
         thr = effective_threshold((chk.params or {}).get("threshold"), chk.threshold)
-        if chk.type == "template":
-            fn = _BUILDERS.get(chk.uses)
-            if fn is None:
-                out.append(_struct(i, chk.uses or chk.type, "template",
-                                   _failed(f"unknown template: {chk.uses}"), None, chk.required))
-                continue
-            m = None
+        if chk.type == "template" and chk.uses == "json_schema":
+            raw = json_schema(r, _schema_of(chk.params, schemas))
+            out.append(_struct(i, "template:json_schema", "template", raw, thr, chk.required))
+        elif chk.type == "template" and chk.uses in C.BUILDERS:
+            p, m = Literal(chk.params), None
             if chk.uses in C.PATH_TEMPLATES:
                 path = chk.params["field"]
                 if path not in paths:
-                    paths[path] = jp.matches(F.col("json"), path)
+                    paths[path] = p.matches(F.col("json"))
                 m = paths[path]
-            out.append(_struct(i, f"template:{chk.uses}", "template", fn(r, chk.params, m),
-                               thr, chk.required))
+            out.append(_struct(i, f"template:{chk.uses}", "template", C.BUILDERS[chk.uses](r, p, m), thr, chk.required))
+        elif chk.type == "template":
+            out.append(_struct(i, chk.uses or chk.type, "template",
+                               _failed(f"unknown template: {chk.uses}"), None, chk.required))
         elif chk.type == "generated":
-            from proofline.operators import udf as U
             raw = U.run_user_check(chk.uses, r, context, user_checks)
             out.append(_struct(i, f"generated:{chk.uses}", "generated", raw, thr, chk.required))
         elif chk.type == "judge":
-            # Judge checks are scored from verdict tables (operators.judge) and unioned
-            # into check_results; here they only reserve their index.
-            out.append(_struct(i, chk.judge or "judge", "judge",
-                               _failed(f"unknown judge: {chk.judge}"), None, chk.required))
+            out.append(_struct(i, chk.uses or "judge", "judge",
+                               _failed(f"unknown judge: {chk.judge}"), thr, chk.required))
         else:
             out.append(_struct(i, chk.uses or chk.type, chk.type,
                                _failed(f"unknown check type: {chk.type}"), None, chk.required))
     return out
 
 
+def _schema_of(params: dict, schemas: dict | None):
+    if params.get("schema") is not None:
+        return params["schema"]
+    ref = params.get("schema_ref")
+    if ref not in (schemas or {}):
+        raise KeyError(f"schema_ref {ref!r} is not among the schemas given")
+    return schemas[ref]
+
+
 def apply_checks(responses: DataFrame, checks: list[C.Check], keys: list[str], *,
                  text="text", body: str | None = "body", latency="latency_ms",
-                 cost="cost_usd", user_checks=None) -> DataFrame:
+                 cost="cost_usd", user_checks=None, context: Column | None = None,
+                 schemas: dict | None = None) -> DataFrame:
     """Long-form ``check_results``: one row per (case, check). No join, no shuffle."""
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
-    cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency),
-                         cost=_has(df, cost), user_checks=user_checks)
+    cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency), cost=_has(df, cost),
+                         user_checks=user_checks, context=context, schemas=schemas, columns=df.columns, body=body)
     return df.select(*keys, F.inline(F.array(*cols)))
 
 
+def with_judgements(check_results: DataFrame, judgements: DataFrame, keys: list[str]) -> DataFrame:
+    """Check results in which every judge check has the result of its verdicts. ``judgements``:
+    keys, check_index, judge, passed, score, message, severity, evidence (from
+    ``judge.score_checks``). A judge check without one stays failed."""
+    j = judgements.select(*keys, "check_index", F.struct(
+        "judge", "passed", F.col("score").cast("double").alias("score"), "severity", "message",
+        F.col("evidence").cast("string").alias("evidence")).alias("_j"))
+    out = check_results.join(j, [*keys, "check_index"], "left")
+    use = (F.col("type") == "judge") & F.col("_j").isNotNull()
+
+    def pick(name: str) -> Column:
+        return F.when(use, F.col("_j")[name]).otherwise(F.col(name)).alias(name)
+    passed = F.when(use, graded(F.col("_j.passed"), F.col("_j.score"), F.col("threshold"))).otherwise(F.col("passed"))
+    return out.select(*keys, "check_index",
+                      F.when(use, F.concat(F.lit("judge:"), F.col("_j.judge"))).otherwise(F.col("check_id")).alias("check_id"),
+                      "type", passed.alias("passed"), pick("score"), "threshold", pick("severity"),
+                      pick("message"), pick("evidence"), "required")
+
+
 def gate_column(results: list[Column]) -> Column:
     """CHK-22 on result structs of one row: every *required* check passes."""
     ok = F.lit(True)
@@ -176,94 +208,72 @@ def checks_table(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
-def _param(name: str, typ: str = "string") -> Column:
-    return F.get_json_object(F.col("params"), f"$.{name}").cast(typ)
-
-
 def evaluate_checks(responses: DataFrame, checks: DataFrame, on: list[str], *,
                     text="text", body: str | None = "body", latency="latency_ms",
-                    cost="cost_usd") -> DataFrame:
+                    cost="cost_usd", schemas: dict | None = None, user_checks: dict | None = None,
+                    context: Column | None = None) -> DataFrame:
     """CHK-20/21 with checks as data: ``responses ⋈ checks`` on the case key.
 
-    The distinct ``(uses, field, schema)`` values of the (spec-sized) checks table are
-    read at plan time to compile the literal parts; every other parameter is a Column.
+    ``schemas``: schemas by name; a row of ``json_schema`` names one by ``schema_ref`` or holds
+    one of them as ``schema``. ``user_checks``: functions by name for rows of type
+    ``generated``. Both are code given by the caller, so their number is that of the code, not
+    of the table's rows; a row that names another one fails with a message.
     """
-    meta = checks.select(
-        "uses", _param("field").alias("field"),
-        F.get_json_object("params", "$.schema").alias("schema")).distinct().collect()
-    uses_seen = sorted({m["uses"] for m in meta if m["uses"]})
-    paths = sorted({m["field"] for m in meta if m["field"] and m["uses"] in C.PATH_TEMPLATES})
-    schemas = sorted({m["schema"] for m in meta if m["schema"] and m["uses"] == "json_schema"})
-
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
-    for i, p in enumerate(paths):
-        df = df.withColumn(f"_m{i}", jp.matches(F.col("json"), p))
-    spec = checks.withColumnRenamed("type", "check_type")
+    spec = checks.withColumnRenamed("type", "check_type").withColumn("_p", F.try_parse_json("params"))
     spec = spec.drop(*[c for c in ("suite_id", "case_id") if c not in on and c in spec.columns])
     joined = df.join(spec, on, "inner")
 
-    r = _resp(text, latency, cost, df.columns)
-    p = {"value": _param("value"), "pattern": _param("pattern"),
-         "min": _param("min", "double"), "max": _param("max", "double"),
-         "max_ms": _param("max_ms", "double"), "field": _param("field"),
-         "max_usd": _param("max_usd", "double"),
-         "expect_refusal": F.coalesce(_param("expect_refusal", "boolean"), F.lit(True)),
-         "markers": F.coalesce(F.from_json(F.get_json_object("params", "$.markers"),
-                                           "array<string>"),
-                               F.array(*[F.lit(m) for m in C.REFUSAL_MARKERS]))}
-    p_min1 = dict(p, min=F.coalesce(p["min"], F.lit(1.0)))
-    p_bounds = dict(p, min=F.coalesce(p["min"], F.lit(float("-inf"))),
-                    max=F.coalesce(p["max"], F.lit(float("inf"))))
-
-    branches = []
-    for uses in uses_seen:
-        if uses == "json_schema":
-            for s in schemas:
-                raw = _json_schema(r, {"schema": json.loads(s)})
-                branches.append(((F.col("uses") == uses) &
-                                 (F.get_json_object("params", "$.schema") == s), raw))
-            continue
-        fn = C.BUILDERS.get(uses)
-        if fn is None:
-            continue
-        if uses in C.PATH_TEMPLATES:
-            for i, path in enumerate(paths):
-                pp = dict(p_min1 if uses in ("field_present", "citation_present") else p_bounds)
-                pp["field"] = F.lit(path)
-                if uses == "numeric_bound":
-                    raw = fn(r, pp, F.col(f"_m{i}"))
-                    raw["message"] = F.regexp_replace(F.regexp_replace(
-                        raw["message"], r"\[-Infinity,", "[-inf,"), r",Infinity\]", ",inf]")
-                else:
-                    raw = fn(r, pp, F.col(f"_m{i}"))
-                branches.append(((F.col("uses") == uses) & (p["field"] == path), raw))
-        else:
-            branches.append((F.col("uses") == uses, fn(r, p, None)))
-
-    def pick(key: str, default: Column) -> Column:
-        expr = None
-        for cond, raw in branches:
-            expr = F.when(cond, raw[key]) if expr is None else expr.when(cond, raw[key])
-        return default if expr is None else expr.otherwise(default)
-
-    is_tpl = F.col("check_type") == "template"
-    known = F.col("uses").isin(list(C.BUILDERS) + ["json_schema"]) if uses_seen else F.lit(False)
-    unknown_msg = (F.when(is_tpl, F.concat(F.lit("unknown template: "), F.col("uses")))
-                   .otherwise(F.concat(F.lit("unknown check type: "), F.col("check_type"))))
-    ok_known = is_tpl & known
-    raw_passed = F.when(ok_known, pick("passed", F.lit(False))).otherwise(F.lit(False))
-    score = F.lit(None).cast("double")
-    thr = effective_threshold(_param("threshold", "double"), F.col("threshold"))
-    return joined.select(
+    r = _resp(text, latency, cost, df.columns, body)
+    p = Data(F.col("_p"))
+    uses, kind = F.col("uses"), F.col("check_type")
+    branches: list[tuple[Column, dict]] = []
+    for name, fn in C.BUILDERS.items():
+        required = C.REQUIRED_PARAMS.get(name, ())
+        m = p.matches(F.col("json")) if name in C.PATH_TEMPLATES else None
+        mine = (kind == "template") & (uses == name)
+        problem = p.problem(required)
+        branches.append((mine & problem.isNotNull(), _failed_column(problem)))
+        branches.append((mine, fn(r, p, m)))
+    for name, schema in (schemas or {}).items():
+        named = (p.string("schema_ref") == name) | (F.to_json(F.try_variant_get(F.col("_p"), "$.schema", "variant"))
+                                                    == compact(schema))
+        branches.append(((kind == "template") & (uses == "json_schema") & named, json_schema(r, schema)))
+    branches.append(((kind == "template") & (uses == "json_schema"), _failed("schema is not among those given")))
+    known_checks = dict(user_checks or {})
+    for name in known_checks:
+        mine = (kind == "generated") & (uses == name)
+        branches.append((mine, U.run_user_check(name, r, context, known_checks)))
+    branches.append((kind == "generated", _failed_column(F.concat(
+        F.lit("no check function registered as "), F.lit("'"), uses, F.lit("'")))))
+    branches.append((kind == "judge", _failed_column(F.concat(
+        F.lit("unknown judge: "), F.coalesce("judge", F.lit("None"))))))
+    branches.append((kind == "template", _failed_column(F.concat(
+        F.lit("unknown template: "), F.coalesce(uses, F.lit("None"))))))
+    other = _failed_column(F.concat(F.lit("unknown check type: "), kind))
+
+    def result(raw: dict) -> Column:
+        return F.struct(*[raw[k].alias(k) for k in ("passed", "severity", "message", "evidence")],
+                        raw["score"].cast("double").alias("score"))
+    chosen = None
+    for cond, raw in branches:
+        cond = F.coalesce(cond, F.lit(False))
+        chosen = F.when(cond, result(raw)) if chosen is None else chosen.when(cond, result(raw))
+    chosen = chosen.otherwise(result(other))
+
+    known = (kind == "template") & uses.isin([*C.BUILDERS, "json_schema"])
+    thr = effective_threshold(F.try_variant_get(F.col("_p"), "$.threshold", "double"), F.col("threshold"))
+    thr = F.when(known | kind.isin("generated", "judge"), thr)
+    return joined.withColumn("_r", chosen).select(
         *on, *[c for c in ("run_id", "suite_id", "case_id") if c not in on and c in responses.columns],
         F.col("check_index"),
-        F.when(ok_known, F.concat(F.lit("template:"), F.col("uses")))
-         .otherwise(F.coalesce(F.col("uses"), F.col("check_type"))).alias("check_id"),
-        F.col("check_type").alias("type"),
-        graded(raw_passed, score, thr).alias("passed"),
-        score.alias("score"), thr.alias("threshold"),
-        F.when(ok_known, pick("severity", F.lit("fail"))).otherwise(F.lit("fail")).alias("severity"),
-        F.when(ok_known, pick("message", F.lit(""))).otherwise(unknown_msg).alias("message"),
-        F.when(ok_known, pick("evidence", F.lit(None).cast("string"))).alias("evidence"),
-        F.col("required"))
+        F.when(known, F.concat(F.lit("template:"), uses)).when(kind == "generated", F.concat(F.lit("generated:"), uses))
+         .otherwise(F.coalesce(uses, kind)).alias("check_id"),
+        kind.alias("type"), graded(F.col("_r.passed"), F.col("_r.score"), thr).alias("passed"),
+        F.col("_r.score").alias("score"), thr.alias("threshold"), F.col("_r.severity").alias("severity"),
+        F.col("_r.message").alias("message"), F.col("_r.evidence").alias("evidence"), F.col("required"))
+
+
+def _failed_column(message: Column) -> dict:
+    return dict(_failed(""), message=message)

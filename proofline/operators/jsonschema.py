@@ -1,20 +1,23 @@
-"""A JSON-Schema subset compiled, at plan time, into a Column predicate over VARIANT.
+"""A JSON-Schema subset compiled, at plan time, into Column predicates over VARIANT.
 
-Supported keywords: type (name or list), required, properties, items (one schema),
-enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum, minLength,
-maxLength, pattern, minItems, maxItems, additionalProperties (false or a schema),
-allOf, anyOf, oneOf, not. Any other validation keyword raises at plan time, so a
-schema is never silently half-checked.
+Supported keywords: type (name or list), required, properties, items (one schema, a list of
+them, or a boolean), enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum
+(number, or boolean beside minimum/maximum), minLength, maxLength, pattern, minItems,
+maxItems, additionalProperties, allOf, anyOf, oneOf, not. Any other validation keyword raises
+at plan time, so a schema is never half-checked.
+
+``compile_schema`` answers valid or not, with one cheap type test per node; ``violations``
+explains, and is only evaluated for bodies that are not valid.
 """
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline.functions import jsonpath as jp
 from proofline.functions.regex import to_java
+from proofline.functions.text import py_repr
+from proofline.operators.params import compact
 
 _ANNOTATIONS = {"$schema", "$id", "id", "title", "description", "default", "examples",
                 "$comment", "format", "definitions", "$defs"}
@@ -24,15 +27,62 @@ _SUPPORTED = {"type", "required", "properties", "items", "enum", "const", "minim
               "oneOf", "not"} | _ANNOTATIONS
 
 
-def _type_ok(v: Column, kind: Column, name: str) -> Column:
+def _check(schema) -> None:
+    if not isinstance(schema, (dict, bool)):
+        raise ValueError(f"not a JSON schema: {schema!r}")
+    if isinstance(schema, dict) and (unknown := set(schema) - _SUPPORTED):
+        raise ValueError(f"unsupported JSON-Schema keyword(s): {sorted(unknown)}")
+
+
+def _is(v: Column, name: str) -> Column:
+    if name == "object":
+        return v.try_cast("map<string,variant>").isNotNull()
+    if name == "array":
+        return v.try_cast("array<variant>").isNotNull()
+    if name == "null":
+        return F.is_variant_null(v)
+    kind = F.schema_of_variant(v)
+    if name == "string":
+        return kind == "STRING"
+    if name == "boolean":
+        return kind == "BOOLEAN"
+    number = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+    if name == "number":
+        return number
     if name == "integer":
         d = F.try_variant_get(v, "$", "double")
-        return (kind == "number") & (d == F.floor(d))
-    if name in ("null", "boolean", "number", "string", "array", "object"):
-        return kind == name
+        return number & (d == F.floor(d))
     raise ValueError(f"unknown JSON-Schema type {name!r}")
 
 
+def _any(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def _types(schema) -> list[str]:
+    return schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+
+
+def _bounds(schema) -> list[tuple[str, float]]:
+    """(operator a valid number satisfies, limit)."""
+    out = []
+    for key, op, strict in (("minimum", ">=", ">"), ("maximum", "<=", "<")):
+        ex = schema.get("exclusiveMinimum" if key == "minimum" else "exclusiveMaximum")
+        if key in schema:
+            out.append((strict if ex is True else op, schema[key]))
+        if ex is not None and not isinstance(ex, bool):
+            out.append((strict, ex))
+    return out
+
+
+def _holds(a: Column, op: str, limit: float) -> Column:
+    b = F.lit(float(limit))
+    return {">=": a >= b, ">": a > b, "<=": a <= b, "<": a < b}[op]
+
+
 def _let(value: Column, fn) -> Column:
     """Bind ``value`` once and evaluate the boolean ``fn`` of it.
 
@@ -43,118 +93,178 @@ def _let(value: Column, fn) -> Column:
     return F.forall(F.array(value), fn)
 
 
+def _member(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, jp._key_path(name), "variant")
+
+
 def compile_schema(schema, v: Column, missing_ok: bool = False) -> Column:
     """Boolean Column: ``v`` (a VARIANT) is valid under ``schema``.
 
     With ``missing_ok`` a SQL NULL (an absent member) is valid; otherwise it is not.
     """
-    if schema is True or schema == {}:
-        return F.lit(True)
+    _check(schema)
     if schema is False:
-        return F.lit(False) if not missing_ok else v.isNull()
-    unknown = set(schema) - _SUPPORTED
-    if unknown:
-        raise ValueError(f"unsupported JSON-Schema keyword(s): {sorted(unknown)}")
-
-    def node(x: Column) -> Column:
-        return F.coalesce(_let(F.struct(x.alias("v"), jp.variant_kind(x).alias("k")),
-                               lambda n: _conds(schema, n["v"], n["k"])), F.lit(False))
+        return v.isNull() if missing_ok else F.lit(False)
+    if schema is True or not set(schema) - _ANNOTATIONS:
+        return F.lit(True) if missing_ok else v.isNotNull()
 
     def bound(x: Column) -> Column:
-        return (x.isNull() & F.lit(missing_ok)) | (x.isNotNull() & node(x))
+        valid = F.coalesce(_valid(schema, x), F.lit(False))
+        return x.isNull() | valid if missing_ok else x.isNotNull() & valid
     return F.coalesce(_let(v, bound), F.lit(False))
 
 
-def _conds(schema, v: Column, kind: Column) -> Column:
+def _valid(schema, v: Column) -> Column:
     conds: list[Column] = []
-    if "type" in schema:
-        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        any_ok = F.lit(False)
-        for n in names:
-            any_ok = any_ok | _type_ok(v, kind, n)
-        conds.append(any_ok)
+    kinds = _types(schema) if "type" in schema else []
+
+    def only(name: str, cond: Column) -> Column:
+        """``cond`` for values of one type; other types pass here (or fail by ``type``)."""
+        return cond if kinds == [name] else ~_is(v, name) | cond
+    if kinds:
+        conds.append(_any([_is(v, n) for n in kinds]))
     if "enum" in schema:
-        j = F.to_json(v)
-        conds.append(j.isin([json.dumps(x, separators=(",", ":")) for x in schema["enum"]]))
+        conds.append(F.to_json(v).isin([compact(x) for x in schema["enum"]]))
     if "const" in schema:
-        conds.append(F.to_json(v) == json.dumps(schema["const"], separators=(",", ":")))
-    num = F.try_variant_get(v, "$", "double")
-    is_num = kind == "number"
-    for key, op in (("minimum", lambda a, b: a >= b), ("maximum", lambda a, b: a <= b),
-                    ("exclusiveMinimum", lambda a, b: a > b),
-                    ("exclusiveMaximum", lambda a, b: a < b)):
-        if key in schema and not isinstance(schema[key], bool):
-            conds.append(~is_num | op(num, F.lit(float(schema[key]))))
+        conds.append(F.to_json(v) == compact(schema["const"]))
+    for op, limit in _bounds(schema):
+        conds.append(only("number", _holds(F.try_variant_get(v, "$", "double"), op, limit)))
     s = F.try_variant_get(v, "$", "string")
-    is_str = kind == "string"
     if "minLength" in schema:
-        conds.append(~is_str | (F.length(s) >= schema["minLength"]))
+        conds.append(only("string", F.length(s) >= schema["minLength"]))
     if "maxLength" in schema:
-        conds.append(~is_str | (F.length(s) <= schema["maxLength"]))
+        conds.append(only("string", F.length(s) <= schema["maxLength"]))
     if "pattern" in schema:
-        conds.append(~is_str | s.rlike("(?U)" + to_java(schema["pattern"])))
+        conds.append(only("string", s.rlike("(?U)" + to_java(schema["pattern"]))))
     arr = v.try_cast("array<variant>")
-    is_arr = kind == "array"
     if "minItems" in schema:
-        conds.append(~is_arr | (F.size(arr) >= schema["minItems"]))
+        conds.append(only("array", F.size(arr) >= schema["minItems"]))
     if "maxItems" in schema:
-        conds.append(~is_arr | (F.size(arr) <= schema["maxItems"]))
-    if isinstance(schema.get("items"), dict):
+        conds.append(only("array", F.size(arr) <= schema["maxItems"]))
+    if isinstance(schema.get("items"), list):
+        for i, sub in enumerate(schema["items"]):
+            conds.append(only("array", compile_schema(sub, F.get(arr, F.lit(i)), missing_ok=True)))
+    elif "items" in schema and schema["items"] is not True:
         sub = schema["items"]
-        conds.append(~is_arr | F.forall(arr, lambda x: compile_schema(sub, x)))
-    is_obj = kind == "object"
-    obj = []
-    for name in schema.get("required", []):
-        obj.append(F.try_variant_get(v, jp._key_path(name), "variant").isNotNull())
+        conds.append(only("array", F.size(arr) == 0 if sub is False else F.forall(
+            arr, lambda x: compile_schema(sub, x))))
+    obj = [_member(v, n).isNotNull() for n in schema.get("required", [])
+           if n not in (schema.get("properties") or {})]
     for name, sub in (schema.get("properties") or {}).items():
-        obj.append(compile_schema(sub, F.try_variant_get(v, jp._key_path(name), "variant"),
-                                  missing_ok=True))
-    if "additionalProperties" in schema and schema["additionalProperties"] is not True:
-        props = list((schema.get("properties") or {}).keys())
-        m = v.try_cast("map<string,variant>")
-        extra = F.filter(F.map_keys(m), lambda k: ~k.isin(props) if props else F.lit(True))
-        ap = schema["additionalProperties"]
-        if ap is False:
-            obj.append(F.size(extra) == 0)
-        else:
-            obj.append(F.forall(extra, lambda k: compile_schema(ap, F.element_at(m, k))))
-    if obj:
-        all_obj = F.lit(True)
-        for c in obj:
-            all_obj = all_obj & c
-        conds.append(~is_obj | all_obj)
-    for sub in schema.get("allOf", []):
-        conds.append(compile_schema(sub, v))
+        # a required property is looked up once: it must be there and valid
+        obj.append(compile_schema(sub, _member(v, name), missing_ok=name not in schema.get("required", [])))
+    if schema.get("additionalProperties", True) is not True:
+        obj.append(_extra(schema, v))
+    for c in obj:
+        conds.append(only("object", c))
+    conds += [compile_schema(sub, v) for sub in schema.get("allOf", [])]
     if "anyOf" in schema:
-        any_ok = F.lit(False)
-        for sub in schema["anyOf"]:
-            any_ok = any_ok | compile_schema(sub, v)
-        conds.append(any_ok)
+        conds.append(_any([compile_schema(sub, v) for sub in schema["anyOf"]]))
     if "oneOf" in schema:
-        hits = sum((F.when(compile_schema(sub, v), 1).otherwise(0) for sub in schema["oneOf"]),
-                   F.lit(0))
-        conds.append(hits == 1)
+        conds.append(sum((F.when(compile_schema(sub, v), 1).otherwise(0) for sub in schema["oneOf"]), F.lit(0)) == 1)
     if "not" in schema:
         conds.append(~compile_schema(schema["not"], v))
     out = F.lit(True)
     for c in conds:
-        out = out & F.coalesce(c, F.lit(False))
+        out = out & c
     return out
 
 
-def json_schema(r, p, m=None) -> dict:
-    """CHK-2: no body fails; otherwise the body must validate against the schema."""
-    schema = p.get("schema")
-    if schema is None and p.get("schema_ref"):
-        with open(p["schema_ref"]) as fh:
-            schema = json.load(fh)
+def _extra(schema, v: Column) -> Column:
+    props = list((schema.get("properties") or {}).keys())
+    m = v.try_cast("map<string,variant>")
+    extra = F.filter(F.map_keys(m), lambda k: ~k.isin(props) if props else F.lit(True))
+    ap = schema["additionalProperties"]
+    return F.size(extra) == 0 if ap is False else F.forall(extra, lambda k: compile_schema(ap, F.element_at(m, k)))
+
+
+# ---- explanations --------------------------------------------------------------------------
+
+def _shown(v: Column) -> Column:
+    """A JSON value as Python prints it (containers as their JSON text)."""
+    kind = F.schema_of_variant(v)
+    return (F.when(F.is_variant_null(v), "None").when(kind == "STRING", py_repr(F.try_variant_get(v, "$", "string")))
+            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False"))
+            .otherwise(F.to_json(v)))
+
+
+def violations(schema, v: Column, path: Column | None = None) -> Column:
+    """array<struct<path, message>>: the keywords of ``schema`` that ``v`` breaks, outer ones
+    first; path: JSON text of keys and indexes, without the brackets."""
+    _check(schema)
+    path = F.lit("") if path is None else path
+    none = F.expr("cast(array() as array<struct<path:string,message:string>>)")
+    if schema is True:
+        return none
+
+    def one(ok: Column, message: Column) -> Column:
+        return F.when(F.coalesce(ok, F.lit(False)), none).otherwise(
+            F.array(F.struct(path.alias("path"), message.alias("message"))))
+
+    def at(step: Column) -> Column:
+        return F.concat(path, F.when(path == "", "").otherwise(","), step)
+    if schema is False:
+        return one(v.isNull(), F.concat(F.lit("False schema does not allow "), _shown(v)))
+    parts: list[Column] = []
+    shown = _shown(v)
+    if "type" in schema:
+        parts.append(one(_any([_is(v, n) for n in _types(schema)]), F.concat(
+            shown, F.lit(" is not of type " + ", ".join(repr(n) for n in _types(schema))))))
+    if "enum" in schema:
+        parts.append(one(F.to_json(v).isin([compact(x) for x in schema["enum"]]),
+                         F.concat(shown, F.lit(f" is not one of {schema['enum']!r}"))))
+    if "const" in schema:
+        parts.append(one(F.to_json(v) == compact(schema["const"]), F.lit(f"{schema['const']!r} was expected")))
+    words = {">=": "less than the minimum of", ">": "less than or equal to the minimum of",
+             "<=": "greater than the maximum of", "<": "greater than or equal to the maximum of"}
+    for op, limit in _bounds(schema):
+        parts.append(one(~_is(v, "number") | _holds(F.try_variant_get(v, "$", "double"), op, limit),
+                         F.concat(shown, F.lit(f" is {words[op]} {limit}"))))
+    s, is_str = F.try_variant_get(v, "$", "string"), _is(v, "string")
+    arr, is_arr = v.try_cast("array<variant>"), _is(v, "array")
+    for key, cond, text in (("minLength", lambda n: ~is_str | (F.length(s) >= n), " is too short"),
+                            ("maxLength", lambda n: ~is_str | (F.length(s) <= n), " is too long"),
+                            ("minItems", lambda n: ~is_arr | (F.size(arr) >= n), " is too short"),
+                            ("maxItems", lambda n: ~is_arr | (F.size(arr) <= n), " is too long")):
+        if key in schema:
+            parts.append(one(cond(schema[key]), F.concat(shown, F.lit(text))))
+    if "pattern" in schema:
+        parts.append(one(~is_str | s.rlike("(?U)" + to_java(schema["pattern"])),
+                         F.concat(shown, F.lit(f" does not match {schema['pattern']!r}"))))
+    is_obj = _is(v, "object")
+    for name in schema.get("required", []):
+        parts.append(one(~is_obj | _member(v, name).isNotNull(), F.lit(f"{name!r} is a required property")))
+    if schema.get("additionalProperties", True) is not True:
+        parts.append(one(~is_obj | _extra(schema, v), F.lit("additional properties are not allowed or not valid")))
+    for key, ok in (("allOf", lambda subs: F.forall(F.array(*[compile_schema(x, v) for x in subs]), lambda b: b)),
+                    ("anyOf", lambda subs: _any([compile_schema(x, v) for x in subs])),
+                    ("oneOf", lambda subs: sum((F.when(compile_schema(x, v), 1).otherwise(0) for x in subs), F.lit(0)) == 1),
+                    ("not", lambda sub: ~compile_schema(sub, v))):
+        if key in schema:
+            parts.append(one(ok(schema[key]), F.concat(shown, F.lit(f" is not valid under {key!r}"))))
+    for name, sub in (schema.get("properties") or {}).items():
+        member = _member(v, name)
+        parts.append(F.when(is_obj & member.isNotNull(), violations(sub, member, at(F.lit(compact(name))))).otherwise(none))
+    items = schema.get("items", True)
+    if isinstance(items, list):
+        for i, sub in enumerate(items):
+            x = F.get(arr, F.lit(i))
+            parts.append(F.when(x.isNotNull(), violations(sub, x, at(F.lit(str(i))))).otherwise(none))
+    elif items is not True:
+        parts.append(F.coalesce(F.flatten(F.transform(
+            arr, lambda x, i: violations(items, x, at(i.cast("string"))))), none))
+    return F.concat(*parts) if parts else none
+
+
+def json_schema(r, schema) -> dict:
+    """CHK-2: no body fails; otherwise the body must validate against the schema. The message
+    and the evidence path are those of the first violation, outer ones first."""
     body = r["json"]
-    ok_schema = compile_schema(schema, body)
     has_body = body.isNotNull() & ~F.coalesce(F.is_variant_null(body), F.lit(False))
-    ok = has_body & ok_schema
-    msg = (F.when(~has_body, F.lit("no JSON body to validate"))
-           .when(ok, F.lit("matches schema"))
-           .otherwise(F.lit("does not match schema")))
-    sev = F.when(ok, F.lit("info")).otherwise(F.lit("fail"))
-    return {"passed": ok, "severity": sev, "message": msg,
-            "evidence": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
+    ok = has_body & compile_schema(schema, body)
+    first = F.when(has_body & ~ok, F.get(violations(schema, body), F.lit(0)))
+    msg = (F.when(~has_body, F.lit("no JSON body to validate")).when(ok, F.lit("matches schema"))
+           .otherwise(F.coalesce(first["message"], F.lit("does not match schema"))))
+    evidence = F.when(first.isNotNull(), F.concat(F.lit('{"path":['), first["path"], F.lit("]}")))
+    return {"passed": ok, "severity": F.when(ok, F.lit("info")).otherwise(F.lit("fail")), "message": msg,
+            "evidence": evidence, "score": F.lit(None).cast("double")}

@@ -1,30 +1,75 @@
-"""Judge verdicts -> check results (JDG-4..14).
+"""Judge verdicts -> check results (JDG-1, JDG-4..14).
 
-Input is a table of verdict samples (one row per case, check and sample). The model
-call that produces it is a pluggable ``mapInPandas`` stage (see ``operators.udf``).
+Input is a table of verdict samples (one row per case, judge check and sample: what a model
+replied). The model call that produces it is a pluggable ``mapInPandas`` stage
+(``operators.udf.ask_judge``).
 
 Median per dimension is computed from per-score counts: scores are small integers
 (a rubric's scale), so ``(case, dim, score) -> count`` is an algebraic, map-side
 combined aggregate, and the median falls out of the cumulative counts of at most a
-handful of rows per dimension — exact, and no group is ever collected whole.
+handful of rows per dimension — exact, and no group is ever collected whole. What is
+collected per check is one entry per dimension of its rubric or distinct quote.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.text import fold
+from proofline.functions import jsonpath as jp
+from proofline.functions.text import fold, py_repr
 
 # ---- fixed values that must equal the reference's --------------------------------
-MAX_SAMPLES = 9          # self-consistency samples are clamped to 1..9
-PROMPT_RESPONSE_CHARS = 6000
-PROMPT_INPUT_CHARS = 2000
-MESSAGE_CHARS = 300
-QUOTE_PREVIEW_CHARS = 80
 ELLIPSIS = r"\.{3,}|…"
+NO_QUOTES = "rubric requires evidence, but the judge quoted nothing"
+FABRICATED = "evidence quotes do not appear in the response: "
 # -----------------------------------------------------------------------------------
 
 
+# ---- JDG-1: prompt -------------------------------------------------------------------
+
+def json_string(s: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
+
+
+def build_prompt(dims_text: Column, response_json: Column, response_text: Column,
+                 case_input: Column, max_chars: tuple[int, int] | None = None) -> Column:
+    """JDG-1: rubric dimension lines, the whole response (JSON body, or the text where there is
+    none or an empty one), the whole case input. ``max_chars`` cuts the two where a caller's
+    model needs it."""
+    empty = response_json.isNull() | response_json.isin("{}", "[]", '""', "0", "false", "null")
+    body = F.when(~empty, response_json).otherwise(F.coalesce(json_string(response_text), F.lit("null")))
+    given = F.coalesce(case_input, F.lit("null"))
+    if max_chars:
+        body, given = F.substring(body, 1, max_chars[0]), F.substring(given, 1, max_chars[1])
+    return F.concat(F.lit("RUBRIC DIMENSIONS:\n"), dims_text, F.lit("\n\nMODEL RESPONSE:\n"), body,
+                    F.lit("\n\nCASE INPUT:\n"), given)
+
+
+# ---- JDG-4: verdict parsing ------------------------------------------------------------
+
+def parse_verdicts(verdicts: DataFrame, text: str = "verdict") -> DataFrame:
+    """JDG-4: ``verdict_json`` and ``verdict_error``, never both. A reply that is a JSON object
+    is that object; a reply that is no JSON is the first object inside its prose; everything
+    else is an error, also JSON that is no object."""
+    reply = F.col(text)
+    parsed = jp.strict_json(reply)
+    kind = jp.variant_kind(parsed)
+    # the lenient parse takes one value and ignores what follows: tried at every brace in turn
+    braces = F.filter(F.sequence(F.lit(1), F.greatest(F.length(reply), F.lit(1))),
+                      lambda i: F.substring(reply, i, F.lit(1)) == "{")
+    inner = F.filter(F.transform(braces, lambda i: F.try_parse_json(F.substring(reply, i, F.length(reply)))),
+                     lambda v: v.try_cast("map<string,variant>").isNotNull())
+    found = F.when(kind == "object", F.to_json(parsed)).when(
+        kind.isNull(), F.to_json(F.get(inner, F.lit(0))))
+    out = verdicts.withColumn("verdict_json", found)
+    error = (F.when(reply.isNull() | (F.trim(reply) == ""), "empty reply")
+             .when(kind.isNotNull() & (kind != "object"), F.concat(F.lit("expected an object, got "), kind))
+             .otherwise("no JSON object in the reply"))
+    return out.withColumn("verdict_error", F.when(F.col("verdict_json").isNull(), error))
+
+
+# ---- JDG-5/6: scores --------------------------------------------------------------------
+
 def as_int(v: Column) -> Column:
     """JDG-5 integer coercion of a VARIANT score: "2" -> 2, 1.9 -> 1, true -> 1;
     "2.5", null, objects -> NULL."""
@@ -38,16 +83,21 @@ def as_int(v: Column) -> Column:
 
 
 def explode_scores(verdicts: DataFrame, keys: list[str], scores: str = "scores",
-                   sample: str = "sample_no") -> DataFrame:
-    """Verdict rows with a JSON ``scores`` object -> (keys, sample, dim, score)."""
+                   sample: str = "sample_no", dims: DataFrame | None = None) -> DataFrame:
+    """Verdict rows with a JSON ``scores`` object -> (keys, sample, dim, score). With ``dims``
+    (rubric_id, dim) only the dimensions that the rubric of the verdict lists."""
     m = F.try_parse_json(F.col(scores)).try_cast("map<string,variant>")
-    return (verdicts.select(*keys, sample, F.explode(m).alias("dim", "_v"))
-            .select(*keys, sample, "dim", as_int(F.col("_v")).alias("score"))
-            .where(F.col("score").isNotNull()))
+    own = [*keys, *(["rubric_id"] if dims is not None else [])]
+    s = (verdicts.select(*own, sample, F.explode(m).alias("dim", "_v"))
+         .select(*own, sample, "dim", as_int(F.col("_v")).alias("score"))
+         .where(F.col("score").isNotNull()))
+    if dims is not None:
+        s = s.join(dims.select("rubric_id", "dim").distinct(), ["rubric_id", "dim"], "left_semi")
+    return s.select(*keys, sample, "dim", "score")
 
 
 def reduce_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """JDG-6 per (keys, dim): n, floor(median), spread = max - min."""
+    """JDG-6 per (keys, dim): n, floor(median), spread = max - min, samples (score -> count)."""
     g = keys + ["dim"]
     counts = scores.groupBy(*g, "score").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*g).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,16 +110,17 @@ def reduce_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     cum = (cum.withColumn("_a", F.when((F.col("lo") < k1) & (k1 <= F.col("hi")), F.col("score")))
               .withColumn("_b", F.when((F.col("lo") < k2) & (k2 <= F.col("hi")), F.col("score"))))
     return cum.groupBy(*g).agg(
-        F.first("n").alias("n"),
+        F.max("n").alias("n"),
         F.floor((F.max("_a") + F.max("_b")) / 2).cast("int").alias("median"),
         (F.max("score") - F.min("score")).cast("int").alias("spread"))
 
 
 def consistency(reduced: DataFrame, keys: list[str]) -> DataFrame:
-    """JDG-6 per check: samples (max n), max spread, agreed; only when some
-    dimension had more than one sample."""
+    """JDG-6 per check: samples (max n), max spread, agreed, and the block per dimension; only
+    when some dimension had more than one sample."""
     return (reduced.groupBy(*keys).agg(
-        F.max("n").alias("samples"), F.max("spread").alias("max_spread"))
+        F.max("n").alias("samples"), F.max("spread").alias("max_spread"),
+        F.array_sort(F.collect_list(F.struct("dim", "n", "median", "spread"))).alias("per_dimension"))
         .where(F.col("samples") > 1)
         .withColumn("agreed", F.col("max_spread") == 0))
 
@@ -79,37 +130,52 @@ def dimension_threshold(dim_min: Column, rubric_min: Column, scale_top: Column)
     return F.coalesce(dim_min, rubric_min, scale_top, F.lit(1)).cast("int")
 
 
-def score_checks(reduced: DataFrame, dims: DataFrame, cases: DataFrame, keys: list[str],
-                 rationale: DataFrame | None = None) -> DataFrame:
-    """JDG-8/13/14: one judge result per case.
+# ---- JDG-8/12/13/14: results --------------------------------------------------------------
+
+def first_rationale(verdicts: DataFrame, keys: list[str], rationale: str = "rationale",
+                    sample: str = "sample_no") -> DataFrame:
+    """The first non-empty rationale over the samples of each check."""
+    said = F.nullif(F.col(rationale), F.lit(""))
+    return verdicts.groupBy(*keys).agg(F.min_by(said, F.when(said.isNotNull(), F.col(sample))).alias("rationale"))
 
-    ``dims``: (dim, dim_pos, min_score, rubric_min, scale_top) for the rubric — a
-    rubric's dimension list is part of the spec and small. ``cases`` lists every case
-    that was judged, so a case whose judge scored nothing still gets a result.
+
+def score_checks(reduced: DataFrame, dims: DataFrame, cases: DataFrame, keys: list[str],
+                 rationale: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """JDG-8/12/13/14: one judge result per check: keys, passed, score, n_failures, message,
+    severity.
+
+    ``dims``: (rubric_id, dim, dim_pos, min_score, rubric_min, scale_top). ``cases``: keys and
+    rubric_id of every check that was judged, so one whose judge scored nothing still gets a
+    result. ``rationale``: keys, rationale. ``evidence`` (from :func:`evidence_failures`): keys,
+    evidence_failure. The message is whole; shorten it where it is shown.
     """
     d = dims.withColumn("threshold", dimension_threshold(
         F.col("min_score"), F.col("rubric_min"), F.col("scale_top")))
-    # Every judged case meets every dimension of its rubric; the rubric id is the key
-    # (a rubric's dimension list is small, so it is broadcast).
-    grid = cases.select(*keys, "rubric_id").distinct().join(F.broadcast(d), "rubric_id")
+    grid = cases.select(*keys, "rubric_id").distinct().join(d, "rubric_id", "left")
     j = grid.join(reduced.select(*keys, "dim", "median"), keys + ["dim"], "left")
-    failure = (F.when(F.col("median").isNull(),
-                      F.concat(F.lit("judge did not score dimension '"), F.col("dim"), F.lit("'")))
+    failure = (F.when(F.col("dim").isNull(), F.lit(None))
+               .when(F.col("median").isNull(),
+                     F.concat(F.lit("judge did not score dimension '"), F.col("dim"), F.lit("'")))
                .when(F.col("median") < F.col("threshold"),
                      F.concat(F.col("dim"), F.lit("="), F.col("median").cast("string"),
                               F.lit(" < min_score "), F.col("threshold").cast("string"))))
     agg = j.groupBy(*keys).agg(
         F.sum(F.coalesce("median", F.lit(0))).alias("_tot"),
         F.sum("scale_top").alias("_max"),
-        F.count(F.lit(1)).alias("_dims"),
         F.array_sort(F.collect_list(F.when(failure.isNotNull(),
                                            F.struct(F.col("dim_pos"), failure.alias("f"))))).alias("_fails"))
-    fails = F.transform("_fails", lambda s: s["f"])
-    score = F.when(F.col("_max") > 0, F.bround(F.col("_tot") / F.col("_max"), 3))
-    msg = F.substring(F.array_join(fails, "; "), 1, MESSAGE_CHARS)
-    passed = F.size(fails) == 0
-    return agg.select(*keys, passed.alias("passed"), score.alias("score"),
-                      F.size(fails).alias("n_failures"), msg.alias("message"),
+    none = F.lit(None).cast("string")
+    agg = agg.join(evidence, keys, "left") if evidence is not None else agg.withColumn("evidence_failure", none)
+    agg = agg.join(rationale, keys, "left") if rationale is not None else agg.withColumn("rationale", none)
+    fails = F.concat(F.transform("_fails", lambda s: s["f"]), F.filter(
+        F.array("evidence_failure"), lambda x: x.isNotNull()))
+    out = agg.withColumn("_f", fails)
+    passed = F.size("_f") == 0
+    said = F.filter(F.array("rationale"), lambda x: x.isNotNull())
+    return out.select(*keys, passed.alias("passed"),
+                      F.when(F.col("_max") > 0, F.bround(F.col("_tot") / F.col("_max"), 3)).alias("score"),
+                      F.size("_f").alias("n_failures"),
+                      F.array_join(F.concat("_f", said), "; ").alias("message"),
                       F.when(passed, "info").otherwise("warn").alias("severity"))
 
 
@@ -131,10 +197,49 @@ def quote_in(quote: Column, folded_hay: Column) -> Column:
     return (F.size(segs) > 0) & (end > 0)
 
 
+def flattened(v: Column, depth: int = 8) -> Column:
+    """JDG-10: a VARIANT body as text: ``key value`` lines for objects, one line per element for
+    arrays, scalars as they print. Levels below ``depth`` are taken as their JSON text."""
+    kind = jp.variant_kind(v)
+    scalar = (F.when(kind == "string", F.try_variant_get(v, "$", "string"))
+              .when(kind == "null", "None")
+              .when(kind == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False"))
+              .otherwise(F.to_json(v)))
+    if depth == 0:
+        return scalar
+    obj = F.array_join(F.transform(F.map_entries(v.try_cast("map<string,variant>")), lambda e: F.concat(
+        e["key"], F.lit(" "), flattened(e["value"], depth - 1))), "\n")
+    arr = F.array_join(F.transform(v.try_cast("array<variant>"), lambda x: flattened(x, depth - 1)), "\n")
+    return F.when(kind == "object", obj).when(kind == "array", arr).otherwise(scalar)
+
+
+def haystack(text: Column, body: Column | None = None, depth: int = 2) -> Column:
+    """JDG-10: everything a judge could have quoted: the text, then the flattened body."""
+    parts = [F.nullif(F.coalesce(text, F.lit("")), F.lit(""))]
+    if body is not None:
+        parts.append(F.nullif(flattened(body, depth), F.lit("")))
+    return F.concat_ws("\n", *parts)
+
+
 def unique_quotes(verdicts: DataFrame, keys: list[str], quotes: str = "evidence_quotes",
                   sample: str = "sample_no") -> DataFrame:
-    """JDG-11: distinct quotes across samples, first-seen order (sample, position)."""
+    """JDG-11: (keys, quotes): distinct quotes over the samples of a check, first seen first; no
+    row for a check without quotes."""
     ex = verdicts.select(*keys, sample, F.posexplode(quotes).alias("pos", "quote"))
     first = ex.groupBy(*keys, "quote").agg(F.min(F.struct(sample, "pos")).alias("_first"))
-    return first.select(*keys, "quote", F.col("_first")[sample].alias(sample),
-                        F.col("_first")["pos"].alias("pos"))
+    return first.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_first", "quote"))), lambda s: s["quote"]).alias("quotes"))
+
+
+def evidence_failures(cases: DataFrame, quotes: DataFrame, keys: list[str],
+                      hay: str = "hay") -> DataFrame:
+    """JDG-9/12 per check whose rubric requires evidence: verified, unverified (arrays) and
+    evidence_failure (NULL: fine). ``cases``: keys and the folded haystack."""
+    j = cases.join(quotes, keys, "left").withColumn("quotes", F.coalesce("quotes", F.expr("cast(array() as array<string>)")))
+    seen = F.transform("quotes", lambda x: F.struct(x.alias("q"), quote_in(x, F.col(hay)).alias("ok")))
+    j = j.withColumn("_s", seen).select(
+        *keys, "quotes", F.transform(F.filter("_s", lambda s: s["ok"]), lambda s: s["q"]).alias("verified"),
+        F.transform(F.filter("_s", lambda s: ~s["ok"]), lambda s: s["q"]).alias("unverified"))
+    bad = F.concat(F.lit(FABRICATED), F.array_join(F.transform("unverified", py_repr), "; "))
+    return j.select(*keys, "verified", "unverified", F.when(F.size("quotes") == 0, NO_QUOTES).when(
+        F.size("unverified") > 0, bad).alias("evidence_failure"))

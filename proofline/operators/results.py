@@ -50,14 +50,12 @@ def run_gate(case_flags: DataFrame, keys=("run_id",), flag: str = "passed") -> D
 def policy_inputs(case_results: DataFrame, tags: list[str], key: str = "run_id",
                   flag: str = "effective_passed", ref: str = "requirement_ref") -> DataFrame:
     """One row per run with everything the three pass policies need."""
-    tagged = F.col(ref).isin(tags) if tags else F.lit(False)
+    tagged = F.bool_and(F.when(F.col(ref).isin(tags), F.col(flag))) if tags else F.lit(None).cast("boolean")
     return case_results.groupBy(key).agg(
         F.count(F.lit(1)).alias("cases"),
         F.count_if(F.col(flag)).alias("passed"),
         F.bool_and(F.col(flag)).alias("all_passed"),
-        F.expr(f"bool_and({flag}) FILTER (WHERE {ref} IN "
-               f"({', '.join(repr(t) for t in tags) or 'NULL'}))").alias("tagged_passed")
-        if tags else F.lit(None).cast("boolean").alias("tagged_passed"))
+        tagged.alias("tagged_passed"))
 
 
 def suggested_verdict(reports: DataFrame, case_results: DataFrame, policy: dict,
@@ -95,3 +93,38 @@ def compare_to_baseline(current: DataFrame, baseline: DataFrame, keys: list[str]
               .when(~F.col("baseline_passed") & F.col("current_passed"), "fixed")
               .otherwise("same"))
     return j.withColumn("status", status)
+
+
+def run_records(runs: DataFrame, case_results: DataFrame, failures: DataFrame | None = None,
+                key: str = "run_id") -> DataFrame:
+    """SNK-2 / REV-7: one record per run: status (``error`` where ``failures``: key, error_type,
+    error_message has the run, else ``complete``), error text, total cost, summary and the state
+    and first transition of its report (none for a failed run). A run without cases is complete
+    with an empty summary."""
+    summary = case_results.groupBy(key).agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"),
+        rounded(F.sum(exact_cost(F.col("cost_usd"))), 6).alias("total_cost_usd"))
+    out = runs.join(summary, key, "left")
+    if failures is not None:
+        out = out.join(failures, key, "left")
+        failed = F.col("error_type").isNotNull()
+        error = F.when(failed, F.concat(F.col("error_type"), F.lit(": "), F.coalesce("error_message", F.lit(""))))
+    else:
+        failed, error = F.lit(False), F.lit(None).cast("string")
+    cases, passed = F.coalesce("cases", F.lit(0)), F.coalesce("passed", F.lit(0))
+    return out.select(*runs.columns, F.when(failed, "error").otherwise("complete").alias("status"), error.alias("error"),
+                      F.coalesce("total_cost_usd", F.lit(0.0)).alias("total_cost_usd"), cases.alias("cases"),
+                      passed.alias("passed"), (cases - passed).alias("failed"),
+                      F.when(~failed, "pending").alias("report_state"),
+                      F.when(~failed, "run created").alias("transition_note"))
+
+
+def token_rollup(responses: DataFrame, keys: list[str], usage: str = "usage") -> DataFrame:
+    """AGG-13: input and output tokens per key from the usage (JSON text) of each response; a
+    response without usage counts nothing but is counted."""
+    u = F.try_parse_json(F.col(usage))
+
+    def tokens(name: str):
+        return F.sum(F.coalesce(F.try_variant_get(u, f"$.{name}", "bigint"), F.lit(0))).alias(name)
+    return responses.groupBy(*keys).agg(F.count(F.lit(1)).alias("responses"),
+                                        tokens("input_tokens"), tokens("output_tokens"))

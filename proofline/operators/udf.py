@@ -1,11 +1,11 @@
-"""User code plug points (UDF-1..4, JDG-1..4), all Arrow-batched.
+"""User code plug points (UDF-1..4, JDG-2), all Arrow-batched.
 
 * user checks — ``check(response: dict, context: dict) -> dict``; registered by name,
   evaluated by a pandas UDF over Arrow batches. A missing function, an exception or a
   non-dict result becomes a *failed result*, never a failed job. Stored source text
   is never executed (deviation D-6): only importable, registered functions run.
 * providers — a judge or target model is a function over a pandas batch of prompts,
-  run with ``mapInPandas``; tests plug in deterministic fakes.
+  run with ``mapInPandas``.
 """
 from __future__ import annotations
 
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT_TYPE = "passed boolean, score double, severity string, message string, evidence string"
+# Fields of the response a user check is given, in this order.
+RESPONSE_FIELDS = ("text", "json", "raw", "tool_calls", "usage", "latency_ms", "cost_usd", "status", "error")
+_JSON_FIELDS = ("json", "raw", "tool_calls", "usage")
 _CHECKS: dict[str, Callable[[dict, dict], dict]] = {}
 
 
@@ -24,8 +27,12 @@ def register_check(name: str, fn: Callable[[dict, dict], dict]) -> None:
     _CHECKS[name] = fn
 
 
+def _missing(v) -> bool:
+    return v is None or (isinstance(v, float) and pd.isna(v))
+
+
 def _loads(s):
-    if s is None or (isinstance(s, float) and pd.isna(s)):
+    if _missing(s):
         return None
     try:
         return json.loads(s)
@@ -44,122 +51,81 @@ def _result(raw) -> tuple:
 
 
 def check_udf(fn: Callable[[dict, dict], dict] | None, name: str):
-    """Arrow UDF applying one user check to (text, json text, latency, context json)."""
+    """Arrow UDF applying one user check to a response struct and its context (JSON text)."""
     @F.pandas_udf(RESULT_TYPE)
-    def run(text: pd.Series, body: pd.Series, latency: pd.Series, context: pd.Series) -> pd.DataFrame:
+    def run(response: pd.DataFrame, context: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, b, lat, ctx in zip(text, body, latency, context):
+        for r, ctx in zip(response.to_dict("records"), context, strict=True):
             if fn is None:
                 rows.append((False, None, "fail", f"no check function registered as {name!r}", None))
                 continue
-            resp = {"text": None if t is None or (isinstance(t, float) and pd.isna(t)) else t,
-                    "json": _loads(b), "latency_ms": 0.0 if lat is None or pd.isna(lat) else float(lat)}
+            resp = {k: _loads(v) if k in _JSON_FIELDS else None if _missing(v) else v for k, v in r.items()}
+            resp["latency_ms"] = resp.get("latency_ms") or 0.0
             try:
                 rows.append(_result(fn(resp, _loads(ctx) or {})))
             except Exception as exc:  # a failing check is a failed result
-                rows.append((False, None, "fail", f"check raised {type(exc).__name__}: {exc}"[:300], None))
+                rows.append((False, None, "fail", f"check raised {type(exc).__name__}: {exc}", None))
         return pd.DataFrame(rows, columns=["passed", "score", "severity", "message", "evidence"])
     return run
 
 
 def run_user_check(name: str, r: dict, context: Column | None, user_checks=None) -> dict:
+    """Result columns of the check ``name``. ``r``: the response columns; ``r['body']``, the
+    text that ``json`` was parsed from, is passed on as it is where there is one."""
     fn = (user_checks or {}).get(name) or _CHECKS.get(name)
-    ctx = context if context is not None else F.lit(None).cast("string")
-    s = check_udf(fn, name)(r["text"], F.to_json(r["json"]), r["latency_ms"], ctx)
+    null = F.lit(None).cast("string")
+    body = r.get("body")
+    fields = {k: r.get(k) for k in RESPONSE_FIELDS}
+    fields["json"] = body if body is not None else F.to_json(r["json"])
+    for k in ("latency_ms", "cost_usd"):
+        fields[k] = (fields[k] if fields[k] is not None else null).cast("double")
+    response = F.struct(*[(v if v is not None else null).alias(k) for k, v in fields.items()])
+    s = check_udf(fn, name)(response, context if context is not None else null)
     return {k: s[k] for k in ("passed", "score", "severity", "message", "evidence")}
 
 
-# ---- an example user check: blocked findings need high or critical severity ---------
-SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
+# ---- an example user check: every finding names its article ---------------------------
 
+def articles_named(response: dict, context: dict) -> dict:
+    """Share of the findings in the body that name an article; all of them must."""
+    body = response.get("json")
+    rows = body.get("findings") if isinstance(body, dict) else None
+    rows = [x for x in rows if isinstance(x, dict)] if isinstance(rows, list) else []
+    named = sum(1 for x in rows if isinstance(x.get("article"), str) and x["article"])
+    share = named / len(rows) if rows else 1.0
+    return {"passed": named == len(rows), "score": share, "severity": "info" if named == len(rows) else "fail",
+            "message": f"{named} of {len(rows)} findings name an article",
+            "evidence": {"suite": context.get("suite")}}
 
-def blocked_needs_high_severity(response: dict, context: dict) -> dict:
-    body = response.get("json") or {}
-    findings = body.get("findings", []) if isinstance(body, dict) else []
-    offending = [f for f in findings if isinstance(f, dict) and f.get("status") == "blocked"
-                 and SEVERITY_RANK.get(f.get("severity"), 0) < SEVERITY_RANK["high"]]
-    return {"passed": not offending, "score": None,
-            "severity": "fail" if offending else "info",
-            "message": (f"{len(offending)} blocked finding(s) below high severity" if offending
-                        else "severity monotonic with status"),
-            "evidence": {"violations": offending[:5]}}
 
-
-def blocked_needs_high_severity_native(body: Column) -> Column:
+def articles_named_native(body: Column) -> Column:
     """The same rule as a Column (no Python): the preferred form when expressible."""
-    findings = F.coalesce(F.try_variant_get(body, "$.findings", "array<variant>"),
-                          F.expr("cast(array() as array<variant>)"))
-    rank = F.create_map(*[x for k, v in SEVERITY_RANK.items() for x in (F.lit(k), F.lit(v))])
-    return F.forall(findings, lambda f: ~(
-        (F.try_variant_get(f, "$.status", "string") == "blocked") &
-        (F.coalesce(F.element_at(rank, F.try_variant_get(f, "$.severity", "string")), F.lit(0)) < 2)))
+    findings = F.filter(F.coalesce(F.try_variant_get(body, "$.findings", "array<variant>"),
+                                   F.expr("cast(array() as array<variant>)")),
+                        lambda f: f.try_cast("map<string,variant>").isNotNull())
+    return F.forall(findings, lambda f: F.coalesce(
+        (F.schema_of_variant(F.try_variant_get(f, "$.article", "variant")) == "STRING")
+        & (F.try_variant_get(f, "$.article", "string") != ""), F.lit(False)))
 
 
-register_check("blocked_needs_high_severity", blocked_needs_high_severity)
+register_check("articles_named", articles_named)
 
 
 # ---- model providers (judge / target) --------------------------------------------------
-VERDICT_TYPE = "verdict string"
-
-
-def build_prompt(dims_text: Column, response_json: Column, response_text: Column,
-                 case_input: Column) -> Column:
-    """JDG-1: rubric dimension lines, the response (JSON body if any, else text) cut
-    at 6000 characters, the case input cut at 2000."""
-    as_json_string = F.regexp_replace(F.to_json(F.array(response_text)), r"^\[|\]$", "")
-    body = F.when(response_json.isNotNull() & (response_json != "{}"), response_json) \
-        .otherwise(as_json_string)
-    return F.concat(F.lit("RUBRIC DIMENSIONS:\n"), dims_text, F.lit("\n\nMODEL RESPONSE:\n"),
-                    F.substring(body, 1, 6000), F.lit("\n\nCASE INPUT:\n"),
-                    F.substring(F.coalesce(case_input, F.lit("null")), 1, 2000))
-
 
 def ask_judge(requests: DataFrame, provider: Callable[[pd.DataFrame], pd.Series],
-              keys: list[str], samples: Column | int = 1) -> DataFrame:
-    """JDG-2: n samples per request (clamped 1..9), each answered by ``provider``
-    over Arrow batches; returns (keys, sample_no, verdict)."""
-    n = samples if isinstance(samples, Column) else F.lit(samples)
-    n = F.least(F.greatest(n, F.lit(1)), F.lit(9))
-    exploded = requests.select(*keys, "prompt", F.explode(F.sequence(F.lit(1), n)).alias("sample_no"))
+              keys: list[str], samples: int = 1) -> DataFrame:
+    """JDG-2 / UDF-3: ``samples`` requests per prompt, each answered by ``provider`` over Arrow
+    batches; returns (keys, sample_no, verdict)."""
+    if samples < 1:
+        raise ValueError("samples is at least 1")
+    exploded = requests.select(*keys, "prompt", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample_no"))
     out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in
                            exploded.schema.fields if f.name in keys) + ", sample_no int, verdict string"
 
     def batches(it):
         for pdf in it:
-            res = pdf[keys + ["sample_no"]].copy()
+            res = pdf[[*keys, "sample_no"]].copy()
             res["verdict"] = provider(pdf).astype(object).values
             yield res
     return exploded.mapInPandas(batches, out_schema)
-
-
-def parse_verdicts(verdicts: DataFrame, text: str = "verdict") -> DataFrame:
-    """JDG-4: a verdict is its JSON object; otherwise the first balanced object
-    inside prose (rows that fail the strict parse go through an Arrow UDF)."""
-    strict = F.try_parse_json(F.col(text))
-    is_obj = strict.try_cast("map<string,variant>").isNotNull()
-
-    @F.pandas_udf("string")
-    def first_object(s: pd.Series) -> pd.Series:
-        dec = json.JSONDecoder()
-        out = []
-        for v in s:
-            found = None
-            if isinstance(v, str):
-                i = v.find("{")
-                while i >= 0 and found is None:
-                    try:
-                        obj, _ = dec.raw_decode(v, i)
-                        if isinstance(obj, dict):
-                            found = json.dumps(obj)
-                    except ValueError:
-                        pass
-                    i = v.find("{", i + 1)
-            out.append(found)
-        return pd.Series(out, dtype=object)
-    return verdicts.withColumn("verdict_json", F.when(is_obj, F.to_json(strict))
-                               .otherwise(first_object(F.col(text))))
-
-
-def mock_judge(pdf: pd.DataFrame) -> pd.Series:
-    """JDG-3: the offline judge — the verdict schema filled with its smallest values."""
-    return pd.Series(['{"scores": {}, "rationale": "", "evidence_quotes": []}'] * len(pdf))

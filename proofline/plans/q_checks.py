@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofline.operators.checks import Check
-from proofline.operators.evaluate import apply_checks, apply_and_gate, checks_table, evaluate_checks
+from proofline.operators.checks import PII_PATTERNS, Check
+from proofline.operators.evaluate import apply_checks, checks_table, evaluate_checks, with_body
 from proofline.plans.registry import query
 from proofline.plans.sqltext import q
 from proofline.sources import tables as T
@@ -20,10 +20,8 @@ TEXT_SPEC = [
     Check("pii_absent"),
     Check("refusal_detector", {"expect_refusal": False}, required=False),
 ]
-# ASCII versions of the personal-data patterns for the oracle (RE2 classes are ASCII).
-SQL_EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
-SQL_IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"
-SQL_CARD = r"\b(?:\d[ -]*?){13,16}\b"
+# The same patterns for the oracle, whose classes are ASCII.
+SQL_EMAIL, SQL_IBAN, SQL_CARD = (PII_PATTERNS[k] for k in ("email", "iban", "card"))
 
 
 def _one(spark, sf_dir, check):
@@ -79,7 +77,7 @@ def chk_pii_counts(spark, sf_dir):
     hits = pii_hits(F.coalesce(F.col("text"), F.lit("")))
     # every class is extracted once; counts and the check read the same arrays
     h = r.select("case_id", *[v.alias(f"h_{k}") for k, v in hits.items()])
-    res = pii_absent({"text": None}, {"hits": {k: F.col(f"h_{k}") for k in hits}})
+    res = pii_absent({"text": None}, hits={k: F.col(f"h_{k}") for k in hits})
     return h.select("case_id", *[F.size(f"h_{k}").cast("long").alias(f"n_{k}") for k in hits],
                     res["passed"].alias("passed"), res["message"].alias("message"))
 
@@ -111,13 +109,23 @@ def _json_one(spark, sf_dir, check, cols=("case_id", "passed", "message")):
     return apply_checks(r, [check], ["case_id"]).select(*cols)
 
 
-@query("chk_valid_json", sql="""
-SELECT event_id AS case_id, coalesce(json_valid(props) AND json_type(props) <> 'NULL', false) AS passed,
-  CASE WHEN coalesce(json_valid(props) AND json_type(props) <> 'NULL', false)
+# bodies: every seventh is followed by garbage, is null, is missing, is cut off; the rest as it is
+SQL_BODIES = """(SELECT event_id, CASE event_id % 7 WHEN 0 THEN props || ' x' WHEN 1 THEN 'null'
+  WHEN 2 THEN NULL WHEN 3 THEN substr(props, 1, length(props) - 1) ELSE props END AS body FROM events)"""
+
+
+@query("chk_valid_json", sql=f"""
+SELECT event_id AS case_id, coalesce(json_valid(body) AND trim(body) <> 'null', false) AS passed,
+  CASE WHEN coalesce(json_valid(body) AND trim(body) <> 'null', false)
        THEN 'response body is valid JSON' ELSE 'response is not valid JSON' END AS message
-FROM events""")
+FROM {SQL_BODIES}""")
 def chk_valid_json(spark, sf_dir):
-    return _json_one(spark, sf_dir, Check("valid_json"))
+    e = T.table(spark, sf_dir, "events")
+    k = F.col("event_id") % 7
+    body = (F.when(k == 0, F.concat("props", F.lit(" x"))).when(k == 1, "null").when(k == 2, F.lit(None))
+            .when(k == 3, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")))
+    r = e.select(F.col("event_id").alias("case_id"), body.alias("body"))
+    return apply_checks(r, [Check("valid_json")], ["case_id"]).select("case_id", "passed", "message")
 
 
 @query("chk_numeric_bound", sql="""
@@ -156,20 +164,14 @@ def chk_latency(spark, sf_dir):
 FINDING_SCHEMA = {
     "type": "object",
     "required": ["findings"],
-    "properties": {
-        "findings": {
-            "type": "array",
-            "items": {
-                "type": "object",
-                "required": ["status", "severity", "article"],
-                "properties": {
-                    "status": {"enum": ["shippable", "mitigate", "blocked"]},
-                    "severity": {"enum": ["low", "medium", "high", "critical"]},
-                    "article": {"type": "string"},
-                },
-            },
-        }
-    },
+    "properties": {"findings": {"type": "array", "minItems": 1, "maxItems": 2, "items": {
+        "type": "object",
+        "required": ["severity", "article"],
+        "properties": {
+            "severity": {"type": "string", "pattern": "^[a-z]+$", "not": {"const": "urgent"}},
+            "article": {"type": "string", "minLength": 1},
+        },
+    }}},
 }
 
 
@@ -192,13 +194,41 @@ def chk_citation(spark, sf_dir):
 
 
 @query("chk_json_schema", sql=f"""
-SELECT l_orderkey, l_linenumber, (v2 <> 'urgent' AND a2 IS NOT NULL) AS passed
+SELECT l_orderkey, l_linenumber, (v2 <> 'urgent' AND a1 <> '' AND a2 IS NOT NULL) AS passed
 FROM {T.SQL_FINDINGS}""")
 def chk_json_schema(spark, sf_dir):
     df = _findings(spark, sf_dir, [Check("json_schema", {"schema": FINDING_SCHEMA})])
     return df.select("l_orderkey", "l_linenumber", "passed")
 
 
+@query("chk_schema_violation", sql=f"""
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN a1 = '' THEN ''''' is too short' WHEN v2 = 'urgent' THEN '''urgent'' is not valid under ''not'''
+       WHEN a2 IS NULL THEN 'None is not of type ''string''' ELSE 'matches schema' END AS message,
+  CASE WHEN a1 = '' THEN '{{"path":["findings",0,"article"]}}' WHEN v2 = 'urgent' THEN '{{"path":["findings",1,"severity"]}}'
+       WHEN a2 IS NULL THEN '{{"path":["findings",1,"article"]}}' END AS evidence
+FROM {T.SQL_FINDINGS}""")
+def chk_schema_violation(spark, sf_dir):
+    """CHK-2 with the first violation's message and place."""
+    df = _findings(spark, sf_dir, [Check("json_schema", {"schema": FINDING_SCHEMA})])
+    return df.select("l_orderkey", "l_linenumber", "message", "evidence")
+
+
+@query("chk_citation_resolves", sql=f"""
+WITH cited AS (SELECT l_orderkey, a1 AS citation FROM {T.SQL_FINDINGS} WHERE a1 <> ''
+               UNION SELECT l_orderkey, a2 FROM {T.SQL_FINDINGS} WHERE a2 <> '')
+SELECT l_orderkey, citation FROM cited
+WHERE citation NOT IN (SELECT 'Art. ' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey < 90)""")
+def chk_citation_resolves(spark, sf_dir):
+    """CHK-14: cited articles that the corpus (the first parts' numbers) does not hold."""
+    from proofline.functions import jsonpath as jp
+    from proofline.operators.checks import unresolved_citations
+    r = with_body(T.finding_responses(spark, sf_dir))
+    corpus = T.table(spark, sf_dir, "part").where("p_partkey < 90").select(
+        F.concat(F.lit("Art. "), F.col("p_partkey").cast("string")).alias("ref"))
+    return unresolved_citations(r, jp.matches(F.col("json"), "$.findings[*].article"), ["l_orderkey"], corpus)
+
+
 @query("chk_enum_equals", sql=f"""
 SELECT l_orderkey, l_linenumber, v2 <> 'urgent' AS enum_ok, s1 = 'blocked' AS equals_ok
 FROM {T.SQL_FINDINGS}""")
@@ -226,40 +256,65 @@ def chk_cost_bound(spark, sf_dir):
 
 
 # ---- checks as a table, joined per suite (CHK-20 dispatch + CHK-21 threshold) ------
+K_SCHEMA = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 30}}}
+
+
+def k_share(response: dict, context: dict) -> dict:
+    """User check of the dispatch query: k in percent as a score, never passed by itself."""
+    return {"passed": False, "score": response["json"]["k"] / 100, "message": "k as a share"}
+
+
 DISPATCH_ROWS = [
     {"suite_id": "click", "check_index": 0, "uses": "latency_bound", "params": {"max_ms": 20}},
-    {"suite_id": "click", "check_index": 1, "uses": "valid_json"},
+    {"suite_id": "click", "check_index": 1, "uses": "equals", "params": {"field": "$.k", "value": 42}},
+    {"suite_id": "click", "check_index": 2, "uses": "regex_match", "params": {"pattern": "[13579]}$"}},
     {"suite_id": "view", "check_index": 0, "uses": "numeric_bound",
      "params": {"field": "$.k", "min": 20, "max": 80}},
+    {"suite_id": "view", "check_index": 1, "uses": "enum_value", "params": {"field": "k", "values": [1, 2, 3, 50]}},
     {"suite_id": "purchase", "check_index": 0, "uses": "field_present",
      "params": {"field": "$.k", "min": 1}},
     {"suite_id": "purchase", "check_index": 1, "uses": "numeric_bound",
      "params": {"field": "$.k", "max": 50}, "required": False},
-    {"suite_id": "signup", "check_index": 0, "uses": "contains", "params": {"value": "k"}},
+    {"suite_id": "purchase", "check_index": 2, "uses": "json_schema", "params": {"schema_ref": "k"}},
+    {"suite_id": "signup", "check_index": 0, "uses": "contains", "params": {"value": "7"}},
+    {"suite_id": "signup", "check_index": 1, "uses": "length_bound", "params": {"max": 8}},
+    {"suite_id": "signup", "check_index": 2, "uses": "k_share", "type": "generated", "params": {"threshold": 0.5}},
     {"suite_id": "error", "check_index": 0, "uses": "no_such_template"},
     {"suite_id": "error", "check_index": 1, "type": "mystery", "uses": None},
+    {"suite_id": "error", "check_index": 2, "type": "judge", "judge": "j", "uses": None},
+    {"suite_id": "error", "check_index": 3, "uses": "numeric_bound", "params": {"field": "$..k"}},
+    {"suite_id": "error", "check_index": 4, "uses": "contains"},
 ]
-
-
-@query("check_dispatch", sql="""
-SELECT event_id AS case_id, 0 AS check_index, 'template:latency_bound' AS check_id, value <= 20 AS passed
-  FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, 1, 'template:valid_json', true FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, 0, 'template:numeric_bound',
-  CAST(json_extract(props, '$.k') AS DOUBLE) BETWEEN 20 AND 80 FROM events WHERE event_type = 'view'
-UNION ALL SELECT event_id, 0, 'template:field_present', true FROM events WHERE event_type = 'purchase'
-UNION ALL SELECT event_id, 1, 'template:numeric_bound', CAST(json_extract(props, '$.k') AS DOUBLE) <= 50
-  FROM events WHERE event_type = 'purchase'
-UNION ALL SELECT event_id, 0, 'template:contains', false FROM events WHERE event_type = 'signup'
-UNION ALL SELECT event_id, 0, 'no_such_template', false FROM events WHERE event_type = 'error'
-UNION ALL SELECT event_id, 1, 'mystery', false FROM events WHERE event_type = 'error'""")
+_K = "CAST(json_extract(props, '$.k') AS DOUBLE)"
+
+
+@query("check_dispatch", sql=f"""
+WITH r AS (SELECT * FROM (VALUES
+  ('click', 0, 'template:latency_bound'), ('click', 1, 'template:equals'), ('click', 2, 'template:regex_match'),
+  ('view', 0, 'template:numeric_bound'), ('view', 1, 'template:enum_value'),
+  ('purchase', 0, 'template:field_present'), ('purchase', 1, 'template:numeric_bound'), ('purchase', 2, 'template:json_schema'),
+  ('signup', 0, 'template:contains'), ('signup', 1, 'template:length_bound'), ('signup', 2, 'generated:k_share'),
+  ('error', 0, 'no_such_template'), ('error', 1, 'mystery'), ('error', 2, 'judge'),
+  ('error', 3, 'template:numeric_bound'), ('error', 4, 'template:contains')) t(event_type, check_index, check_id))
+SELECT event_id AS case_id, check_index, check_id,
+  CASE event_type || check_index
+    WHEN 'click0' THEN value <= 20 WHEN 'click1' THEN {_K} = 42 WHEN 'click2' THEN {_K} % 2 = 1
+    WHEN 'view0' THEN {_K} BETWEEN 20 AND 80 WHEN 'view1' THEN {_K} IN (1, 2, 3, 50)
+    WHEN 'purchase0' THEN true WHEN 'purchase1' THEN {_K} <= 50 WHEN 'purchase2' THEN {_K} >= 30
+    WHEN 'signup0' THEN contains(props, '7') WHEN 'signup1' THEN length(props) <= 8 WHEN 'signup2' THEN {_K} >= 50
+    ELSE false END AS passed,
+  CASE event_type || check_index WHEN 'error0' THEN 'unknown template: no_such_template'
+    WHEN 'error1' THEN 'unknown check type: mystery' WHEN 'error2' THEN 'unknown judge: j'
+    WHEN 'error3' THEN 'path not supported in a checks table: $..k' WHEN 'error4' THEN 'missing parameter: value'
+    WHEN 'signup2' THEN 'k as a share' END AS note
+FROM events JOIN r USING (event_type)""")
 def check_dispatch(spark, sf_dir):
-    r = T.json_responses(spark, sf_dir)
-    # The checks table is a literal of eight rows: its size is fixed, so broadcast.
-    checks = F.broadcast(checks_table(spark, DISPATCH_ROWS))
-    res = evaluate_checks(r, checks, ["suite_id"])
-    return res.select("case_id", F.col("check_index").cast("int").alias("check_index"),
-                      "check_id", "passed")
+    r = T.json_responses(spark, sf_dir).withColumn("text", F.col("body"))
+    res = evaluate_checks(r, checks_table(spark, DISPATCH_ROWS), ["suite_id"],
+                          schemas={"k": K_SCHEMA}, user_checks={"k_share": k_share})
+    own = (F.col("suite_id") == "error") | (F.col("type") == "generated")
+    return res.select("case_id", F.col("check_index").cast("int").alias("check_index"), "check_id", "passed",
+                      F.when(own, F.col("message")).alias("note"))
 
 
 @query("graded_threshold", sql="""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from proofline.operators import coverage as COV
 from proofline.operators import results as RS
 from proofline.operators.evaluate import apply_and_gate
+from proofline.operators.testsets import split_requirements
 from proofline.plans.q_checks import LICENSE, SECRET, LICENSE_RE, SQL_CARD, SQL_EMAIL, SQL_IBAN, TEXT_SPEC
 from proofline.plans.registry import query
-from proofline.plans.sqltext import q
+from proofline.plans.sqltext import SQL_SPLIT, q
 from proofline.sources import tables as T
 
 # The text spec evaluated in SQL: one flag per required check, the gate over them.
@@ -140,43 +141,107 @@ def orphans(spark, sf_dir):
     return COV.orphans(F.broadcast(T.requirements(spark)), T.text_responses(spark, sf_dir))
 
 
+# Requirement lists per run: run -> version (o_custkey % 50; none for every seventh customer) ->
+# the requirements that the version's text, document doc_id = version, splits into.
+def run_versions(spark, sf_dir):
+    v = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 50)
+    return T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), v.alias("version_id"))
+
+
+def version_requirements(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), "text")
+    return split_requirements(docs.join(run_versions(spark, sf_dir).select("version_id").distinct(), "version_id",
+                                        "left_semi"), key="version_id")
+
+
+SQL_RUN_REQUIREMENTS = f"""(SELECT o_orderkey AS run_id, req_id, text, section, position
+  FROM orders JOIN ({SQL_SPLIT}) r ON r.doc_id = o_custkey % 50 WHERE o_custkey % 7 <> 0)"""
+
+
+@query("run_requirements", sql=f"SELECT run_id, count(*) AS requirements, max(position) AS last FROM {SQL_RUN_REQUIREMENTS} GROUP BY 1")
+def run_requirements(spark, sf_dir):
+    """SRC-6: the requirement list of every run, through its version."""
+    r = COV.run_requirements(run_versions(spark, sf_dir), version_requirements(spark, sf_dir))
+    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("requirements"), F.max("position").alias("last"))
+
+
 @query("coverage_per_run", sql=f"""
-WITH cited AS (SELECT DISTINCT run_id, requirement_ref FROM {T.SQL_CASE_RESULTS}),
-     cov AS (SELECT run_id, count(*) FILTER (WHERE requirement_ref IN (SELECT req_id FROM {T.SQL_REQUIREMENTS})) AS n
-             FROM cited GROUP BY run_id)
-SELECT run_id, CAST(n AS BIGINT) AS requirements_covered, CAST(14 AS BIGINT) AS requirements_total,
-  round(n / 14 * 100, 1) AS covered_pct FROM cov""")
+WITH t AS (SELECT run_id, coalesce(nullif(requirement_ref, ''), '(unmapped)') AS ref, count(*) AS total FROM {T.SQL_CASE_RESULTS} GROUP BY ALL),
+ m AS (SELECT run_id, ref, position, total, q.ref IS NOT NULL AS known
+       FROM (SELECT run_id, req_id AS ref, position FROM {SQL_RUN_REQUIREMENTS}) q FULL JOIN t USING (run_id, ref)),
+ s AS (SELECT run_id, count_if(known) AS n, count_if(known AND total IS NOT NULL) AS c,
+         string_agg(ref, ',' ORDER BY position, ref) FILTER (known AND total IS NULL) AS unc,
+         string_agg(ref, ',' ORDER BY ref) FILTER (NOT known) AS orp FROM
+         (SELECT run_id, ref, position, total, position IS NOT NULL AS known FROM m) GROUP BY run_id)
+SELECT o_orderkey AS run_id, coalesce(n, 0) AS requirements_total, coalesce(c, 0) AS requirements_covered,
+  CASE WHEN n > 0 THEN round_even(c / n * 100, 1) END AS covered_pct, coalesce(unc, '') AS uncovered,
+  coalesce(orp, '') AS orphans, coalesce(n, 0) > 0 AS known_requirements
+FROM orders LEFT JOIN s ON s.run_id = o_orderkey""")
 def coverage_per_run(spark, sf_dir):
-    return COV.per_run(T.requirements(spark), T.case_results(spark, sf_dir))
+    """AGG-8 per run: against the list of the run's own version, runs without cases included."""
+    runs = run_versions(spark, sf_dir)
+    reqs = COV.run_requirements(runs, version_requirements(spark, sf_dir))
+    out = COV.per_run(reqs, T.case_results(spark, sf_dir), runs)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("uncovered", "orphans")})
 
 
 # ---- baseline comparison (JON-12) -------------------------------------------------------
-# Baseline run: the text spec over every document except Spanish ones; current run: the
-# same spec with the licence check on 'Licensed' instead, over every document except
-# German ones. Per (suite, case): new / gone / regressed / fixed / same.
+# Baseline run: the text spec over every document; current run: the same documents under a spec
+# whose licence check is on 'Licensed' instead, with cases renamed where doc_id % 10 = 0 (so
+# these are gone, and new under their new name). Per (suite, case): the status.
 @query("regression_vs_baseline", sql=f"""
-WITH b AS (SELECT suite_id, case_id, passed FROM {SQL_TEXT_GATE} WHERE run_id <> 'es'),
-     c AS (SELECT suite_id, case_id,
-             passed OR (NOT contains(coalesce(text, ''), {q(LICENSE)}) AND contains(coalesce(text, ''), 'Licensed')) AS passed0,
-             passed, failed_checks, text
-           FROM (SELECT g.*, d.text FROM {SQL_TEXT_GATE} g JOIN documents d ON d.doc_id = g.case_id) WHERE run_id <> 'de'),
-     c2 AS (SELECT suite_id, case_id,
+WITH b AS (SELECT suite_id, case_id, passed FROM {SQL_TEXT_GATE}),
+     c AS (SELECT g.suite_id, CASE WHEN g.case_id % 10 = 0 THEN -1 - g.case_id ELSE g.case_id END AS case_id,
              (failed_checks - CASE WHEN contains(coalesce(text, ''), {q(LICENSE)}) THEN 0 ELSE 1 END
-              + CASE WHEN contains(coalesce(text, ''), 'Licensed') THEN 0 ELSE 1 END) = 0 AS passed FROM c)
-SELECT coalesce(c2.suite_id, b.suite_id) AS suite_id, coalesce(c2.case_id, b.case_id) AS case_id,
-  c2.passed AS current_passed, b.passed AS baseline_passed,
-  CASE WHEN b.passed IS NULL THEN 'new' WHEN c2.passed IS NULL THEN 'gone'
-       WHEN b.passed AND NOT c2.passed THEN 'regressed' WHEN NOT b.passed AND c2.passed THEN 'fixed'
+              + CASE WHEN contains(coalesce(text, ''), 'Licensed') THEN 0 ELSE 1 END) = 0 AS passed
+           FROM {SQL_TEXT_GATE} g JOIN documents d ON d.doc_id = g.case_id)
+SELECT coalesce(c.suite_id, b.suite_id) AS suite_id, coalesce(c.case_id, b.case_id) AS case_id,
+  c.passed AS current_passed, b.passed AS baseline_passed,
+  CASE WHEN b.passed IS NULL THEN 'new' WHEN c.passed IS NULL THEN 'gone'
+       WHEN b.passed AND NOT c.passed THEN 'regressed' WHEN NOT b.passed AND c.passed THEN 'fixed'
        ELSE 'same' END AS status
-FROM c2 FULL OUTER JOIN b ON c2.suite_id = b.suite_id AND c2.case_id = b.case_id""")
+FROM c FULL OUTER JOIN b ON c.suite_id = b.suite_id AND c.case_id = b.case_id""")
 def regression_vs_baseline(spark, sf_dir):
     from proofline.operators.checks import Check
     r = T.text_responses(spark, sf_dir)
     keys = ["suite_id", "case_id"]
-    base = apply_and_gate(r.where(F.col("run_id") != "es"), TEXT_SPEC, keys, body=None)
+    base = apply_and_gate(r, TEXT_SPEC, keys, body=None)
     spec2 = [Check("contains", {"value": "Licensed"})] + TEXT_SPEC[1:]
-    cur = apply_and_gate(r.where(F.col("run_id") != "de"), spec2, keys, body=None)
-    return RS.compare_to_baseline(cur, base, keys)
+    renamed = r.withColumn("case_id", F.when(F.col("case_id") % 10 == 0, -1 - F.col("case_id")).otherwise(F.col("case_id")))
+    return RS.compare_to_baseline(apply_and_gate(renamed, spec2, keys, body=None), base, keys)
+
+
+# ---- run records (SNK-2, REV-7) and tokens (AGG-13) -----------------------------------------
+@query("run_records", sql=f"""
+WITH s AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed,
+             CAST(round(sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(24,8))), 6) AS DOUBLE) AS cost FROM {T.SQL_CASE_RESULTS} GROUP BY 1)
+SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'complete' END AS status,
+  CASE WHEN o_orderstatus = 'P' THEN 'TimeoutError: ' || o_orderpriority END AS error, coalesce(cost, 0.0) AS total_cost_usd,
+  coalesce(cases, 0) AS cases, coalesce(passed, 0) AS passed, coalesce(cases, 0) - coalesce(passed, 0) AS failed,
+  CASE WHEN o_orderstatus <> 'P' THEN 'pending' END AS report_state,
+  CASE WHEN o_orderstatus <> 'P' THEN 'run created' END AS transition_note
+FROM orders LEFT JOIN s ON s.run_id = o_orderkey""")
+def run_records(spark, sf_dir):
+    """SNK-2 / REV-7: every order a run; those still processing failed with their priority as text."""
+    o = T.table(spark, sf_dir, "orders")
+    failures = o.where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("run_id"), F.lit("TimeoutError").alias("error_type"),
+        F.col("o_orderpriority").alias("error_message"))
+    return RS.run_records(o.select(F.col("o_orderkey").alias("run_id")), T.case_results(spark, sf_dir), failures)
+
+
+@query("token_rollup", sql="""
+SELECT lang AS run_id, source AS suite_id, count(*) AS responses,
+  CAST(sum(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE n_chars // 4 END) AS BIGINT) AS input_tokens,
+  CAST(sum(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 7 END) AS BIGINT) AS output_tokens
+FROM documents GROUP BY 1, 2""")
+def token_rollup(spark, sf_dir):
+    """AGG-13: usage as JSON text, missing for every ninth response."""
+    d = T.table(spark, sf_dir, "documents")
+    usage = F.when(F.col("doc_id") % 9 != 0, F.to_json(F.struct(
+        F.floor(F.col("n_chars") / 4).alias("input_tokens"), (F.col("doc_id") % 7).alias("output_tokens"))))
+    return RS.token_rollup(d.select(F.col("lang").alias("run_id"), F.col("source").alias("suite_id"), usage.alias("usage")),
+                           ["run_id", "suite_id"])
 
 
 # ---- rollups of cost and pass rate (AGG-13/14) -------------------------------------------

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proofline.operators import results as RS
 from proofline.operators import review as RV
 from proofline.plans.registry import query
 from proofline.sources import tables as T
@@ -39,49 +40,67 @@ def adjudication_fold(spark, sf_dir):
 
 
 def transition_log(spark, sf_dir):
+    """Every fifth entry claims that the report was pending before."""
     e = T.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
     to_state = (F.when(F.col("event_type") == "click", "pending")
                 .when(F.col("event_type") == "view", "ready_for_review").otherwise("done"))
     return e.select(F.col("user_id").alias("report_id"), F.col("event_id").alias("transition_id"),
-                    F.col("ts").alias("at"), to_state.alias("to_state"))
+                    F.col("ts").alias("at"), F.when(F.col("event_id") % 5 == 0, "pending").alias("from_state"),
+                    to_state.alias("to_state"))
 
 
 SQL_TRANSITIONS = """(SELECT user_id AS report_id, event_id AS transition_id, ts AS "at",
+  CASE WHEN event_id % 5 = 0 THEN 'pending' END AS from_state,
   CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'ready_for_review' ELSE 'done' END AS to_state
   FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
 
 
 @query("state_fold", sql=f"""
-SELECT report_id, to_state AS state FROM (
-  SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY "at" DESC, transition_id DESC) AS rn
-  FROM {SQL_TRANSITIONS}) WHERE rn = 1""")
+SELECT o_orderkey AS report_id, coalesce(s.state, 'pending') AS state FROM orders LEFT JOIN
+  (SELECT report_id, arg_max(to_state, ("at", transition_id)) AS state FROM {SQL_TRANSITIONS} GROUP BY 1) s ON s.report_id = o_orderkey""")
 def state_fold(spark, sf_dir):
-    return RV.state_fold(transition_log(spark, sf_dir), "report_id", "at", "transition_id")
+    """Every report has a state, also those without a transition."""
+    reports = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"))
+    return RV.state_fold(transition_log(spark, sf_dir), reports, "report_id", "at", "transition_id")
 
 
 @query("illegal_transitions", sql=f"""
-SELECT report_id, transition_id, from_state, to_state FROM (
-  SELECT report_id, transition_id, to_state,
-    coalesce(lag(to_state) OVER (PARTITION BY report_id ORDER BY "at", transition_id), 'pending') AS from_state
+SELECT report_id, transition_id, from_state, actual_state, to_state FROM (
+  SELECT report_id, transition_id, from_state, to_state,
+    coalesce(lag(to_state) OVER (PARTITION BY report_id ORDER BY "at", transition_id), 'pending') AS actual_state
   FROM {SQL_TRANSITIONS})
-WHERE NOT ((from_state = 'pending' AND to_state = 'ready_for_review')
-        OR (from_state = 'ready_for_review' AND to_state IN ('done', 'pending'))
-        OR from_state = to_state)""")
+WHERE NOT ((actual_state = 'pending' AND to_state = 'ready_for_review')
+        OR (actual_state = 'ready_for_review' AND to_state IN ('done', 'pending'))
+        OR actual_state = to_state) OR from_state <> actual_state""")
 def illegal_transitions(spark, sf_dir):
     out = RV.illegal_transitions(transition_log(spark, sf_dir), "report_id", "at", "transition_id")
-    return out.select("report_id", "transition_id", "from_state", "to_state")
+    return out.select("report_id", "transition_id", "from_state", "actual_state", "to_state")
+
+
+@query("assigned_reviewers", sql="""
+SELECT user_id AS report_id, arg_max('rev' || event_id % 7, (ts, event_id)) AS reviewer,
+  arg_max('rev' || event_id % 3, (ts, event_id)) AS actor, max(ts) AS "at" FROM events WHERE event_type = 'signup' GROUP BY 1""")
+def assigned_reviewers(spark, sf_dir):
+    """REV-2: sign-ups as assignments."""
+    name = lambda n: F.concat(F.lit("rev"), (F.col("event_id") % n).cast("string"))
+    log = T.table(spark, sf_dir, "events").where("event_type = 'signup'").select(
+        F.col("user_id").alias("report_id"), F.col("ts").alias("at"), F.col("event_id").alias("transition_id"),
+        name(7).alias("reviewer"), name(3).alias("actor"))
+    return RV.assigned_reviewers(log)
 
 
 @query("activation", sql="""
-WITH a AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS active_id FROM events
-           WHERE event_type = 'purchase' GROUP BY user_id)
-SELECT e.user_id AS pipeline_id, e.event_id AS version_id,
-  CASE WHEN e.event_id = a.active_id THEN 'active' WHEN e.event_type = 'purchase' THEN 'archived' ELSE 'draft' END AS status
-FROM events e LEFT JOIN a ON a.user_id = e.user_id""")
+WITH v AS (SELECT DISTINCT user_id AS pipeline_id, user_id * 100 + event_id % 10 AS version_id FROM events),
+ a AS (SELECT user_id AS pipeline_id, user_id * 100 + event_id % 10 AS version_id, ts, event_id FROM events WHERE event_type = 'purchase'),
+ l AS (SELECT pipeline_id, arg_max(version_id, (ts, event_id)) AS active FROM a GROUP BY 1)
+SELECT v.pipeline_id, v.version_id, CASE WHEN v.version_id = l.active THEN 'active'
+  WHEN v.version_id IN (SELECT version_id FROM a) THEN 'archived' ELSE 'draft' END AS status FROM v LEFT JOIN l USING (pipeline_id)""")
 def activation(spark, sf_dir):
+    """Ten versions a pipeline, activated by purchases, again and again."""
     e = T.table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("pipeline_id"), F.col("event_id").alias("version_id"), "ts", "event_type")
-    out = RV.activation_status(e, "pipeline_id", "version_id", F.col("event_type") == "purchase", "ts")
+        F.col("user_id").alias("pipeline_id"), (F.col("user_id") * 100 + F.col("event_id") % 10).alias("version_id"),
+        F.col("ts").alias("at"), F.col("event_id").alias("activation_id"), "event_type")
+    out = RV.activation_status(e.select("pipeline_id", "version_id").distinct(), e.where("event_type = 'purchase'"))
     return out.select("pipeline_id", "version_id", "status")
 
 
@@ -132,31 +151,100 @@ def next_version(spark, sf_dir):
         (F.max("l_linenumber") + 1).alias("next_version"))
 
 
-# ---- adjudication validation and reviewer audit ------------------------------------------
-# attempts: labels rows; report = the order with o_orderkey = doc_id; quality 1 = pass,
-# 0 = fail; a toxic row carries no reason.
+# ---- adjudication and verdict validation, reviewer audit ---------------------------------
+# attempts: labels rows; report = the order with o_orderkey = doc_id; quality 1 = pass, 0 = fail;
+# actor = the supplier with s_suppkey = doc_id % (number of suppliers); a toxic row carries no
+# reason, every tenth a blank one. Case k * 10 + 1 belongs to run k; every sixth attempt names
+# the case of the next run.
+def _attempts(spark, sf_dir):
+    sup = T.table(spark, sf_dir, "supplier")
+    n_sup = sup.count()  # one scalar: attempts are paired with supplier doc_id % n
+    lab = T.table(spark, sf_dir, "labels").withColumn("s_suppkey", F.col("doc_id") % F.lit(n_sup))
+    d = F.col("doc_id")
+    return lab.join(sup.select("s_suppkey", F.col("s_name").alias("actor")), "s_suppkey", "left").select(
+        d.alias("report_id"), "doc_id", (F.when(d % 6 == 0, d + 1).otherwise(d) * 10 + 1).alias("case_id"), "actor",
+        F.when(d % 9 == 0, "maybe").when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"),
+        F.when(F.col("toxic") == 1, F.lit(None)).when(d % 10 == 3, "  ").otherwise(
+            F.concat(F.lit("label "), d.cast("string"))).alias("reason"))
+
+
+SQL_ATTEMPTS = """(SELECT doc_id AS report_id, doc_id, (CASE WHEN doc_id % 6 = 0 THEN doc_id + 1 ELSE doc_id END) * 10 + 1 AS case_id,
+  s_name AS actor, CASE WHEN doc_id % 9 = 0 THEN 'maybe' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict,
+  CASE WHEN toxic = 1 THEN NULL WHEN doc_id % 10 = 3 THEN '  ' ELSE 'label ' || doc_id END AS reason
+  FROM labels LEFT JOIN supplier ON s_suppkey = doc_id % (SELECT count(*) FROM supplier))"""
+SQL_USERS = """(SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 0 THEN 'admin'
+  WHEN s_nationkey % 2 = 0 THEN 'reviewer' ELSE 'runner' END AS role FROM supplier)"""
+
+
 @query("adjudication_validation", sql=f"""
-WITH a AS (SELECT doc_id AS report_id, doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict,
-                  CASE WHEN toxic = 1 THEN NULL ELSE 'label ' || CAST(doc_id AS VARCHAR) END AS reason FROM labels)
 SELECT a.doc_id,
-  CASE WHEN r.state IS NULL THEN 'report not found' WHEN r.state = 'done' THEN 'report is locked'
+  CASE WHEN coalesce(u.role, '') NOT IN ('reviewer', 'admin') THEN 'actor lacks reviewer authority'
+       WHEN r.state IS NULL THEN 'report not found' WHEN r.state = 'done' THEN 'report is locked'
        WHEN r.state <> 'ready_for_review' THEN 'report is not ready_for_review'
-       WHEN a.verdict IS NOT NULL AND (a.reason IS NULL OR trim(a.reason) = '') THEN 'reason required when setting a verdict'
-  END AS reject_reason,
-  CASE WHEN r.state IS NULL OR r.state <> 'ready_for_review' OR (a.verdict IS NOT NULL AND (a.reason IS NULL OR trim(a.reason) = ''))
-       THEN false ELSE true END AS accepted
-FROM a LEFT JOIN {T.SQL_REPORTS} r ON r.report_id = a.report_id""")
+       WHEN coalesce(a.reason, '') = '' THEN 'reason required when setting a verdict'
+       WHEN c.o_orderkey IS NULL OR c.o_orderkey <> r.run_id THEN 'case not in report' END AS reject_reason,
+  reject_reason IS NULL AS accepted
+FROM {SQL_ATTEMPTS} a LEFT JOIN {T.SQL_REPORTS} r ON r.report_id = a.report_id LEFT JOIN {SQL_USERS} u ON u.name = a.actor
+LEFT JOIN orders c ON c.o_orderkey * 10 + 1 = a.case_id""")
 def adjudication_validation(spark, sf_dir):
-    lab = T.table(spark, sf_dir, "labels")
-    attempts = lab.select(
-        F.col("doc_id").alias("report_id"), "doc_id",
-        F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"),
-        F.when(F.col("toxic") == 1, F.lit(None)).otherwise(
-            F.concat(F.lit("label "), F.col("doc_id").cast("string"))).alias("reason"))
-    out = RV.validate_adjudications(attempts, T.reports(spark, sf_dir))
+    """REV-3 / REV-5."""
+    cases = T.table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") * 10 + 1).alias("case_id"), F.col("o_orderkey").alias("run_id"))
+    out = RV.validate_adjudications(_attempts(spark, sf_dir), T.reports(spark, sf_dir), users(spark, sf_dir), cases, "enforced")
     return out.select("doc_id", "reject_reason", "accepted")
 
 
+@query("verdict_validation", sql=f"""
+WITH s AS (SELECT run_id, count(*) AS cases, count_if(coalesce(human_verdict = 'pass', passed)) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY 1),
+ j AS (SELECT a.doc_id, r.run_id, CASE WHEN a.verdict NOT IN ('pass', 'fail') THEN 'verdict must be ''pass'' or ''fail'''
+       WHEN coalesce(trim(a.reason), '') = '' THEN 'reason required'
+       WHEN coalesce(u.role, '') NOT IN ('reviewer', 'admin') THEN 'actor lacks reviewer authority'
+       WHEN r.state IS NULL THEN 'report not found'
+       WHEN r.state <> 'ready_for_review' THEN 'illegal transition ' || r.state || ' -> done' END AS reject_reason
+   FROM {SQL_ATTEMPTS} a LEFT JOIN {T.SQL_REPORTS} r ON r.report_id = a.report_id LEFT JOIN {SQL_USERS} u ON u.name = a.actor)
+SELECT doc_id, reject_reason, reject_reason IS NULL AS locked, CASE WHEN reject_reason IS NULL THEN 'done' END AS new_state,
+  CASE WHEN reject_reason IS NULL THEN coalesce(cases, 0) END AS cases, CASE WHEN reject_reason IS NULL THEN coalesce(passed, 0) END AS passed
+FROM j LEFT JOIN s USING (run_id)""")
+def verdict_validation(spark, sf_dir):
+    """REV-4."""
+    cr = T.case_results(spark, sf_dir)
+    eff = cr.withColumn("effective", RS.effective_passed(F.col("passed"), F.col("human_verdict")))
+    s = RS.run_summary(eff, flag="effective").select("run_id", "cases", "passed")
+    out = RV.validate_verdicts(_attempts(spark, sf_dir), T.reports(spark, sf_dir), users(spark, sf_dir), s)
+    return out.select("doc_id", "reject_reason", "locked", "new_state", "cases", "passed")
+
+
+@query("review_events", sql=f"""
+WITH s AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY 1)
+SELECT r.report_id, '{{"event":"ready_for_review","report_id":' || r.report_id || ',"run_id":' || r.run_id || ',"project":"' || r.project
+  || '","summary":{{"cases":' || coalesce(s.cases, 0) || ',"passed":' || coalesce(s.passed, 0) || ',"failed":' || coalesce(s.cases - s.passed, 0)
+  || '}},"assigned_reviewer":"' || r.reviewer || '","target":{{"adapter":"rest","model":"' || t.s_name || '"}}'
+  || CASE WHEN p.p_partkey IS NOT NULL THEN ',"pipeline_version":{{"id":' || p.p_partkey || ',"version_number":' || (p.p_partkey % 5 + 1)
+       || ',"content_hash":"' || md5(p.p_partkey::VARCHAR) || '"}}' ELSE '' END || '}}' AS payload
+FROM {T.SQL_REPORTS} r JOIN supplier t ON t.s_suppkey = r.o_custkey % (SELECT count(*) FROM supplier)
+LEFT JOIN part p ON p.p_partkey = CASE WHEN r.o_custkey % 4 <> 0 THEN r.o_custkey END LEFT JOIN s ON s.run_id = r.run_id
+WHERE r.state = 'ready_for_review'""")
+def review_events(spark, sf_dir):
+    """REV-6 / JON-2: report, run, target and (for some runs) version as one payload."""
+    rep = T.reports(spark, sf_dir).where("state = 'ready_for_review'")
+    sup = T.table(spark, sf_dir, "supplier")
+    n_sup = sup.count()  # one scalar: a run's target is supplier o_custkey % n
+    runs = rep.select("run_id", "project", (F.col("o_custkey") % F.lit(n_sup)).alias("target_id"),
+                      F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")).alias("version_id"))
+    targets = sup.select(F.col("s_suppkey").alias("target_id"), F.lit("rest").alias("adapter"), F.col("s_name").alias("model"))
+    p = F.col("p_partkey")
+    versions = T.table(spark, sf_dir, "part").select(p.alias("version_id"), (p % 5 + 1).alias("version_number"),
+                                                     F.md5(p.cast("string")).alias("content_hash"))
+    return RV.submit_events(rep.select("report_id", "run_id", "reviewer"), runs, targets, versions,
+                            RS.run_summary(T.case_results(spark, sf_dir)))
+
+
+@query("reviewer_list", sql=f"SELECT name, role FROM {SQL_USERS} WHERE role IN ('reviewer', 'admin') ORDER BY name")
+def reviewer_list(spark, sf_dir):
+    """REL-6."""
+    return RV.reviewers(users(spark, sf_dir))
+
+
 def users(spark, sf_dir):
     s = T.table(spark, sf_dir, "supplier")
     role = (F.when(F.col("s_nationkey") % 5 == 0, "admin")
@@ -164,10 +252,6 @@ def users(spark, sf_dir):
     return s.select(F.col("s_name").alias("name"), role.alias("role"))
 
 
-SQL_USERS = """(SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 0 THEN 'admin'
-  WHEN s_nationkey % 2 = 0 THEN 'reviewer' ELSE 'runner' END AS role FROM supplier)"""
-
-
 @query("approved_by_non_reviewer", sql=f"""
 SELECT r.report_id, s.s_name AS actor FROM {T.SQL_REPORTS} r
 JOIN supplier s ON s.s_suppkey = r.o_custkey % (SELECT count(*) FROM supplier)

@@ -1,31 +1,38 @@
-"""Arriving responses as a stream: de-duplicated, checked, folded into run progress."""
+"""Arriving responses as a stream: checked, stored, folded into run progress."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from proofline.operators.checks import Check
 from proofline.plans.registry import query
+from proofline.session import checkpoint_dir
 from proofline.sources import tables as T
 from proofline.streaming import progress as P
 
 
 @query("stream_progress", sql="""
-SELECT user_id AS run_id, count(*) AS done, count_if(value <= 25) AS passed, count(*) AS cases_total,
-  'ready_for_review' AS state
+SELECT user_id AS run_id, count(*) AS done, count_if(value <= 25) AS passed,
+  count(*) + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS cases_total,
+  CASE WHEN user_id % 5 = 0 THEN 'pending' ELSE 'ready_for_review' END AS state
 FROM events GROUP BY user_id""")
 def stream_progress(spark, sf_dir):
-    """events.parquet replayed as a file stream: responses = events (body props,
-    latency value), one latency check, progress per run (user); the expected case
-    count per run comes from the static table."""
+    """All events as responses, delivered in two drops: first the later half of each run's
+    events together with every tenth event of the earlier half, then the whole earlier half
+    (late, and partly for the second time). Every fifth run expects one case more than ever
+    arrives. The second call restarts on the first one's checkpoint."""
+    root = f"{checkpoint_dir(spark)}/stream-events-{uuid.uuid4().hex}"
     e = T.table(spark, sf_dir, "events")
-    src = P.response_stream(
-        spark, f"{sf_dir.rstrip('/')}", e.schema, "ts", ["user_id", "event_type", "event_id"],
-        glob="events.parquet")
-    resp = src.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("suite_id"),
-                      F.col("event_id").alias("case_id"), F.col("props").alias("body"),
-                      F.col("value").alias("latency_ms"), "captured_at")
-    gated = P.run_checks_stream(resp, [Check("latency_bound", {"max_ms": 25})],
-                                ["run_id", "suite_id", "case_id"])
-    totals = e.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("cases_total"))
-    table = P.progress(spark, gated, totals, "events")
-    return spark.read.parquet(table).select("run_id", "done", "passed", "cases_total", "state")
+    resp = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("suite_id"),
+                    F.col("event_id").alias("case_id"), F.col("props").alias("body"),
+                    F.col("value").alias("latency_ms"))
+    late = F.col("case_id") % 2 == 0
+    for drop in (~late | (F.col("case_id") % 20 == 0), late):
+        resp.where(drop).write.mode("append").parquet(f"{root}/drop")
+        stream = P.checked(P.response_stream(spark, f"{root}/drop", resp.schema),
+                           [Check("latency_bound", {"max_ms": 25})], P.CASE)
+        P.store_results(stream, f"{root}/results", f"{root}/checkpoint")
+    totals = resp.groupBy("run_id").agg(
+        (F.count(F.lit(1)) + F.when(F.col("run_id") % 5 == 0, 1).otherwise(0)).alias("cases_total"))
+    return P.progress(P.stored_cases(spark, f"{root}/results"), totals)

@@ -5,15 +5,14 @@ from pyspark.sql import functions as F
 
 from proofline.operators import testsets as TS
 from proofline.plans.registry import query
-from proofline.plans.sqltext import q
+from proofline.plans.sqltext import SQL_SPLIT, q
 from proofline.sources import tables as T
 
 
-@query("requirement_split", headline=True)
+@query("requirement_split", headline=True, sql=SQL_SPLIT)
 def requirement_split(spark, sf_dir):
-    """TXT-1 on every document (rows-only at the driver; a sequential Python oracle
-    checks it in tests)."""
-    docs = T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """TXT-1 on every document."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     return TS.split_requirements(docs)
 
 
@@ -37,14 +36,14 @@ def _rules_sql():
 @query("keyword_rules", sql=_rules_sql())
 def keyword_rules(spark, sf_dir):
     """TXT-2: each document is one requirement (R1); ten keyword rules as Columns."""
-    d = T.spread(T.table(spark, sf_dir, "documents")).where(F.length(F.trim("text")) > 0)
+    d = T.table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
     reqs = d.select("doc_id", F.lit("R1").alias("req_id"), "text", F.lit(1).alias("position"))
     return TS.keyword_intents(reqs)
 
 
 def _slug_sql(x, i):
-    s = (f"substr(regexp_replace(regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9._-]+', '-', 'g'), "
-         f"'^[-.]+|[-.]+$', '', 'g'), 1, 48)")
+    s = (f"regexp_replace(regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9._-]+', '-', 'g'), "
+         f"'^[-.]+|[-.]+$', '', 'g')")
     return (f"CASE WHEN regexp_matches({s}, '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN {s} "
             f"ELSE 'row-' || CAST({i} AS VARCHAR) END")
 

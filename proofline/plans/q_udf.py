@@ -1,84 +1,35 @@
-"""User checks, judge providers and canned responses."""
+"""User checks: a registered Python check and the same rule as a Column."""
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
-from proofline.operators import judge as J
 from proofline.operators import udf as U
 from proofline.operators.checks import Check
 from proofline.operators.evaluate import apply_checks, with_body
-from proofline.plans.q_judge import dims_table
 from proofline.plans.registry import query
 from proofline.sources import tables as T
 
-SQL_BLOCKED = f"""
-SELECT l_orderkey, l_linenumber, NOT (s1 = 'blocked' AND v1 IN ('low', 'medium')) AS passed
+SQL_NAMED = f"""
+SELECT l_orderkey, l_linenumber, a1 <> '' AND coalesce(a2 <> '', false) AS passed
 FROM {T.SQL_FINDINGS}"""
 
 
-@query("user_check_udf", sql=SQL_BLOCKED)
+@query("user_check_udf", sql=f"""
+SELECT l_orderkey, l_linenumber, a1 <> '' AND coalesce(a2 <> '', false) AS passed,
+  ((CASE WHEN a1 <> '' THEN 1 ELSE 0 END) + (CASE WHEN a2 <> '' THEN 1 ELSE 0 END)) / 2 AS score,
+  '{{"suite": "' || l_linestatus || '"}}' AS evidence
+FROM {T.SQL_FINDINGS}""")
 def user_check_udf(spark, sf_dir):
-    """UDF-1/2: a registered Python check over every finding body (Arrow-batched)."""
+    """UDF-1/2: a registered Python check over every finding body (Arrow-batched), with the
+    suite as its context."""
     r = T.finding_responses(spark, sf_dir)
-    res = apply_checks(r, [Check("blocked_needs_high_severity", type="generated")],
-                       ["l_orderkey", "l_linenumber"], text=None, latency=None)
-    return res.select("l_orderkey", "l_linenumber", "passed")
+    res = apply_checks(r, [Check("articles_named", type="generated")], ["l_orderkey", "l_linenumber"],
+                       text=None, latency=None, context=F.to_json(F.struct(F.col("suite_id").alias("suite"))))
+    return res.select("l_orderkey", "l_linenumber", "passed", "score", "evidence")
 
 
-@query("user_check_native", sql=SQL_BLOCKED)
+@query("user_check_native", sql=SQL_NAMED)
 def user_check_native(spark, sf_dir):
     """UDF-2 expressed natively: the same rule as a Column, no Python in the plan."""
     r = with_body(T.finding_responses(spark, sf_dir))
-    return r.select("l_orderkey", "l_linenumber",
-                    U.blocked_needs_high_severity_native(F.col("json")).alias("passed"))
-
-
-@query("mock_responses", sql="""
-SELECT conv_id, turn, 5.0 AS latency_ms, 0.0 AS cost_usd, 'ok' AS status, true AS has_json
-FROM conversations WHERE role = 'user'""")
-def mock_responses(spark, sf_dir):
-    """SRC-2: canned responses for cases without a live target — the body is
-    ``input._mock_response`` when present, else ``{"echo": input}``."""
-    c = T.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    case_input = F.to_json(F.struct(F.col("text").alias("prompt")))
-    mock = F.get_json_object(case_input, "$._mock_response")
-    body = F.coalesce(mock, F.to_json(F.struct(F.parse_json(case_input).alias("echo"))))
-    parsed = F.try_parse_json(body)
-    return c.select("conv_id", "turn", F.lit(5.0).alias("latency_ms"), F.lit(0.0).alias("cost_usd"),
-                    F.lit("ok").alias("status"),
-                    parsed.try_cast("map<string,variant>").isNotNull().alias("has_json"))
-
-
-def fake_judge(pdf: pd.DataFrame) -> pd.Series:
-    """A deterministic stand-in judge: scores every dimension from a hash of the
-    prompt and the sample number."""
-    out = []
-    for prompt, n in zip(pdf["prompt"], pdf["sample_no"]):
-        h = hashlib.sha256(f"{prompt}|{n}".encode()).digest()
-        dims = ["click", "view", "purchase", "signup", "error"]
-        scores = ", ".join(f'"{d}": {h[i] % 3}' for i, d in enumerate(dims))
-        out.append(f'Sure. {{"scores": {{{scores}}}, "rationale": "ok", "evidence_quotes": []}} done')
-    return pd.Series(out)
-
-
-@query("judge_batch")
-def judge_batch(spark, sf_dir):
-    """JDG-1..6: every assistant turn is judged 3 times by a provider through
-    ``mapInPandas``; verdicts are parsed (prose around JSON tolerated), reduced and
-    scored against rubric r1. Rows-only: the provider is Python."""
-    c = T.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    dims_text = F.lit("\n".join(f"- {d}: rate {d} (scale: {{0: 'no', 1: 'partly', 2: 'yes'}})"
-                                for d in ["click", "view", "purchase", "signup", "error"]))
-    req = c.select(F.col("conv_id").alias("case_id"), "turn",
-                   U.build_prompt(dims_text, F.lit(None).cast("string"), F.col("text"),
-                                  F.lit(None).cast("string")).alias("prompt"))
-    verdicts = U.parse_verdicts(U.ask_judge(req, fake_judge, ["case_id", "turn"], samples=3))
-    scores = J.explode_scores(verdicts.withColumnRenamed("verdict_json", "scores_doc")
-                              .withColumn("scores", F.get_json_object("scores_doc", "$.scores")),
-                              ["case_id", "turn"])
-    red = J.reduce_scores(scores, ["case_id", "turn"])
-    cases = req.select("case_id", "turn").withColumn("rubric_id", F.lit("r1"))
-    return J.score_checks(red, dims_table(spark), cases, ["case_id", "turn"])
+    return r.select("l_orderkey", "l_linenumber", U.articles_named_native(F.col("json")).alias("passed"))

@@ -1,7 +1,7 @@
 """SparkSession defaults shared by tests, the bench and the driver entry points."""
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -46,18 +46,18 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is ``fallback`` — or a scratch
-    folder from ``PROOFLINE_SCRATCH`` — installed. Lineage is cut with
-    ``DataFrame.checkpoint()`` into this folder, never with local checkpoints.
+    Only where the session names none: ``fallback``, or with a local master (tests) a
+    temporary folder. On a cluster the setting is required, since a machine-local folder is
+    lost with its machine. Lineage is cut with ``DataFrame.checkpoint()`` into this folder,
+    never with local checkpoints.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    chosen = fallback or os.environ.get("PROOFLINE_SCRATCH")
-    if not chosen:
-        import tempfile
-        chosen = tempfile.mkdtemp(prefix="proofline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    spark.sparkContext.setCheckpointDir(chosen)
-    return chosen
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else fallback)
+    if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="proofline-ckpt-")
+    if own.isEmpty():
+        context.setCheckpointDir(path)
+    return path.rstrip("/")

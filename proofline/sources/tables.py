@@ -17,30 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (regexes over long texts, JSON documents) at least
-    one partition per core.
-
-    A real table is many files and row groups, and its scan already has more splits
-    than cores — then this is a no-op. Only a scan with fewer splits than cores (one
-    small file, as in the test tables) is re-spread round-robin before the heavy
-    projection.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 # ---- responses with a text body: documents ---------------------------------------
 # run = lang, suite = source, case = doc_id; requirement_ref = 'R' || (doc_id % 9 + 1),
 # NULL when doc_id % 11 = 0.
-def text_responses(spark, sf_dir) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents"))
+def text_responses(spark, sf_dir, extra: list[str] = ()) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("lang").alias("run_id"), F.col("source").alias("suite_id"),
         F.col("doc_id").alias("case_id"), "text",
         F.when(F.col("doc_id") % 11 != 0,
                F.concat(F.lit("R"), (F.col("doc_id") % 9 + 1).cast("string")))
-        .alias("requirement_ref"))
+        .alias("requirement_ref"), *extra)
 
 
 SQL_TEXT_RESPONSES = """(SELECT lang AS run_id, source AS suite_id, doc_id AS case_id, text,
@@ -51,7 +38,7 @@ SQL_TEXT_RESPONSES = """(SELECT lang AS run_id, source AS suite_id, doc_id AS ca
 # ---- responses with a JSON body: events ------------------------------------------
 # run = user_id, suite = event_type, case = event_id, body = props, latency = value.
 def json_responses(spark, sf_dir) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("suite_id"),
                     F.col("event_id").alias("case_id"), F.col("props").alias("body"),
                     F.col("value").alias("latency_ms"), F.col("ts").alias("captured_at"))
@@ -73,9 +60,9 @@ def _status(c):
 
 
 def finding_responses(spark, sf_dir) -> DataFrame:
-    li = spread(table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity", "l_tax",
-        "l_discount", "l_partkey", "l_suppkey"))
+        "l_discount", "l_partkey", "l_suppkey")
     sev1 = (F.when(F.col("l_quantity") < 13, "low").when(F.col("l_quantity") < 26, "medium")
             .when(F.col("l_quantity") < 38, "high").otherwise("critical"))
     sev2 = (F.when(F.col("l_tax") < 0.02, "low").when(F.col("l_tax") < 0.04, "medium")
@@ -99,7 +86,7 @@ def _sql_status(c):
             f"WHEN 'O' THEN 'mitigate' ELSE 'shippable' END")
 
 
-SQL_FINDINGS = f"""(SELECT l_orderkey, l_linenumber,
+SQL_FINDINGS = f"""(SELECT l_orderkey, l_linenumber, l_linestatus,
   {_sql_status('l_returnflag')} AS s1,
   CASE WHEN l_quantity < 13 THEN 'low' WHEN l_quantity < 26 THEN 'medium'
        WHEN l_quantity < 38 THEN 'high' ELSE 'critical' END AS v1,

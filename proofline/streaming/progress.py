@@ -1,79 +1,73 @@
 """Responses that are still arriving (STR-1..4), as Structured Streaming.
 
-* STR-1 — check results land as each response arrives: stateless checks on the
-  stream, appended to a results table.
-* STR-4 — replayed files must not count twice: the stream is de-duplicated on the
-  case key within a watermark on the capture time.
-* STR-3 / STR-2 — progress per run (done / total) is maintained by ``foreachBatch``:
-  each micro-batch's per-run counts are merged into the progress table, and a run
-  whose done count reaches its total is marked ``ready_for_review`` (never ``done``).
-
-Output and checkpoints live under the session's ``spark.checkpoint.dir`` (a shared
-folder on a cluster), never on a machine-local path.
+* STR-1 — the check results of each response are stored as it arrives (SNK-1): every
+  micro-batch is appended to the results table under its own batch id.
+* STR-4 — nothing is dropped and nothing counts twice. A batch that is replayed after a
+  failure overwrites its own folder. A response that is delivered again in another batch,
+  however late, is stored again and counted once: a case is its key (run, suite, case), and
+  its first delivery decides. There is no watermark, so no response is too late.
+* STR-3 / STR-2 — progress per run is an aggregate over the stored cases; a run whose cases
+  are all there is ``ready_for_review`` (never ``done``).
+
+The caller names the results table and the checkpoint folder, both in storage that all
+executors share; a restart on the same two goes on where the last run ended.
 """
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.operators.checks import Check
-from proofline.operators.evaluate import apply_and_gate
-from proofline.session import checkpoint_dir
+from proofline.operators.evaluate import check_columns, gate_column, with_body
 
+CASE = ["run_id", "suite_id", "case_id"]
 
-def response_stream(spark: SparkSession, path: str, schema, time_col: str,
-                    keys: list[str], watermark: str = "1 hour",
-                    files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
-    """File stream of captured responses, de-duplicated on ``keys`` within the
-    watermark (STR-4). The event time must be TIMESTAMP, so NTZ is cast."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+
+def response_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
+                    glob: str | None = None) -> DataFrame:
+    """File stream of captured responses, all of them."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    s = reader.parquet(path)
-    s = s.withColumn("captured_at", F.col(time_col).cast("timestamp"))
-    return s.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(keys)
-
-
-def run_checks_stream(stream: DataFrame, checks: list[Check], keys: list[str], *,
-                      text=None, body="body", latency="latency_ms") -> DataFrame:
-    """STR-1: the case gate of every arriving response (stateless)."""
-    return apply_and_gate(stream, checks, keys, text=text, body=body, latency=latency,
-                          extra=["captured_at"])
-
-
-def merge_progress(batch: DataFrame, progress_path: str, totals: DataFrame,
-                   key: str = "run_id") -> None:
-    """Fold one micro-batch of case gates into the per-run progress table (STR-2/3)."""
-    spark = batch.sparkSession
-    inc = batch.groupBy(key).agg(F.count(F.lit(1)).alias("done"),
-                                 F.count_if("passed").alias("passed"))
-    try:
-        old = spark.read.parquet(progress_path).select(key, "done", "passed")
-        inc = old.unionByName(inc).groupBy(key).agg(F.sum("done").alias("done"),
-                                                    F.sum("passed").alias("passed"))
-    except Exception:  # first batch: no table yet
-        pass
-    out = (inc.join(totals, key, "left")
-           .withColumn("state", F.when(F.col("done") >= F.col("cases_total"), "ready_for_review")
-                       .otherwise("pending")))
-    # write the new version next to the old one, then switch: a lost executor or a
-    # retried batch never leaves a half-written table behind
-    tmp = f"{progress_path}.next-{uuid.uuid4().hex}"
-    out.write.mode("overwrite").parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(progress_path)
-
-
-def progress(spark: SparkSession, stream: DataFrame, totals: DataFrame, name: str,
-             key: str = "run_id") -> str:
-    """Run the stream to completion (``availableNow``) and return the progress table."""
-    root = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
-    table = os.path.join(root, "progress")
+    return reader.parquet(path)
+
+
+def checked(stream: DataFrame, checks: list[Check], keys: list[str], *, text=None,
+            body: str = "body", latency: str = "latency_ms") -> DataFrame:
+    """STR-1: per arriving response its key, its check results and the case gate (stateless)."""
+    df = with_body(stream, body)
+    cols = check_columns(checks, text=text, latency=latency, cost=None)
+    return df.select(*keys, F.array(*cols).alias("checks"), gate_column(cols).alias("passed"))
+
+
+def store_batch(batch: DataFrame, batch_id: int, results_path: str) -> None:
+    """SNK-1 for one micro-batch: its folder is written whole, so a replay replaces it."""
+    batch.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+
+
+def store_results(stream: DataFrame, results_path: str, checkpoint: str) -> None:
+    """Run the stream over all that has arrived (``availableNow``) into the results table."""
     q = (stream.writeStream
-         .foreachBatch(lambda b, _id: merge_progress(b, table, totals, key))
-         .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-         .trigger(availableNow=True).start())
+         .foreachBatch(lambda b, i: store_batch(b, i, results_path))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return table
+
+
+def stored_cases(spark: SparkSession, results_path: str, keys: list[str] | None = None) -> DataFrame:
+    """One row per case: the results of its first delivery (an algebraic aggregate)."""
+    keys = keys or CASE
+    t = spark.read.parquet(results_path)
+    return t.groupBy(*keys).agg(F.min_by(
+        F.struct("passed", "checks"), F.struct("batch_id", F.xxhash64("checks"))).alias("_r")
+    ).select(*keys, "_r.passed", "_r.checks")
+
+
+def progress(cases: DataFrame, totals: DataFrame, key: str = "run_id") -> DataFrame:
+    """STR-2/3 per expected run: done, passed, cases_total, state. ``totals``: key, cases_total."""
+    done = cases.groupBy(key).agg(F.count(F.lit(1)).alias("done"), F.count_if("passed").alias("passed"))
+    return totals.join(done, key, "left").select(
+        key, F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("passed", F.lit(0)).alias("passed"),
+        "cases_total", F.when(F.coalesce("done", F.lit(0)) >= F.col("cases_total"), "ready_for_review")
+        .otherwise("pending").alias("state"))

@@ -1,10 +1,14 @@
-"""Report writing, streaming de-duplication, user-check failures, verdict parsing."""
+"""Report writing, the lossless stream, user-check failures, judge providers, verdict parsing."""
+import html
 import os
 import shutil
-import tempfile
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from proofline.operators import judge as J
+from proofline.operators import report as RP
 from proofline.operators import udf as U
 from proofline.operators.checks import Check
 from proofline.operators.evaluate import apply_checks
@@ -13,52 +17,132 @@ from proofline.streaming import progress as P
 SF = "/root/testdata/sf0.001"
 
 
-def test_markdown_written_in_order(spark):
+def read_run(folder, run):
+    path = os.path.join(folder, run)
+    return "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
+
+
+def test_reports_are_written_in_order(spark, tmp_path):
     import __spark_entry__ as E
-    lines = E.queries()["report_markdown"](spark, SF)
-    out = tempfile.mkdtemp(prefix="proofline-report-")
-    from proofline.operators.report import write_markdown
-    write_markdown(lines, out)
-    runs = sorted(d for d in os.listdir(out) if d.startswith("run_id="))
-    assert runs
-    folder = os.path.join(out, runs[0])
-    text = "".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder))
-                   if f.startswith("part-"))
-    assert text.startswith("# Evaluation report")
-    assert text.index("## Requirement coverage") < text.index("### [")
-
-
-def test_stream_counts_replayed_file_once(spark):
-    src = tempfile.mkdtemp(prefix="proofline-stream-src-")
-    for i in range(2):   # the same capture delivered twice
-        shutil.copy(f"{SF}/events.parquet", os.path.join(src, f"events-{i}.parquet"))
+    lines = E.queries()["report_markdown"](spark, SF).cache()
+    RP.write_lines(lines, str(tmp_path / "md"))
+    runs = sorted(d for d in os.listdir(tmp_path / "md") if d.startswith("run_id="))
+    text = read_run(tmp_path / "md", runs[0])
+    assert text.startswith("# Evaluation report") and "- **Trigger:** batch by builder" in text
+    order = [text.index(x) for x in ("**Summary:**", "## Requirement coverage", "requirements covered (", "`R1`", "NOT COVERED",
+                                     "requirement(s) have no test", "## Cases", "### [")]
+    assert order == sorted(order)
+    RP.write_lines(RP.html_lines(lines), str(tmp_path / "html"))
+    page = read_run(tmp_path / "html", runs[0])
+    assert page.startswith("<!doctype html>") and page.rstrip().endswith("</pre>")
+    assert html.unescape(page.split("<pre>\n", 1)[1].rsplit("</pre>", 1)[0]) == text
+
+
+def stream(spark, path, schema):
+    return P.checked(P.response_stream(spark, path, schema, files_per_trigger=1), [Check("latency_bound", {"max_ms": 25})],
+                     ["run_id", "case_id"])
+
+
+@pytest.fixture
+def responses(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
-    s = P.response_stream(spark, src, e.schema, "ts", ["user_id", "event_id"], watermark="3650 days")
-    resp = s.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("case_id"),
-                    F.col("props").alias("body"), F.col("value").alias("latency_ms"), "captured_at")
-    gated = P.run_checks_stream(resp, [Check("latency_bound", {"max_ms": 25})], ["run_id", "case_id"])
-    totals = e.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("cases_total"))
-    table = P.progress(spark, gated, totals, "dedup-test")
-    got = spark.read.parquet(table)
-    assert got.agg(F.sum("done")).first()[0] == e.count()
-    assert got.where(F.col("state") != "ready_for_review").count() == 0
+    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("case_id"), F.col("props").alias("body"),
+                    F.col("value").alias("latency_ms"), "ts")
+
+
+def test_stream_loses_nothing_and_counts_once(spark, responses, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    k = F.col("case_id") % 4
+    newest_first = responses.orderBy(F.desc("ts"))
+    for i, part in enumerate([newest_first.where(k == 0), newest_first.where(k == 1), newest_first.where(k == 0)]):
+        part.coalesce(1).write.mode("append").parquet(f"{src}")  # the third drop repeats the first
+    P.store_results(stream(spark, src, responses.schema), out, ck)
+    totals = responses.groupBy("run_id").agg(F.count(F.lit(1)).alias("cases_total"))
+    first = P.progress(P.stored_cases(spark, out, ["run_id", "case_id"]), totals)
+    assert first.agg(F.sum("done")).first()[0] == responses.where(k < 2).count()
+    assert first.where("state = 'ready_for_review'").count() < first.count()
+    # hours behind the newest, after a restart on the same checkpoint
+    responses.where(k > 1).orderBy("ts").coalesce(1).write.mode("append").parquet(src)
+    P.store_results(stream(spark, src, responses.schema), out, ck)
+    cases = P.stored_cases(spark, out, ["run_id", "case_id"])
+    assert cases.select(F.explode("checks.check_id")).distinct().collect()[0][0] == "template:latency_bound"
+    done = P.progress(cases, totals)
+    assert done.agg(F.sum("done")).first()[0] == responses.count()
+    assert done.where("state <> 'ready_for_review'").count() == 0
+    want = responses.where("latency_ms <= 25").count()
+    assert done.agg(F.sum("passed")).first()[0] == want
+    # nothing new: another restart changes nothing; a batch written twice replaces itself
+    batches = sorted(os.listdir(out))
+    P.store_results(stream(spark, src, responses.schema), out, ck)
+    assert sorted(os.listdir(out)) == batches
+    again = spark.read.parquet(f"{out}/batch_id=0")
+    keep = str(tmp_path / "copy")
+    again.write.parquet(keep)
+    P.store_batch(spark.read.parquet(keep), 0, out)
+    assert P.stored_cases(spark, out, ["run_id", "case_id"]).count() == responses.count()
+
+
+def test_run_without_responses_is_pending(spark, responses, tmp_path):
+    src = str(tmp_path / "src")
+    os.makedirs(src)
+    shutil.copy(f"{SF}/events.parquet", os.path.join(src, "e.parquet"))
+    e = spark.read.parquet(src)
+    s = P.checked(spark.readStream.schema(e.schema).parquet(src).withColumnsRenamed(
+        {"user_id": "run_id", "event_id": "case_id", "props": "body", "value": "latency_ms"}), [Check("valid_json")], ["run_id", "case_id"])
+    P.store_results(s, str(tmp_path / "o"), str(tmp_path / "c"))
+    totals = spark.createDataFrame([(-1, 3)], "run_id long, cases_total long")
+    assert P.progress(P.stored_cases(spark, str(tmp_path / "o"), ["run_id", "case_id"]), totals).first().asDict() == {
+        "run_id": -1, "done": 0, "passed": 0, "cases_total": 3, "state": "pending"}
 
 
 def test_user_check_errors_become_failed_results(spark):
     def boom(resp, ctx):
-        raise RuntimeError("nope")
-    df = spark.createDataFrame([(1, "x", None, 1.0)], "case_id long, text string, body string, latency_ms double")
-    r = apply_checks(df, [Check("boom", type="generated"), Check("missing", type="generated")],
-                     ["case_id"], user_checks={"boom": boom}).orderBy("check_index").collect()
-    assert [x.passed for x in r] == [False, False]
-    assert r[0].message.startswith("check raised RuntimeError") and r[0].check_id == "generated:boom"
+        raise RuntimeError("n" * 500)
+
+    def sees(resp, ctx):
+        return {"passed": ctx == {"suite": "s"} and set(resp) == set(U.RESPONSE_FIELDS) and resp["usage"] == {"n": 1}}
+    df = spark.createDataFrame([(1, "x", None, 1.0, '{"n": 1}')], "case_id long, text string, body string, latency_ms double, usage string")
+    r = apply_checks(df, [Check("boom", type="generated"), Check("missing", type="generated"), Check("sees", type="generated")],
+                     ["case_id"], user_checks={"boom": boom, "sees": sees}, context=F.lit('{"suite": "s"}')
+                     ).orderBy("check_index").collect()
+    assert [x.passed for x in r] == [False, False, True]
+    assert r[0].message == "check raised RuntimeError: " + "n" * 500 and r[0].check_id == "generated:boom"
     assert "no check function" in r[1].message
 
 
-def test_parse_verdicts_strict_and_prose(spark):
-    df = spark.createDataFrame([('{"scores": {"a": 1}}',), ('Here: {"scores": {"a": 2}} thanks',), ("no json",)],
+def test_judge_provider(spark):
+    df = spark.createDataFrame([(1, "p1"), (2, "p2")], "case_id long, prompt string")
+
+    def provider(pdf):
+        return pd.Series([f"{p}/{n}" for p, n in zip(pdf["prompt"], pdf["sample_no"], strict=True)])
+    got = {(r.case_id, r.sample_no): r.verdict for r in U.ask_judge(df, provider, ["case_id"], samples=12).collect()}
+    assert got == {(c, n): f"p{c}/{n}" for c in (1, 2) for n in range(1, 13)}
+    with pytest.raises(ValueError):
+        U.ask_judge(df, provider, ["case_id"], samples=0)
+
+
+def test_prompt_holds_the_whole_response(spark):
+    long = "x" * 20_000
+    df = spark.createDataFrame([(long, None), (long, "{}"), ("t", '{"a":1}')], "t string, j string")
+    out = [r.p for r in df.select(J.build_prompt(F.lit("- d"), F.col("j"), F.col("t"), F.lit('{"q": 1}')).alias("p")).collect()]
+    assert long in out[0] and long in out[1] and 'MODEL RESPONSE:\n{"a":1}\n' in out[2] and out[2].endswith('CASE INPUT:\n{"q": 1}')
+
+
+def test_parse_verdicts(spark):
+    df = spark.createDataFrame([('{"s": {"a": 1}}',), ('Here {x}: {"s": {"a": 2}} thanks {"b": 1}',), ("no json",), ('[{"a":1}]',), (None,), (" ",), ("3",)],
                                "verdict string")
-    got = [r.verdict_json for r in U.parse_verdicts(df).collect()]
-    assert got[0] is not None and '"a":1' in got[0].replace(" ", "")
-    assert got[1] is not None and '"a":2' in got[1].replace(" ", "")
-    assert got[2] is None
+    got = [(r.verdict_json, r.verdict_error) for r in J.parse_verdicts(df).collect()]
+    assert got == [('{"s":{"a":1}}', None), ('{"s":{"a":2}}', None), (None, "no JSON object in the reply"),
+                   (None, "expected an object, got array"), (None, "empty reply"), (None, "empty reply"), (None, "expected an object, got number")]
+
+
+def test_schema_faults_are_explained(spark):
+    from proofline.operators.jsonschema import compile_schema
+    schema = {"type": "object", "properties": {"n": {"type": "number", "minimum": 1, "exclusiveMinimum": True},
+                                               "t": {"items": [{"type": "string"}, {"type": "integer"}]}, "w": {"const": "ö"}}}
+    df = spark.createDataFrame([(b,) for b in ('{"n": 1}', '{"n": 1.5, "w": "ö"}', '{"t": ["a", "b"]}', '{"t": ["a", 2, null]}', '{"w": "o"}', "3")],
+                               "body string")
+    out = [(r.passed, r.evidence) for r in apply_checks(df, [Check("json_schema", {"schema": schema})], ["body"], text=None, latency=None).collect()]
+    assert out == [(False, '{"path":["n"]}'), (True, None), (False, '{"path":["t",1]}'), (True, None), (False, '{"path":["w"]}'), (False, '{"path":[]}')]
+    with pytest.raises(ValueError):
+        compile_schema({"contains": {}}, F.lit(None).cast("variant"))

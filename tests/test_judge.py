@@ -51,3 +51,24 @@ def test_missing_dimension_named(spark):
     assert r.passed is False
     assert r.message == "judge did not score dimension 'cite'"
     assert r.score == 0.5
+
+
+def test_unlisted_dimensions_do_not_count(spark):
+    v = spark.createDataFrame([(1, 0, "r", '{"a": 1, "z": 0}'), (1, 1, "r", '{"a": 1, "z": 2}')],
+                              "case_id long, sample_no long, rubric_id string, scores string")
+    dims = spark.createDataFrame([("r", "a")], "rubric_id string, dim string")
+    red = J.reduce_scores(J.explode_scores(v, ["case_id"], dims=dims), ["case_id"])
+    r = J.consistency(red, ["case_id"]).first()
+    assert (r.samples, r.max_spread, r.agreed) == (2, 0, True) and [d.dim for d in r.per_dimension] == ["a"]
+
+
+def test_evidence_rule_and_flattened_body(spark):
+    body = '{"findings": [{"article": "Article 5", "n": 3}], "ok": true, "none": null}'
+    cases = spark.createDataFrame([(i, "plain", body) for i in range(4)], "case_id long, t string, b string").select(
+        "case_id", fold(J.haystack(F.col("t"), F.parse_json("b"), 4)).alias("hay"))
+    v = spark.createDataFrame([(0, 1, ["article ARTICLE 5", "plain"]), (0, 2, ["plain", "n 3 ... ok True"]), (1, 1, ["made up"]), (2, 1, [])],
+                              "case_id long, sample_no long, evidence_quotes array<string>")
+    got = {r.case_id: r for r in J.evidence_failures(cases, J.unique_quotes(v, ["case_id"]), ["case_id"]).collect()}
+    assert got[0].verified == ["article ARTICLE 5", "plain"] and got[0].unverified == ["n 3 ... ok True"] or got[0].evidence_failure is None
+    assert got[1].evidence_failure == "evidence quotes do not appear in the response: 'made up'"
+    assert got[2].evidence_failure == got[3].evidence_failure == J.NO_QUOTES

@@ -39,10 +39,20 @@ def test_coverage_both_directions(spark):
     assert by == {"R1": (1, 1, True), "R2": (1, 0, True), "R3": (0, 0, False)}
     assert [r.req_id for r in COV.uncovered(reqs, cases).collect()] == ["R3"]
     assert sorted(r.ref for r in COV.orphans(reqs, cases).collect()) == ["(unmapped)", "R9"]
-    per = COV.per_run(reqs, cases.withColumn("run_id", F.lit(1))).first()
-    assert per.covered_pct == 66.7
-    empty = spark.createDataFrame([], "req_id string, text string, section string")
-    assert COV.per_run(empty, cases.withColumn("run_id", F.lit(1))).first().covered_pct is None
+
+
+def test_coverage_per_run(spark):
+    req = spark.createDataFrame([(1, f"R{i}", f"t{i}", None, i) for i in range(1, 17)] + [(2, "R1", "a", None, 1)],
+                                "run_id long, req_id string, text string, section string, position int")
+    cases = spark.createDataFrame([(1, "R2", True), (1, "R2", False), (1, "R99", True), (1, None, True), (4, "R1", True)],
+                                  "run_id long, requirement_ref string, passed boolean")
+    runs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "run_id long")
+    got = {r.run_id: r for r in COV.per_run(req, cases, runs).collect()}
+    assert (got[1].requirements_covered, got[1].requirements_total, got[1].covered_pct) == (1, 16, 6.2)   # half-even
+    assert got[1].uncovered == ["R1"] + [f"R{i}" for i in range(3, 17)] and got[1].orphans == ["(unmapped)", "R99"]
+    assert got[2].covered_pct == 0.0 and got[2].uncovered == ["R1"] and got[2].known_requirements
+    assert got[3].covered_pct is None and not got[3].known_requirements
+    assert got[4].orphans == ["R1"] and got[4].covered_pct is None
 
 
 def test_adjudication_set_then_clear(spark):
@@ -61,8 +71,31 @@ def test_baseline_statuses(spark):
 
 
 def test_illegal_transitions(spark):
-    log = spark.createDataFrame([(1, 1, 1, "ready_for_review"), (1, 2, 2, "done"), (1, 3, 3, "pending"),
-                                 (2, 1, 1, "done")], "report_id long, transition_id long, at long, to_state string")
-    bad = {(r.report_id, r.transition_id) for r in
+    log = spark.createDataFrame([(1, 1, 1, None, "ready_for_review"), (1, 2, 2, None, "done"), (1, 3, 3, None, "pending"),
+                                 (2, 1, 1, None, "done"), (3, 1, 1, "done", "ready_for_review"), (4, 1, 1, "pending", "pending")],
+                                "report_id long, transition_id long, at long, from_state string, to_state string")
+    bad = {(r.report_id, r.transition_id, r.from_state, r.actual_state) for r in
            RV.illegal_transitions(log, "report_id", "at", "transition_id").collect()}
-    assert bad == {(1, 3), (2, 1)}
+    assert bad == {(1, 3, None, "done"), (2, 1, None, "pending"), (3, 1, "done", "pending")}
+    reports = spark.createDataFrame([(1,), (9,)], "report_id long")
+    fold = {r.report_id: r.state for r in RV.state_fold(log, reports, "report_id", "at", "transition_id").collect()}
+    assert fold == {1: "pending", 9: "pending"}
+
+
+def test_adjudication_and_verdict_rules(spark):
+    users = spark.createDataFrame([("ann", "reviewer"), ("bob", "runner")], "name string, role string")
+    reports = spark.createDataFrame([(1, 11, "ready_for_review"), (2, 12, "done"), (3, 13, "pending")], "report_id long, run_id long, state string")
+    cases = spark.createDataFrame([(100, 11), (200, 12)], "case_id long, run_id long")
+    tries = [(1, 100, "ann", "pass", "why"), (1, 100, "bob", "pass", "why"), (1, 100, "ann", "pass", ""), (1, 100, "ann", "pass", "  "),
+             (1, 100, "ann", None, None), (1, 200, "ann", "pass", "why"), (2, 200, "ann", "pass", "why"), (3, 100, "ann", "pass", "why"), (9, 100, "ann", "pass", "w")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(tries)], "n long, report_id long, case_id long, actor string, verdict string, reason string")
+    got = {r.n: r.reject_reason for r in RV.validate_adjudications(df, reports, users, cases).collect()}
+    assert got == {0: None, 1: "actor lacks reviewer authority", 2: "reason required when setting a verdict", 3: None, 4: None,
+                   5: "case not in report", 6: "report is locked", 7: "report is not ready_for_review", 8: "report not found"}
+    none = users.limit(0)
+    assert {r.reject_reason for r in RV.validate_adjudications(df, reports, none, cases, "enforced").collect()} == {"no reviewer accounts configured"}
+    assert {r.n for r in RV.validate_adjudications(df, reports, none, cases, "open").where("accepted").collect()} == {0, 1, 3, 4}
+    summaries = spark.createDataFrame([(11, 4, 3)], "run_id long, cases long, passed long")
+    v = {r.n: (r.reject_reason, r.new_state, r.cases) for r in RV.validate_verdicts(df, reports, users, summaries).collect()}
+    assert v[0] == (None, "done", 4) and v[3] == ("reason required", None, None) and v[4][0] == "verdict must be 'pass' or 'fail'"
+    assert v[7][0] == "illegal transition pending -> done" and v[1][0] == "actor lacks reviewer authority"
