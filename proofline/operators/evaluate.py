@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from proofline.functions import jsonpath as jp
 from proofline.operators import checks as C
 from proofline.operators import udf as U
-from proofline.operators.jsonschema import json_schema
+from proofline.operators.jsonschema import json_schema, result_fields
 from proofline.operators.params import Data, Literal, compact
 
 RESULT_COLUMNS = ["check_index", "check_id", "type", "passed", "score", "threshold",
@@ -95,7 +95,8 @@ def check_columns(checks: list[C.Check], *, text="text", latency="latency_ms",
         chk.validate()
         thr = effective_threshold((chk.params or {}).get("threshold"), chk.threshold)
         if chk.type == "template" and chk.uses == "json_schema":
-            raw = json_schema(r, _schema_of(chk.params, schemas))
+            ready = f"_schema_{i}" in (columns or ())
+            raw = result_fields(F.col(f"_schema_{i}") if ready else json_schema(r, _schema_of(chk.params, schemas)))
             out.append(_struct(i, "template:json_schema", "template", raw, thr, chk.required))
         elif chk.type == "template" and chk.uses in C.BUILDERS:
             p, m = Literal(chk.params), None
@@ -120,6 +121,16 @@ def check_columns(checks: list[C.Check], *, text="text", latency="latency_ms",
     return out
 
 
+def with_schema_results(df: DataFrame, checks: list[C.Check], schemas: dict | None = None) -> DataFrame:
+    """The result of every json_schema check as a column of its own, so that the fields of the
+    result are read from it instead of validating once each."""
+    for i, chk in enumerate(checks):
+        if chk.type == "template" and chk.uses == "json_schema":
+            chk.validate()
+            df = df.withColumn(f"_schema_{i}", json_schema({"json": F.col("json")}, _schema_of(chk.params, schemas)))
+    return df
+
+
 def _schema_of(params: dict, schemas: dict | None):
     if params.get("schema") is not None:
         return params["schema"]
@@ -136,6 +147,7 @@ def apply_checks(responses: DataFrame, checks: list[C.Check], keys: list[str], *
     """Long-form ``check_results``: one row per (case, check). No join, no shuffle."""
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
+    df = with_schema_results(df, checks, schemas)
     cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency), cost=_has(df, cost),
                          user_checks=user_checks, context=context, schemas=schemas, columns=df.columns, body=body)
     return df.select(*keys, F.inline(F.array(*cols)))
@@ -223,15 +235,16 @@ def evaluate_checks(responses: DataFrame, checks: DataFrame, on: list[str], *,
         "json", F.lit(None).cast("variant"))
     spec = checks.withColumnRenamed("type", "check_type").withColumn("_p", F.try_parse_json("params"))
     spec = spec.drop(*[c for c in ("suite_id", "case_id") if c not in on and c in spec.columns])
-    joined = df.join(spec, on, "inner")
-
-    r = _resp(text, latency, cost, df.columns, body)
     p = Data(F.col("_p"))
     uses, kind = F.col("uses"), F.col("check_type")
+    # one extraction per row, whichever path template it is for
+    joined = df.join(spec, on, "inner").withColumn(
+        "_m", F.when((kind == "template") & uses.isin(list(C.PATH_TEMPLATES)), p.matches(F.col("json"))))
+    r = _resp(text, latency, cost, df.columns, body)
     branches: list[tuple[Column, dict]] = []
     for name, fn in C.BUILDERS.items():
         required = C.REQUIRED_PARAMS.get(name, ())
-        m = p.matches(F.col("json")) if name in C.PATH_TEMPLATES else None
+        m = F.col("_m") if name in C.PATH_TEMPLATES else None
         mine = (kind == "template") & (uses == name)
         problem = p.problem(required)
         branches.append((mine & problem.isNotNull(), _failed_column(problem)))
@@ -239,7 +252,7 @@ def evaluate_checks(responses: DataFrame, checks: DataFrame, on: list[str], *,
     for name, schema in (schemas or {}).items():
         named = (p.string("schema_ref") == name) | (F.to_json(F.try_variant_get(F.col("_p"), "$.schema", "variant"))
                                                     == compact(schema))
-        branches.append(((kind == "template") & (uses == "json_schema") & named, json_schema(r, schema)))
+        branches.append(((kind == "template") & (uses == "json_schema") & named, result_fields(json_schema(r, schema))))
     branches.append(((kind == "template") & (uses == "json_schema"), _failed("schema is not among those given")))
     known_checks = dict(user_checks or {})
     for name in known_checks:

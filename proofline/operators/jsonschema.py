@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline.functions import jsonpath as jp
+from proofline.functions.columns import let
 from proofline.functions.regex import to_java
 from proofline.functions.text import py_repr
 from proofline.operators.params import compact
@@ -193,6 +194,10 @@ def violations(schema, v: Column, path: Column | None = None) -> Column:
     first; path: JSON text of keys and indexes, without the brackets."""
     _check(schema)
     path = F.lit("") if path is None else path
+    return let(F.struct(v.alias("v"), path.alias("p")), lambda b: _violations(schema, b["v"], b["p"]))
+
+
+def _violations(schema, v: Column, path: Column) -> Column:
     none = F.expr("cast(array() as array<struct<path:string,message:string>>)")
     if schema is True:
         return none
@@ -242,9 +247,12 @@ def violations(schema, v: Column, path: Column | None = None) -> Column:
                     ("not", lambda sub: ~compile_schema(sub, v))):
         if key in schema:
             parts.append(one(ok(schema[key]), F.concat(shown, F.lit(f" is not valid under {key!r}"))))
+
+    def member(name: str, sub):
+        return let(_member(v, name), lambda m: F.when(
+            m.isNotNull(), violations(sub, m, at(F.lit(compact(name))))).otherwise(none))
     for name, sub in (schema.get("properties") or {}).items():
-        member = _member(v, name)
-        parts.append(F.when(is_obj & member.isNotNull(), violations(sub, member, at(F.lit(compact(name))))).otherwise(none))
+        parts.append(F.when(is_obj, member(name, sub)).otherwise(none))
     items = schema.get("items", True)
     if isinstance(items, list):
         for i, sub in enumerate(items):
@@ -256,15 +264,23 @@ def violations(schema, v: Column, path: Column | None = None) -> Column:
     return F.concat(*parts) if parts else none
 
 
-def json_schema(r, schema) -> dict:
-    """CHK-2: no body fails; otherwise the body must validate against the schema. The message
-    and the evidence path are those of the first violation, outer ones first."""
+def json_schema(r, schema) -> Column:
+    """CHK-2 as a struct (passed, severity, message, evidence): no body fails; otherwise the body
+    must validate against the schema. The message and the evidence path are those of the first
+    violation, outer ones first; they are looked for in bodies that fail only."""
     body = r["json"]
+
+    def judged(b: Column) -> Column:
+        first = let(F.when(b["has"] & ~b["ok"], F.get(violations(schema, body), F.lit(0))), lambda f: F.struct(
+            f["message"].alias("m"), F.when(f.isNotNull(), F.concat(F.lit('{"path":['), f["path"], F.lit("]}"))).alias("e")))
+        return let(first, lambda f: F.struct(
+            b["ok"].alias("passed"), F.when(b["ok"], F.lit("info")).otherwise(F.lit("fail")).alias("severity"),
+            F.when(~b["has"], F.lit("no JSON body to validate")).when(b["ok"], F.lit("matches schema"))
+            .otherwise(F.coalesce(f["m"], F.lit("does not match schema"))).alias("message"), f["e"].alias("evidence")))
     has_body = body.isNotNull() & ~F.coalesce(F.is_variant_null(body), F.lit(False))
-    ok = has_body & compile_schema(schema, body)
-    first = F.when(has_body & ~ok, F.get(violations(schema, body), F.lit(0)))
-    msg = (F.when(~has_body, F.lit("no JSON body to validate")).when(ok, F.lit("matches schema"))
-           .otherwise(F.coalesce(first["message"], F.lit("does not match schema"))))
-    evidence = F.when(first.isNotNull(), F.concat(F.lit('{"path":['), first["path"], F.lit("]}")))
-    return {"passed": ok, "severity": F.when(ok, F.lit("info")).otherwise(F.lit("fail")), "message": msg,
-            "evidence": evidence, "score": F.lit(None).cast("double")}
+    return let(F.struct(has_body.alias("has"), (has_body & compile_schema(schema, body)).alias("ok")), judged)
+
+
+def result_fields(result: Column) -> dict:
+    """A result struct as the dict of Columns that the other builders return."""
+    return {k: result[k] for k in ("passed", "severity", "message", "evidence")} | {"score": F.lit(None).cast("double")}
