@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from proofline.functions import jsonpath as jp
 from proofline.operators import checks as C
 from proofline.operators import udf as U
-from proofline.operators.jsonschema import json_schema, result_fields
+from proofline.operators.jsonschema import explained, has_body, json_schema, result_fields, valid_body, violations
 from proofline.operators.params import Data, Literal, compact
 
 RESULT_COLUMNS = ["check_index", "check_id", "type", "passed", "score", "threshold",
@@ -95,8 +95,9 @@ def check_columns(checks: list[C.Check], *, text="text", latency="latency_ms",
         chk.validate()
         thr = effective_threshold((chk.params or {}).get("threshold"), chk.threshold)
         if chk.type == "template" and chk.uses == "json_schema":
-            ready = f"_schema_{i}" in (columns or ())
-            raw = result_fields(F.col(f"_schema_{i}") if ready else json_schema(r, _schema_of(chk.params, schemas)))
+            ready = f"_schema_ok_{i}" in (columns or ())
+            raw = (explained(F.col("json"), F.col(f"_schema_ok_{i}"), F.col(f"_schema_first_{i}")) if ready
+                   else result_fields(json_schema(r, _schema_of(chk.params, schemas))))
             out.append(_struct(i, "template:json_schema", "template", raw, thr, chk.required))
         elif chk.type == "template" and chk.uses in C.BUILDERS:
             p, m = Literal(chk.params), None
@@ -122,12 +123,15 @@ def check_columns(checks: list[C.Check], *, text="text", latency="latency_ms",
 
 
 def with_schema_results(df: DataFrame, checks: list[C.Check], schemas: dict | None = None) -> DataFrame:
-    """The result of every json_schema check as a column of its own, so that the fields of the
-    result are read from it instead of validating once each."""
+    """The verdict of every json_schema check and the first violation of bodies that fail, as
+    columns of their own: judged once, and the violation not at all where nobody reads it."""
     for i, chk in enumerate(checks):
         if chk.type == "template" and chk.uses == "json_schema":
             chk.validate()
-            df = df.withColumn(f"_schema_{i}", json_schema({"json": F.col("json")}, _schema_of(chk.params, schemas)))
+            schema = _schema_of(chk.params, schemas)
+            df = df.withColumn(f"_schema_ok_{i}", valid_body(F.col("json"), schema))
+            df = df.withColumn(f"_schema_first_{i}", F.when(
+                has_body(F.col("json")) & ~F.col(f"_schema_ok_{i}"), F.get(violations(schema, F.col("json")), F.lit(0))))
     return df
 
 
@@ -186,8 +190,9 @@ def apply_and_gate(responses: DataFrame, checks: list[C.Check], keys: list[str],
     """One row per case with its gate (``passed``) and failed-check count, in one pass."""
     df = with_body(responses, body) if body else responses.withColumn(
         "json", F.lit(None).cast("variant"))
+    df = with_schema_results(df, checks)
     cols = check_columns(checks, text=_has(df, text), latency=_has(df, latency),
-                         cost=_has(df, cost))
+                         cost=_has(df, cost), columns=df.columns)
     n_failed = sum((F.when(c["passed"], 0).otherwise(1) for c in cols), F.lit(0))
     return df.select(*keys, *extra, gate_column(cols).alias("passed"),
                      n_failed.cast("long").alias("failed_checks"))

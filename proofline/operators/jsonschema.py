@@ -264,21 +264,35 @@ def _violations(schema, v: Column, path: Column) -> Column:
     return F.concat(*parts) if parts else none
 
 
+def has_body(body: Column) -> Column:
+    return body.isNotNull() & ~F.coalesce(F.is_variant_null(body), F.lit(False))
+
+
+def valid_body(body: Column, schema) -> Column:
+    """CHK-2's flag: no body fails; otherwise the body must validate against the schema."""
+    return has_body(body) & compile_schema(schema, body)
+
+
+def explained(body: Column, ok: Column, first: Column) -> dict:
+    """CHK-2's result from its flag and the first violation (NULL if valid): message and evidence
+    path are those of that violation."""
+    msg = (F.when(~has_body(body), F.lit("no JSON body to validate")).when(ok, F.lit("matches schema"))
+           .otherwise(F.coalesce(first["message"], F.lit("does not match schema"))))
+    evidence = F.when(first.isNotNull(), F.concat(F.lit('{"path":['), first["path"], F.lit("]}")))
+    return {"passed": ok, "severity": F.when(ok, F.lit("info")).otherwise(F.lit("fail")), "message": msg,
+            "evidence": evidence, "score": F.lit(None).cast("double")}
+
+
 def json_schema(r, schema) -> Column:
-    """CHK-2 as a struct (passed, severity, message, evidence): no body fails; otherwise the body
-    must validate against the schema. The message and the evidence path are those of the first
-    violation, outer ones first; they are looked for in bodies that fail only."""
+    """CHK-2 as one struct (passed, severity, message, evidence), for a branch of a larger
+    expression: the body is judged once, violations are looked for in bodies that fail only."""
     body = r["json"]
 
-    def judged(b: Column) -> Column:
-        first = let(F.when(b["has"] & ~b["ok"], F.get(violations(schema, body), F.lit(0))), lambda f: F.struct(
-            f["message"].alias("m"), F.when(f.isNotNull(), F.concat(F.lit('{"path":['), f["path"], F.lit("]}"))).alias("e")))
-        return let(first, lambda f: F.struct(
-            b["ok"].alias("passed"), F.when(b["ok"], F.lit("info")).otherwise(F.lit("fail")).alias("severity"),
-            F.when(~b["has"], F.lit("no JSON body to validate")).when(b["ok"], F.lit("matches schema"))
-            .otherwise(F.coalesce(f["m"], F.lit("does not match schema"))).alias("message"), f["e"].alias("evidence")))
-    has_body = body.isNotNull() & ~F.coalesce(F.is_variant_null(body), F.lit(False))
-    return let(F.struct(has_body.alias("has"), (has_body & compile_schema(schema, body)).alias("ok")), judged)
+    def judged(ok: Column) -> Column:
+        first = F.when(has_body(body) & ~ok, F.get(violations(schema, body), F.lit(0)))
+        return let(F.struct(ok.alias("ok"), first.alias("first")), lambda b: F.struct(*[
+            c.alias(k) for k, c in explained(body, b["ok"], b["first"]).items() if k != "score"]))
+    return let(valid_body(body, schema), judged)
 
 
 def result_fields(result: Column) -> dict:

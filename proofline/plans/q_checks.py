@@ -4,7 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.operators.checks import PII_PATTERNS, Check
-from proofline.operators.evaluate import apply_checks, checks_table, evaluate_checks, with_body
+from proofline.operators.evaluate import (
+    apply_checks,
+    check_columns,
+    checks_table,
+    evaluate_checks,
+    with_body,
+    with_schema_results,
+)
 from proofline.plans.registry import query
 from proofline.plans.sqltext import q
 from proofline.sources import tables as T
@@ -197,8 +204,11 @@ def chk_citation(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, (v2 <> 'urgent' AND a1 <> '' AND a2 IS NOT NULL) AS passed
 FROM {T.SQL_FINDINGS}""")
 def chk_json_schema(spark, sf_dir):
-    df = _findings(spark, sf_dir, [Check("json_schema", {"schema": FINDING_SCHEMA})])
-    return df.select("l_orderkey", "l_linenumber", "passed")
+    """CHK-2: the flag alone, so nothing is explained."""
+    check = [Check("json_schema", {"schema": FINDING_SCHEMA})]
+    df = with_schema_results(with_body(T.finding_responses(spark, sf_dir)), check)
+    result, = check_columns(check, text=None, latency=None, cost=None, columns=df.columns)
+    return df.select("l_orderkey", "l_linenumber", result["passed"].alias("passed"))
 
 
 @query("chk_schema_violation", sql=f"""
@@ -233,7 +243,6 @@ def chk_citation_resolves(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, v2 <> 'urgent' AS enum_ok, s1 = 'blocked' AS equals_ok
 FROM {T.SQL_FINDINGS}""")
 def chk_enum_equals(spark, sf_dir):
-    from proofline.operators.evaluate import check_columns, with_body
     r = with_body(T.finding_responses(spark, sf_dir))
     enum_ok, equals_ok = check_columns([
         Check("enum_value", {"field": "$.findings[*].severity",
