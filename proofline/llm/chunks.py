@@ -3,11 +3,12 @@
 A tokeniser whose pieces never reach across a cut gives the same ids whether a text is
 encoded whole or cut by cut. A task cuts a block of texts (in Arrow, without a Python object
 per word), reduces the chunks to a dictionary, encodes only entries it has not met, and takes
-the ids back through the dictionary codes. The table lives as long as the Python worker and
-forgets everything at ``limit`` chunks, so memory is bounded; results do not depend on that.
+the ids back through the dictionary codes. The table forgets everything at ``limit`` chunks and at
+the end of its task, so memory is bounded; results do not depend on that.
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,20 +19,28 @@ BLOCK_BYTES = 4 << 20
 TABLE_CHUNKS = 300_000
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class ChunkTable:
     """Chunk -> ids (int32, as bytes)."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = TABLE_CHUNKS):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = TABLE_CHUNKS):
         self.encode, self.limit, self.ids = encode, limit, {}
 
+    def forget(self) -> None:
+        """Called at the end of a task: idle Python workers keep no table."""
+        self.ids.clear()
+        pa.default_memory_pool().release_unused()
+
     def get(self, chunks: list[str]) -> list[bytes]:
         if len(self.ids) > self.limit:
             self.ids.clear()
         ids = self.ids
         new = [c for c in chunks if c not in ids]
         if new:
-            for c, found in zip(new, self.encode(new), strict=True):
-                ids[c] = found if isinstance(found, bytes) else np.array(found, np.int32).tobytes()
+            ids.update(zip(new, self.encode(new), strict=True))
         return [ids[c] for c in chunks]
 
 
@@ -39,7 +48,7 @@ def by_position(chunks: pa.ListArray, table: ChunkTable) -> pa.ListArray:
     """Ids of each row of chunk lists, in order."""
     coded = chunks.flatten().dictionary_encode()
     parts = table.get(coded.dictionary.to_pylist())
-    lens = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+    lens = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
     flat = np.frombuffer(b"".join(parts), np.int32)
     first = np.cumsum(lens) - lens
     codes = coded.indices.to_numpy()

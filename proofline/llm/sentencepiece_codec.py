@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only
+from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only, packed
 from proofline.llm.common import whole_text
 
 MARK = "▁"
@@ -56,8 +56,8 @@ def word_table(model: str) -> ChunkTable:
     sp = processor(model)
     alone = [sp.piece_to_id(MARK)]
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [ids if w else alone
+    def encode(words: list[str]) -> list[bytes]:
+        return [packed(ids if w else alone)
                 for w, ids in zip(words, sp.encode(words, num_threads=1), strict=True)]
     return ChunkTable(encode)
 
@@ -88,6 +88,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for b in blocks(batch, 1):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), encode_array(b.column(1), model)], names=names)
+        word_table(model).forget()
     src = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     names = [id_col, "ids"]
     schema = T.StructType([T.StructField(id_col, src.schema["_id"].dataType),

@@ -31,6 +31,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only
+from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only, packed
 from proofline.llm.common import scratch_path, whole_text
 
 FORMAT = "token_frames"
@@ -94,21 +95,32 @@ def splittable(path: str) -> bool:
 
 
 @lru_cache(2)
-def chunk_table(path: str) -> ChunkTable:
+def _tables(path: str) -> tuple[ChunkTable, ChunkTable]:
+    """Chunks between spaces, and the parts they are cut into."""
     tok = tokenizer(path)
     marks = [t.content for t in tok.get_added_tokens_decoder().values()]
 
-    def encode_parts(parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
-    parts = ChunkTable(encode_parts)
+    def encode_parts(parts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+    parts, find = ChunkTable(encode_parts), _PARTS.findall
 
     def encode(chunks: list[str]) -> list[bytes]:
         # an added token inside a chunk is found by the tokeniser in the chunk as a whole
-        lists = [[c] if any(m in c for m in marks) else _PARTS.findall(c) for c in chunks]
-        distinct = list(dict.fromkeys(p for x in lists for p in x))
+        marked = any(m in c for m in marks for c in chunks)
+        lists = [[c] if marked and any(m in c for m in marks) else find(c) for c in chunks]
+        distinct = list(dict.fromkeys(chain.from_iterable(lists)))
         ids = dict(zip(distinct, parts.get(distinct), strict=True))
-        return [b"".join([ids[p] for p in x]) for x in lists]
-    return ChunkTable(encode)
+        return [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in lists]
+    return ChunkTable(encode), parts
+
+
+def chunk_table(path: str) -> ChunkTable:
+    return _tables(path)[0]
+
+
+def forget(path: str) -> None:
+    for table in _tables(path):
+        table.forget()
 
 
 def encode_array(texts: pa.Array, path: str) -> pa.ListArray:
@@ -122,24 +134,28 @@ def encode_array(texts: pa.Array, path: str) -> pa.ListArray:
     return by_position(merged(regular, fast, slow), chunk_table(path))
 
 
+def with_end(ids: pa.ListArray, end_id: int | None) -> pa.ListArray:
+    """Each row with ``end_id`` behind its ids."""
+    if end_id is None:
+        return ids
+    at = ids.offsets.to_numpy()
+    flat = np.insert(ids.values.to_numpy()[at[0]:at[-1]], at[1:] - at[0], end_id)
+    return pa.ListArray.from_arrays(pa.array(at - at[0] + np.arange(len(at)), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, end_id: int | None = None, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(id, ids binary): ids of every whole text, little-endian unsigned 32-bit, ``end_id``
-    appended to each. Keeps the order of the rows within their partitions."""
+    """(id, ids array<int>): ids of every whole text, ``end_id`` appended to each."""
     src = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, 1):
-                ids = encode_array(b.column(1), path)
-                raw, at = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-                rows = [raw[a:z] + end for a, z in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())],
-                                                 names=[id_col, "ids"])
-    schema = T.StructType([T.StructField(id_col, src.schema["_id"].dataType),
-                           T.StructField("ids", T.BinaryType())])
-    return src.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), with_end(encode_array(b.column(1), path), end_id)], names=[id_col, "ids"])
+        forget(path)
+    return src.mapInArrow(run, T.StructType([T.StructField(id_col, src.schema["_id"].dataType),
+                                             T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 # ---- one file --------------------------------------------------------------------------
@@ -153,18 +169,18 @@ class FrameWriter:
         self.buffer, self.table, self.docs = bytearray(), [], []
         self.n_docs = self.n_tokens = 0
 
-    def add(self, ids: pa.Array, rows: pa.Array) -> None:
-        counts = pc.divide(pc.binary_length(rows), 4).cast(pa.int64())
-        self.docs.append(pa.record_batch([ids, counts], names=["doc_id", "n_tokens"]))
-        self.n_docs += len(rows)
-        for row in rows:
-            tokens = np.frombuffer(row.as_buffer(), "<u4")
-            self.n_tokens += len(tokens)
-            if self.width == 2 and len(tokens) and tokens.max() > 0xFFFF:
-                raise ValueError("an id does not fit two bytes; write with width=4")
-            self.buffer += tokens.astype(f"<u{self.width}").tobytes()
-            while len(self.buffer) >= self.frame_bytes:
-                self.flush(self.frame_bytes)
+    def add(self, doc_ids: pa.Array, ids: pa.ListArray) -> None:
+        counts = ids.value_lengths().cast(pa.int64())
+        self.docs.append(pa.record_batch([doc_ids, counts], names=["doc_id", "n_tokens"]))
+        at = ids.offsets.to_numpy()
+        tokens = ids.values.to_numpy()[at[0]:at[-1]]
+        self.n_docs += len(ids)
+        self.n_tokens += len(tokens)
+        if self.width == 2 and len(tokens) and tokens.max() > 0xFFFF:
+            raise ValueError("an id does not fit two bytes; write with width=4")
+        self.buffer += tokens.astype(f"<u{self.width}").tobytes()
+        while len(self.buffer) >= self.frame_bytes:
+            self.flush(self.frame_bytes)
 
     def flush(self, n: int) -> None:
         raw = bytes(self.buffer[:n])
@@ -260,21 +276,25 @@ class _File(InputPartition):
 
 
 class _Writer(DataSourceArrowWriter):
+    """Encodes and writes the (doc_id, text) rows of one task, in their order."""
+
     def __init__(self, options):
-        self.path, self.width = options["path"], int(options.get("width", 4))
+        self.path, self.width, self.tokenizer = options["path"], int(options["width"]), options["tokenizer"]
+        self.end_id = int(options["end_id"]) if "end_id" in options else None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Done:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         store, path = _store(self.path)
         name, out, w = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst", None, None
-        for b in iterator:
-            if b.num_rows:
+        for batch in iterator:
+            for b in blocks(batch, 1):
                 if w is None:
                     store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(f"{path}/{name}")
+                    out = store.open_output_stream(f"{path}/{name}", compression=None)
                     w = FrameWriter(out, self.width)
-                w.add(b.column(0), b.column(1))
+                w.add(b.column(0), with_end(encode_array(b.column(1), self.tokenizer), self.end_id))
+        forget(self.tokenizer)
         if w is None:
             return _Done(part, None)
         w.close()
@@ -350,9 +370,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     key = F.xxhash64(whole_text(text_col))
     ordered = (docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"),
                            key.alias("h"))
-               .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h"))
-    (encode(ordered, tokenizer_path, end_id).write.format(FORMAT).mode("append")
-     .option("path", path).option("width", width).save())
+               .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h"))
+    w = ordered.write.format(FORMAT).mode("append").option("path", path).option("width", width)
+    w = w.option("tokenizer", tokenizer_path)
+    (w if end_id is None else w.option("end_id", end_id)).save()
 
 
 def read(spark: SparkSession, path: str, doc_ids: list | None = None,

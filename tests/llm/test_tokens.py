@@ -80,7 +80,7 @@ def test_selected_documents_read_few_frames(spark, docs, tmp_path, width, monkey
     with fs.LocalFileSystem().open_output_stream(one, compression=None) as f:
         w = token_files.FrameWriter(f, width, frame_bytes=64)
         ids = [list(range(n)) for n in (5, 0, 100, 3, 500)]
-        w.add(pa.array(range(5)), pa.array([b"".join(x.to_bytes(4, "little") for x in i) for i in ids]))
+        w.add(pa.array(range(5)), pa.array(ids, pa.list_(pa.int32())))
         w.close()
     with fs.LocalFileSystem().open_input_file(one) as f:
         r = token_files.FrameReader(f)
@@ -99,7 +99,7 @@ def test_damaged_frame_is_noticed(tmp_path):
     one = str(tmp_path / "one.zst")
     with fs.LocalFileSystem().open_output_stream(one, compression=None) as f:
         w = token_files.FrameWriter(f, 4)
-        w.add(pa.array([1]), pa.array([bytes(range(256)) * 4]))
+        w.add(pa.array([1]), pa.array([list(range(256))], pa.list_(pa.int32())))
         w.close()
     raw = bytearray(open(one, "rb").read())
     raw[60] ^= 255
@@ -117,6 +117,15 @@ def test_files_without_manifest_are_not_read(spark, docs, tmp_path):
     assert sum(f["docs"] for f in files) == 5
 
 
+def test_encode_column_is_the_library(spark, docs):
+    lib = token_files.tokenizer(BYTES)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for end in (None, 7):
+        for r in token_files.encode(docs, BYTES, end).collect():
+            want = lib.encode(text[r.doc_id], add_special_tokens=False).ids
+            assert r.ids == want + ([] if end is None else [end])
+
+
 def test_token_files_null_ids_repeats_empty(spark):
     rows = [(None, "b"), (2, "a"), (2, "a"), (1, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -129,12 +138,12 @@ def test_token_files_null_ids_repeats_empty(spark):
 def test_table_that_forgets_gives_the_same_ids():
     import pyarrow as pa
 
-    from proofline.llm.chunks import ChunkTable, by_position
+    from proofline.llm.chunks import ChunkTable, by_position, packed
     calls = []
 
     def encode(chunks):
         calls.append(list(chunks))
-        return [[len(c), ord(c[0])] for c in chunks]
+        return [packed([len(c), ord(c[0])]) for c in chunks]
     lists = pa.array([["ab", "c"], [], ["c", "ab", "ddd"]], pa.list_(pa.string()))
     t = ChunkTable(encode, limit=1)
     first, second = by_position(lists, t).to_pylist(), by_position(lists, t).to_pylist()
