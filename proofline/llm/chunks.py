@@ -47,7 +47,7 @@ class ChunkTable:
 def by_position(chunks: pa.ListArray, table: ChunkTable) -> pa.ListArray:
     """Ids of each row of chunk lists, in order."""
     coded = chunks.flatten().dictionary_encode()
-    parts = table.get(coded.dictionary.to_pylist())
+    parts = table.get(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     lens = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
     flat = np.frombuffer(b"".join(parts), np.int32)
     first = np.cumsum(lens) - lens

@@ -31,7 +31,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +49,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only, packed
+from proofline.llm.chunks import BLOCK_BYTES, ChunkTable, blocks, by_position, merged, only, packed
 from proofline.llm.common import scratch_path, whole_text
 
 FORMAT = "token_frames"
@@ -61,15 +60,13 @@ MANIFEST = "_manifest.json"
 
 # ---- tokenising ------------------------------------------------------------------------
 
-# White space as the byte-level pre-tokeniser's \s has it, and characters around which its
-# pattern always cuts: a run of these letters, then one of these signs (no apostrophe).
-WHITE = "\t-\r \x85\xa0  -     　"
-SIGNS = r"!-&(-/:-@\[-`{-~"
-LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
-_PARTS = re.compile(f" ?[{LETTERS}]++(?![^{WHITE}{SIGNS}])| ?[^{WHITE}]+|"
-                    f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+# White space as the byte-level pre-tokeniser's \s has it. Its pattern always cuts before a space
+# that follows something else: texts are cut there.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUTS = re.compile(f"(?<=[^{WHITE}])(?= )")
-_ODD = "[\t-\r \u0085   -     　] |\x00|^$"
+_ODD = f"[{WHITE}] |\x00|^$"
+JOINED = 2000  # chunks encoded in one call
+TABLE_CHUNKS = 600_000
 
 
 @lru_cache(2)
@@ -95,32 +92,38 @@ def splittable(path: str) -> bool:
 
 
 @lru_cache(2)
-def _tables(path: str) -> tuple[ChunkTable, ChunkTable]:
-    """Chunks between spaces, and the parts they are cut into."""
+def chunk_table(path: str) -> ChunkTable:
     tok = tokenizer(path)
     marks = [t.content for t in tok.get_added_tokens_decoder().values()]
-
-    def encode_parts(parts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
-    parts, find = ChunkTable(encode_parts), _PARTS.findall
+    size = np.zeros(tok.get_vocab_size(), np.int64)  # bytes of each token: one per character
+    for text, i in tok.get_vocab().items():
+        size[i] = len(text)
+    ends_white = re.compile(f"[{WHITE}]$")
+
+    def apart(chunks: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def together(chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with a space and end with something else, encoded as one text and
+        parted by the bytes that the tokens stand for."""
+        ids = np.array(tok.encode("".join(chunks), add_special_tokens=False).ids, np.int32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        at = np.cumsum(size[ids])
+        cut = np.searchsorted(at, ends) + 1
+        if not len(ids) or cut[-1] != len(ids) or (at[cut - 1] != ends).any():
+            return apart(chunks)
+        raw, z = ids.tobytes(), (cut * 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *z[:-1]], z, strict=True)]
 
     def encode(chunks: list[str]) -> list[bytes]:
-        # an added token inside a chunk is found by the tokeniser in the chunk as a whole
         marked = any(m in c for m in marks for c in chunks)
-        lists = [[c] if marked and any(m in c for m in marks) else find(c) for c in chunks]
-        distinct = list(dict.fromkeys(chain.from_iterable(lists)))
-        ids = dict(zip(distinct, parts.get(distinct), strict=True))
-        return [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in lists]
-    return ChunkTable(encode), parts
-
-
-def chunk_table(path: str) -> ChunkTable:
-    return _tables(path)[0]
-
-
-def forget(path: str) -> None:
-    for table in _tables(path):
-        table.forget()
+        joinable = [c[:1] == " " and not ends_white.search(c) and not (marked and any(m in c for m in marks))
+                    for c in chunks]
+        one = [c for c, ok in zip(chunks, joinable, strict=True) if ok]
+        found = iter([x for i in range(0, len(one), JOINED) for x in together(one[i:i + JOINED])])
+        rest = iter(apart([c for c, ok in zip(chunks, joinable, strict=True) if not ok]))
+        return [next(found) if ok else next(rest) for ok in joinable]
+    return ChunkTable(encode, TABLE_CHUNKS)
 
 
 def encode_array(texts: pa.Array, path: str) -> pa.ListArray:
@@ -153,7 +156,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = None, id_col: str =
             for b in blocks(batch, 1):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), with_end(encode_array(b.column(1), path), end_id)], names=[id_col, "ids"])
-        forget(path)
+        chunk_table(path).forget()
     return src.mapInArrow(run, T.StructType([T.StructField(id_col, src.schema["_id"].dataType),
                                              T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -288,13 +291,13 @@ class _Writer(DataSourceArrowWriter):
         store, path = _store(self.path)
         name, out, w = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst", None, None
         for batch in iterator:
-            for b in blocks(batch, 1):
+            for b in blocks(batch, 1, 3 * BLOCK_BYTES):
                 if w is None:
                     store.create_dir(path, recursive=True)
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                     w = FrameWriter(out, self.width)
                 w.add(b.column(0), with_end(encode_array(b.column(1), self.tokenizer), self.end_id))
-        forget(self.tokenizer)
+        chunk_table(self.tokenizer).forget()
         if w is None:
             return _Done(part, None)
         w.close()
