@@ -165,8 +165,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
               .groupBy("lang", "b").agg(F.sum("n").alias("n")).collect()):
         counts[at[r[0]], r[1]] = r[2]
     freq = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * n_buckets)
-    one = np.stack([freq[code[:, j] > 0].mean(0) for j in range(code.shape[1])], 1) if len(langs) > 1 else np.ones((n_buckets, 0))
-    zero = np.stack([freq[code[:, j] < 0].mean(0) for j in range(code.shape[1])], 1) if len(langs) > 1 else np.ones((n_buckets, 0))
+    # per bit, the mean frequency over the languages whose bit is one, and over the others
+    on, off = (code > 0).astype(float), (code < 0).astype(float)
+    one = freq.T @ (on / np.maximum(on.sum(0), 1))
+    zero = freq.T @ (off / np.maximum(off.sum(0), 1))
     weights = np.log(one / zero).astype(np.float32)
     bits = code.shape[1]
     model = Model(langs, code, weights, np.ones(bits), np.ones(bits))
