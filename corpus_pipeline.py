@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages, each calling one operator of ``proofline.llm``.
 
 Every stage is (spark, docs, sf_dir) -> DataFrame over all rows its predecessor kept; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. The last reads the order of the mixture off the
+files of the stage before and returns it as ``position``, sorted by it.
 """
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash
-from proofline.llm.common import table, written
+from proofline.llm.common import positioned, table, written
 from proofline.llm.queries import shares_of
 
 
@@ -36,11 +37,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digests of the ids and of the text decoded from them."""
+    """position (in the order of the table, from 0), doc_id, n_tokens, ids, and the digests of
+    the ids and of the text decoded from them; the rows come in the order of ``position``."""
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    # sorted before, not after: the sort samples its input, which would tokenise twice
+    rows = positioned(docs, "_position").orderBy("_position").select(
+        F.struct("_position", "doc_id").alias("_key"), "text")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, model, "_key"), model, "_key")
+    return both.select(F.col("_key._position").alias("position"), "_key.doc_id",
+                       F.size("ids").cast("long").alias("n_tokens"), "ids",
                        F.sha2(sentencepiece_codec.ids_text(), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
 

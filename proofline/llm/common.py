@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofline.session import checkpoint_dir
@@ -30,6 +31,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positioned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column ``name``: the place of each row, from 0, in the order in which the
+    files of the table hold them (by the number in a part file's name, then by row). A scan
+    itself keeps no such order: it packs and splits files by size. A ``df`` that is no scan is
+    written first."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        rows = df.select("*", meta["file_name"].alias("_file"), meta["row_index"].alias("_row"))
+    except AnalysisException:
+        return positioned(written(df, "positioned"), name)
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long")
+    # one row per file, whatever it holds
+    before = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(
+            Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), F.col("_file") == F.col("_of")).select(
+        *df.columns, (F.col("_before") + F.col("_row")).alias(name))
+
+
 def whole_text(col: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline
-from proofline.llm import langid, simhash
-from proofline.llm.queries import ORACLE, QUERIES
+from proofline.llm import langid, mixing, simhash
+from proofline.llm.common import positioned
+from proofline.llm.queries import ORACLE, QUERIES, shares_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +74,37 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() <= spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pipeline_rows_come_in_the_order_of_the_mixture(spark, monkeypatch):
+    # several files of unlike size, read in small splits: a scan alone loses their order
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        seen = []
+
+        def mix(s, d, sf):
+            seen.append(d)
+            return corpus_pipeline.mix_sources(s, d, sf)
+        stages = [(n, mix if n == "mixing" else f) for n, f in corpus_pipeline.STAGES]
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        out = corpus_pipeline.run(spark, SF)
+        rows = out.collect()
+        want = [r.doc_id for r in mixing.mix(seen[0], shares_of()).orderBy("slot", "place").collect()]
+        assert [r.doc_id for r in rows] == want
+        assert [r.position for r in rows] == list(range(len(want)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_positions_of_a_table(spark, tmp_path):
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
+    got = positioned(spark.read.parquet(str(tmp_path / "t")), "at").collect()
+    assert len(got) == 1000 and all(r.at == r.id for r in got)
+    made = spark.createDataFrame([(i,) for i in range(9)], "id long")  # no scan: written first
+    assert sorted((r.at, r.id) for r in positioned(made, "at").collect()) == [(i, i) for i in range(9)]
+    assert positioned(made.limit(0), "at").count() == 0
