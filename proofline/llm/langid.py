@@ -8,6 +8,12 @@ of that bit's mean training margin. Decoding is loss-weighted: per language the
 of its codeword's bits, each weighted by the bit's training accuracy above chance; the nearest
 codeword wins, and a text is ambiguous where the runner-up is within ``ambiguity``.
 
+The score only compares the learned languages. Whether a text is in one of them at all is
+judged on the distance to the winner's codeword: its mean margin a bit, where a training text
+has 1 and a text without evidence 0 however many languages there are, must reach ``MIN_MARGIN``
+(``MIN_SHORT`` for texts under ``LONG`` n-grams, whose mean is noisy), and a long text must not
+be ambiguous. One language alone has one bit, against equally frequent n-grams.
+
 Training reads at most about ``TRAIN_ROWS`` labelled rows a language (all if fewer; chosen by a
 hash of id and text, whole texts). What reaches the driver is one number per language and
 n-gram bucket (``BUCKETS``) or bit.
@@ -39,6 +45,7 @@ SMOOTHING = 0.5
 AMBIGUITY = 0.05
 SHARPNESS = 3.0
 MIN_SCORE = 0.3
+MIN_MARGIN, MIN_SHORT, LONG = 0.5, 0.4, 300
 UNKNOWN = "und"
 PIECE = 1 << 20  # code points looked at together: bounds memory for texts of any length
 FOLDS, HELD_OUT = 4, 2
@@ -80,9 +87,10 @@ def buckets(text: str, n_buckets: int = BUCKETS):
 
 def codewords(n: int) -> np.ndarray:
     """One row of +1/-1 per language: the exhaustive code up to seven languages, beyond that
-    the best of 64 fixed random codes of 10 log2(n) bits by smallest distance of two rows."""
+    the best of 64 fixed random codes of 10 log2(n) bits by smallest distance of two rows. One
+    language has a single bit, which no other language shares or lacks."""
     if n <= 1:
-        return np.zeros((n, 0), np.int8)
+        return np.ones((n, n), np.int8)
     if n <= 7:
         cols = [(1, *rest) for rest in itertools.product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(cols, np.int8).T
@@ -104,29 +112,42 @@ class Model:
     scale: np.ndarray     # mean training margin of each bit
     trust: np.ndarray     # training accuracy above chance of each bit
 
-    def margins(self, text: str) -> np.ndarray | None:
+    def read(self, text: str) -> tuple[np.ndarray, int]:
+        """Summed weights per bit, and the number of n-grams."""
         total, n = np.zeros(self.weights.shape[1]), 0
         for b in buckets(text, len(self.weights)):
             total += self.weights[b].sum(axis=0, dtype=np.float64)
             n += len(b)
+        return total, n
+
+    def margins(self, text: str) -> np.ndarray | None:
+        total, n = self.read(text)
         return total / n if n else None
 
     def predict(self, text: str | None, ambiguity: float = AMBIGUITY) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""
+        return self.judge(text, ambiguity)[:3]
+
+    def judge(self, text: str | None,
+              ambiguity: float = AMBIGUITY) -> tuple[str, float, bool, bool]:
+        """(language, score, ambiguous, known): known if the text is in the language."""
         if not self.langs or not text:
-            return UNKNOWN, 0.0, False
-        f = self.margins(text)
-        if f is None:
-            return UNKNOWN, 0.0, False
+            return UNKNOWN, 0.0, False, False
+        total, n = self.read(text)
+        if not n:
+            return UNKNOWN, 0.0, False, False
+        z = self.code * (total / n / self.scale)
+        margin = z @ self.trust / self.trust.sum()
+        least = MIN_MARGIN if n >= LONG else MIN_SHORT
         if len(self.langs) == 1:
-            return self.langs[0], 1.0, False
-        z = self.code * (f / self.scale)
+            return self.langs[0], 1.0, False, bool(margin[0] >= least)
         loss = (np.logaddexp(0, -SHARPNESS * z) * self.trust).sum(axis=1)
         best = int(loss.argmin())
         p = np.exp(loss.min() - loss)
         runner_up = np.partition(loss, 1)[1]
         near = (runner_up - loss[best]) / (SHARPNESS * max(self.trust.sum(), 1e-9)) < ambiguity
-        return self.langs[best], float(p[best] / p.sum()), bool(near)
+        known = margin[best] >= least and not (near and n >= LONG)
+        return self.langs[best], float(p[best] / p.sum()), bool(near), bool(known)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -166,9 +187,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         counts[at[r[0]], r[1]] = r[2]
     freq = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * n_buckets)
     # per bit, the mean frequency over the languages whose bit is one, and over the others
+    # (where there are none, the same for every n-gram)
     on, off = (code > 0).astype(float), (code < 0).astype(float)
     one = freq.T @ (on / np.maximum(on.sum(0), 1))
-    zero = freq.T @ (off / np.maximum(off.sum(0), 1))
+    zero = np.where(off.any(0), freq.T @ (off / np.maximum(off.sum(0), 1)), 1 / n_buckets)
     weights = np.log(one / zero).astype(np.float32)
     bits = code.shape[1]
     model = Model(langs, code, weights, np.ones(bits), np.ones(bits))
@@ -196,17 +218,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predicted(model: Model, text: Column, spark, ambiguity: float = AMBIGUITY) -> Column:
-    """struct<lang_pred string, score double, ambiguous boolean> of a text column."""
+    """struct<lang_pred string, score double, ambiguous boolean, known boolean> of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean, known: boolean>")
     def run(texts: pa.Array) -> pa.Array:
         m = shared.value
-        found = [m.predict(t.as_py(), ambiguity) for t in texts]
-        lang, score, near = zip(*found, strict=True) if found else ((), (), ())
+        found = [m.judge(t.as_py(), ambiguity) for t in texts]
+        lang, score, near, known = zip(*found, strict=True) if found else ((), (), (), ())
         return pa.StructArray.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())],
-            names=["lang_pred", "score", "ambiguous"])
+            [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_()),
+             pa.array(known, pa.bool_())],
+            names=["lang_pred", "score", "ambiguous", "known"])
     return run(whole_text(text))
 
 
@@ -214,17 +237,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             ambiguity: float = AMBIGUITY) -> DataFrame:
     """(id, lang_pred, score, ambiguous) of every whole text."""
     p = predicted(model, F.col(text_col), docs.sparkSession, ambiguity)
-    return docs.select(F.col(id_col), p.alias("_p")).select(id_col, "_p.*")
+    return docs.select(F.col(id_col), p.alias("_p")).select(
+        id_col, "_p.lang_pred", "_p.score", "_p.ambiguous")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text",
              min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows with a known language and at least ``min_score``, with their columns."""
+    """The rows in a learned language with at least ``min_score``, with their columns."""
     p = predicted(model, docs[text_col], docs.sparkSession)
     name = free_name(docs, "_language")
     kept = docs.select(*[docs[c] for c in docs.columns], p.alias(name))
-    return kept.where((F.col(name)["lang_pred"] != UNKNOWN)
-                      & (F.col(name)["score"] >= min_score)).drop(name)
+    return kept.where(F.col(name)["known"] & (F.col(name)["score"] >= min_score)).drop(name)
 
 
 def for_training(id_col: str = "doc_id") -> Column:

@@ -74,6 +74,30 @@ def test_ambiguity_is_flagged(lang_model):
     assert any(mixed)
 
 
+@pytest.mark.parametrize("learned", [("de", "en", "es", "fr"), ("de", "en", "es"), ("en", "fr"), ("en",)])
+def test_only_learned_languages_are_accepted(spark, lang_model, learned):
+    docs = read(spark, "documents")
+    model = lang_model if len(learned) == 4 else langid.train(
+        docs, learn=langid.for_training() & F.col("lang").isin(*learned))
+    n = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    kept = {r[0]: r[1] for r in langid.accepted(docs, model).groupBy("lang").count().collect()}
+    for lang in n:
+        if lang in learned:
+            assert kept[lang] >= 0.99 * n[lang]
+        else:
+            assert kept.get(lang, 0) <= 0.05 * n[lang]
+    odd = spark.createDataFrame([(1, "Привет, мир! Как твои дела сегодня? " * 20), (2, None), (3, "12")],
+                                "doc_id long, text string")
+    assert langid.accepted(odd, model).count() == 0
+
+
+def test_torn_text_is_not_accepted(spark, lang_model):
+    text = {r.lang: r.text[:2000] for r in read(spark, "documents").where("length(text) > 2000").collect()}
+    torn = spark.createDataFrame([(1, text["de"] + " " + text["en"]), (2, text["de"]), (3, text["en"])],
+                                 "doc_id long, text string")
+    assert {r.doc_id for r in langid.accepted(torn, lang_model).collect()} == {2, 3}
+
+
 # ---- toxicity ------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
