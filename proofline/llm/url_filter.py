@@ -12,8 +12,9 @@ added and removed very often is cut by month when its next change is looked up.
 
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing; add and
 remove at one instant count as add; entries with a null value, instant or an action other than
-add/remove are ignored, a null category is its own category; hosts are compared in lower case
-without port, user part and final dot; repeated captures are each returned; an empty list
+add/remove are ignored, a null category is its own category; hosts, also that of a prefix
+entry, are compared in lower case, those of URLs without port, user part and final dot; paths
+are compared as written; repeated captures are each returned; an empty list
 blocks nothing; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
@@ -54,12 +55,19 @@ def lookup_keys(host: Column, path: Column) -> Column:
         F.transform(prefixes, lambda v: F.struct(F.lit("prefix").alias("kind"), v.alias("value"))))
 
 
+def entry_value(kind: Column, value: Column) -> Column:
+    """A listed value with its host in lower case; the path of a prefix stays as listed."""
+    host = F.substring_index(value, "/", 1)
+    return F.when(kind == "prefix", F.concat(F.lower(host), F.substr(value, F.length(host) + 1))
+                  ).otherwise(F.lower(value))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """(kind, value, category, valid_from, valid_to) from (kind, value, category, action, at):
     disjoint per kind, value and category; an open interval has a null valid_to."""
     key = ["kind", "value", "category"]
     state = (entries.where("value is not null and at is not null and action in ('add', 'remove')")
-             .groupBy("kind", F.lower("value").alias("value"), "category", "at")
+             .groupBy("kind", entry_value(F.col("kind"), F.col("value")).alias("value"), "category", "at")
              .agg(F.max((F.col("action") == "add").cast("int")).alias("on"))
              .withColumn("month", F.trunc(F.col("at"), "month")))
     first = state.groupBy(*key, "month").agg(F.min("at").alias("first"))

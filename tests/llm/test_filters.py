@@ -238,3 +238,16 @@ def test_url_filter_empty(spark):
     captures = spark.createDataFrame(CAPTURES, "page_id long, url string, fetched_at timestamp")
     assert not any(r.blocked for r in url_filter.judged(captures, entries).collect())
     assert url_filter.judged(captures.limit(0), entries).count() == 0
+
+
+def test_url_filter_keeps_the_case_of_paths(spark):
+    entries = spark.createDataFrame(
+        [("prefix", "Host.net/Adult", "a", "add", at(0)), ("prefix", "host.net/low", "b", "add", at(0)),
+         ("prefix", "HOST.net", "c", "add", at(0)), ("domain", "Other.ORG", "d", "add", at(0))],
+        "kind string, value string, category string, action string, at timestamp")
+    urls = ["http://host.net/Adult/x", "http://HOST.net/Adult", "http://host.net/adult", "http://host.net/Low",
+            "http://host.net/low", "http://www.other.org/Adult"]
+    captures = spark.createDataFrame([(i, u, at(1)) for i, u in enumerate(urls)],
+                                     "page_id long, url string, fetched_at timestamp")
+    got = {r.page_id: r.categories for r in url_filter.judged(captures, entries, salts=3).collect()}
+    assert got == {0: "a", 1: "a", 2: "", 3: "", 4: "b", 5: "d"}
