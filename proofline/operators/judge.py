@@ -12,6 +12,9 @@ collected per check is one entry per dimension of its rubric or distinct quote.
 """
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,9 +200,37 @@ def quote_in(quote: Column, folded_hay: Column) -> Column:
     return (F.size(segs) > 0) & (end > 0)
 
 
-def flattened(v: Column, depth: int = 8) -> Column:
+def _flat(node) -> str:
+    """The text of a parsed body; a stack of (is text, item) in place of recursion."""
+    out, stack = [], [(False, node)]
+    while stack:
+        is_text, x = stack.pop()
+        if is_text:
+            out.append(x)
+        elif isinstance(x, (dict, list)):
+            pairs = x.items() if isinstance(x, dict) else ((None, v) for v in x)
+            below = []
+            for k, v in pairs:
+                below += [(True, ("\n" if below else "") + ("" if k is None else f"{k} ")), (False, v)]
+            stack += reversed(below)
+        else:
+            out.append(str(x))
+    return "".join(out)
+
+
+def _flat_udf(bodies: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _flat(json.loads(t)) for t in texts.to_pylist()], pa.string())
+    return run(bodies)
+
+
+def flattened(v: Column, depth: int | None = None) -> Column:
     """JDG-10: a VARIANT body as text: ``key value`` lines for objects, one line per element for
-    arrays, scalars as they print. Levels below ``depth`` are taken as their JSON text."""
+    arrays, scalars as they print, to any depth. Where a caller gives ``depth``, levels below it
+    are taken as their JSON text and no Python runs."""
+    if depth is None:
+        return _flat_udf(F.to_json(v))
     kind = jp.variant_kind(v)
     scalar = (F.when(kind == "string", F.try_variant_get(v, "$", "string"))
               .when(kind == "null", "None")
@@ -213,7 +244,7 @@ def flattened(v: Column, depth: int = 8) -> Column:
     return F.when(kind == "object", obj).when(kind == "array", arr).otherwise(scalar)
 
 
-def haystack(text: Column, body: Column | None = None, depth: int = 2) -> Column:
+def haystack(text: Column, body: Column | None = None, depth: int | None = None) -> Column:
     """JDG-10: everything a judge could have quoted: the text, then the flattened body."""
     parts = [F.nullif(F.coalesce(text, F.lit("")), F.lit(""))]
     if body is not None:

@@ -117,7 +117,7 @@ def _message(spark, sf_dir):
         F.concat(F.lit("USER  "), user.cast("string")))).otherwise(F.expr("cast(array() as array<string>)"))
     v = e.select(user.alias("case_id"), F.col("event_id").alias("sample_no"), said.alias("rationale"),
                  quote.alias("evidence_quotes"))
-    body = F.to_json(F.struct(F.struct(user.alias("user")).alias("from")))
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(user.alias("user"))).alias("said")).alias("from")))
     cases = e.select("user_id").distinct().select(
         user.alias("case_id"), F.lit("r1").alias("rubric_id"),
         fold(J.haystack(F.lit("said:"), F.parse_json(body))).alias("hay"))

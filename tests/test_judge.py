@@ -72,3 +72,14 @@ def test_evidence_rule_and_flattened_body(spark):
     assert got[0].verified == ["article ARTICLE 5", "plain"] and got[0].unverified == ["n 3 ... ok True"] or got[0].evidence_failure is None
     assert got[1].evidence_failure == "evidence quotes do not appear in the response: 'made up'"
     assert got[2].evidence_failure == got[3].evidence_failure == J.NO_QUOTES
+
+
+def test_body_is_flattened_to_any_depth(spark):
+    deep = '{"a": ' * 60 + '"Article 9"' + "}" * 60
+    rows = [(0, '{"findings": [{"article": "Article 5", "by": [[{"ok": true, "n": 1.5}], [], null]}]}'),
+            (1, deep), (2, None), (3, "{}")]
+    df = spark.createDataFrame(rows, "id long, b string")
+    got = {r.id: r.h for r in df.select("id", J.haystack(F.lit("t"), F.parse_json("b")).alias("h")).collect()}
+    assert got[0] == "t\nfindings article Article 5\nby n 1.5\nok True\n\nNone"
+    assert got[1] == "t\n" + "a " * 60 + "Article 9"
+    assert got[2] == got[3] == "t"
