@@ -216,3 +216,79 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted",
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+# ---- clustering and coding of vectors, in SQL round by round -------------------------------
+# A finite vector: its components as doubles; floor(scale * x) as integers, which doubles hold.
+def _sql_vectors(scale: int, where: str) -> str:
+    return f"""SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND {where}
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+_NEAR = "CAST(list_dot_product(v.{q}, v.{q}) - 2 * list_dot_product(v.{q}, c.q) + list_dot_product(c.q, c.q) AS BIGINT)"
+
+
+def _sql_means(rows: str, group: str, value: str, old: str) -> str:
+    """Componentwise floor of the mean per group; a group without rows keeps its old value."""
+    return f"""SELECT {group}, coalesce(m.q, o.q) AS q FROM {old} o LEFT JOIN (
+    SELECT {group}, list(y ORDER BY i) AS q FROM (
+      SELECT {group}, i, floor(sum({value}[i]) / count(*)) AS y FROM {rows}, range(1, 1 + len({value})) r(i) GROUP BY {group}, i)
+    GROUP BY {group}) m USING ({group})"""
+
+
+def _sql_clusters(k: int, dims: int, scale: int, rounds: int) -> str:
+    near = _NEAR.format(q="q")
+    steps = [f"v AS MATERIALIZED ({_sql_vectors(scale, f'len(embedding) = {dims}')})",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q FROM
+  (SELECT sha256('1:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM
+  (SELECT v.vec_id, v.q, c.cluster, {near} AS d FROM v, c{r} c) GROUP BY vec_id, q)""")
+        steps.append(f"c{r + 1} AS MATERIALIZED ({_sql_means(f'a{r}', 'cluster', 'q', f'c{r}')})")
+    del steps[-1]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+@query(_sql_clusters(16, 64, 64, 3))
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm import centroids
+    return centroids.with_inertia(*centroids.centroid_clusters(table(spark, sf_dir, "embeddings")))
+
+
+def _sql_codes(parts: int, entries: int, scale: int, rounds: int) -> str:
+    near = _NEAR.format(q="x")
+    steps = [f"k AS MATERIALIZED ({_sql_vectors(scale, f'len(embedding) > 0 AND len(embedding) % {parts} = 0')})",
+             f"""v AS MATERIALIZED (SELECT vec_id, label, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] AS x
+  FROM k, range({parts}) r(p) WHERE len(q) = (SELECT len(q) FROM k GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1))""",
+             f"""c0 AS MATERIALIZED (SELECT p, n AS entry, p * 1000 + n AS slot, x AS q FROM
+  (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS n FROM v) WHERE n < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(slot, (d, slot)) AS slot, min(d) AS d FROM
+  (SELECT v.*, c.slot, {near} AS d FROM v JOIN c{r} c ON c.p = v.p) GROUP BY vec_id, label, p, x)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT slot // 1000 AS p, slot % 1000 AS entry, slot, q FROM
+  ({_sql_means(f'a{r}', 'slot', 'x', f'c{r}')}))""")
+    del steps[-1]
+    return "WITH " + ",\n".join(steps) + f""",
+ e AS (SELECT vec_id, label, string_agg(printf('%02x', slot % 1000), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+       FROM a{rounds} GROUP BY vec_id, label),
+ s AS (SELECT sha256(string_agg(array_to_string(list_transform(q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY slot)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM e, s"""
+
+
+@query(_sql_codes(4, 256, 1024, 4))
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm import vector_codes
+    rows, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(rows).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query()
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofline.llm import licenses
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("notices")
