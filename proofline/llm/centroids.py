@@ -21,6 +21,7 @@ integer is beyond 2 ** 26 raises: its squared distances do not fit 64 bits.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.llm.common import written
-from proofline.llm.vectors import floored, matrix, packed, sums_by, unpacked, usable
+from proofline.llm.vectors import flat, floored, matrix, packed, sums_by, unpacked, usable
 
-K, DIMS, SCALE, ROUNDS, BLOCK_DIMS = 16, 64, 64, 3, 16
+K, DIMS, SCALE, ROUNDS, BLOCK_DIMS = 16, 64, 64, 3, 32
 
 
 def sharded(df: DataFrame, id_col: str, vector_col: str, dims: int, scale: int,
@@ -52,62 +53,70 @@ def starts(blocks: DataFrame, k: int, seed: int) -> list[np.ndarray]:
     return [np.array([r[c] for r in first], np.int64) for c in parts]
 
 
-def partial_distances(blocks: DataFrame, slices: list[np.ndarray]) -> DataFrame:
-    """One row per row and block: the block itself and its distances to the centroid slice."""
+@dataclass(frozen=True)
+class Width:
+    """The narrowest integers that hold the components and the partial distances."""
+    part: type
+    distance: type
+
+    @classmethod
+    def of(cls, blocks: DataFrame, dims: int) -> Width:
+        cols = [c for c in blocks.columns if c.startswith("c")]
+        top = blocks.agg(*[F.max(F.array_max(F.transform(c, F.abs))) for c in cols]).first()
+        top = max((v for v in top if v is not None), default=0)
+        part = next(t for t in (np.int8, np.int16, np.int32) if top < np.iinfo(t).max)
+        return cls(part, np.int32 if dims * (2 * top + 1) ** 2 < np.iinfo(np.int32).max else np.int64)
+
+
+def partial_distances(blocks: DataFrame, slices: list[np.ndarray], width: Width, *,
+                      parts: bool) -> DataFrame:
+    """One row per row and block: its distances to the centroid slice and, with ``parts`` (to
+    update the centroids), the block itself, else the id."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, s = matrix(b.column(3)), slices[b.column(2)[0].as_py()]  # a task reads one shard
+            x, s = matrix(b.column(2)), slices[b.column(1)[0].as_py()]  # a task reads one shard
             d = (x * x).sum(1)[:, None] - 2 * (x @ s.T) + (s * s).sum(1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), packed(x.astype(np.int32)), packed(d)],
-                names=names)
-    names = ["_row", "_id", "block", "part", "d"]
+                [b.column(0), b.column(1), packed(x.astype(width.part)) if parts else b.column(3),
+                 packed(d.astype(width.distance))], names=["_row", "block", "own", "d"])
     shards = None
     for j in range(len(slices)):
-        one = blocks.select("_row", "_id", F.lit(j).alias("block"), F.col(f"c{j}").alias("part"))
+        one = blocks.select("_row", F.lit(j).alias("block"), f"c{j}", *([] if parts else ["_id"]))
         shards = one if shards is None else shards.unionAll(one)
-    ident = blocks.schema["_id"].dataType.simpleString()
-    return shards.mapInArrow(run, f"_row long, _id {ident}, block int, part binary, d binary")
+    own = "binary" if parts else blocks.schema["_id"].dataType.simpleString()
+    return shards.mapInArrow(run, f"_row long, block int, own {own}, d binary")
 
 
-def by_row(partials: DataFrame, n_blocks: int, k: int):
-    """Batches function over rows dealt by ``_row`` and sorted: yields for each batch the ids,
-    the blocks side by side, and the distances added up over the blocks."""
+def by_row(partials: DataFrame, n_blocks: int, k: int, width: Width):
+    """(rows dealt by ``_row`` and sorted, a function over their batches: the blocks of each row
+    one after the other, and its distances added up over the blocks)."""
     def run(batches):
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
             whole = len(t) // n_blocks * n_blocks
             rest = t.slice(whole).combine_chunks().to_batches()[0] if whole < len(t) else None
-            if not whole:
-                continue
-            b = t.slice(0, whole).combine_chunks().to_batches()[0]
-            ids = b.column(1).take(pa.array(np.arange(0, whole, n_blocks)))
-            parts = b.column(3)
-            width = np.diff(np.frombuffer(parts.buffers()[1], np.int32)[
-                parts.offset:parts.offset + n_blocks + 1]) // 4
-            at = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset:parts.offset + whole + 1]
-            x = np.frombuffer(parts.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.int32)
-            d = unpacked(b.column(4), np.int64).reshape(-1, n_blocks, k).sum(1)
-            yield ids, x.reshape(-1, int(width.sum())).astype(np.int64), d
-    dealt = partials.repartition("_row").sortWithinPartitions("_row", "block")
-    return dealt, run
-
-
-def updated(partials: DataFrame, slices: list[np.ndarray]) -> list[np.ndarray]:
+            if whole:
+                b = t.slice(0, whole).combine_chunks().to_batches()[0]
+                d = unpacked(b.column(3), width.distance).reshape(-1, n_blocks, k)
+                yield b.column(2), d.sum(1, dtype=np.int64)
+    return partials.repartition("_row").sortWithinPartitions("_row", "block"), run
+
+
+def updated(blocks: DataFrame, slices: list[np.ndarray], width: Width) -> list[np.ndarray]:
     """The slices after one round: componentwise floor of the mean, empty clusters as they were."""
     n_blocks, k = len(slices), len(slices[0])
     block_of = np.repeat(np.arange(n_blocks), [s.shape[1] for s in slices])
     pos_of = np.concatenate([np.arange(s.shape[1]) for s in slices])
-    dealt, rows = by_row(partials, n_blocks, k)
+    dealt, rows = by_row(partial_distances(blocks, slices, width, parts=True), n_blocks, k, width)
 
     def sums(batches):
         total, n = np.zeros((k, len(block_of)), np.int64), np.zeros(k, np.int64)
-        for _, x, d in rows(batches):
+        for parts, d in rows(batches):
             nearest = d.argmin(1)
-            total += sums_by(nearest, k, x)
+            total += sums_by(nearest, k, flat(parts, width.part).reshape(len(d), -1).astype(np.int64))
             n += np.bincount(nearest, minlength=k)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([
@@ -125,16 +134,18 @@ def updated(partials: DataFrame, slices: list[np.ndarray]) -> list[np.ndarray]:
     return new
 
 
-def assigned(partials: DataFrame, slices: list[np.ndarray], id_col: str) -> DataFrame:
+def assigned(blocks: DataFrame, slices: list[np.ndarray], width: Width, id_col: str) -> DataFrame:
     """id, cluster, distance of every row."""
-    dealt, rows = by_row(partials, len(slices), len(slices[0]))
+    n_blocks = len(slices)
+    dealt, rows = by_row(partial_distances(blocks, slices, width, parts=False), n_blocks, len(slices[0]), width)
 
     def nearest(batches):
-        for ids, _, d in rows(batches):
+        for ids, d in rows(batches):
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1), pa.int64())],
+                [ids.take(pa.array(np.arange(0, len(ids), n_blocks))),
+                 pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1), pa.int64())],
                 names=[id_col, "cluster", "distance"])
-    ident = partials.schema["_id"].dataType.simpleString()
+    ident = blocks.schema["_id"].dataType.simpleString()
     return dealt.mapInArrow(nearest, f"`{id_col}` {ident}, cluster int, distance long")
 
 
@@ -148,9 +159,10 @@ def centroid_clusters(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
         none = blocks.where(F.lit(False)).select(
             F.col("_id").alias(id_col), F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
         return none, np.zeros((0, dims), np.int64)
+    width = Width.of(blocks, dims)
     for _ in range(rounds):
-        slices = updated(partial_distances(blocks, slices), slices)
-    return assigned(partial_distances(blocks, slices), slices, id_col), np.concatenate(slices, 1)
+        slices = updated(blocks, slices, width)
+    return assigned(blocks, slices, width, id_col), np.concatenate(slices, 1)
 
 
 def with_inertia(rows: DataFrame, centroids: np.ndarray) -> DataFrame:

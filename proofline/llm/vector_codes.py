@@ -33,7 +33,7 @@ from proofline.llm.vectors import floored, matrix, packed, sums_by, unpacked, us
 
 PARTS, ENTRIES, SCALE, ROUNDS, PIVOTS = 4, 256, 1024, 4, 16
 ROWS = 1024   # parts evaluated together
-STEP = 16     # entries evaluated between two looks at the bounds
+STEP = 32     # entries evaluated between two looks at the bounds
 SALTS = 16
 
 
@@ -58,23 +58,30 @@ def nearest(x: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray,
     x entries."""
     best = np.full(len(x), np.iinfo(np.int64).max)
     index = np.zeros(len(x), np.int64)
-    done = 0
+    done, width = 0, x.shape[1]
+    # the narrowest integers that hold every squared distance
+    span = int(max(np.abs(x).max(initial=0), np.abs(entries).max())) * 2
+    whole = np.int32 if width * span * span < 1 << 31 else np.int64
+    entries, x = entries.astype(whole), x.astype(whole)
+    to_pivots, pivot_entry = to_pivots.astype(np.float32), pivot_entry.astype(np.float32)
+    # more than the rounding of a bound: its two distances in single precision, subtracted
+    slip = 1e-6 * float(max(to_pivots.max(initial=0), pivot_entry.max())) + 1e-6
     for a in range(0, len(x), ROWS):
         part, own = x[a:a + ROWS], to_pivots[a:a + ROWS]
         bound = np.abs(own[:, :1] - pivot_entry[0])
         for j in range(1, len(pivot_entry)):
             np.maximum(bound, np.abs(own[:, j:j + 1] - pivot_entry[j]), out=bound)
-        order = bound.argsort(axis=1, kind="stable")
+        order = bound.argsort(axis=1)
         live, low, at = np.arange(len(part)), best[a:a + ROWS], index[a:a + ROWS]
         for r in range(0, len(entries), STEP):
             if r:
                 reach = np.sqrt(low[live].astype(np.float64))
-                # a margin far above the rounding of the bounds
-                live = live[bound[live, order[live, r]] <= reach + 1e-6 * (1 + reach)]
+                live = live[bound[live, order[live, r]] <= reach + slip]
                 if not len(live):
                     break
             some = order[live, r:r + STEP]
-            diff = part[live][:, None, :] - entries[some]
+            diff = entries[some]
+            diff -= part[live][:, None, :]
             d = np.einsum("ijk,ijk->ij", diff, diff)
             done += d.size
             least = d.min(1)

@@ -40,10 +40,14 @@ def packed(rows: np.ndarray) -> pa.Array:
         None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def unpacked(values: pa.Array, dtype) -> np.ndarray:
+def flat(values: pa.Array, dtype) -> np.ndarray:
+    """The numbers of binary values one after the other."""
     at = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
-    data = np.frombuffer(values.buffers()[2], np.uint8)[at[0]:at[-1]]
-    return data.view(dtype).reshape(len(values), -1)
+    return np.frombuffer(values.buffers()[2], np.uint8)[at[0]:at[-1]].view(dtype)
+
+
+def unpacked(values: pa.Array, dtype) -> np.ndarray:
+    return flat(values, dtype).reshape(len(values), -1)
 
 
 def sums_by(groups: np.ndarray, n_groups: int, rows: np.ndarray) -> np.ndarray:
