@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofline.llm.chunks import ChunkTable, blocks, by_position, merged, only, packed
+from proofline.llm.chunks import BLOCK_BYTES, ChunkTable, blocks, by_position, merged, only, packed
 from proofline.llm.common import whole_text
 
 MARK = "▁"
+DECODE_BITS = 19  # ids decoded together: about 2 ** 17
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -104,7 +106,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
         sp = processor(model)
         for batch in batches:
             size = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.diff(np.cumsum(size) >> 19)) + 1  # about half a million ids each
+            cut = np.flatnonzero(np.diff(np.cumsum(size) >> DECODE_BITS)) + 1
             for a, z in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 b = batch.slice(a, z - a)
                 ids = [x or [] for x in b.column(1).to_pylist()]
@@ -119,6 +121,38 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return src.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, ids, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of
+    the text decoded from them), in one pass through one Python worker a task: for tables where
+    the decoded text itself is not wanted."""
+    def digests(ids: pa.ListArray):
+        sp = processor(model)
+        size = ids.value_lengths().to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) >> DECODE_BITS)) + 1
+        for a, z in zip([0, *cut], [*cut, len(ids)], strict=True):
+            own = ids.slice(a, z - a).to_pylist()
+            for row, text in zip(own, sp.decode(own, num_threads=1) if own else [], strict=True):
+                yield (sha256(",".join(map(str, row)).encode()).hexdigest(), sha256(text.encode()).hexdigest())
+
+    def run(batches):
+        try:
+            for batch in batches:
+                for b in blocks(batch, len(keys), BLOCK_BYTES // 4):
+                    ids = encode_array(b.column(len(keys)), model)
+                    one, two = zip(*digests(ids), strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns[:len(keys)], ids, ids.value_lengths().cast(pa.int64()),
+                         pa.array(one, pa.string()), pa.array(two, pa.string())], names=names)
+        finally:
+            word_table(model).forget()
+    src = docs.select(*keys, whole_text(text_col).alias("_text"))
+    names = [*keys, "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = T.StructType([*src.schema.fields[:len(keys)], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType())])
+    return src.mapInArrow(run, schema)
+
+
 def ids_text(ids: str = "ids"):
     """Decimal ids joined by commas."""
     return F.array_join(F.col(ids).cast("array<string>"), ",")

@@ -165,3 +165,24 @@ def test_query_digests(spark):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in
            QUERIES["op2_token_files"](spark, sf).collect()}
     assert got == want
+
+
+def test_round_trip_in_one_pass(spark):
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+
+    from proofline.llm import sentencepiece_codec as codec
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [None, "", " ", "a  b", "▁x y▁", "wörter und  ", "long " * 300_000, "twice", "twice"]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, ids string, _text string")
+    rows = {r.doc_id: r for r in codec.round_trip(df, model, ["doc_id"]).collect()}
+    assert sorted(rows) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "")
+        assert rows[i].ids == ids and rows[i].n_tokens == len(ids)
+        assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+    assert codec.round_trip(df.limit(0), model, ["doc_id"]).count() == 0
