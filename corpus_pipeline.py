@@ -7,7 +7,6 @@ files of the stage before and returns it as ``position``, sorted by it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proofline.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash
 from proofline.llm.common import positioned, table, written
@@ -41,14 +40,11 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the ids and of the text decoded from them; the rows come in the order of ``position``."""
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    # sorted before, not after: the sort samples its input, which would tokenise twice
-    rows = positioned(docs, "_position").orderBy("_position").select(
-        F.struct("_position", "doc_id").alias("_key"), "text")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, model, "_key"), model, "_key")
-    return both.select(F.col("_key._position").alias("position"), "_key.doc_id",
-                       F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       F.sha2(sentencepiece_codec.ids_text(), 256).alias("ids_sha256"),
-                       F.sha2("text", 256).alias("decoded_sha256"))
+    rows = positioned(docs, "position")
+    # written before the sort, so that tokenising and sorting do not hold memory together
+    tokens = written(sentencepiece_codec.round_trip(rows, model, ["position", "doc_id"]), "tokens")
+    return tokens.select("position", "doc_id", "n_tokens", "ids", "ids_sha256",
+                         "decoded_sha256").orderBy("position")
 
 
 STAGES = [
