@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.operators.asof import SALTS, asof_join
+
 
 def effective_passed(passed: Column, human_verdict: Column) -> Column:
     """A human verdict, when there is one, replaces the machine flag."""
@@ -81,18 +83,55 @@ def suggested_verdict(reports: DataFrame, case_results: DataFrame, policy: dict,
     return j.withColumn("suggested_verdict", F.when(ok, "pass").otherwise("fail"))
 
 
+def case_status() -> Column:
+    """What became of a case, from current_passed and baseline_passed (null: no such case)."""
+    return (F.when(F.col("baseline_passed").isNull(), "new")
+            .when(F.col("current_passed").isNull(), "gone")
+            .when(F.col("baseline_passed") & ~F.col("current_passed"), "regressed")
+            .when(~F.col("baseline_passed") & F.col("current_passed"), "fixed")
+            .otherwise("same"))
+
+
 def compare_to_baseline(current: DataFrame, baseline: DataFrame, keys: list[str],
                         flag: str = "passed") -> DataFrame:
     """JON-12: per case, new / gone / regressed / fixed / same against a baseline run."""
     c = current.select(*keys, F.col(flag).alias("current_passed"))
     b = baseline.select(*keys, F.col(flag).alias("baseline_passed"))
     j = c.join(b, keys, "full_outer")
-    status = (F.when(F.col("baseline_passed").isNull(), "new")
-              .when(F.col("current_passed").isNull(), "gone")
-              .when(F.col("baseline_passed") & ~F.col("current_passed"), "regressed")
-              .when(~F.col("baseline_passed") & F.col("current_passed"), "fixed")
-              .otherwise("same"))
-    return j.withColumn("status", status)
+    return j.withColumn("status", case_status())
+
+
+def baseline_of_runs(runs: DataFrame, approved: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+    """WIN-2 for every run: run_id, project, started_at, baseline_report_id, baseline_run_id of the
+    report of its project approved last before it started (ties: the greater report; null
+    without one). ``runs``: run_id, project, started_at; ``approved``: report_id, run_id, project,
+    approved_at, reports that are done with verdict pass."""
+    events = approved.select("project", "approved_at", F.col("report_id").alias("baseline_report_id"),
+                             F.col("run_id").alias("baseline_run_id"))
+    return asof_join(runs.select("run_id", "project", "started_at"), events, "project", "started_at", "approved_at",
+                     "baseline_report_id", ["baseline_report_id", "baseline_run_id"], "run_id", bucket_seconds)
+
+
+def compare_runs_to_baselines(runs: DataFrame, case_results: DataFrame, keys: list[str],
+                              flag: str = "passed") -> DataFrame:
+    """JON-12 for all runs at once: per run and case new / gone / regressed / fixed / same against
+    the run's own baseline. ``runs``: run_id, baseline_report_id, baseline_run_id (as from
+    ``baseline_of_runs``); a run without a baseline has only new cases. The cases of one baseline
+    serve many runs, so they meet them under salts; both sides then meet per (run, case) in one
+    aggregation."""
+    cases = case_results.select("run_id", *keys, F.col(flag).alias("_flag"))
+    salt = F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int")
+    asked = runs.where("baseline_run_id is not null").select(
+        F.col("baseline_run_id").alias("_b"), F.col("run_id").alias("_for"), salt.alias("_salt"))
+    base = (cases.join(asked.select(F.col("_b").alias("run_id")).distinct(), "run_id", "left_semi")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    old = base.join(asked, (base["run_id"] == asked["_b"]) & (base["_salt"] == asked["_salt"])).select(
+        F.col("_for").alias("run_id"), *keys, F.lit(None).cast("boolean").alias("_now"), F.col("_flag").alias("_was"))
+    new = cases.join(runs.select("run_id"), "run_id", "left_semi").select(
+        "run_id", *keys, F.col("_flag").alias("_now"), F.lit(None).cast("boolean").alias("_was"))
+    per = new.unionByName(old).groupBy("run_id", *keys).agg(
+        F.max("_now").alias("current_passed"), F.max("_was").alias("baseline_passed"))
+    return per.join(runs.select("run_id", "baseline_report_id"), "run_id").withColumn("status", case_status())
 
 
 def run_records(runs: DataFrame, case_results: DataFrame, failures: DataFrame | None = None,

@@ -211,6 +211,45 @@ def regression_vs_baseline(spark, sf_dir):
     return RS.compare_to_baseline(apply_and_gate(renamed, spec2, keys, body=None), base, keys)
 
 
+# Every order is a run of its customer's market segment, started on its order date; its report is
+# approved (if done and passed) report_id % 20 days after that.
+SQL_BASELINES = f"""(WITH ap AS (SELECT project, created_at + to_days(CAST(report_id % 20 AS INTEGER)) AS approved_at, max(report_id) AS report_id
+    FROM {T.SQL_REPORTS} WHERE state = 'done' AND verdict = 'pass' GROUP BY ALL)
+  SELECT r.run_id, r.project, r.created_at AS started_at, ap.report_id AS baseline_report_id, ap.report_id AS baseline_run_id
+  FROM {T.SQL_REPORTS} r ASOF LEFT JOIN ap ON r.project = ap.project AND r.created_at > ap.approved_at)"""
+
+
+def run_baselines(spark, sf_dir):
+    r = T.reports(spark, sf_dir)
+    days = (F.col("report_id") % 20).cast("int")
+    approved = r.where("state = 'done' and verdict = 'pass'").select(
+        "report_id", "run_id", "project", (F.col("created_at").cast("timestamp") + F.make_dt_interval(days)).alias("approved_at"))
+    return RS.baseline_of_runs(r.select("run_id", "project", F.col("created_at").cast("timestamp").alias("started_at")), approved)
+
+
+@query("run_baseline", sql=f"SELECT run_id, project, baseline_report_id FROM {SQL_BASELINES}")
+def run_baseline(spark, sf_dir):
+    """WIN-2 per run: the report approved last before the run started."""
+    return run_baselines(spark, sf_dir).select("run_id", "project", "baseline_report_id")
+
+
+@query("baseline_comparison", sql=f"""
+WITH b AS MATERIALIZED (SELECT * FROM {SQL_BASELINES}),
+ c AS (SELECT run_id, suite_id, l_linenumber AS case_no, bool_or(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY ALL),
+ n AS (SELECT run_id, suite_id, case_no, passed FROM c SEMI JOIN b USING (run_id)),
+ o AS (SELECT b.run_id, c.suite_id, c.case_no, c.passed FROM b JOIN c ON c.run_id = b.baseline_run_id),
+ j AS (SELECT run_id, suite_id, case_no, n.passed AS current_passed, o.passed AS baseline_passed FROM n FULL JOIN o USING (run_id, suite_id, case_no))
+SELECT j.run_id, suite_id, case_no, baseline_report_id, current_passed, baseline_passed,
+  CASE WHEN baseline_passed IS NULL THEN 'new' WHEN current_passed IS NULL THEN 'gone' WHEN baseline_passed AND NOT current_passed THEN 'regressed'
+       WHEN NOT baseline_passed AND current_passed THEN 'fixed' ELSE 'same' END AS status
+FROM j JOIN b USING (run_id)""")
+def baseline_comparison(spark, sf_dir):
+    """JON-12: every run, case by case, against the baseline approved last before it started."""
+    cases = T.case_results(spark, sf_dir).withColumnRenamed("l_linenumber", "case_no")
+    out = RS.compare_runs_to_baselines(run_baselines(spark, sf_dir), cases, ["suite_id", "case_no"])
+    return out.select("run_id", "suite_id", "case_no", "baseline_report_id", "current_passed", "baseline_passed", "status")
+
+
 # ---- run records (SNK-2, REV-7) and tokens (AGG-13) -----------------------------------------
 @query("run_records", sql=f"""
 WITH s AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed,
