@@ -96,7 +96,9 @@ def validate_adjudications(attempts: DataFrame, reports: DataFrame, users: DataF
     """REV-3: adjudication attempts (report_id, case_id, actor, verdict, reason, ...) accepted or
     rejected with the first rule they break: actor, report known, unlocked, ready_for_review, a
     reason to set a verdict (blanks are one), case in the report. ``reports``: report_id, run_id,
-    state, locked (optional: done); ``case_runs``: case_id, run_id; ``users``: name, role."""
+    state, locked (optional: done), as they stand while the attempts are made; a log in which
+    the state changes between attempts goes through ``replay.replay_reviews``. ``case_runs``:
+    case_id, run_id; ``users``: name, role."""
     n_users = users.limit(1).count()
     locked = F.col("locked") if "locked" in reports.columns else F.col("state") == "done"
     rep = reports.select("report_id", F.col("run_id").alias("_run"), F.col("state").alias("_state"), locked.alias("_locked"))
@@ -116,11 +118,13 @@ def validate_adjudications(attempts: DataFrame, reports: DataFrame, users: DataF
 
 
 def validate_verdicts(attempts: DataFrame, reports: DataFrame, users: DataFrame, summaries: DataFrame,
-                      mode: str = "open") -> DataFrame:
+                      mode: str = "open", order: list[str] | None = None) -> DataFrame:
     """REV-4: report verdicts (report_id, verdict, reason, actor) accepted or rejected; an
     accepted one locks the report and carries the summary recomputed from effective results
     (``summaries``: run_id, cases, passed). Checked in order: verdict value, a reason that is
-    not blank, actor, report known, state."""
+    not blank, actor, report known, state. Of several verdicts on one report that pass all this,
+    the first by ``order`` (default: all columns) locks it and the others come too late; equal
+    rows are one attempt."""
     n_users = users.limit(1).count()
     j = (attempts.join(reports.select("report_id", F.col("run_id").alias("_run"), F.col("state").alias("_state")),
                        "report_id", "left")
@@ -132,7 +136,13 @@ def validate_verdicts(attempts: DataFrame, reports: DataFrame, users: DataFrame,
            .when(F.col("_state") != "ready_for_review", F.concat(F.lit("illegal transition "), "_state", F.lit(" -> done"))))
     s = summaries.select(F.col("run_id").alias("_run"), "cases", "passed")
     ok = F.col("reject_reason").isNull()
-    return j.withColumn("reject_reason", why).join(s, "_run", "left").select(
+    when = F.struct(*(order or attempts.columns))
+    j = j.withColumn("reject_reason", why)
+    first = j.where(ok).groupBy(F.col("report_id").alias("_locked")).agg(F.min(when).alias("_first"))
+    late = ok & (when != F.col("_first"))
+    j = j.join(first, j["report_id"] == first["_locked"], "left").withColumn(
+        "reject_reason", F.when(late, "illegal transition done -> done").otherwise(F.col("reject_reason")))
+    return j.join(s, "_run", "left").select(
         *attempts.columns, "reject_reason", ok.alias("locked"), F.when(ok, "done").alias("new_state"),
         F.when(ok, F.coalesce("cases", F.lit(0))).alias("cases"), F.when(ok, F.coalesce("passed", F.lit(0))).alias("passed"))
 

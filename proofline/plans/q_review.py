@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import results as RS
 from proofline.operators import review as RV
+from proofline.operators.replay import replay_reviews
 from proofline.plans.registry import query
 from proofline.sources import tables as T
 
@@ -214,6 +215,69 @@ def verdict_validation(spark, sf_dir):
     return out.select("doc_id", "reject_reason", "locked", "new_state", "cases", "passed")
 
 
+# The log of a review: events as attempts on the report with the user's id, every third on report 1.
+# signup = submit, error = return, click and view = adjudicate, purchase = verdict; the actor is a
+# supplier; only every eleventh purchase names a verdict that exists, every fourth attempt lacks a reason.
+def _review_log(spark, sf_dir):
+    sup = T.table(spark, sf_dir, "supplier")
+    n_sup = sup.count()  # one scalar: attempts are paired with supplier event_id % n
+    i = F.col("event_id")
+    e = T.table(spark, sf_dir, "events").withColumn("s_suppkey", i % F.lit(n_sup))
+    report = F.when(i % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("user_id"))
+    kind = (F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "error", "return")
+            .when(F.col("event_type") == "purchase", "verdict").otherwise("adjudicate"))
+    verdict = (F.when((F.col("event_type") == "purchase") & (i % 11 != 0), "maybe")
+               .when(F.col("event_type") == "view", "fail").when(i % 13 != 0, "pass"))
+    return e.join(sup.select("s_suppkey", F.col("s_name").alias("actor")), "s_suppkey", "left").select(
+        report.alias("report_id"), F.col("ts").alias("at"), i.alias("attempt_id"), kind.alias("kind"),
+        (F.when(i % 6 == 0, report + 1).otherwise(report) * 10 + 1).alias("case_id"), verdict.alias("verdict"),
+        F.when(i % 4 != 0, F.concat(F.lit("event "), i.cast("string"))).alias("reason"), "actor")
+
+
+SQL_REVIEW_LOG = """(SELECT *, (CASE WHEN attempt_id % 6 = 0 THEN report_id + 1 ELSE report_id END) * 10 + 1 AS case_id FROM (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS report_id, ts AS "at", event_id AS attempt_id,
+    CASE event_type WHEN 'signup' THEN 'submit' WHEN 'error' THEN 'return' WHEN 'purchase' THEN 'verdict' ELSE 'adjudicate' END AS kind,
+    CASE WHEN event_type = 'purchase' AND event_id % 11 <> 0 THEN 'maybe' WHEN event_type = 'view' THEN 'fail'
+         WHEN event_id % 13 <> 0 THEN 'pass' END AS verdict,
+    CASE WHEN event_id % 4 <> 0 THEN 'event ' || event_id END AS reason, s_name AS actor
+  FROM events LEFT JOIN supplier ON s_suppkey = event_id % (SELECT count(*) FROM supplier)))"""
+
+
+@query("review_replay", sql=f"""
+WITH RECURSIVE a AS MATERIALIZED (
+  SELECT l.*, r.o_orderkey AS run_id, c.o_orderkey AS case_run, coalesce(u.role, '') IN ('reviewer', 'admin') AS may,
+    row_number() OVER (PARTITION BY report_id ORDER BY "at", attempt_id) AS n
+  FROM {SQL_REVIEW_LOG} l LEFT JOIN orders r ON r.o_orderkey = report_id LEFT JOIN orders c ON c.o_orderkey * 10 + 1 = l.case_id
+  LEFT JOIN {SQL_USERS} u ON u.name = l.actor),
+ s AS MATERIALIZED (SELECT *, CASE WHEN kind = 'verdict' AND coalesce(verdict, '') NOT IN ('pass', 'fail') THEN 'verdict must be ''pass'' or ''fail'''
+     WHEN kind = 'verdict' AND coalesce(trim(reason), '') = '' THEN 'reason required'
+     WHEN kind IN ('verdict', 'adjudicate') AND NOT may THEN 'actor lacks reviewer authority'
+     WHEN run_id IS NULL THEN 'report not found' END AS first FROM a),
+ w AS (
+  SELECT report_id, CAST(0 AS BIGINT) AS n, CASE WHEN run_id IS NOT NULL THEN 'pending' END AS was, CASE WHEN run_id IS NOT NULL THEN 'pending' END AS now
+  FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.report_id, s.n, w.now, CASE WHEN s.first IS NOT NULL THEN w.now WHEN s.kind = 'submit' AND w.now = 'pending' THEN 'ready_for_review'
+    WHEN s.kind = 'return' AND w.now = 'ready_for_review' THEN 'pending' WHEN s.kind = 'verdict' AND w.now = 'ready_for_review' THEN 'done' ELSE w.now END
+  FROM w JOIN s ON s.report_id = w.report_id AND s.n = w.n + 1),
+ j AS (SELECT attempt_id, kind, was AS state_before, now AS state_after, CASE WHEN first IS NOT NULL THEN first
+    WHEN kind = 'adjudicate' AND was = 'done' THEN 'report is locked' WHEN kind = 'adjudicate' AND was <> 'ready_for_review' THEN 'report is not ready_for_review'
+    WHEN kind = 'submit' AND was <> 'pending' THEN 'illegal transition ' || was || ' -> ready_for_review'
+    WHEN kind = 'return' AND was <> 'ready_for_review' THEN 'illegal transition ' || was || ' -> pending'
+    WHEN kind = 'verdict' AND was <> 'ready_for_review' THEN 'illegal transition ' || was || ' -> done'
+    WHEN kind = 'adjudicate' AND verdict IS NOT NULL AND coalesce(reason, '') = '' THEN 'reason required when setting a verdict'
+    WHEN kind = 'adjudicate' AND (case_run IS NULL OR case_run <> run_id) THEN 'case not in report' END AS reject_reason
+  FROM s JOIN w USING (report_id, n))
+SELECT *, reject_reason IS NULL AS accepted FROM j""")
+def review_replay(spark, sf_dir):
+    """REV-3 / REV-4 over a whole log: every attempt judged in the state that those before it left."""
+    orders = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
+    reports = orders.select(F.col("run_id").alias("report_id"), "run_id", F.lit("pending").alias("state"))
+    cases = orders.select((F.col("run_id") * 10 + 1).alias("case_id"), "run_id")
+    out = replay_reviews(_review_log(spark, sf_dir), reports, users(spark, sf_dir), cases, "enforced")
+    return out.select("attempt_id", "kind", "state_before", "state_after", "reject_reason", "accepted")
+
+
 @query("review_events", sql=f"""
 WITH s AS (SELECT run_id, count(*) AS cases, count_if(passed) AS passed FROM {T.SQL_CASE_RESULTS} GROUP BY 1)
 SELECT r.report_id, '{{"event":"ready_for_review","report_id":' || r.report_id || ',"run_id":' || r.run_id || ',"project":"' || r.project
