@@ -5,6 +5,8 @@ any check is compiled once into an ``array<variant>`` of matches. Missing member
 dropped, an explicit JSON ``null`` is kept as a match (a VARIANT null), which is what
 counting checks such as ``field_present`` need.
 
+Descendants reach every level: Spark itself parses values of up to ``NESTING`` levels.
+
 Paths: names, quoted names, indexes, slices, wildcards (elements of an array, values of an
 object), descendants (``..name``, ``..*``) and comparisons (``[?(@.a.b > 1)]``); the leading
 ``$.`` may be left out. Anything else raises when the path is compiled.
@@ -17,6 +19,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proofline.functions.columns import let
+
+# Spark parses no JSON value with more levels than this.
+NESTING = 1000
+
 # One step of a path; also matched by Spark on paths that are data (see matches_by_data).
 STEP = (r"""\.\.(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"""      # ..name  ..*
         r"""|\.?(?:[A-Za-z_][A-Za-z0-9_\-]*)"""         # .name, or name at the start
@@ -27,9 +34,10 @@ STEP = (r"""\.\.(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"""      # ..name  ..*
         r"""|\[\s*'[^']*'\s*\]|\[\s*"[^"]*"\s*\]"""     # ['name']
         )
 _STEP = re.compile(STEP)
-_FILTER = re.compile(r"""\[\s*\?\s*\(?\s*@((?:\.[A-Za-z_][A-Za-z0-9_\-]*)*)\s*(==|=|!=|>=|<=|>|<)\s*"""
-                     r"""('[^']*'|"[^"]*"|-?\d+(?:\.\d+)?|true|false|null)\s*\)?\s*\]""")
-DEPTH = 64  # levels that descendants reach
+# A comparison: its three groups are the names, the operator and the value.
+FILTER = (r"""\[\s*\?\s*\(?\s*@({g}(?:\.[A-Za-z_][A-Za-z0-9_\-]*)*)\s*({g}==|=|!=|>=|<=|>|<)\s*"""
+          r"""({g}'[^']*'|"[^"]*"|-?\d+(?:\.\d+)?|true|false|null)\s*\)?\s*\]""")
+_FILTER = re.compile(FILTER.format(g=""))
 
 
 class PathError(ValueError):
@@ -89,13 +97,23 @@ def _children(x: Column) -> Column:
     return F.coalesce(x.try_cast("array<variant>"), F.map_values(x.try_cast("map<string,variant>")), no_variants())
 
 
+def levels_of(arr: Column) -> Column:
+    """At least the number of levels of the values in ``arr``: their opening brackets (those
+    inside strings only add to it), and no more than Spark parses."""
+    def openers(x: Column) -> Column:
+        text = F.to_json(x)
+        return F.length(text) - F.length(F.translate(text, "[{", ""))
+    return F.least(F.aggregate(arr, F.lit(0), lambda n, x: n + F.coalesce(openers(x), F.lit(0))), F.lit(NESTING))
+
+
 def _descendants(arr: Column) -> Column:
-    """Every value of ``arr`` and everything below it, level by level."""
+    """Every value of ``arr`` and everything below it, level by level until one is empty."""
     def level(acc: Column, _: Column) -> Column:
         below = F.flatten(F.transform(acc["now"], _children))
-        return F.struct(F.concat(acc["all"], below).alias("all"), below.alias("now"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.struct(arr.alias("all"), arr.alias("now")),
-                       level, lambda acc: acc["all"])
+        return F.when(F.size(acc["now"]) == 0, acc).otherwise(
+            F.struct(F.concat(acc["all"], below).alias("all"), below.alias("now")))
+    return let(arr, lambda a: F.aggregate(F.sequence(F.lit(0), levels_of(a)), F.struct(a.alias("all"), a.alias("now")),
+                                          level, lambda acc: acc["all"]))
 
 
 def _sliced(xs: Column, lo, hi) -> Column:
@@ -175,18 +193,51 @@ def _step(kind: str, arg):
 # ---- paths that are data ---------------------------------------------------------------
 
 def path_supported(path: Column) -> Column:
-    """True for a path that :func:`matches_by_data` evaluates: every kind of step but
-    comparisons and descendants."""
-    return F.coalesce(path.rlike(r"^\s*(?:\$|[A-Za-z_][A-Za-z0-9_\-]*)(?:\.(?!\.)(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"
-                                 r"|\[\s*(?:\*|-?\d+|-?\d*\s*:\s*-?\d*|'[^']*'|\"[^\"]*\")\s*\])*\s*$"), F.lit(False))
+    """True for a path in the grammar of :func:`parse_path`."""
+    return F.coalesce(path.rlike(r"^\s*(?:\$|[A-Za-z_][A-Za-z0-9_\-]*)(?:\.{1,2}(?:[A-Za-z_][A-Za-z0-9_\-]*|\*)"
+                                 r"|\[\s*(?:\*|-?\d+|-?\d*\s*:\s*-?\d*|'[^']*'|\"[^\"]*\")\s*\]|"
+                                 + FILTER.format(g="?:") + r")*\s*$"), F.lit(False))
+
+
+def _compared_by_data(x: Column, step: Column) -> Column:
+    """:func:`_compared` for a comparison that is text, without its brackets."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(F.concat(F.lit("["), step, F.lit("]")), FILTER.format(g=""), i)
+    names = F.filter(F.split(part(1), r"\."), lambda n: n != "")
+    at = F.aggregate(names, x, lambda v, n: F.try_element_at(v.try_cast("map<string,variant>"), n))
+
+    def judged(b: Column) -> Column:
+        v, op, raw = b["v"], F.when(b["op"] == "=", "==").otherwise(b["op"]), b["raw"]
+        kind = F.schema_of_variant(v)
+
+        def by_op(a: Column, c: Column) -> Column:
+            return F.when(op.isin("==", "!="), a == c).when(op == ">", a > c).when(op == "<", a < c).when(
+                op == ">=", a >= c).when(op == "<=", a <= c)
+        number = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+        quoted = raw.rlike("^['\"]")
+        same = F.coalesce(
+            F.when(raw == "null", F.is_variant_null(v))
+            .when(raw.isin("true", "false"), (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == (raw == "true")))
+            .when(quoted, (kind == "STRING") & by_op(F.try_variant_get(v, "$", "string"),
+                                                     F.regexp_replace(raw, "^['\"]|['\"]$", "")))
+            .otherwise(number & by_op(F.try_variant_get(v, "$", "double"), raw.try_cast("double"))), F.lit(False))
+        return F.when(op == "!=", v.isNotNull() & ~same).otherwise(same)
+    return let(F.struct(at.alias("v"), part(2).alias("op"), part(3).alias("raw")), judged)
 
 
 def matches_by_data(body: Column, path: Column) -> Column:
     """Like :func:`matches` for a path that is a column; NULL where it is not supported."""
-    steps = F.transform(F.regexp_extract_all(F.regexp_replace(F.trim(path), r"^\$", ""), F.lit("(" + STEP + ")"), 1),
-                        lambda s: F.regexp_replace(F.regexp_replace(s, r"^\.", ""), r"^\[\s*|\s*\]$", ""))
+    found = F.regexp_extract_all(F.regexp_replace(F.trim(path), r"^\$", ""),
+                                 F.lit("(" + STEP + "|" + FILTER.format(g="?:") + ")"), 1)
+    steps = F.transform(found, lambda s: F.struct(
+        s.startswith("..").alias("down"),
+        F.regexp_replace(F.regexp_replace(s, r"^\.{1,2}", ""), r"^\[\s*|\s*\]$", "").alias("s")))
+
+    def apply(arr: Column, step: Column) -> Column:
+        return let(F.struct(F.when(step["down"], _descendants(arr)).otherwise(arr).alias("arr"), step["s"].alias("s")),
+                   lambda b: stepped(b["arr"], b["s"]))
 
-    def apply(arr: Column, s: Column) -> Column:
+    def stepped(arr: Column, s: Column) -> Column:
         bracketed_int = s.rlike(r"^-?\d+$")
         sliced = s.rlike(r"^-?\d*\s*:\s*-?\d*$")
         name = F.regexp_replace(s, "^['\"]|['\"]$", "")
@@ -203,6 +254,7 @@ def matches_by_data(body: Column, path: Column) -> Column:
             member = F.when(bracketed_int, F.get(xs, F.when(at >= 0, at).otherwise(n))).otherwise(
                 F.try_element_at(x.try_cast("map<string,variant>"), name))
             return (F.when(s == "*", _children(x))
+                    .when(s.startswith("?"), F.filter(_children(x), lambda v: _compared_by_data(v, s)))
                     .when(sliced, F.when(hi > lo, F.slice(xs, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(no_variants()))
                     .otherwise(F.filter(F.array(member), lambda v: v.isNotNull())))
         return F.flatten(F.transform(arr, one))
@@ -234,9 +286,9 @@ def is_empty_value(v: Column) -> Column:
     return F.to_json(v).isin("null", '""', "[]") | F.is_variant_null(v)
 
 
-def path_inventory(rows, body: str, depth: int = 8):
+def path_inventory(rows, body: str, depth: int | None = None):
     """SCL-11: (path, responses): every JSONPath below the root that occurs in a column of VARIANT
-    bodies, to ``depth`` steps, and in how many bodies. Levels are walked with arrays: a step
+    bodies (to ``depth`` steps, if given), and in how many bodies. Levels are walked with arrays: a step
     takes each (path, value) to its members (``.key``) or elements (``[*]``)."""
     pair = "array<struct<path:string,value:variant>>"
     empty = F.expr(f"cast(array() as {pair})")
@@ -250,9 +302,10 @@ def path_inventory(rows, body: str, depth: int = 8):
 
     def step(acc: Column, _: Column) -> Column:
         found = F.flatten(F.transform(acc["now"], below))
-        return F.struct(F.array_union(acc["paths"], F.transform(found, lambda p: p["path"])).alias("paths"),
-                        found.alias("now"))
+        return F.when(F.size(acc["now"]) == 0, acc).otherwise(F.struct(
+            F.array_union(acc["paths"], F.transform(found, lambda p: p["path"])).alias("paths"), found.alias("now")))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("paths"), F.array(F.struct(
         F.lit("$").alias("path"), F.col(body).alias("value"))).alias("now"))
-    paths = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda acc: acc["paths"])
+    bound = levels_of(F.array(F.col(body))) if depth is None else F.lit(depth - 1)
+    paths = F.aggregate(F.sequence(F.lit(0), bound), start, step, lambda acc: acc["paths"])
     return rows.select(F.explode(paths).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("responses"))

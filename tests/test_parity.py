@@ -49,11 +49,11 @@ def test_both_forms_agree(spark):
 
 def test_table_rows_that_cannot_be_checked_say_so(spark):
     df = spark.createDataFrame(ROWS[:1], "case_id long, text string, body string, latency_ms double, cost_usd double")
-    rows = [("contains", "{}"), ("numeric_bound", '{"field": "$..n"}'), ("json_schema", '{"schema": {"type": "null"}}'), ("contains", "oops")]
+    rows = [("contains", "{}"), ("numeric_bound", '{"field": "$.n m"}'), ("json_schema", '{"schema": {"type": "null"}}'), ("contains", "oops")]
     t = spark.createDataFrame([(1, i, "template", n, None, p, True, None) for i, (n, p) in enumerate(rows)],
                               "case_id long, check_index long, type string, uses string, judge string, params string, required boolean, threshold double")
     got = [r.message for r in evaluate_checks(df, t, ["case_id"]).orderBy("check_index").collect()]
-    assert got == ["missing parameter: value", "path not supported in a checks table: $..n", "schema is not among those given",
+    assert got == ["missing parameter: value", "path not supported in a checks table: $.n m", "schema is not among those given",
                    "parameters are not JSON"]
 
 
@@ -74,17 +74,47 @@ BODY = '{"a": {"x": 1, "b": {"x": 2}}, "l": [{"x": 3, "s": "p"}, {"x": 4}, 5], "
 @pytest.mark.parametrize("path,expected", [
     ("$.a.x", ["1"]), ("a.x", ["1"]), ("$['a']['x']", ["1"]), ("$.l[0].x", ["3"]), ("$.l[-1]", ["5"]), ("$.l[0:2].x", ["3", "4"]),
     ("$.l[1:]", ['{"x":4}', "5"]), ("$.a.*", ['{"x":2}', "1"]), ("$.a[*]", ['{"x":2}', "1"]), ("$..x", ["1", "2", "3", "4"]),
-    ("$.l[?(@.x > 3)].x", ["4"]), ("$.l[?(@.s == 'p')].x", ["3"]), ("$.y", ["null"]), ("$.missing", []), ("$.l[9]", [])])
+    ("$.l[?(@.x > 3)].x", ["4"]), ("$.l[?(@.x >= 3)].x", ["3", "4"]), ("$.l[?(@.x = 3)].s", ['"p"']), ("$.l[?(@.s != 'p')]", []),
+    ("$.l[?(@.x != 3)].x", ["4"]), ("$.l[?(@.s < 'q')].x", ["3"]), ("$.*[?(@.x == 2)].x", ["2"]),
+    ("$..l[?(@.x < 4)].x", ["3"]), ("$.l[?(@.x == null)]", []), ("$.l[?(@.x == true)]", []), ("$..*", [
+        '{"b":{"x":2},"x":1}', "1", '{"x":2}', "2", '[{"s":"p","x":3},{"x":4},5]', '{"s":"p","x":3}', "3", '"p"', '{"x":4}', "4", "5", "null"]), ("$.l[?(@.s == 'p')].x", ["3"]), ("$.y", ["null"]), ("$.missing", []), ("$.l[9]", [])])
 def test_paths(spark, path, expected):
     df = spark.createDataFrame([(BODY, path)], "b string, p string").withColumn("v", jp.strict_json(F.col("b")))
     got = df.select(F.transform(jp.matches(F.col("v"), path), lambda x: F.to_json(x)).alias("m")).first().m
     assert sorted(got) == sorted(expected)
-    if ".." not in path and "?" not in path:
-        data = df.select(F.transform(jp.matches_by_data(F.col("v"), F.col("p")), lambda x: F.to_json(x)).alias("m")).first().m
-        assert data == got
+    data = df.select(F.transform(jp.matches_by_data(F.col("v"), F.col("p")), lambda x: F.to_json(x)).alias("m")).first().m
+    assert data == got
 
 
 @pytest.mark.parametrize("path", ["$.a..", "$[?(@.x =~ 'a')]", "$.a b", "", "$.a[", None])
 def test_paths_outside_the_grammar_raise(path):
     with pytest.raises(jp.PathError):
         jp.parse_path(path)
+
+
+@pytest.mark.parametrize("depth", [1, 81, 200, 990])
+def test_descendants_reach_every_level(spark, depth):
+    """A value hundreds of levels down is found, by a path in code and one that is data."""
+    body = '{"a":[' * (depth // 2) + '{"x":1}' + "]}" * (depth // 2)
+    df = spark.createDataFrame([(body, "$..x")], "b string, p string").withColumn("v", jp.strict_json(F.col("b")))
+    one, two = df.select(F.size(jp.matches(F.col("v"), "$..x")), F.size(jp.matches_by_data(F.col("v"), F.col("p")))).first()
+    assert one == two == 1
+    check = Check("field_present", {"field": "$..x"})
+    assert apply_checks(df, [check], ["p"], body="b", text=None, latency=None).first().passed
+    paths = {r.path: r.responses for r in jp.path_inventory(df, "v").collect()}
+    assert paths["$" + ".a[*]" * (depth // 2) + ".x"] == 1 and len(paths) == depth // 2 * 2 + 1
+    assert len(jp.path_inventory(df, "v", depth=3).collect()) == min(3, depth // 2 * 2 + 1)
+
+
+def test_a_check_on_data_paths_with_descendants_and_comparisons(spark):
+    rows = [(1, "t", '{"f":[{"k":{"s":"bad","n":3}},{"k":{"s":"ok"}}],"deep":[[[{"s":"bad"}]]]}'), (2, "t", '{"f":[]}')]
+    df = spark.createDataFrame(rows, "case_id long, text string, body string")
+    checks = [Check("field_present", {"field": "$..s", "min": 3}), Check("field_present", {"field": "$.f[?(@.k.s == 'bad')]"}),
+              Check("numeric_bound", {"field": "$..n", "min": 3}), Check("field_present", {"field": "$..k[?(@ == 3)]"}),
+              Check("citation_present", {"field": "$.f[?(@.k.n >= 3)].k.s"})]
+    a = apply_checks(df, checks, ["case_id"], latency=None).orderBy("case_id", "check_index").collect()
+    t = checks_table(spark, [dict(check_index=i, uses=c.uses, params=c.params) for i, c in enumerate(checks)]).drop("case_id")
+    t = t.withColumn("case_id", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")))
+    b = evaluate_checks(df.withColumns({"latency_ms": F.lit(0.0), "cost_usd": F.lit(0.0)}), t, ["case_id"]).orderBy("case_id", "check_index").collect()
+    assert [(r.passed, r.message) for r in a] == [(r.passed, r.message) for r in b]
+    assert [r.passed for r in a] == [True] * 5 + [False] * 5
