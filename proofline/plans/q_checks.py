@@ -349,3 +349,28 @@ def graded_threshold(spark, sf_dir):
     return e.select(F.col("event_id").alias("case_id"),
                     graded(F.col("event_id") % 3 == 0, score, thr).alias("passed"),
                     thr.alias("threshold"))
+
+
+# ---- a recursive schema (CHK-2) -------------------------------------------------------------
+# Per order a tree: a chain of o_orderkey % 6 + 1 nodes with v = o_custkey % 50, each with a second
+# child that has no children; the last one's v is a text for every ninth customer, and every
+# eleventh order has a member that no node may have.
+TREE_SCHEMA = {"$ref": "#/$defs/tree", "$defs": {"tree": {
+    "type": "object", "required": ["v"], "additionalProperties": False, "properties": {
+        "v": {"type": "integer", "maximum": 40}, "kids": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}}}}
+
+
+@query("chk_schema_recursive", sql="""
+SELECT o_orderkey AS case_id, o_custkey % 50 <= 40 AND o_custkey % 9 <> 0 AND o_orderkey % 11 <> 0 AS passed FROM orders""")
+def chk_schema_recursive(spark, sf_dir):
+    """CHK-2 with a schema that refers to itself."""
+    o = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    v = (F.col("o_custkey") % 50).cast("string")
+    depth = (F.col("o_orderkey") % 6).cast("int")
+    leaf = F.when(F.col("o_custkey") % 9 == 0, '"x"').otherwise(v)
+    more = F.when(F.col("o_orderkey") % 11 == 0, ',"w":0').otherwise("")
+    body = F.concat(F.repeat(F.lit('{"kids":[{"v":1},'), depth), F.lit('{"v":'), leaf, more, F.lit("}"),
+                    F.array_join(F.array_repeat(F.concat(F.lit('],"v":'), v, F.lit("}")), depth), ""))
+    r = o.select(F.col("o_orderkey").alias("case_id"), body.alias("body"))
+    out = apply_checks(r, [Check("json_schema", {"schema": TREE_SCHEMA})], ["case_id"], text=None, latency=None, cost=None)
+    return out.select("case_id", "passed")

@@ -145,4 +145,4 @@ def test_schema_faults_are_explained(spark):
     out = [(r.passed, r.evidence) for r in apply_checks(df, [Check("json_schema", {"schema": schema})], ["body"], text=None, latency=None).collect()]
     assert out == [(False, '{"path":["n"]}'), (True, None), (False, '{"path":["t",1]}'), (True, None), (False, '{"path":["w"]}'), (False, '{"path":[]}')]
     with pytest.raises(ValueError):
-        compile_schema({"contains": {}}, F.lit(None).cast("variant"))
+        compile_schema({"unevaluatedItems": False}, F.lit(None).cast("variant"))
