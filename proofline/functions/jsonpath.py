@@ -199,67 +199,78 @@ def path_supported(path: Column) -> Column:
                                  + FILTER.format(g="?:") + r")*\s*$"), F.lit(False))
 
 
-def _compared_by_data(x: Column, step: Column) -> Column:
-    """:func:`_compared` for a comparison that is text, without its brackets."""
-    def part(i: int) -> Column:
-        return F.regexp_extract(F.concat(F.lit("["), step, F.lit("]")), FILTER.format(g=""), i)
-    names = F.filter(F.split(part(1), r"\."), lambda n: n != "")
-    at = F.aggregate(names, x, lambda v, n: F.try_element_at(v.try_cast("map<string,variant>"), n))
-
-    def judged(b: Column) -> Column:
-        v, op, raw = b["v"], F.when(b["op"] == "=", "==").otherwise(b["op"]), b["raw"]
-        kind = F.schema_of_variant(v)
+def path_steps(path: Column) -> Column:
+    """A path that is data as an array of steps, read once (of a checks table: once per check, not
+    per response); NULL where it is not supported."""
+    found = F.regexp_extract_all(F.regexp_replace(F.trim(path), r"^\$", ""),
+                                 F.lit("(" + STEP + "|" + FILTER.format(g="?:") + ")"), 1)
 
-        def by_op(a: Column, c: Column) -> Column:
-            return F.when(op.isin("==", "!="), a == c).when(op == ">", a > c).when(op == "<", a < c).when(
-                op == ">=", a >= c).when(op == "<=", a <= c)
+    def read(s: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(s, r"^\.{1,2}", ""), r"^\[\s*|\s*\]$", "")
+        return let(inner, lambda t: F.struct(
+            s.startswith("..").alias("down"),
+            F.when(t == "*", "all").when(t.startswith("?"), "filter").when(t.rlike(r"^-?\d+$"), "index")
+            .when(t.rlike(r"^-?\d*\s*:\s*-?\d*$"), "slice").otherwise("key").alias("kind"),
+            F.regexp_replace(t, "^['\"]|['\"]$", "").alias("name"), t.try_cast("int").alias("i"),
+            F.regexp_extract(t, r"^(-?\d*)", 1).try_cast("int").alias("lo"),
+            F.regexp_extract(t, r"(-?\d*)$", 1).try_cast("int").alias("hi"),
+            F.filter(F.split(F.regexp_extract(s, FILTER.format(g=""), 1), r"\."), lambda n: n != "").alias("names"),
+            F.regexp_replace(F.regexp_extract(s, FILTER.format(g=""), 2), "^=$", "==").alias("op"),
+            F.regexp_extract(s, FILTER.format(g=""), 3).alias("raw")))
+    return F.when(path_supported(path), F.transform(found, read))
+
+
+def _compared_by_step(x: Column, step: Column) -> Column:
+    """:func:`_compared` for a step that is data."""
+    at = F.aggregate(step["names"], x, lambda v, n: F.try_element_at(v.try_cast("map<string,variant>"), n))
+    op, raw = step["op"], step["raw"]
+
+    def by_op(a: Column, c: Column) -> Column:
+        return F.when(op.isin("==", "!="), a == c).when(op == ">", a > c).when(op == "<", a < c).when(
+            op == ">=", a >= c).when(op == "<=", a <= c)
+
+    def judged(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
         number = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
-        quoted = raw.rlike("^['\"]")
         same = F.coalesce(
             F.when(raw == "null", F.is_variant_null(v))
             .when(raw.isin("true", "false"), (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == (raw == "true")))
-            .when(quoted, (kind == "STRING") & by_op(F.try_variant_get(v, "$", "string"),
-                                                     F.regexp_replace(raw, "^['\"]|['\"]$", "")))
+            .when(raw.rlike("^['\"]"), (kind == "STRING") & by_op(F.try_variant_get(v, "$", "string"),
+                                                                 F.regexp_replace(raw, "^['\"]|['\"]$", "")))
             .otherwise(number & by_op(F.try_variant_get(v, "$", "double"), raw.try_cast("double"))), F.lit(False))
         return F.when(op == "!=", v.isNotNull() & ~same).otherwise(same)
-    return let(F.struct(at.alias("v"), part(2).alias("op"), part(3).alias("raw")), judged)
+    return let(at, judged)
 
 
-def matches_by_data(body: Column, path: Column) -> Column:
-    """Like :func:`matches` for a path that is a column; NULL where it is not supported."""
-    found = F.regexp_extract_all(F.regexp_replace(F.trim(path), r"^\$", ""),
-                                 F.lit("(" + STEP + "|" + FILTER.format(g="?:") + ")"), 1)
-    steps = F.transform(found, lambda s: F.struct(
-        s.startswith("..").alias("down"),
-        F.regexp_replace(F.regexp_replace(s, r"^\.{1,2}", ""), r"^\[\s*|\s*\]$", "").alias("s")))
-
+def matches_by_steps(body: Column, steps: Column) -> Column:
+    """Like :func:`matches` for a path read by :func:`path_steps`; NULL where that is."""
     def apply(arr: Column, step: Column) -> Column:
-        return let(F.struct(F.when(step["down"], _descendants(arr)).otherwise(arr).alias("arr"), step["s"].alias("s")),
-                   lambda b: stepped(b["arr"], b["s"]))
+        return let(F.when(step["down"], _descendants(arr)).otherwise(arr), lambda a: taken(a, step))
 
-    def stepped(arr: Column, s: Column) -> Column:
-        bracketed_int = s.rlike(r"^-?\d+$")
-        sliced = s.rlike(r"^-?\d*\s*:\s*-?\d*$")
-        name = F.regexp_replace(s, "^['\"]|['\"]$", "")
-        i = s.try_cast("int")
+    def taken(arr: Column, step: Column) -> Column:
+        kind, i = step["kind"], step["i"]
 
         def one(x: Column) -> Column:
             xs = _elements(x)
             n = F.size(xs)
-            lo = F.coalesce(F.regexp_extract(s, r"^(-?\d*)", 1).try_cast("int"), F.lit(0))
-            hi = F.coalesce(F.regexp_extract(s, r"(-?\d*)$", 1).try_cast("int"), n)
+            lo, hi = F.coalesce(step["lo"], F.lit(0)), F.coalesce(step["hi"], n)
             lo = F.when(lo < 0, F.greatest(n + lo, F.lit(0))).otherwise(lo)
             hi = F.when(hi < 0, n + hi).otherwise(F.least(hi, n))
             at = F.when(i >= 0, i).otherwise(n + i)
-            member = F.when(bracketed_int, F.get(xs, F.when(at >= 0, at).otherwise(n))).otherwise(
-                F.try_element_at(x.try_cast("map<string,variant>"), name))
-            return (F.when(s == "*", _children(x))
-                    .when(s.startswith("?"), F.filter(_children(x), lambda v: _compared_by_data(v, s)))
-                    .when(sliced, F.when(hi > lo, F.slice(xs, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(no_variants()))
+            member = F.when(kind == "index", F.get(xs, F.when(at >= 0, at).otherwise(n))).otherwise(
+                F.try_element_at(x.try_cast("map<string,variant>"), step["name"]))
+            return (F.when(kind == "all", _children(x))
+                    .when(kind == "filter", F.filter(_children(x), lambda v: _compared_by_step(v, step)))
+                    .when(kind == "slice", F.when(hi > lo, F.slice(xs, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(no_variants()))
                     .otherwise(F.filter(F.array(member), lambda v: v.isNotNull())))
         return F.flatten(F.transform(arr, one))
     root = F.when(body.isNotNull(), F.array(body)).otherwise(no_variants())
-    return F.when(path_supported(path), F.aggregate(steps, root, apply))
+    return F.when(steps.isNotNull(), F.aggregate(steps, root, apply))
+
+
+def matches_by_data(body: Column, path: Column) -> Column:
+    """Like :func:`matches` for a path that is a column; NULL where it is not supported."""
+    return matches_by_steps(body, path_steps(path))
 
 
 # ---- types -----------------------------------------------------------------------------

@@ -242,18 +242,22 @@ def evaluate_checks(responses: DataFrame, checks: DataFrame, on: list[str], *,
     spec = spec.drop(*[c for c in ("suite_id", "case_id") if c not in on and c in spec.columns])
     p = Data(F.col("_p"))
     uses, kind = F.col("uses"), F.col("check_type")
+    # what the parameters alone decide is worked out once per check, before it meets responses
+    required = {name: C.REQUIRED_PARAMS.get(name, ()) for name in C.BUILDERS}
+    problem = None
+    for needed in sorted(set(required.values())):
+        mine = uses.isin([n for n in required if required[n] == needed])
+        problem = F.when(mine, p.problem(needed)) if problem is None else problem.when(mine, p.problem(needed))
+    spec = spec.withColumn("_steps", F.when((kind == "template") & uses.isin(list(C.PATH_TEMPLATES)), p.steps()))
+    spec = spec.withColumn("_problem", F.when(kind == "template", problem))
     # one extraction per row, whichever path template it is for
     joined = df.join(spec, on, "inner").withColumn(
-        "_m", F.when((kind == "template") & uses.isin(list(C.PATH_TEMPLATES)), p.matches(F.col("json"))))
+        "_m", F.when(F.col("_steps").isNotNull(), p.matches(F.col("json"), F.col("_steps"))))
     r = _resp(text, latency, cost, df.columns, body)
-    branches: list[tuple[Column, dict]] = []
+    branches: list[tuple[Column, dict]] = [(F.col("_problem").isNotNull(), _failed_column(F.col("_problem")))]
     for name, fn in C.BUILDERS.items():
-        required = C.REQUIRED_PARAMS.get(name, ())
         m = F.col("_m") if name in C.PATH_TEMPLATES else None
-        mine = (kind == "template") & (uses == name)
-        problem = p.problem(required)
-        branches.append((mine & problem.isNotNull(), _failed_column(problem)))
-        branches.append((mine, fn(r, p, m)))
+        branches.append(((kind == "template") & (uses == name), fn(r, p, m)))
     for name, schema in (schemas or {}).items():
         named = (p.string("schema_ref") == name) | (F.to_json(F.try_variant_get(F.col("_p"), "$.schema", "variant"))
                                                     == compact(schema))

@@ -96,8 +96,12 @@ class Data:
             p = F.regexp_replace(p, python, java)
         return F.concat(F.lit(PY_SEARCH_FLAGS), p)
 
-    def matches(self, body: Column) -> Column:
-        return F.coalesce(jp.matches_by_data(body, self._get("field", "string")), jp.no_variants())
+    def steps(self) -> Column:
+        """The path of this row, read once."""
+        return jp.path_steps(self._get("field", "string"))
+
+    def matches(self, body: Column, steps: Column) -> Column:
+        return F.coalesce(jp.matches_by_steps(body, steps), jp.no_variants())
 
     def problem(self, required: tuple[str, ...]) -> Column:
         """What is wrong with the parameters of this row, NULL if nothing is."""

@@ -291,8 +291,10 @@ DISPATCH_ROWS = [
     {"suite_id": "error", "check_index": 0, "uses": "no_such_template"},
     {"suite_id": "error", "check_index": 1, "type": "mystery", "uses": None},
     {"suite_id": "error", "check_index": 2, "type": "judge", "judge": "j", "uses": None},
-    {"suite_id": "error", "check_index": 3, "uses": "numeric_bound", "params": {"field": "$..k"}},
+    {"suite_id": "error", "check_index": 3, "uses": "numeric_bound", "params": {"field": "$.k k"}},
     {"suite_id": "error", "check_index": 4, "uses": "contains"},
+    {"suite_id": "view", "check_index": 2, "uses": "numeric_bound", "params": {"field": "$..k", "max": 60}},
+    {"suite_id": "view", "check_index": 3, "uses": "field_present", "params": {"field": "$[?(@ >= 25)]"}},
 ]
 _K = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 
@@ -301,6 +303,7 @@ _K = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 WITH r AS (SELECT * FROM (VALUES
   ('click', 0, 'template:latency_bound'), ('click', 1, 'template:equals'), ('click', 2, 'template:regex_match'),
   ('view', 0, 'template:numeric_bound'), ('view', 1, 'template:enum_value'),
+  ('view', 2, 'template:numeric_bound'), ('view', 3, 'template:field_present'),
   ('purchase', 0, 'template:field_present'), ('purchase', 1, 'template:numeric_bound'), ('purchase', 2, 'template:json_schema'),
   ('signup', 0, 'template:contains'), ('signup', 1, 'template:length_bound'), ('signup', 2, 'generated:k_share'),
   ('error', 0, 'no_such_template'), ('error', 1, 'mystery'), ('error', 2, 'judge'),
@@ -309,12 +312,13 @@ SELECT event_id AS case_id, check_index, check_id,
   CASE event_type || check_index
     WHEN 'click0' THEN value <= 20 WHEN 'click1' THEN {_K} = 42 WHEN 'click2' THEN {_K} % 2 = 1
     WHEN 'view0' THEN {_K} BETWEEN 20 AND 80 WHEN 'view1' THEN {_K} IN (1, 2, 3, 50)
+    WHEN 'view2' THEN {_K} <= 60 WHEN 'view3' THEN {_K} >= 25
     WHEN 'purchase0' THEN true WHEN 'purchase1' THEN {_K} <= 50 WHEN 'purchase2' THEN {_K} >= 30
     WHEN 'signup0' THEN contains(props, '7') WHEN 'signup1' THEN length(props) <= 8 WHEN 'signup2' THEN {_K} >= 50
     ELSE false END AS passed,
   CASE event_type || check_index WHEN 'error0' THEN 'unknown template: no_such_template'
     WHEN 'error1' THEN 'unknown check type: mystery' WHEN 'error2' THEN 'unknown judge: j'
-    WHEN 'error3' THEN 'path not supported in a checks table: $..k' WHEN 'error4' THEN 'missing parameter: value'
+    WHEN 'error3' THEN 'path not supported in a checks table: $.k k' WHEN 'error4' THEN 'missing parameter: value'
     WHEN 'signup2' THEN 'k as a share' END AS note
 FROM events JOIN r USING (event_type)""")
 def check_dispatch(spark, sf_dir):
