@@ -13,6 +13,8 @@ collected per check is one entry per dimension of its rubric or distinct quote.
 from __future__ import annotations
 
 import json
+import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import jsonpath as jp
 from proofline.functions.text import fold, py_repr
+from proofline.operators.jsonschema import compile_schema, violations
 
 # ---- fixed values that must equal the reference's --------------------------------
 ELLIPSIS = r"\.{3,}|…"
@@ -50,25 +53,101 @@ def build_prompt(dims_text: Column, response_json: Column, response_text: Column
 
 # ---- JDG-4: verdict parsing ------------------------------------------------------------
 
-def parse_verdicts(verdicts: DataFrame, text: str = "verdict") -> DataFrame:
+_OPEN = re.compile(r'\{(?=[ \t\n\r]*["}])')
+_NESTS = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
+_WINDOW = 512
+
+
+def _decoded(decoder: json.JSONDecoder, text: str, start: int) -> tuple[int | None, int]:
+    """(end of the value at ``start``, None if there is none; place of the fault). The text is looked
+    at in windows that double, since the library's errors count the lines before the fault."""
+    width = _WINDOW
+    while True:
+        piece = text[start:start + width]
+        try:
+            return start + decoder.raw_decode(piece)[1], start
+        except json.JSONDecodeError as error:
+            cut_off = error.msg.startswith("Unterminated string") or error.pos > len(piece) - 16
+            if not cut_off or start + width >= len(text):
+                return None, start + error.pos
+            width *= 2
+
+
+def _too_deep(text: str, start: int) -> list[int]:
+    """Braces from ``start`` on with more levels below them than Spark parses."""
+    opened, deep = deque(), []
+    for t in _NESTS.finditer(text, start):
+        if t[0] in "{[":
+            opened.append(t.start())
+            if len(opened) > jp.NESTING:
+                deep.append(opened.popleft())
+        elif t[0] in "}]" and opened:
+            opened.pop()
+    return deep
+
+
+def first_object(text: str) -> str | None:
+    """The text of the first JSON object in a reply, at whatever brace it starts.
+
+    A try that fails at some place decides more than its own brace: objects that were open there
+    fail there too, those closed before it are objects. So no brace that lies outside the
+    strings of an earlier try is tried again, and the work is linear in the reply."""
+    constants: list[str] = []  # NaN and the like, which are not JSON
+    decoder = json.JSONDecoder(parse_constant=constants.append)
+    failed: set[int] = set()
+    for m in _OPEN.finditer(text):
+        start = m.start()
+        if start in failed:
+            continue
+        constants.clear()
+        try:
+            end, stop = _decoded(decoder, text, start)
+        except RecursionError:
+            failed.update(_too_deep(text, start))
+            continue
+        if end is not None:
+            if not constants:
+                return text[start:end]
+            continue
+        opened: list[int] = []
+        for t in _NESTS.finditer(text, start, stop):
+            if t[0] == "{":
+                opened.append(t.start())
+            elif t[0] == "}" and opened:
+                opened.pop()
+        failed.update(opened)
+    return None
+
+
+def _found(replies: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else first_object(t) for t in texts.to_pylist()], pa.string())
+    return run(replies)
+
+
+def parse_verdicts(verdicts: DataFrame, text: str = "verdict", schema=None) -> DataFrame:
     """JDG-4: ``verdict_json`` and ``verdict_error``, never both. A reply that is a JSON object
-    is that object; a reply that is no JSON is the first object inside its prose; everything
-    else is an error, also JSON that is no object."""
+    is that object; a reply that is no JSON is the first object inside its prose, looked for in
+    Python only in such replies; everything else is an error, also JSON that is no object. With
+    ``schema`` an object that does not match it is an error too, with the first violation."""
     reply = F.col(text)
-    parsed = jp.strict_json(reply)
-    kind = jp.variant_kind(parsed)
-    # the lenient parse takes one value and ignores what follows: tried at every brace in turn
-    braces = F.filter(F.sequence(F.lit(1), F.greatest(F.length(reply), F.lit(1))),
-                      lambda i: F.substring(reply, i, F.lit(1)) == "{")
-    inner = F.filter(F.transform(braces, lambda i: F.try_parse_json(F.substring(reply, i, F.length(reply)))),
-                     lambda v: v.try_cast("map<string,variant>").isNotNull())
-    found = F.when(kind == "object", F.to_json(parsed)).when(
-        kind.isNull(), F.to_json(F.get(inner, F.lit(0))))
-    out = verdicts.withColumn("verdict_json", found)
-    error = (F.when(reply.isNull() | (F.trim(reply) == ""), "empty reply")
-             .when(kind.isNotNull() & (kind != "object"), F.concat(F.lit("expected an object, got "), kind))
-             .otherwise("no JSON object in the reply"))
-    return out.withColumn("verdict_error", F.when(F.col("verdict_json").isNull(), error))
+    out = verdicts.withColumn("_parsed", jp.strict_json(reply)).withColumn("_kind", jp.variant_kind(F.col("_parsed")))
+    prose = F.col("_kind").isNull() & reply.contains("{")
+    out = out.withColumn("_inner", _found(F.when(prose, reply)))
+    found = F.when(F.col("_kind") == "object", F.col("_parsed")).when(F.col("_kind").isNull(), F.try_parse_json("_inner"))
+    out = out.withColumn("_found", found)
+    no_object = (F.when(reply.isNull() | (F.trim(reply) == ""), "empty reply")
+                 .when(F.col("_kind").isNotNull() & (F.col("_kind") != "object"), F.concat(F.lit("expected an object, got "), "_kind"))
+                 .otherwise("no JSON object in the reply"))
+    error = F.when(F.col("_found").isNull(), no_object)
+    if schema is not None:
+        out = out.withColumn("_valid", compile_schema(schema, F.col("_found")))
+        first = F.get(violations(schema, F.col("_found")), F.lit(0))["message"]
+        error = error.when(~F.col("_valid"), F.concat(F.lit("does not match the schema"), F.coalesce(F.concat(F.lit(": "), first), F.lit(""))))
+    out = out.withColumn("verdict_error", error)
+    return out.withColumn("verdict_json", F.when(F.col("verdict_error").isNull(), F.to_json("_found"))).select(
+        *verdicts.columns, "verdict_json", "verdict_error")
 
 
 # ---- JDG-5/6: scores --------------------------------------------------------------------

@@ -160,18 +160,29 @@ def judge_gate(spark, sf_dir):
 
 # ---- replies of a judge, by doc_id % 5: an object, an object in prose, a list, a broken object,
 # nothing at all
+VERDICT_SCHEMA = {"type": "object", "required": ["scores"], "properties": {
+    "scores": {"type": "object", "additionalProperties": {"type": "integer"}}}}
+
+
 @query("judge_parse", sql="""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"rationale":"r' || doc_id || '","scores":{"a":1}}' WHEN 1 THEN '{"scores":{"b":2}}' END AS verdict_json,
-  CASE doc_id % 5 WHEN 2 THEN 'expected an object, got array' WHEN 3 THEN 'no JSON object in the reply' WHEN 4 THEN 'empty reply' END AS verdict_error
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{"rationale":"r' || doc_id || '","scores":{"a":1}}' WHEN doc_id % 7 = 1 THEN '{"scores":{"b":2}}'
+    WHEN doc_id % 7 = 5 THEN '{"scores":{"c":' || doc_id || '}}' END AS verdict_json,
+  CASE doc_id % 7 WHEN 2 THEN 'expected an object, got array' WHEN 3 THEN 'no JSON object in the reply' WHEN 4 THEN 'empty reply'
+    WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN 'does not match the schema: ''scores'' is a required property'
+                     ELSE 'does not match the schema: additional properties are not allowed or not valid' END END AS verdict_error
 FROM documents""")
 def judge_parse(spark, sf_dir):
-    """JDG-4."""
-    d = T.table(spark, sf_dir, "documents").select("doc_id")
-    k = F.col("doc_id") % 5
-    reply = (F.when(k == 0, F.concat(F.lit('{"scores": {"a": 1}, "rationale": "r'), F.col("doc_id").cast("string"), F.lit('"}')))
+    """JDG-4: replies that are an object, hold one in prose, hold one behind the document's own words
+    and braces that never close, are no object, or do not match the schema."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    k, i = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[{}\"]", "")
+    reply = (F.when(k == 0, F.concat(F.lit('{"scores": {"a": 1}, "rationale": "r'), i, F.lit('"}')))
              .when(k == 1, 'Sure {thing}: {"scores": {"b": 2}} and {"more": 3}').when(k == 2, '[{"a": 1}]')
-             .when(k == 3, 'I would say { "scores": '))
-    return J.parse_verdicts(d.withColumn("verdict", reply)).select("doc_id", "verdict_json", "verdict_error")
+             .when(k == 3, 'I would say { "scores": ')
+             .when(k == 5, F.concat(F.regexp_replace(words, " ", " {"), F.lit('{"open": {"scores": {"c": '), i, F.lit("}}")))
+             .when((k == 6) & (F.col("doc_id") % 2 == 0), "is {} it?").when(k == 6, 'so {"scores": {"a": "x"}}'))
+    return J.parse_verdicts(d.withColumn("verdict", reply), schema=VERDICT_SCHEMA).select("doc_id", "verdict_json", "verdict_error")
 
 
 # ---- evidence quotes inside documents --------------------------------------------------

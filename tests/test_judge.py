@@ -1,4 +1,6 @@
 """Judge reduction and evidence verification (JDG-5..13)."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,47 @@ def test_body_is_flattened_to_any_depth(spark):
     assert got[0] == "t\nfindings article Article 5\nby n 1.5\nok True\n\nNone"
     assert got[1] == "t\n" + "a " * 60 + "Article 9"
     assert got[2] == got[3] == "t"
+
+
+def _slow_first(text):
+    """Brace by brace, as the definition says."""
+    import json
+
+    def refuse(name):
+        raise ValueError(name)
+    decoder = json.JSONDecoder(parse_constant=refuse)
+    for i, c in enumerate(text):
+        if c == "{":
+            try:
+                return text[i:decoder.raw_decode(text, i)[1]]
+            except ValueError:
+                pass
+    return None
+
+
+def test_first_object_equals_brace_by_brace():
+    rng = random.Random(11)
+    parts = ['{', '}', '"', '\\', '\\"', '{"a":', '1', ',', '[', ']', '{"a":{"b":1}', '{}', ' ', 'x', '"k":', '{"s":"}{"}', '\n', 'NaN', ':']
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(24)))
+        assert J.first_object(text) == _slow_first(text), text
+
+
+def test_long_replies_take_linear_time():
+    import time
+    for text in ("{" * 500_000, '{"a": ' * 150_000, '{"k": "' * 150_000, "word { " * 150_000, '{"a": {"b": "c"' * 60_000,
+                 '{"a": [' * 120_000 + "1", '{"a": NaN, ' * 50_000, '{"a": "\\" ' * 90_000):
+        start = time.process_time()
+        J.first_object(text)
+        assert time.process_time() - start < 20, text[:20]
+    assert J.first_object("{" * 400_000 + '{"x": 1}') == '{"x": 1}'
+
+
+def test_verdicts_against_a_schema(spark):
+    schema = {"type": "object", "required": ["scores"], "properties": {"scores": {"type": "object"}}}
+    replies = ['{"scores": {"a": 1}}', 'well {"scores": 3}', "{}", "[]", None, "nothing", 'x {"scores": {}} y']
+    df = spark.createDataFrame(list(enumerate(replies)), "id int, verdict string")
+    got = [(r.verdict_json, r.verdict_error) for r in J.parse_verdicts(df, schema=schema).orderBy("id").collect()]
+    assert got == [('{"scores":{"a":1}}', None), (None, "does not match the schema: 3 is not of type 'object'"),
+                   (None, "does not match the schema: 'scores' is a required property"), (None, "expected an object, got array"),
+                   (None, "empty reply"), (None, "no JSON object in the reply"), ('{"scores":{}}', None)]
