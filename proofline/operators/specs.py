@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from proofline.functions import jsonpath as jp
 from proofline.functions.columns import let
 from proofline.functions.text import ID_OK, ID_UNSAFE, slug, strip_chars, tokens
+from proofline.operators.numbering import numbered
 from proofline.operators.testsets import dedup_ids, py_strip
 
 # ---- fixed values that must equal the reference's --------------------------------
@@ -119,15 +120,17 @@ def resolve_refs(intents: DataFrame, reqs: DataFrame, key: str = "doc_id", ref:
 
 # ---- SRC-3: JSONL datasets -------------------------------------------------------------
 
-def jsonl_rows(spark, path: str) -> DataFrame:
+def jsonl_rows(spark, path: str, through: bool = False) -> DataFrame:
     """(file, line, value) of every line; line numbers count blank lines. Splits of one file are
-    numbered apart and put together by one small table of split sizes."""
+    numbered apart and put together by one small table of split sizes. With ``through`` the
+    numbers run on from file to file, in the order of their names."""
     t = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     sizes = t.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
+    # one row per split, whatever it holds
+    order = Window.orderBy("file", "block") if through else Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return t.join(sizes.withColumn("before", before).drop("n"), ["file", "block"]).select(
         "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
@@ -280,14 +283,142 @@ def config_checks(versions: DataFrame, key: str, artifacts: DataFrame | None = N
     return out.join(bodies, [key, "key"], "left")
 
 
+# A version is a tree of suites, cases and checks; each node is hashed over its id and the hashes
+# of its children in order, so equal parts have equal hashes wherever they are, and an edit
+# changes the nodes on one path only. What one aggregation gathers are the children of one node.
+_LEVELS = ["check", "case", "suite", "version"]
+_PLACE = ["suite_pos", "case_pos", "check_index"]
+
+
+def _check_nodes(checks: DataFrame, key: str) -> DataFrame:
+    text = F.concat_ws("\x1f", F.col("check_index").cast("string"), "type", F.coalesce("uses", F.lit("")),
+                       F.coalesce("rubric", F.lit("")), "params")
+    return checks.select(key, F.lit("check").alias("level"), "suite_pos", "case_pos", F.col("check_index").cast("int"), "suite_id",
+                         "case_id", F.sha2(text, 256).alias("hash"), F.lit(1).cast("long").alias("n"))
+
+
+def _parents(nodes: DataFrame, key: str, level: str) -> DataFrame:
+    """The nodes of ``level`` from all their children."""
+    depth = 3 - _LEVELS.index(level)  # how many positions name a node of this level
+    own, at = _PLACE[:depth], _PLACE[depth]
+    ids = ["suite_id", "case_id"][:depth]
+    name = F.col(ids[-1]) if ids else F.lit(None).cast("string")
+    g = nodes.groupBy(key, *own).agg(
+        *[F.first(i).alias(i) for i in ids], F.sum("n").alias("n"), F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(at, "hash"))), lambda x: x["hash"]), "\n").alias("_children"))
+    missing = {c: F.lit(None).cast("int") for c in _PLACE[depth:]} | {
+        c: F.lit(None).cast("string") for c in ["suite_id", "case_id"][depth:]}
+    return g.withColumns({**missing, "level": F.lit(level), "hash": F.sha2(F.concat_ws("\n", name, "_children"), 256)}).select(
+        key, "level", *_PLACE, "suite_id", "case_id", "hash", "n")
+
+
+def hash_tree(checks: DataFrame, key: str) -> DataFrame:
+    """SCL-3: every node of every version: key, level (check, case, suite, version), its place and ids,
+    hash, n (checks below it)."""
+    nodes = tree = _check_nodes(checks, key)
+    for level in _LEVELS[1:]:
+        nodes = _parents(nodes, key, level)
+        tree = tree.unionByName(nodes)
+    return tree
+
+
+def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> DataFrame:
+    """The tree after an edit. ``checks``: the flattened checks as they are now; ``edited``: key,
+    suite_id, case_id, check_index of those that changed. Hashed again are these checks and the
+    nodes above them, from the stored hashes of their other children."""
+    at = [key, "suite_id", "case_id", "check_index"]
+    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key)
+    out = siblings = None
+    for level in _LEVELS:
+        depth = 3 - _LEVELS.index(level)
+        own = [key, *_PLACE[:depth]]
+        old = tree.where(F.col("level") == level)
+        if level != "check":
+            touched = changed.select(*own).distinct()
+            below = siblings.join(touched, own, "left_semi")
+            changed = _parents(below, key, level)
+        now = old.join(changed.select(*own).distinct(), own, "left_anti").unionByName(changed)
+        out = now if out is None else out.unionByName(now)
+        siblings = now
+    return out
+
+
+def shared_nodes(tree: DataFrame, key: str, level: str) -> DataFrame:
+    """(hash, versions): nodes of a level whose content several versions hold."""
+    nodes = tree.where(F.col("level") == level).select("hash", key).distinct()
+    return nodes.groupBy("hash").agg(F.count(F.lit(1)).alias("versions")).where("versions > 1")
+
+
+# A version is a tree of suites, cases and checks; each node is hashed over its id and the hashes
+# of its children in order, so equal parts have equal hashes wherever they are, and an edit
+# changes the nodes on one path only. What one aggregation gathers are the children of one node.
+_LEVELS = ["check", "case", "suite", "version"]
+_PLACE = ["suite_pos", "case_pos", "check_index"]
+
+
+def _check_nodes(checks: DataFrame, key: str) -> DataFrame:
+    text = F.concat_ws("\x1f", F.col("check_index").cast("string"), "type", F.coalesce("uses", F.lit("")),
+                       F.coalesce("rubric", F.lit("")), "params")
+    return checks.select(key, F.lit("check").alias("level"), "suite_pos", "case_pos", F.col("check_index").cast("int"), "suite_id",
+                         "case_id", F.sha2(text, 256).alias("hash"), F.lit(1).cast("long").alias("n"))
+
+
+def _parents(nodes: DataFrame, key: str, level: str) -> DataFrame:
+    """The nodes of ``level`` from all their children."""
+    depth = 3 - _LEVELS.index(level)  # how many positions name a node of this level
+    own, at = _PLACE[:depth], _PLACE[depth]
+    ids = ["suite_id", "case_id"][:depth]
+    name = F.col(ids[-1]) if ids else F.lit(None).cast("string")
+    g = nodes.groupBy(key, *own).agg(
+        *[F.first(i).alias(i) for i in ids], F.sum("n").alias("n"), F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(at, "hash"))), lambda x: x["hash"]), "\n").alias("_children"))
+    missing = {c: F.lit(None).cast("int") for c in _PLACE[depth:]} | {
+        c: F.lit(None).cast("string") for c in ["suite_id", "case_id"][depth:]}
+    return g.withColumns({**missing, "level": F.lit(level), "hash": F.sha2(F.concat_ws("\n", name, "_children"), 256)}).select(
+        key, "level", *_PLACE, "suite_id", "case_id", "hash", "n")
+
+
+def hash_tree(checks: DataFrame, key: str) -> DataFrame:
+    """SCL-3: every node of every version: key, level (check, case, suite, version), its place and ids,
+    hash, n (checks below it)."""
+    nodes = tree = _check_nodes(checks, key)
+    for level in _LEVELS[1:]:
+        nodes = _parents(nodes, key, level)
+        tree = tree.unionByName(nodes)
+    return tree
+
+
+def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> DataFrame:
+    """The tree after an edit. ``checks``: the flattened checks as they are now; ``edited``: key,
+    suite_id, case_id, check_index of those that changed. Hashed again are these checks and the
+    nodes above them, from the stored hashes of their other children."""
+    at = [key, "suite_id", "case_id", "check_index"]
+    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key)
+    out = siblings = None
+    for level in _LEVELS:
+        depth = 3 - _LEVELS.index(level)
+        own = [key, *_PLACE[:depth]]
+        old = tree.where(F.col("level") == level)
+        if level != "check":
+            touched = changed.select(*own).distinct()
+            below = siblings.join(touched, own, "left_semi")
+            changed = _parents(below, key, level)
+        now = old.join(changed.select(*own).distinct(), own, "left_anti").unionByName(changed)
+        out = now if out is None else out.unionByName(now)
+        siblings = now
+    return out
+
+
+def shared_nodes(tree: DataFrame, key: str, level: str) -> DataFrame:
+    """(hash, versions): nodes of a level whose content several versions hold."""
+    nodes = tree.where(F.col("level") == level).select("hash", key).distinct()
+    return nodes.groupBy("hash").agg(F.count(F.lit(1)).alias("versions")).where("versions > 1")
+
+
 def content_hashes(checks: DataFrame, key: str) -> DataFrame:
-    """(key, content_hash, n_checks) over the flattened checks of each version, in order."""
-    line = F.concat_ws("|", "suite_id", "case_id", F.col("check_index").cast("string"), "type",
-                       F.coalesce("uses", F.lit("")), F.coalesce("rubric", F.lit("")), "params")
-    return checks.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("suite_pos", "case_pos", "check_index", line.alias("l")))).alias("_l")
-    ).select(key, canonical_hash(F.array_join(F.transform("_l", lambda x: x["l"]), "\n")).alias("content_hash"),
-             F.size("_l").cast("long").alias("n_checks"))
+    """(key, content_hash, n_checks) of each version: the root of its hash tree."""
+    return hash_tree(checks, key).where("level = 'version'").select(
+        key, F.col("hash").alias("content_hash"), F.col("n").alias("n_checks"))
 
 
 # ---- TXT-11: config edits ---------------------------------------------------------------
@@ -315,7 +446,7 @@ def edit_checks(checks: DataFrame, versions: DataFrame, edits: DataFrame, key: s
 def import_versions(specs: DataFrame, files: DataFrame, existing: DataFrame, key: str = "doc_id",
                     pipeline: str = "pipeline") -> DataFrame:
     """New draft versions from specs: (key, pipeline, version_number, status, n_sources,
-    n_rubrics, content_hash). ``specs``: key, pipeline, config; ``files``: key, path, body, of
+    n_rubrics, content_hash). ``specs``: key (of one spec each), pipeline, config; ``files``: key, path, body, of
     which only those a check names are taken; ``existing``: pipeline, version_number. Specs of
     one pipeline are numbered in order of their key."""
     checks = config_checks(specs, key, files)
@@ -326,10 +457,9 @@ def import_versions(specs: DataFrame, files: DataFrame, existing: DataFrame, key
         F.array_sort(F.collect_list(F.when(F.col("artifact").isNotNull(), F.struct("key", "artifact")))).alias("_a"))
     body = F.array_join(F.transform("_a", lambda x: F.concat_ws("=", x["key"], x["artifact"])), "\n")
     top = existing.groupBy(pipeline).agg(F.max("version_number").alias("_top"))
-    # imports of one pipeline in one batch: a person's uploads
-    nth = F.row_number().over(Window.partitionBy(pipeline).orderBy(key))
-    return (specs.join(taken, key, "left").join(top, pipeline, "left").select(
-        key, pipeline, (F.coalesce("_top", F.lit(0)) + nth).cast("long").alias("version_number"),
+    nth = numbered(specs.select(pipeline, key), pipeline, key, "_nth").drop(pipeline)
+    return (specs.join(taken, key, "left").join(nth, key).join(top, pipeline, "left").select(
+        key, pipeline, (F.coalesce("_top", F.lit(0)) + F.col("_nth")).cast("long").alias("version_number"),
         F.lit("draft").alias("status"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
         F.coalesce("n_rubrics", F.lit(0)).alias("n_rubrics"),
         canonical_hash(F.col("config"), F.coalesce(body, F.lit(""))).alias("content_hash")))

@@ -141,10 +141,11 @@ def orphans(spark, sf_dir):
     return COV.orphans(F.broadcast(T.requirements(spark)), T.text_responses(spark, sf_dir))
 
 
-# Requirement lists per run: run -> version (o_custkey % 50; none for every seventh customer) ->
-# the requirements that the version's text, document doc_id = version, splits into.
+# Requirement lists per run: run -> version (o_custkey modulo the number of documents; none for every
+# seventh customer) -> the requirements that the version's text, document doc_id = version, splits into.
 def run_versions(spark, sf_dir):
-    v = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 50)
+    n_docs = T.table(spark, sf_dir, "documents").count()  # one scalar
+    v = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % F.lit(n_docs))
     return T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), v.alias("version_id"))
 
 
@@ -155,7 +156,7 @@ def version_requirements(spark, sf_dir):
 
 
 SQL_RUN_REQUIREMENTS = f"""(SELECT o_orderkey AS run_id, req_id, text, section, position
-  FROM orders JOIN ({SQL_SPLIT}) r ON r.doc_id = o_custkey % 50 WHERE o_custkey % 7 <> 0)"""
+  FROM orders JOIN ({SQL_SPLIT}) r ON r.doc_id = o_custkey % (SELECT count(*) FROM documents) WHERE o_custkey % 7 <> 0)"""
 
 
 @query("run_requirements", sql=f"SELECT run_id, count(*) AS requirements, max(position) AS last FROM {SQL_RUN_REQUIREMENTS} GROUP BY 1")

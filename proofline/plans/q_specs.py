@@ -65,16 +65,17 @@ def jsonl_quarantine(spark, sf_dir):
     """SRC-3: the events written as JSON lines and read back, blank lines counted, bad ones named."""
     path = f"{checkpoint_dir(spark)}/dataset-{uuid.uuid4().hex}"
     e = T.table(spark, sf_dir, "events")
-    # one file, so that line numbers run through it: a dataset file is a person's upload
-    e.orderBy("event_id").select(_dataset_line().alias("value")).coalesce(1).write.text(path)
-    out = SP.parsed_rows(SP.jsonl_rows(spark, path))
+    e.orderBy("event_id").select(_dataset_line().alias("value")).write.text(path)
+    out = SP.parsed_rows(SP.jsonl_rows(spark, path, through=True))
     return out.select("line", F.regexp_replace("reason", r"^[^:]*:\d+: ", "").alias("reason"))
 
 
 def dataset(spark, sf_dir):
-    """Rows of one dataset per user, numbered by event."""
-    e = T.table(spark, sf_dir, "events").where("event_id % 10 > 2")
-    return e.select(F.col("user_id").alias("dataset"), F.col("event_id").alias("i"), _dataset_line().alias("value"))
+    """Rows of one dataset per user, numbered by event: all lines, those that parse."""
+    lines = T.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("dataset"), F.col("event_id").alias("i"), _dataset_line().alias("value"),
+        F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line"))
+    return SP.parsed_rows(lines).where("reason is null").select("dataset", "i", "value")
 
 
 _SQL_ROWS = """(SELECT user_id AS dataset, event_id AS i, event_id % 10 AS k, event_type, user_id,
@@ -172,14 +173,55 @@ SELECT doc_id AS edit_id, CASE WHEN doc_id % 4 = 0 THEN 'only drafts can be edit
 def config_edit(spark, sf_dir):
     """TXT-11 / SCL-3: edits judged, applied to the flattened checks, the result hashed."""
     checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id")
+    edits, versions = _edits(checks)
+    after, judged = SP.edit_checks(checks, versions, edits, "doc_id")
+    new = after.where("suite_pos = 0 and case_pos = 0").select("doc_id", F.sha2("params", 256).alias("params_hash"))
+    return judged.select("edit_id", "doc_id", "reason").join(new, "doc_id").select("edit_id", "reason", "params_hash")
+
+
+def _edits(checks):
     first = checks.where("suite_pos = 0 and case_pos = 0")
     d = F.col("doc_id")
     edits = first.select(d.alias("edit_id"), "doc_id", "suite_id", "case_id", F.when(d % 5 == 0, 7).otherwise(0).alias("check_index"),
                          F.concat(F.lit('{"edited":'), d.cast("string"), F.lit("}")).alias("params"))
     versions = checks.select("doc_id").distinct().withColumn("status", F.when(d % 4 == 0, "active").otherwise("draft"))
+    return edits, versions
+
+
+# Hash trees: check -> case -> suite -> version, a node's hash over its own id and its children's.
+_SQL_TREE = """(WITH n AS (SELECT doc_id, suite_id, place, case_id, sha256(case_id || chr(10) || sha256(concat_ws(chr(31), '0', type,
+    coalesce(uses, ''), coalesce(rubric, ''), {params}))) AS h FROM {spec}),
+  s AS (SELECT doc_id, min(place) AS pos, count(*) AS c, sha256(suite_id || chr(10) || string_agg(h, chr(10) ORDER BY place)) AS h FROM n GROUP BY doc_id, suite_id)
+  SELECT doc_id, sha256(string_agg(h, chr(10) ORDER BY pos)) AS h, CAST(sum(c) AS BIGINT) AS c FROM s GROUP BY doc_id)"""
+_SQL_EDITED = "CASE WHEN place = 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0 THEN '{\"edited\":' || doc_id || '}' ELSE params END"
+
+
+@query("spec_hashes", sql=f"""
+SELECT a.doc_id, a.h AS content_hash, b.h AS edited_hash, a.c AS n_checks
+FROM {_SQL_TREE.format(params='params', spec=_SQL_SPEC)} a JOIN {_SQL_TREE.format(params=_SQL_EDITED, spec=_SQL_SPEC)} b USING (doc_id)""")
+def spec_hashes(spark, sf_dir):
+    """SCL-3 / TXT-11: the content hash of every version, and after the edits of ``config_edit``, for
+    which only the nodes on the way from an edited check to its version are hashed again."""
+    checkpoint_dir(spark)
+    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id")
+    edits, versions = _edits(checks)
     after, judged = SP.edit_checks(checks, versions, edits, "doc_id")
-    new = after.where("suite_pos = 0 and case_pos = 0").select("doc_id", F.sha2("params", 256).alias("params_hash"))
-    return judged.select("edit_id", "doc_id", "reason").join(new, "doc_id").select("edit_id", "reason", "params_hash")
+    tree = SP.hash_tree(checks, "doc_id").checkpoint()
+    places = judged.where("reason is null").select("doc_id", "suite_id", "case_id", "check_index").distinct()
+    new = SP.rehash(tree, after, places, "doc_id")
+    one = tree.where("level = 'version'").select("doc_id", F.col("hash").alias("content_hash"), F.col("n").alias("n_checks"))
+    two = new.where("level = 'version'").select("doc_id", F.col("hash").alias("edited_hash"))
+    return one.join(two, "doc_id").select("doc_id", "content_hash", "edited_hash", "n_checks")
+
+
+@query("shared_cases", sql=f"""
+SELECT h AS hash, count(DISTINCT doc_id) AS versions FROM (
+  SELECT doc_id, sha256(case_id || chr(10) || sha256(concat_ws(chr(31), '0', type, coalesce(uses, ''), coalesce(rubric, ''), params))) AS h FROM {_SQL_SPEC})
+GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""")
+def shared_cases(spark, sf_dir):
+    """SCL-3: cases that several versions hold with equal content, by their hash."""
+    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id")
+    return SP.shared_nodes(SP.hash_tree(checks, "doc_id"), "doc_id", "case")
 
 
 @query("version_import", sql=f"""

@@ -178,3 +178,38 @@ def test_config_edit_and_hash(spark):
     assert after.where("suite_id = 'R1'").first().params == '{"a":2}'
     h = [SP.content_hashes(c, "doc_id").first() for c in (checks, after)]
     assert h[0].n_checks == 2 and h[0].content_hash != h[1].content_hash
+
+
+def test_rehash_equals_a_new_tree(spark):
+    """Hashing the path of an edit gives the tree that hashing everything gives; the rest is untouched."""
+    rows = [(d, s, c, x, f"S{s}", f"C{s}-{c}", "template", "contains", None, f'{{"value":{x}}}')
+            for d in (1, 2, 3) for s in range(3) for c in range(2) for x in range(2)]
+    schema = ("doc_id long, suite_pos int, case_pos int, check_index int, suite_id string, case_id string, type string, uses string, "
+              "rubric string, params string")
+    checks = spark.createDataFrame(rows, schema)
+    edited = spark.createDataFrame([(2, "S1", "C1-0", 1)], "doc_id long, suite_id string, case_id string, check_index int")
+    after = spark.createDataFrame([(*r[:9], "new") if (r[0], r[4], r[5], r[3]) == (2, "S1", "C1-0", 1) else r for r in rows], schema)
+    tree = SP.hash_tree(checks, "doc_id")
+    cols = ["doc_id", "level", "suite_pos", "case_pos", "check_index", "hash", "n"]
+
+    def nodes(t):
+        return {tuple(r) for r in t.select(cols).collect()}
+    new = nodes(SP.rehash(tree, after, edited, "doc_id"))
+    assert new == nodes(SP.hash_tree(after, "doc_id")) and len(new) == 3 * (12 + 6 + 3 + 1)
+    changed = new - nodes(tree)
+    assert {(d, lv) for d, lv, *_ in changed} == {(2, "check"), (2, "case"), (2, "suite"), (2, "version")} and len(changed) == 4
+    # versions 1 and 3 are equal, so are their roots; the edited one shares all cases but one
+    assert [r.versions for r in SP.shared_nodes(SP.rehash(tree, after, edited, "doc_id"), "doc_id", "version").collect()] == [2]
+    assert sorted(r.versions for r in SP.shared_nodes(SP.rehash(tree, after, edited, "doc_id"), "doc_id", "case").collect()) == [2, 3, 3, 3, 3, 3]
+
+
+def test_running_numbers(spark):
+    from proofline.operators.numbering import numbered
+    df = spark.range(5000).selectExpr("case when id % 3 = 0 then id % 50 end as g", "(id * 7919) % 5000 as k").repartition(6)
+    got = {}
+    for r in numbered(df, "g", "k", "nth").collect():
+        got.setdefault(r.g, []).append((r.nth, r.k))
+    for rows in got.values():  # two thirds in one (null) group
+        assert [n for n, _ in sorted(rows)] == list(range(1, len(rows) + 1))
+        assert [k for _, k in sorted(rows)] == sorted(k for _, k in rows)
+    assert len(got[None]) > 3000
