@@ -10,9 +10,10 @@ codeword wins, and a text is ambiguous where the runner-up is within ``ambiguity
 
 The score only compares the learned languages. Whether a text is in one of them at all is
 judged on the distance to the winner's codeword: its mean margin a bit, where a training text
-has 1 and a text without evidence 0 however many languages there are, must reach ``MIN_MARGIN``
-(``MIN_SHORT`` for texts under ``LONG`` n-grams, whose mean is noisy), and a long text must not
-be ambiguous. One language alone has one bit, against equally frequent n-grams.
+has 1 and a text without evidence 0 however many languages there are, must reach ``MIN_MARGIN``,
+and the runner-up must not be within ``ambiguity``; both are given the benefit of ``DOUBT`` standard
+errors of the text's own mean margin, which is much for a few words and nothing for a long text.
+One language alone has one bit, against equally frequent n-grams.
 
 Training reads at most about ``TRAIN_ROWS`` labelled rows a language (all if fewer; chosen by a
 hash of id and text, whole texts). What reaches the driver is one number per language and
@@ -21,7 +22,8 @@ n-gram bucket (``BUCKETS``) or bit.
 Defined results: text null or without a letter is ``und`` with score 0; with one learned
 language every text with a letter is that language with score 1; with none, all is ``und``;
 rows without a label are not learned from but are predicted; ties go to the first language in
-alphabetical order; repeated rows are predicted each; an empty table gives no rows.
+alphabetical order; a text of any length has the n-grams it has in one piece; other columns are
+kept by ``accepted`` and ignored elsewhere; repeated rows are predicted each; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -45,7 +47,7 @@ SMOOTHING = 0.5
 AMBIGUITY = 0.05
 SHARPNESS = 3.0
 MIN_SCORE = 0.3
-MIN_MARGIN, MIN_SHORT, LONG = 0.5, 0.4, 300
+MIN_MARGIN, DOUBT = 0.55, 2.0  # DOUBT: standard errors of a text's mean margin
 UNKNOWN = "und"
 PIECE = 1 << 20  # code points looked at together: bounds memory for texts of any length
 FOLDS, HELD_OUT = 4, 2
@@ -63,26 +65,31 @@ def _fold() -> np.ndarray:
     return t
 
 
-def buckets(text: str, n_buckets: int = BUCKETS):
-    """Arrays of n-gram buckets of a text, piece by piece; none if it has no letter."""
-    for at in range(0, len(text), PIECE):
-        raw = text[max(0, at - max(ORDERS) + 1):at + PIECE].encode("utf-32-le", "replace")
-        c = _fold()[np.frombuffer(raw, np.uint32)]
-        c = np.concatenate(([32], c, [32])).astype(np.uint64)
+def buckets(text: str, n_buckets: int = BUCKETS, piece: int | None = None):
+    """Arrays of n-gram buckets of a text; all blank ones are left out. Looked at ``piece`` by
+    piece: the last letters of a piece lead the next one, and only n-grams that end in new
+    letters are counted, so the n-grams are those of the text in one piece."""
+    piece = piece or PIECE
+    tail = np.array([32], np.uint64)
+    for at in range(0, len(text), piece):
+        raw = text[at:at + piece].encode("utf-32-le", "replace")
+        c = np.concatenate((tail, _fold()[np.frombuffer(raw, np.uint32)],
+                            [32] if at + piece >= len(text) else [])).astype(np.uint64)
         c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
-        if len(c) < 3 and not (c != 32).any():
-            continue
         for n in ORDERS:
+            first = max(0, len(tail) - n + 1)
             m = len(c) - n + 1
-            if m < 1:
+            if m <= first:
                 continue
-            h = np.full(m, n, np.uint64)
-            blank = np.ones(m, bool)
+            h = np.full(m - first, n, np.uint64)
+            blank = np.ones(m - first, bool)
             for j in range(n):
-                h = (h ^ c[j:j + m]) * np.uint64(0x9E3779B97F4A7C15)
+                own = c[first + j:j + m]
+                h = (h ^ own) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-                blank &= c[j:j + m] == 32
+                blank &= own == 32
             yield (h[~blank] % np.uint64(n_buckets)).astype(np.int64)
+        tail = c[-(max(ORDERS) - 1):]
 
 
 def codewords(n: int) -> np.ndarray:
@@ -120,6 +127,11 @@ class Model:
             n += len(b)
         return total, n
 
+    def spread(self, text: str, u: np.ndarray) -> float:
+        """Sum of the squares of the n-grams' weights, taken along ``u``."""
+        w = self.weights @ u
+        return float(sum((w[b] ** 2).sum() for b in buckets(text, len(self.weights))))
+
     def margins(self, text: str) -> np.ndarray | None:
         total, n = self.read(text)
         return total / n if n else None
@@ -138,16 +150,18 @@ class Model:
             return UNKNOWN, 0.0, False, False
         z = self.code * (total / n / self.scale)
         margin = z @ self.trust / self.trust.sum()
-        least = MIN_MARGIN if n >= LONG else MIN_SHORT
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0, False, bool(margin[0] >= least)
+        one = len(self.langs) == 1
         loss = (np.logaddexp(0, -SHARPNESS * z) * self.trust).sum(axis=1)
         best = int(loss.argmin())
+        gap = np.inf if one else (np.partition(loss, 1)[1] - loss[best]) / (SHARPNESS * max(self.trust.sum(), 1e-9))
         p = np.exp(loss.min() - loss)
-        runner_up = np.partition(loss, 1)[1]
-        near = (runner_up - loss[best]) / (SHARPNESS * max(self.trust.sum(), 1e-9)) < ambiguity
-        known = margin[best] >= least and not (near and n >= LONG)
-        return self.langs[best], float(p[best] / p.sum()), bool(near), bool(known)
+        score = 1.0 if one else float(p[best] / p.sum())
+        known = margin[best] >= MIN_MARGIN and gap >= ambiguity
+        if not known:  # beyond what chance does to a mean of so few n-grams?
+            u = self.code[best] * self.trust / self.scale / self.trust.sum()
+            doubt = DOUBT * math.sqrt(max(self.spread(text, u) / n - margin[best] ** 2, 0) / n)
+            known = margin[best] + doubt >= MIN_MARGIN and gap + doubt >= ambiguity
+        return self.langs[best], score, bool(gap < ambiguity), bool(known)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

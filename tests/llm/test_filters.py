@@ -1,5 +1,6 @@
 """Language identification, toxicity, mixing and URL filters."""
 import datetime as dt
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -52,12 +53,56 @@ def test_language_few_labels(spark):
     assert none.predict("whatever") == ("und", 0.0, False)
 
 
-def test_pieces_of_a_long_text_count_every_ngram(monkeypatch):
-    text = "abc déf " * 40
-    whole = Counter(int(x) for b in langid.buckets(text) for x in b)
-    monkeypatch.setattr(langid, "PIECE", 64)
-    parts = Counter(int(x) for b in langid.buckets(text) for x in b)
-    assert sum((whole - parts).values()) == 0
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_ngrams_do_not_depend_on_pieces(piece):
+    for text in ("Ein  Haus, zwei\n\nHäuser und 12 Mäuse. " * 12, "a", "ab", " ", "12", "a b", "  ab  ", "x" * 130, "words " * 40 + "  "):
+        whole = Counter(int(x) for b in langid.buckets(text) for x in b)
+        parts = Counter(int(x) for b in langid.buckets(text, piece=piece) for x in b)
+        assert parts == whole
+
+
+def _plain_read(model, text):
+    """N-grams, margins and decoding in plain Python: (language, score, ambiguous)."""
+    folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+    c = " " + " ".join(folded.split()) + " " if folded.strip() else " "
+    sums, n = [0.0] * len(model.scale), 0
+    for size in langid.ORDERS:
+        for i in range(len(c) - size + 1):
+            if c[i:i + size].strip():
+                h = size
+                for x in c[i:i + size]:
+                    h = ((h ^ ord(x)) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+                    h ^= h >> 29
+                row = model.weights[h % len(model.weights)]
+                sums, n = [s + float(w) for s, w in zip(sums, row, strict=True)], n + 1
+    if not n:
+        return "und", 0.0, False
+    losses = []
+    for word in model.code.tolist():
+        z = [b * s / n / float(sc) for b, s, sc in zip(word, sums, model.scale, strict=True)]
+        losses.append(sum(float(t) * math.log1p(math.exp(-langid.SHARPNESS * x)) for t, x in zip(model.trust, z, strict=True)))
+    best = losses.index(min(losses))
+    p = [math.exp(min(losses) - x) for x in losses]
+    gap = (sorted(losses)[1] - losses[best]) / (langid.SHARPNESS * float(model.trust.sum()))
+    return model.langs[best], p[best] / sum(p), gap < langid.AMBIGUITY
+
+
+def test_predictions_equal_plain_python(spark, lang_model):
+    docs = read(spark, "documents").union(read(spark, "documents").limit(5))  # repeated rows too
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if len(r.text or "") < 6000}
+    got = [r for r in langid.predict(docs, lang_model).collect() if r.doc_id in texts]
+    assert len(got) > 100
+    for r in got:
+        lang, score, ambiguous = _plain_read(lang_model, texts[r.doc_id])
+        assert (r.lang_pred, r.ambiguous) == (lang, ambiguous) and math.isclose(r.score, score, rel_tol=1e-6)
+
+
+def test_a_decoding_tie_goes_to_the_first_language():
+    import numpy as np
+    code = langid.codewords(2)
+    model = langid.Model(["aa", "bb"], code, np.zeros((langid.BUCKETS, code.shape[1]), np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))
+    assert model.predict("any words") == ("aa", 0.5, True)
+
 
 
 def test_codewords_are_apart():
