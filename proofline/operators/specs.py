@@ -16,6 +16,7 @@ from proofline.functions.columns import let
 from proofline.functions.text import ID_OK, ID_UNSAFE, slug, strip_chars, tokens
 from proofline.operators.numbering import numbered
 from proofline.operators.testsets import dedup_ids, py_strip
+from proofline.session import checkpoint_dir
 
 # ---- fixed values that must equal the reference's --------------------------------
 KINDS = ["nominal", "empty", "boundary", "hostile"]
@@ -327,7 +328,8 @@ def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> D
     suite_id, case_id, check_index of those that changed. Hashed again are these checks and the
     nodes above them, from the stored hashes of their other children."""
     at = [key, "suite_id", "case_id", "check_index"]
-    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key)
+    checkpoint_dir(checks.sparkSession)
+    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key).checkpoint()
     out = siblings = None
     for level in _LEVELS:
         depth = 3 - _LEVELS.index(level)
@@ -336,7 +338,8 @@ def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> D
         if level != "check":
             touched = changed.select(*own).distinct()
             below = siblings.join(touched, own, "left_semi")
-            changed = _parents(below, key, level)
+            # kept: the next level reads it three times
+            changed = _parents(below, key, level).checkpoint()
         now = old.join(changed.select(*own).distinct(), own, "left_anti").unionByName(changed)
         out = now if out is None else out.unionByName(now)
         siblings = now
@@ -393,7 +396,8 @@ def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> D
     suite_id, case_id, check_index of those that changed. Hashed again are these checks and the
     nodes above them, from the stored hashes of their other children."""
     at = [key, "suite_id", "case_id", "check_index"]
-    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key)
+    checkpoint_dir(checks.sparkSession)
+    changed = _check_nodes(checks.join(edited.select(*at), at, "left_semi"), key).checkpoint()
     out = siblings = None
     for level in _LEVELS:
         depth = 3 - _LEVELS.index(level)
@@ -402,7 +406,8 @@ def rehash(tree: DataFrame, checks: DataFrame, edited: DataFrame, key: str) -> D
         if level != "check":
             touched = changed.select(*own).distinct()
             below = siblings.join(touched, own, "left_semi")
-            changed = _parents(below, key, level)
+            # kept: the next level reads it three times
+            changed = _parents(below, key, level).checkpoint()
         now = old.join(changed.select(*own).distinct(), own, "left_anti").unionByName(changed)
         out = now if out is None else out.unionByName(now)
         siblings = now

@@ -203,7 +203,7 @@ def spec_hashes(spark, sf_dir):
     """SCL-3 / TXT-11: the content hash of every version, and after the edits of ``config_edit``, for
     which only the nodes on the way from an edited check to its version are hashed again."""
     checkpoint_dir(spark)
-    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id")
+    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id").checkpoint()
     edits, versions = _edits(checks)
     after, judged = SP.edit_checks(checks, versions, edits, "doc_id")
     tree = SP.hash_tree(checks, "doc_id").checkpoint()
