@@ -34,7 +34,7 @@ def test_reports_are_written_in_order(spark, tmp_path):
     assert order == sorted(order)
     RP.write_lines(RP.html_lines(lines), str(tmp_path / "html"))
     page = read_run(tmp_path / "html", runs[0])
-    assert page.startswith("<!doctype html>") and page.rstrip().endswith("</pre>")
+    assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</pre></body></html>")
     assert html.unescape(page.split("<pre>\n", 1)[1].rsplit("</pre>", 1)[0]) == text
 
 
