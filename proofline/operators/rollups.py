@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.operators import paging
+
 PAGE_SIZE = 50  # fixed value: rows per listing page
 
 
@@ -27,8 +29,8 @@ def newest_first(df: DataFrame, at: str = "created_at", key: str = "report_id")
 
 def page(df: DataFrame, page_no: int, size: int = PAGE_SIZE, at: str = "created_at",
          key: str = "report_id") -> DataFrame:
-    """REL-2: one page of the newest-first listing (paging is the feature here)."""
-    return newest_first(df, at, key).offset(page_no * size).limit(size)
+    """REL-2: one page of the newest-first listing (paging is the feature here), at any depth."""
+    return paging.page(df, page_no, size, at, key)
 
 
 def _latest_done():

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from proofline.operators import paging
 from proofline.operators import results as RS
 from proofline.operators import rollups as RU
 from proofline.plans.q_results import SQL_EFFECTIVE, effective_results
@@ -20,6 +21,31 @@ def report_page(spark, sf_dir):
     return RU.page(r.select("report_id", "project", "state", "created_at"), 2)
 
 
+_SQL_MIDDLE = f"""SELECT report_id, project, state, created_at, row_number() OVER (ORDER BY created_at DESC, report_id DESC) - 1 AS place,
+  (SELECT count(*) FROM {T.SQL_REPORTS}) // 100 * 50 AS first FROM {T.SQL_REPORTS}"""
+
+
+def _middle(spark, sf_dir):
+    r = T.reports(spark, sf_dir).select("report_id", "project", "state", "created_at")
+    return r, paging.page(r, r.count() // 100, RU.PAGE_SIZE, "created_at", "report_id")
+
+
+@query("report_middle_page", sql=f"""
+SELECT report_id, project, state, created_at FROM ({_SQL_MIDDLE}) WHERE place >= first AND place < first + 50""")
+def report_middle_page(spark, sf_dir):
+    """REL-2: the page in the middle of all reports, found by counting ranges of the sort key."""
+    return _middle(spark, sf_dir)[1]
+
+
+@query("report_next_page", sql=f"""
+SELECT report_id, project, state, created_at FROM ({_SQL_MIDDLE}) WHERE place >= first + 50 AND place < first + 100""")
+def report_next_page(spark, sf_dir):
+    """REL-2: the page after the middle one, from the last row of that page."""
+    r, shown = _middle(spark, sf_dir)
+    last = shown.agg(F.min(F.struct("created_at", "report_id")).alias("last")).first()["last"]
+    return paging.page_after(r, tuple(last), RU.PAGE_SIZE, "created_at", "report_id")
+
+
 @query("report_total", sql=f"""
 SELECT count(*) AS total FROM {T.SQL_REPORTS} WHERE state = 'done' AND lower(project) LIKE '%mach%'""")
 def report_total(spark, sf_dir):

@@ -38,4 +38,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from proofline.plans import (  # noqa: F401
         q_checks, q_results, q_review, q_rollups, q_judge, q_testsets, q_reports, q_udf,
-        q_specs, q_streaming)
+        q_rules, q_specs, q_streaming)
