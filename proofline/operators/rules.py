@@ -1,12 +1,12 @@
 """Keyword rules that are rows of a table (JON-9, TXT-2): texts against thousands of patterns.
 
 A regular expression cannot be an equi-join key, but most patterns name literals without which they
-cannot match: one of ``hallucin``, ``fabricat``, ``invent``. Each rule is read once for such a set; each literal
-is cut into grams of ``GRAM`` letters, digits and blanks, and stands in an index under the one of
-its grams that fewest texts hold. A text meets a rule only where it holds that gram; what meets is verified by the pattern itself.
-There are at most 37 ** 3 = 50,653 different grams, so tables of distinct grams may be
-broadcast, whatever the number of texts or rules. Rules without such a literal (``a.*b``) are tried on every
-text, in blocks.
+cannot match: one of ``hallucin``, ``fabricat``, ``invent``. Each rule is read once for such a set. A literal of letters
+and digits lies inside one word of a text, so it is looked up in the vocabulary, the distinct words of all texts: each
+literal stands under the one of its grams (``GRAM`` characters) that fewest words hold, and meets the words with that gram. Texts
+meet a rule only through a word that holds one of its literals; what meets is verified by the pattern itself.
+There are at most 36 ** 3 = 46,656 grams, so a table of distinct grams may be broadcast, whatever the number
+of texts or rules. Rules without such a literal (``a.*b``) are tried on every text, in blocks.
 """
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def _needed(items) -> list[str]:
 
 def _usable(literal: str) -> str:
     """The longest part of a literal that is made of the index's characters."""
-    return max(re.split("[^a-z0-9 ]+", literal), key=len)
+    return max(re.split("[^a-z0-9]+", literal), key=len)
 
 
 def _read(patterns: pd.Series) -> pd.DataFrame:
@@ -90,11 +90,15 @@ def read_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
         F.when(F.col(pattern).isNull(), "invalid pattern: none given").otherwise(F.col("_r.reason")).alias("reason"))
 
 
-def grams(text: Column) -> Column:
-    """The distinct grams of a text, case and the look-alikes of ASCII letters folded."""
-    low = F.lower(F.translate(text, *SAME_LETTER))
-    # a look-ahead finds overlapping grams in one pass
-    return F.array_distinct(F.regexp_extract_all(low, F.lit("(?=([a-z0-9 ]{%d}))" % GRAM), 1))
+def words(text: Column) -> Column:
+    """The distinct words of a text that hold a gram, case and the look-alikes of ASCII letters folded."""
+    cut = F.split(F.lower(F.translate(text, *SAME_LETTER)), "[^a-z0-9]+")
+    return F.filter(F.array_distinct(cut), lambda w: F.length(w) >= GRAM)
+
+
+def grams(word: Column) -> Column:
+    """The distinct grams of a word."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - (GRAM - 1)), lambda i: F.substring(word, i, F.lit(GRAM))))
 
 
 def match_rules(texts: DataFrame, rules: DataFrame, on: list[str], text: str = "text", rule: str = "rule_id") -> DataFrame:
@@ -105,21 +109,23 @@ def match_rules(texts: DataFrame, rules: DataFrame, on: list[str], text: str = "
     known = (rules if "java" in rules.columns else read_rules(rules)).where("reason is null").select(
         rule, "java", "literals").checkpoint()
     body = texts.where(F.col(text).isNotNull()).select(*on, F.col(text).alias("_text"))
-    # every literal with its grams; how many texts hold a gram
+    vocabulary = body.select(F.explode(words(F.col("_text"))).alias("_word")).distinct().checkpoint()
+    # every literal with its grams; how many words hold a gram
     literal = known.select(rule, F.explode("literals").alias("_literal")).withColumn("_gram", F.explode(grams(F.col("_literal"))))
     asked = literal.select("_gram").distinct()
-    held = body.select(F.explode(grams(F.col("_text"))).alias("_gram")).join(F.broadcast(asked), "_gram", "left_semi").groupBy("_gram").agg(
-        F.count(F.lit(1)).alias("_texts"))
-    # a literal with a gram that no text holds is in no text
-    index = (literal.join(held, "_gram", "left").groupBy(rule, "_literal").agg(
-        F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"),
-        F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).where("_least > 0").select(rule, "_gram").distinct().checkpoint())
-    # a frequent gram is spread over salts
-    post = (body.select(*on, F.explode(grams(F.col("_text"))).alias("_gram"))
-            .join(F.broadcast(index.select("_gram").distinct()), "_gram", "left_semi")
+    held = (vocabulary.select("_word", F.explode(grams(F.col("_word"))).alias("_gram"))
+            .join(F.broadcast(asked), "_gram", "left_semi"))
+    sizes = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_words"))
+    # a literal with a gram that no word holds is in no text
+    index = (literal.join(sizes, "_gram", "left").groupBy(rule, "_literal").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_words", F.lit(0)), "_gram")).alias("_gram"),
+        F.min(F.coalesce("_words", F.lit(0))).alias("_least")).where("_least > 0").drop("_least"))
+    holding = (held.join(index, "_gram").where(F.contains(F.col("_word"), F.col("_literal"))).select(rule, "_word").distinct()
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    # a frequent word is spread over salts
+    post = (body.select(*on, F.explode(words(F.col("_text"))).alias("_word"))
             .withColumn("_salt", F.pmod(F.xxhash64(*on), F.lit(SALTS)).cast("int")))
-    salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = post.join(salted, ["_gram", "_salt"]).select(*on, rule).distinct()
+    met = post.join(holding, ["_word", "_salt"]).select(*on, rule).distinct()
     found = (met.join(known.select(rule, "java"), rule).join(body, on)
              .where(F.expr("_text rlike java")).select(*on, rule))
     # the others: all texts, each block of them with its copy of the rules
