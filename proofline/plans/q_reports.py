@@ -10,7 +10,7 @@ from proofline.operators import results as RS
 from proofline.operators.evaluate import check_columns, gate_column
 from proofline.plans.q_checks import LICENSE, LICENSE_RE, SECRET, SQL_CARD, SQL_EMAIL, SQL_IBAN, TEXT_SPEC
 from proofline.plans.q_results import SQL_TEXT_GATE
-from proofline.plans.registry import query
+from proofline.plans.registry import ORACLE, query
 from proofline.plans.sqltext import q
 from proofline.session import checkpoint_dir
 from proofline.sources import tables as T
@@ -89,3 +89,15 @@ def report_markdown(spark, sf_dir):
         F.lit(i).alias("req_id"), F.lit(f"Requirement {i[1:]} holds.").alias("text"), F.lit(int(i[1:])).alias("position"))
         for i in T.REQUIREMENT_IDS])))
     return RP.report_lines(headers, lists, cases, RS.run_summary(cases))
+
+
+@query("report_digests", sql=f"""
+WITH n AS (SELECT run_id, line, row_number() OVER (PARTITION BY run_id ORDER BY section, k1, k2, k3) - 1 AS p FROM ({ORACLE["report_markdown"]})),
+ a AS (SELECT run_id, p // 1024 AS g, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY p)) AS h FROM n GROUP BY run_id, p // 1024),
+ b AS (SELECT run_id, g // 1024 AS gg, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY g)) AS h FROM a GROUP BY run_id, g // 1024)
+SELECT run_id, CAST(sum(n) AS BIGINT) AS lines, sha256(string_agg(h, chr(10) ORDER BY gg)) AS digest FROM b GROUP BY run_id""")
+def report_digests(spark, sf_dir):
+    """SNK-4: all reports written into packed files, read back, a digest per run."""
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    RP.write_packed(report_markdown(spark, sf_dir), path)
+    return RP.run_digests(spark.read.parquet(path))

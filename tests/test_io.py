@@ -1,4 +1,5 @@
 """Report writing, the lossless stream, user-check failures, judge providers, verdict parsing."""
+import hashlib
 import html
 import os
 import shutil
@@ -38,6 +39,25 @@ def test_reports_are_written_in_order(spark, tmp_path):
     assert html.unescape(page.split("<pre>\n", 1)[1].rsplit("</pre>", 1)[0]) == text
 
 
+def test_packed_reports(spark, tmp_path):
+    rows = [(f"run{r}", s, "", "", k, f"{r}-{s}-{k}") for r in range(200) for s in (0, 5) for k in range(1 + 3000 * (r == 7))]
+    lines = spark.createDataFrame(rows, "run_id string, section int, k1 string, k2 string, k3 long, line string").repartition(7, "line")
+    path = str(tmp_path / "packed")
+    RP.write_packed(lines, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 1
+    RP.write_packed(lines, path, file_bytes=100_000)
+    assert 2 <= len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= 7
+    want = [x for r, *_, x in sorted(rows) if r == "run7"]
+    one = RP.read_run(spark, path, "run7")
+    assert [r.line for r in one.collect()] == want and "EqualTo(run_id,run7)" in one._jdf.queryExecution().toString()
+    got = {r.run_id: (r.lines, r.digest) for r in RP.run_digests(spark.read.parquet(path)).collect()}
+
+    def h(parts):
+        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    assert got["run7"] == (6002, h([h([h(want[i:i + 1024]) for i in range(0, 6002, 1024)])])) and len(got) == 200
+    assert RP.run_digests(lines.where("false")).count() == 0
+
+
 def stream(spark, path, schema):
     return P.checked(P.response_stream(spark, path, schema, files_per_trigger=1), [Check("latency_bound", {"max_ms": 25})],
                      ["run_id", "case_id"])
