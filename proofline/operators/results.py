@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.operators.asof import SALTS, asof_join
+from proofline.session import checkpoint_dir, partitions_for
 
 
 def effective_passed(passed: Column, human_verdict: Column) -> Column:
@@ -118,20 +119,30 @@ def compare_runs_to_baselines(runs: DataFrame, case_results: DataFrame, keys: li
     the run's own baseline. ``runs``: run_id, baseline_report_id, baseline_run_id (as from
     ``baseline_of_runs``); a run without a baseline has only new cases. The cases of one baseline
     serve many runs, so they meet them under salts; both sides then meet per (run, case) in one
-    aggregation."""
+    aggregation. Every step is cut into as many partitions as its rows need: a baseline is taken to have as many
+    cases as the average run."""
+    spark = runs.sparkSession
+    checkpoint_dir(spark)
+    # kept: read four times
+    runs = runs.select("run_id", "baseline_report_id", "baseline_run_id").checkpoint()
     cases = case_results.select("run_id", *keys, F.col(flag).alias("_flag"))
+    n = partitions_for(spark, 2 * cases.count() + runs.count())
     salt = F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int")
     asked = runs.where("baseline_run_id is not null").select(
         F.col("baseline_run_id").alias("_b"), F.col("run_id").alias("_for"), salt.alias("_salt"))
     base = (cases.join(asked.select(F.col("_b").alias("run_id")).distinct(), "run_id", "left_semi")
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    old = base.join(asked, (base["run_id"] == asked["_b"]) & (base["_salt"] == asked["_salt"])).select(
+    asked = asked.repartition(n, "_b", "_salt")
+    old = base.repartition(n, "run_id", "_salt").join(
+        asked, (F.col("run_id") == F.col("_b")) & (base["_salt"] == asked["_salt"])).select(
         F.col("_for").alias("run_id"), *keys, F.lit(None).cast("boolean").alias("_now"), F.col("_flag").alias("_was"))
-    new = cases.join(runs.select("run_id"), "run_id", "left_semi").select(
+    # the runs are the side kept in memory, so a run with very many cases is only read through
+    by_run = runs.select("run_id", "baseline_report_id").repartition(n, "run_id")
+    new = cases.repartition(n, "run_id").join(by_run.select("run_id").hint("shuffle_hash"), "run_id", "left_semi").select(
         "run_id", *keys, F.col("_flag").alias("_now"), F.lit(None).cast("boolean").alias("_was"))
-    per = new.unionByName(old).groupBy("run_id", *keys).agg(
+    per = new.unionByName(old).repartition(n, "run_id", *keys).groupBy("run_id", *keys).agg(
         F.max("_now").alias("current_passed"), F.max("_was").alias("baseline_passed"))
-    return per.join(runs.select("run_id", "baseline_report_id"), "run_id").withColumn("status", case_status())
+    return per.repartition(n, "run_id").join(by_run.hint("shuffle_hash"), "run_id").withColumn("status", case_status())
 
 
 def run_records(runs: DataFrame, case_results: DataFrame, failures: DataFrame | None = None,

@@ -1,6 +1,7 @@
 """SparkSession defaults shared by tests, the bench and the driver entry points."""
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,6 +44,16 @@ def apply_defaults(spark: SparkSession) -> None:
         spark.conf.set(key, SESSION_DEFAULTS[key])
 
 
+# Rows of a partition where a step keeps them in memory (a sort, a hash map).
+ROWS_PER_PARTITION = 250_000
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions ``rows`` are cut into, so that a task's memory does not grow with the table; never
+    fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_PARTITION))
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
