@@ -7,6 +7,8 @@ from re import _parser
 import pytest
 from pyspark.sql import functions as F
 
+from proofline import session
+from proofline.functions.regex import alternatives
 from proofline.operators import paging
 from proofline.operators import rules as RL
 
@@ -76,3 +78,29 @@ def test_a_deep_page_sorts_few_rows(spark):
     lo, hi, before = places.find(100_000)
     inside = df.where(paging._at_most(numbers, hi)).where(~paging._at_most(numbers, lo, strict=True)).count()
     assert inside <= 1000 and before <= 100_000 < before + inside
+
+
+def test_parts_inside_a_word_are_tried_on_words():
+    part = {p: RL._part(p)["word"] for p in (r"\ban[a-z]b\b", r"(red|rin)(ly|tion)", r"\w+\d", "a.c", "red ring", "x*", "[^a]bc", r"^abc", "[A-z]b", "é", r"a(?=b)")}
+    assert [p for p, word in part.items() if word] == [r"\ban[a-z]b\b", r"(red|rin)(ly|tion)", r"\w+\d"]
+    assert [(x["word"], x["sets"]) for x in RL._read([r"\bred[a-z]*ri|red ring", "blu[a-z]* rod"]).parts.explode()] == [
+        (True, [["red"]]), (False, [["ring"], ["red"]]),
+        (False, [["blu"], ["rod"]])]
+
+
+@pytest.mark.parametrize("pattern, parts", [
+    ("a|b", ["a", "b"]), ("(a|b)c|[|)]d", ["(a|b)c", "[|)]d"]), (r"a\|b|c", [r"a\|b", "c"]), ("[]|]x|y", ["[]|]x", "y"]), ("[^]|]x|y", ["[^]|]x", "y"]),
+    ("(?i)a|b", ["(?i)a|b"]), (r"(x)|\1y", [r"(x)|\1y"]), ("(?#|)a|b", ["(?#|)a|b"]), ("a|", ["a", ""]), ("(?:a|b)|c", ["(?:a|b)", "c"])])
+def test_outermost_alternatives(pattern, parts):
+    assert alternatives(pattern) == parts
+
+
+def test_texts_of_one_name_and_words_of_every_script(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 5)
+    texts = [(1, "red ring"), (1, "red ring"), (1, "no ringtion"), (None, "anvb"), (2, "ANvB_ anvb"), (3, "été1 e\u0301t"), (4, "_"), (5, "ring red"), (6, "taſk")]
+    rules = [(p, p) for p in (r"\ban[a-z]b\b", "red ring", "(red|rin)[a-z]*|red ring", r"\w\d", "[a-f_]", "TASK", r"r\b", r"\Bg")]
+    t = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    r = spark.createDataFrame(rules, "rule_id string, pattern string")
+    out = RL.match_rules(t, r, ["doc_id"])
+    want = sorted((str(i), p) for i, x in texts for p, _ in rules if re.search(p, x, re.I))
+    assert sorted((str(a), b) for a, b in out.collect()) == want
