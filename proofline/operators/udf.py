@@ -13,6 +13,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ RESULT_TYPE = "passed boolean, score double, severity string, message string, ev
 RESPONSE_FIELDS = ("text", "json", "raw", "tool_calls", "usage", "latency_ms", "cost_usd", "status", "error")
 _JSON_FIELDS = ("json", "raw", "tool_calls", "usage")
 _CHECKS: dict[str, Callable[[dict, dict], dict]] = {}
+_EVIDENCE = json.JSONEncoder(default=str).encode
+_RESULT_ARROW = [pa.bool_(), pa.float64(), pa.string(), pa.string(), pa.string()]
 
 
 def register_check(name: str, fn: Callable[[dict, dict], dict]) -> None:
@@ -43,43 +46,77 @@ def _loads(s):
 def _result(raw) -> tuple:
     if not isinstance(raw, dict):
         return (False, None, "fail", "check returned no result", None)
-    score = raw.get("score")
+    score, evidence = raw.get("score"), raw.get("evidence")
     return (bool(raw.get("passed", False)),
             float(score) if isinstance(score, (int, float)) and not isinstance(score, bool) else None,
             str(raw.get("severity", "info")), str(raw.get("message", "")),
-            json.dumps(raw.get("evidence") or {}, default=str))
+            _EVIDENCE(evidence) if evidence else "{}")
+
+
+def _contexts(texts: list):
+    """The context of each row. An equal text is parsed once if its members are plain values, which
+    a copy of the object does not share."""
+    plain: dict[str, dict] = {}
+    for text in texts:
+        known = plain.get(text)
+        if known is not None:
+            yield known.copy()
+            continue
+        value = _loads(text) or {}
+        if isinstance(value, dict) and not any(isinstance(v, (dict, list)) for v in value.values()):
+            plain[text] = value.copy()
+        yield value
 
 
 def check_udf(fn: Callable[[dict, dict], dict] | None, name: str):
-    """Arrow UDF applying one user check to a response struct and its context (JSON text)."""
-    @F.pandas_udf(RESULT_TYPE)
-    def run(response: pd.DataFrame, context: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, ctx in zip(response.to_dict("records"), context, strict=True):
-            if fn is None:
-                rows.append((False, None, "fail", f"no check function registered as {name!r}", None))
-                continue
-            resp = {k: _loads(v) if k in _JSON_FIELDS else None if _missing(v) else v for k, v in r.items()}
-            resp["latency_ms"] = resp.get("latency_ms") or 0.0
-            try:
-                rows.append(_result(fn(resp, _loads(ctx) or {})))
-            except Exception as exc:  # a failing check is a failed result
-                rows.append((False, None, "fail", f"check raised {type(exc).__name__}: {exc}", None))
-        return pd.DataFrame(rows, columns=["passed", "score", "severity", "message", "evidence"])
+    """Arrow UDF applying one user check to a response struct and its context (JSON text). Fields that the
+    struct lacks are None."""
+    empty = dict.fromkeys(RESPONSE_FIELDS)
+
+    @F.arrow_udf(RESULT_TYPE)
+    def run(response: pa.Array, context: pa.Array) -> pa.Array:
+        out = [[] for _ in _RESULT_ARROW]
+        if fn is None:
+            rows = [(False, None, "fail", f"no check function registered as {name!r}", None)] * len(response)
+        else:
+            rows = _results(fn, response, context, empty)
+        passed, score, severity, message, evidence = (x.append for x in out)
+        for r in rows:
+            passed(r[0]), score(r[1]), severity(r[2]), message(r[3]), evidence(r[4])
+        # as in pandas, a score that is not a number is no score
+        return pa.StructArray.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(out, _RESULT_ARROW, strict=True)],
+                                          names=["passed", "score", "severity", "message", "evidence"])
     return run
 
 
+def _results(fn: Callable[[dict, dict], dict], response: pa.Array, context: pa.Array, empty: dict):
+    """The result of the check for each row; only the row at hand is held parsed."""
+    fields = [(f.name, f.name in _JSON_FIELDS, values.to_pylist())
+              for f, values in zip(response.type, response.flatten(), strict=True) if values.null_count < len(values)]
+    for i, ctx in enumerate(_contexts(context.to_pylist())):
+        resp = empty.copy()
+        for k, is_json, values in fields:
+            v = values[i]
+            resp[k] = _loads(v) if is_json else None if _missing(v) else v
+        resp["latency_ms"] = resp["latency_ms"] or 0.0
+        try:
+            yield _result(fn(resp, ctx))
+        except Exception as exc:  # a failing check is a failed result
+            yield (False, None, "fail", f"check raised {type(exc).__name__}: {exc}", None)
+
+
 def run_user_check(name: str, r: dict, context: Column | None, user_checks=None) -> dict:
     """Result columns of the check ``name``. ``r``: the response columns; ``r['body']``, the
     text that ``json`` was parsed from, is passed on as it is where there is one."""
     fn = (user_checks or {}).get(name) or _CHECKS.get(name)
     null = F.lit(None).cast("string")
     body = r.get("body")
-    fields = {k: r.get(k) for k in RESPONSE_FIELDS}
+    fields = {k: r[k] for k in RESPONSE_FIELDS if r.get(k) is not None}
     fields["json"] = body if body is not None else F.to_json(r["json"])
     for k in ("latency_ms", "cost_usd"):
-        fields[k] = (fields[k] if fields[k] is not None else null).cast("double")
-    response = F.struct(*[(v if v is not None else null).alias(k) for k, v in fields.items()])
+        if k in fields:
+            fields[k] = fields[k].cast("double")
+    response = F.struct(*[v.alias(k) for k, v in fields.items()])
     s = check_udf(fn, name)(response, context if context is not None else null)
     return {k: s[k] for k in ("passed", "score", "severity", "message", "evidence")}
 

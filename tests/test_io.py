@@ -166,3 +166,23 @@ def test_schema_faults_are_explained(spark):
     assert out == [(False, '{"path":["n"]}'), (True, None), (False, '{"path":["t",1]}'), (True, None), (False, '{"path":["w"]}'), (False, '{"path":[]}')]
     with pytest.raises(ValueError):
         compile_schema({"unevaluatedItems": False}, F.lit(None).cast("variant"))
+
+
+def test_a_user_check_sees_one_parsed_row_and_its_own_context(monkeypatch):
+    import pyarrow as pa
+
+    from proofline.operators import udf as U
+    read = []
+    monkeypatch.setattr(U, "_loads", lambda s, loads=U._loads: read.append(s) or loads(s))
+
+    def check(response, context):
+        seen = dict(context)
+        context["more"] = response["json"]
+        return {"passed": response["latency_ms"] == 0.0 and response["status"] in (200, None), "score": float("nan"), "evidence": seen}
+    response = pa.StructArray.from_arrays([pa.array(["[1]", None, "{"]), pa.array([200, None, 200])], names=["json", "status"])
+    rows = U._results(check, response, pa.array(['{"s": 1}', '{"s": 1}', None]), dict.fromkeys(U.RESPONSE_FIELDS))
+    first = next(rows)
+    assert sorted(read) == ["[1]", '{"s": 1}']
+    got = [first, *rows]
+    assert [r[0] for r in got] == [True, True, True] and [r[4] for r in got] == ['{"s": 1}', '{"s": 1}', "{}"]
+    assert read.count('{"s": 1}') == 1
