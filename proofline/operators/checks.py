@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from proofline.functions import jsonpath as jp
 from proofline.functions.text import py_repr
 from proofline.operators.params import INFINITY
+from proofline.session import partitions_for
 
 # ---- fixed values that must equal the reference's --------------------------------
 # Default markers of the refusal detector (matched against the lowercased text;
@@ -216,12 +217,17 @@ def length_bound(r, p, m=None) -> dict:
 
 def unresolved_citations(results, field_matches: Column, keys: list[str], corpus, ref: str = "ref"):
     """CHK-14: (keys, citation) of every cited reference that the corpus (a table with column
-    ``ref``) does not hold. A cited reference is compared as text; empty ones cite nothing."""
-    cited = results.select(*keys, F.explode(F.filter(field_matches, lambda x: ~jp.is_empty_value(x))).alias("_v"))
-    text = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string")).otherwise(F.to_json("_v"))
-    cited = cited.select(*keys, text.alias("citation")).distinct()
+    ``ref``) does not hold. A cited reference is compared as text; empty ones cite nothing. The corpus is the side
+    kept in memory, so a reference that many cite is only read through; what stays is made distinct in as many
+    partitions as its rows need."""
+    spark = results.sparkSession
+    n = partitions_for(spark, 2 * results.count())
+    value = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    texts = F.transform(F.filter(field_matches, lambda x: ~jp.is_empty_value(x)), value)
+    cited = results.select(*keys, F.explode(F.array_distinct(texts)).alias("citation"))
     known = corpus.select(F.col(ref).alias("citation")).distinct()
-    return cited.join(known, "citation", "left_anti").select(*keys, "citation")
+    left = cited.join(known.hint("shuffle_hash"), "citation", "left_anti").select(*keys, "citation")
+    return left.repartition(n, *keys, "citation").distinct()
 
 
 BUILDERS = {

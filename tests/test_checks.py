@@ -1,9 +1,13 @@
 """Template checks against literal responses (CHK-1..16, CHK-21)."""
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.operators.checks import Check
-from proofline.operators.evaluate import apply_checks, graded, effective_threshold
+from proofline import session
+from proofline.functions import jsonpath as jp
+from proofline.operators.checks import Check, unresolved_citations
+from proofline.operators.evaluate import apply_checks, graded, effective_threshold, with_body
 
 
 def run(spark, rows, checks, schema="case_id long, text string, body string, latency_ms double"):
@@ -102,3 +106,15 @@ def test_threshold_truth_table(spark, passed, score, with_thr, spec_thr, expecte
     df = spark.range(1).select(graded(F.lit(passed), F.lit(score).cast("double"),
                                       F.lit(thr).cast("double")).alias("p"))
     assert df.first().p is expected
+
+
+def test_unresolved_citations_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 50)
+    rows = [(i % 900, f'{{"a": ["x{i % 3}", "x{i % 3}", "", null, {i % 7}, {{"k": {i % 2}}}]}}') for i in range(1000)]
+    r = with_body(spark.createDataFrame(rows, "k long, body string"))
+    corpus = spark.createDataFrame([("x1",), ("x1",), ("5",), (None,)], "ref string")
+    out = unresolved_citations(r, jp.matches(F.col("json"), "$.a[*]"), ["k"], corpus)
+    want = {(k, c) for k, b in rows for x in json.loads(b)["a"] if x not in ("", None, {}) for c in [x if isinstance(x, str) else json.dumps(x, separators=(",", ":"))]}
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in want if x[1] not in ("x1", "5")}
+    assert out.rdd.getNumPartitions() == 40
