@@ -7,11 +7,14 @@ text is read once.
 from __future__ import annotations
 
 import json
+import re
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.columns import let
+from proofline.functions.regex import alternatives, needed
 from proofline.functions.text import ID_OK, slug, strip_chars
 from proofline.session import checkpoint_dir
 
@@ -114,6 +117,23 @@ def split_requirements(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return docs.select(F.col(key), F.inline(_requirement_array(F.col(text))))
 
 
+def _found(low: Column, pattern: str) -> Column:
+    """Whether a keyword pattern is found in a lower-cased text. An outermost alternative that is plain letters is
+    looked for as such; the others are tried as patterns only where a literal they need is in the text."""
+    out = None
+    for part in alternatives(pattern):
+        plain = re.fullmatch("[a-z0-9 ]+", part)
+        literals = [part] if plain else needed(_parser.parse(part))
+        there = None
+        for x in literals:
+            there = F.contains(low, F.lit(x)) if there is None else there | F.contains(low, F.lit(x))
+        if not plain:
+            tried = low.rlike("(?Ud)" + part)
+            there = tried if there is None else there & tried
+        out = there if out is None else out | there
+    return out
+
+
 def keyword_intents(reqs: DataFrame, key: str = "doc_id") -> DataFrame:
     """TXT-2 / JON-9: every rule is a Column of the same projection (no join);
     a requirement list that matches nothing gets the two baselines on its first item."""
@@ -126,7 +146,7 @@ def keyword_intents(reqs: DataFrame, key: str = "doc_id") -> DataFrame:
     # case-insensitive matching without per-character case folding in every rule.
     low = F.lower(F.col("text"))
     structs = [F.struct(
-        F.lit(i).alias("rule_pos"), low.rlike("(?Ud)" + pat).alias("hit"),
+        F.lit(i).alias("rule_pos"), _found(low, pat).alias("hit"),
         F.lit(suffix).alias("suffix"), F.lit(cat).alias("category"),
         F.lit(assertion).alias("assertion"), F.lit(how).alias("how"),
         F.lit(template).cast("string").alias("template"),

@@ -128,7 +128,9 @@ def _given_cases(intents):
 
 
 def spec_rows(spark, sf_dir):
-    intents = _intents(spark, sf_dir)
+    checkpoint_dir(spark)
+    # kept: the texts are searched once, for the intents and for the cases given to them
+    intents = _intents(spark, sf_dir).checkpoint()
     return SP.spec_rows(intents, _given_cases(intents))
 
 
@@ -172,7 +174,8 @@ SELECT doc_id AS edit_id, CASE WHEN doc_id % 4 = 0 THEN 'only drafts can be edit
   sha256(CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN params ELSE '{{"edited":' || doc_id || '}}' END) AS params_hash FROM c""")
 def config_edit(spark, sf_dir):
     """TXT-11 / SCL-3: edits judged, applied to the flattened checks, the result hashed."""
-    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id")
+    # kept: read five times
+    checks = SP.config_checks(SP.assemble(spec_rows(spark, sf_dir)), "doc_id").checkpoint()
     edits, versions = _edits(checks)
     after, judged = SP.edit_checks(checks, versions, edits, "doc_id")
     new = after.where("suite_pos = 0 and case_pos = 0").select("doc_id", F.sha2("params", 256).alias("params_hash"))

@@ -1,5 +1,6 @@
 """Requirement splitting, keyword intents, ids, references, datasets, cases, specs, rubrics."""
 import json
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -213,3 +214,17 @@ def test_running_numbers(spark):
         assert [n for n, _ in sorted(rows)] == list(range(1, len(rows) + 1))
         assert [k for _, k in sorted(rows)] == sorted(k for _, k in rows)
     assert len(got[None]) > 3000
+
+
+def test_keywords_are_found_as_by_their_patterns(spark):
+    words = ["json", "jsonb", "schema", "Latency", "ms", "items", "p95", "p9x", "under 5", "under", "city", "cites", "CITATION", "personal", "info", "pii", "storage",
+             "completed the", "task", "finish", "\n", "déclined", "decline", ""]
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 5)))) for i in range(200)] + [(999, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("low", F.lower("text"))
+    patterns = [x[0] for x in TS.TEMPLATE_RULES + TS.JUDGE_RULES] + ["a.c|", "x+"]
+    got = df.select("doc_id", *[TS._found(F.col("low"), p).alias(f"p{i}") for i, p in enumerate(patterns)])
+    text = dict(texts)
+    for row in got.collect():
+        want = [None if text[row.doc_id] is None else bool(re.search(p, text[row.doc_id].lower())) for p in patterns]
+        assert list(row)[1:] == want
