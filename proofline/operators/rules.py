@@ -31,6 +31,8 @@ __all__ = ["_needed", "match_rules", "read_rules", "rule_intents"]
 GRAM = 3
 WORD_GRAM = 2
 SALTS = 16
+# words of interest up to which they are sent to every task instead of meeting the words of all texts in a shuffle
+SENT_ROWS = 300_000
 # sets of literals of a part, one bit each
 MAX_SETS = 60
 # case-insensitive search as Python's re.search(p, s, re.I): Unicode classes, "\n" alone ends a line
@@ -102,7 +104,7 @@ def _holding(vocabulary: DataFrame, literals: DataFrame) -> DataFrame:
     literal = literals.select("_literal", F.explode(gram).alias("_gram"))
     both = F.concat(grams(F.col("_folded"), GRAM), grams(F.col("_folded"), WORD_GRAM))
     held = (vocabulary.select("_word", folded(F.col("_word")).alias("_folded")).select("_word", "_folded", F.explode(both).alias("_gram"))
-            .join(F.broadcast(literal.select("_gram").distinct()), "_gram", "left_semi"))
+            .join(F.broadcast(literal.select("_gram").distinct()), "_gram", "left_semi").checkpoint())  # read twice
     sizes = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_words"))
     # a literal with a gram that no word holds is in no text
     index = (literal.join(sizes, "_gram", "left").groupBy("_literal").agg(
@@ -146,12 +148,17 @@ def match_rules(texts: DataFrame, rules: DataFrame, on: list[str], text: str = "
     # what a word of a text says: a part inside it is found (part -1), or one set of a part has its literal
     met = inside.distinct().select("_word", rule, F.lit(-1).alias("_part"), F.lit(1).alias("_n"), F.lit(0).alias("_set")).unionByName(
         seek.where("not word").join(holding, "_literal").select("_word", rule, "_part", "_n", "_set").distinct())
-    met = met.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # a frequent word is spread over salts
-    post = (body.select("_k", F.explode(words(F.col("_text"))).alias("_word"))
-            .withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")).repartition(n, "_word", "_salt"))
+    met = met.checkpoint()
+    post = body.select("_k", F.explode(words(F.col("_text"))).alias("_word"))
+    if met.count() <= SENT_ROWS:
+        pairs = post.join(F.broadcast(met), "_word")
+    else:
+        # a frequent word is spread over salts
+        salted = met.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = (post.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")).repartition(n, "_word", "_salt")
+                 .join(salted.repartition(n, "_word", "_salt"), ["_word", "_salt"]))
     sets = F.bit_count(F.bit_or(F.expr("shiftleft(1L, _set)")))
-    full = (post.join(met.repartition(n, "_word", "_salt"), ["_word", "_salt"]).repartition(n, "_k").groupBy("_k", rule, "_part", "_n").agg(sets.alias("_have"))
+    full = (pairs.repartition(n, "_k").groupBy("_k", rule, "_part", "_n").agg(sets.alias("_have"))
             .where("_have = _n").select("_k", rule, "_part").checkpoint())
     found = full.where("_part < 0").select("_k", rule).unionByName(
         full.where("_part >= 0").join(known.select(rule, "_part", "java"), [rule, "_part"]).join(body, "_k")

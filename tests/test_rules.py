@@ -97,6 +97,7 @@ def test_outermost_alternatives(pattern, parts):
 
 def test_texts_of_one_name_and_words_of_every_script(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_PER_PARTITION", 5)
+    monkeypatch.setattr(RL, "SENT_ROWS", 0)
     texts = [(1, "red ring"), (1, "red ring"), (1, "no ringtion"), (None, "anvb"), (2, "ANvB_ anvb"), (3, "été1 e\u0301t"), (4, "_"), (5, "ring red"), (6, "taſk")]
     rules = [(p, p) for p in (r"\ban[a-z]b\b", "red ring", "(red|rin)[a-z]*|red ring", r"\w\d", "[a-f_]", "TASK", r"r\b", r"\Bg")]
     t = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
